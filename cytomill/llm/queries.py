@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import risk
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,5 +28,21 @@ def op8_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_byte_cnn_language": op8_byte_cnn_language}
-ORACLES: dict[str, str] = {}
+def op4_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import crf
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = crf.train(docs, table(spark, sf_dir, "labels"), fold(4) != 2)
+    found = crf.score(docs, model)
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = risk.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *risk.BASE, "base_failed", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op4_line_crf_quality, op7_risk_controlled_rules, op8_byte_cnn_language)
+}
+ORACLES: dict[str, str] = {"op7_risk_controlled_rules": risk.oracle()}
