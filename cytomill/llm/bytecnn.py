@@ -125,15 +125,11 @@ def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS) -> ByteCNN | None:
     """Fit on at most ``sample`` rows of ``labelled`` for which text and language are not null: those
-    that are first by a hash of the text, so that no order or source is preferred. Of each text the
-    fit takes a piece of at most SAMPLE_CHARS characters. None if there is nothing to learn from."""
-    rows = (
-        labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-        .select(F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("text"), F.xxhash64(text).alias("h"))
-        .orderBy("h", "lang")
-        .limit(sample)
-        .collect()
-    )
+    that are first by a hash of the text, so that no order or source is preferred; copies count once.
+    Of each text the fit takes a piece of at most SAMPLE_CHARS characters. None if there is nothing to learn from."""
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("text"), F.xxhash64(text, lang).alias("h"))
+    rows = store.bounded_sample(known, "h", sample).where(F.col("text").rlike(r"\p{L}")).dropDuplicates(["h"]).collect()
+    rows.sort(key=lambda r: (r["h"], r["lang"]))
     if not rows:
         return None
     net = ByteCNN(sorted({r["lang"] for r in rows}))
