@@ -28,6 +28,12 @@ def op8_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op1_lattice_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lattice
+
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import crf
 
@@ -37,12 +43,36 @@ def op4_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from . import store, warc
+
+    out = f"{store.shared_dir(spark)}/cytomill/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), out)
+    return warc.read(spark, out, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repeats
+
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = risk.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", *risk.BASE, "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_line_crf_quality, op7_risk_controlled_rules, op8_byte_cnn_language)
+    f.__name__: f for f in (op1_lattice_near_duplicates, op4_line_crf_quality, op5_sharded_warc, op6_seed_and_extend, op7_risk_controlled_rules, op8_byte_cnn_language)
 }
-ORACLES: dict[str, str] = {"op7_risk_controlled_rules": risk.oracle()}
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), b AS (SELECT *, encode(html) AS raw, sha1(html) AS hex FROM p),
+d AS (SELECT *, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(hex, 1 + 10 * (i // 8), 10))::BIGINT // (1::BIGINT << (35 - 5 * (i % 8))) % 32)::INT, 1), '' ORDER BY i) FROM range(32) r(i)) AS digest FROM b)
+SELECT page_id, octet_length(raw)::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = max(page_id) OVER (PARTITION BY html) THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id < max(page_id) OVER (PARTITION BY html) THEN max(page_id) OVER (PARTITION BY html) END AS refers_to FROM d
+"""
+ORACLES: dict[str, str] = {"op5_sharded_warc": OP5_SQL, "op7_risk_controlled_rules": risk.oracle()}
