@@ -34,6 +34,12 @@ def op1_lattice_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minmax
+
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import crf
 
@@ -66,7 +72,7 @@ def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lattice_near_duplicates, op4_line_crf_quality, op5_sharded_warc, op6_seed_and_extend, op7_risk_controlled_rules, op8_byte_cnn_language)
+    f.__name__: f for f in (op1_lattice_near_duplicates, op2_minmax_near_duplicates, op4_line_crf_quality, op5_sharded_warc, op6_seed_and_extend, op7_risk_controlled_rules, op8_byte_cnn_language)
 }
 OP5_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), b AS (SELECT *, encode(html) AS raw, sha1(html) AS hex FROM p),
