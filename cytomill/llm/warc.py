@@ -149,9 +149,9 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", pa
     at, base = filesystem(out)
     at.create_dir(f"{base}/_temporary", recursive=True)
     dealt = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "id", "sha", "kind", "url")
-    files = dealt.mapInArrow(_writer(out, file_bytes), "shard long, seq long, name string, bytes long, records long, sha256 string").orderBy("shard", "seq").collect()
+    files = dealt.mapInArrow(_writer(out, file_bytes), "shard long, seq long, name string, bytes long, records long, sha256 string").collect()
     manifest = []
-    for f in files:  # one row a file
+    for f in sorted(files, key=lambda f: (f["shard"], f["seq"])):  # one row a file
         final = f"{f['shard']:06d}-{f['seq']:05d}.warc.gz"
         at.move(f"{base}/_temporary/{f['name']}", f"{base}/{final}")
         manifest.append({"file": final, "bytes": f["bytes"], "records": f["records"], "sha256": f["sha256"]})
