@@ -1,15 +1,17 @@
 """Substring deduplication by seeds and extensions over words.
 
 Seeds are winnowed anchors: of the hashes of all ANCHOR-word runs, those that are smallest in some
-window of ``length`` words. Every window has such an anchor, and equal windows have it at the same
-place, so documents that share a passage of ``length`` words meet in a join on anchors. Around every
-anchor that occurs more than once the match is extended both ways to each window of ``length`` words
-that the anchor stands for; extensions of all occurrences are compared at once by their hashes, never
-pair by pair, so a passage of a third of all documents costs what its occurrences cost. Windows
-found elsewhere too are confirmed, and adjacent confirmed windows join to maximal repeats.
-
-Words, anchors and windows are compared by 64-bit hashes; a window counts as repeated only if both
-its anchor and the window itself were found elsewhere.
+window of ``length`` words (of equals, the last). Every window has one anchor, equal windows have it at
+the same place, and the windows of an anchor are consecutive: its block. Documents that share a
+passage of ``length`` words meet in a join on anchors; anchors that occur once end there.
+
+Around the others the match is extended both ways. Occurrences whose whole blocks agree are repeated as
+far as the block reaches, and one of them stands for all. Blocks that agree with no other are extended
+window by window against one of each kind with their anchor. All occurrences are compared at once by
+hashes, never pair by pair, so a passage of a third of all documents costs what its occurrences cost.
+Adjacent repeated windows join to maximal repeats.
+
+Words, anchors, blocks and windows are compared by 64-bit hashes; what is compared agrees in its anchor.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ from . import store
 from .words import U, _powers, bounds, buffer_of, hashes, mix, pieces
 
 LENGTH, ANCHOR = 35, 8
-MOST = U(0xFFFFFFFFFFFFFFFF)
 BASE = 0x5851F42D4C957F2D
 
 
@@ -39,60 +40,62 @@ def sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[:n], x[width - span : width - span + n])
 
 
+PLACE = U((1 << 26) - 1)  # of a run's hash, the low bits give way to its place
+
+
 class Runs:
     """Word runs of a batch of texts."""
 
     def __init__(self, col: pa.Array, length: int) -> None:
-        self.length, self.steps = length, length - ANCHOR + 1
+        self.length = length
         self.data, self.offs = buffer_of(col)
         self.starts, self.ends, self.first = bounds(self.data, self.offs)
         self.words = hashes(self.data, self.starts, self.ends)
         n = len(self.words)
-        self.windows = n - length + 1
-        if self.windows < 1:
-            return
+        self.size = 1 << max(10, n.bit_length())
+        self.sums = np.zeros(n + 1, U)
+        np.cumsum(self.words * _powers(BASE, self.size)[:n], out=self.sums[1:])
+
+    def hashed(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the word sequences from ``begin`` to ``end``, their lengths included."""
+        return mix((self.sums[end] - self.sums[begin]) * _powers(pow(BASE, -1, 1 << 64), self.size)[begin] + (end - begin).astype(U))
+
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The anchors' hashes, and for each the first of its windows and their number."""
+        n, steps = len(self.words), self.length - ANCHOR + 1
+        if n < self.length:
+            return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
         odd = [U(pow(0xD1342543DE82EF95, i + 1, 1 << 64)) for i in range(ANCHOR)]
         runs = self.words[: n - ANCHOR + 1] * odd[0]
         for i in range(1, ANCHOR):
             runs += self.words[i : n - ANCHOR + 1 + i] * odd[i]
-        self.runs = mix(runs) | U(1)
-        # windows that stay within their text
-        row_end = np.repeat(self.first[1:], np.diff(self.first))
-        self.inside = np.arange(self.windows) + length <= row_end[: self.windows]
-        self.least = sliding(self.runs, self.steps, np.minimum)
-
-    def anchors(self) -> np.ndarray:
-        """Places of the winnowed anchors."""
-        if self.windows < 1:
-            return np.zeros(0, np.int64)
-        low = np.where(self.inside, self.least, U(0))
-        pad = np.zeros(self.steps - 1, U)
-        return np.flatnonzero(sliding(np.concatenate([pad, low, pad]), self.steps, np.maximum) == self.runs)
-
-    def extended(self, seeds: np.ndarray) -> np.ndarray:
-        """Starts of the windows whose anchor is one of the places ``seeds``."""
-        if self.windows < 1:
-            return np.zeros(0, np.int64)
-        known = np.full(len(self.runs), MOST, U)
-        known[seeds] = self.runs[seeds]
-        return np.flatnonzero(self.inside & (sliding(known, self.steps, np.minimum) == self.least))
-
-    def window_hashes(self, at: np.ndarray) -> np.ndarray:
-        n = len(self.words)
-        size = 1 << max(10, n.bit_length())
-        sums = np.zeros(n + 1, U)
-        np.cumsum(self.words * _powers(BASE, size)[:n], out=sums[1:])
-        return mix((sums[at + self.length] - sums[at]) * _powers(pow(BASE, -1, 1 << 64), size)[at])
+        runs = mix(runs)
+        windows = n - self.length + 1
+        least = sliding((runs & ~PLACE) | (PLACE - (np.arange(len(runs)).astype(U) & PLACE)), steps, np.minimum)
+        back = (PLACE - (least & PLACE)).astype(np.int64)
+        place = back + ((np.arange(windows) + steps - 1 - back) >> 26 << 26)  # a text of more than 2**26 words
+        inside = np.arange(windows) + self.length <= np.repeat(self.first[1:], np.diff(self.first))[:windows]
+        at = np.flatnonzero(inside)
+        if not len(at):
+            return np.zeros(0, U), at, at
+        new = np.ones(len(at), bool)
+        new[1:] = (place[at[1:]] != place[at[:-1]]) | (at[1:] != at[:-1] + 1)
+        head = np.flatnonzero(new)
+        return runs[place[at[head]]], at[head], np.diff(np.append(head, len(at)))
+
+
+BLOCK_ROWS = "anchor long, block long, row_key long, start int, n int"
 
 
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             r = Runs(batch.column(1), length)
-            at = r.anchors()
-            row = np.searchsorted(r.first, at, side="right") - 1
-            key = r.runs[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(batch.column(0).to_numpy()[row]), pa.array((at - r.first[row]).astype(np.int32))], names=["anchor", "row_key", "place"])
+            anchor, start, n = r.blocks()
+            row = np.searchsorted(r.first, start, side="right") - 1
+            block = r.hashed(start, start + n + length - 1)
+            cols = [anchor.view(np.int64), block.view(np.int64), batch.column(0).to_numpy()[row], (start - r.first[row]).astype(np.int32), n.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "block", "row_key", "start", "n"])
 
     return run
 
@@ -106,14 +109,21 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]].astype(np.int64), offs - offs[0]
 
 
+def _ranges(places: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, numbers and offsets by row of a column of lists start * 2**20 + number; null is empty."""
+    values, offs = _lists(places)
+    return values >> 20, values & ((1 << 20) - 1), offs
+
+
 def _extend(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             r = Runs(batch.column(1), length)
-            seeds, offs = _lists(batch.column(2))
-            at = r.extended(seeds + np.repeat(r.first[:-1], np.diff(offs)))
-            row = np.searchsorted(r.first, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(r.window_hashes(at).view(np.int64) if len(at) else at), pa.array(batch.column(0).to_numpy()[row]), pa.array((at - r.first[row]).astype(np.int32))], names=["window", "row_key", "start"])
+            start, n, offs = _ranges(batch.column(2))
+            row = np.repeat(np.repeat(np.arange(batch.num_rows), np.diff(offs)), n)
+            at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            window = r.hashed(at + r.first[row], at + r.first[row] + length)
+            yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), pa.array(batch.column(0).to_numpy()[row]), pa.array(at.astype(np.int32))], names=["window", "row_key", "start"])
 
     return run
 
@@ -123,11 +133,11 @@ def _drop(length: int, text: int, starts: int, keep: list[int]):
         for batch in pieces(batches, batches_text):
             data, offs = buffer_of(batch.column(text))
             begin, end, first = bounds(data, offs)
-            at, cut = _lists(batch.column(starts))
+            at, n, cut = _ranges(batch.column(starts))
             at = at + np.repeat(first[:-1], np.diff(cut))
             depth = np.zeros(len(begin) + 1, np.int64)
             np.add.at(depth, at, 1)
-            np.add.at(depth, at + length, -1)
+            np.add.at(depth, at + n + length - 1, -1)
             gone = np.cumsum(depth)[:-1] > 0
             total = np.concatenate([[0], np.cumsum(gone)])
             removed = total[first[1:]] - total[first[:-1]]
@@ -176,20 +186,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     body = F.coalesce(F.col(text), F.lit(""))
     row_key = F.xxhash64(F.col(key), F.col(text))
     slim = docs.select(row_key.alias("row_key"), body.alias("text"))
-    anchors_path = store.write_table(slim.mapInArrow(_anchors(length), "anchor long, row_key long, place int"), "anchors")
-    anchors = spark.read.schema("anchor long, row_key long, place int").parquet(anchors_path)
-    twice = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    met = anchors.join(twice, "anchor").groupBy("row_key").agg(F.collect_set("place").alias("seeds"))
-    seeds = store.cut(met, "seeds")
-    store.remove(spark, anchors_path)
+    path = store.write_table(slim.mapInArrow(_anchors(length), BLOCK_ROWS), "anchors")
+    anchors = spark.read.schema(BLOCK_ROWS).parquet(path)
+    twice = anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    met = store.cut(anchors.join(twice, "anchor"), "met")
+    store.remove(spark, path)
+    place = F.shiftleft(F.col("start").cast("long"), 20) + F.col("n")
+    kinds = store.cut(met.groupBy("anchor", "block").agg(F.count("*").alias("c"), F.min(F.struct("row_key", place.alias("place"))).alias("one")), "kinds")
+    open_ = kinds.where("c = 1").select("anchor").distinct()
+    alone = kinds.join(open_, "anchor", "left_semi").groupBy("one.row_key").agg(F.collect_set("one.place").alias("places"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(row_key.alias("_row_key"), body.alias("_text"), *own).repartition(parts, "_row_key")
-    grown = dealt.join(seeds, dealt["_row_key"] == seeds["row_key"]).select("row_key", F.col("_text").alias("text"), "seeds")
+    grown = dealt.join(alone, dealt["_row_key"] == alone["row_key"]).select("row_key", F.col("_text").alias("text"), "places")
     windows = grown.mapInArrow(_extend(length), "window long, row_key long, start int")
-    again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    starts = windows.join(again, "window").groupBy("row_key").agg(F.collect_set("start").alias("_starts"))
-    starts = starts.withColumnRenamed("row_key", "_k")
+    again = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
+    single = windows.join(again, "window").select("row_key", (F.shiftleft(F.col("start").cast("long"), 20) + 1).alias("place"))
+    whole = met.join(kinds.where("c > 1").select("anchor", "block"), ["anchor", "block"]).select("row_key", place.alias("place"))
+    starts = whole.union(single).groupBy(F.col("row_key").alias("_k")).agg(F.collect_set("place").alias("_starts"))
     full = dealt.join(starts, dealt["_row_key"] == starts["_k"], "left").select(*own, "_text", "_starts")
-    kinds = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType()), StructField("repeats", ArrayType(IntegerType()))]
-    schema = StructType([*(docs.schema[c] for c in own), *kinds])
+    added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType()), StructField("repeats", ArrayType(IntegerType()))]
+    schema = StructType([*(docs.schema[c] for c in own), *added])
     return full.mapInArrow(_drop(length, len(own), len(own) + 1, list(range(len(own)))), schema)
