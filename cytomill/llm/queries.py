@@ -40,6 +40,12 @@ def op2_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.score(table(spark, sf_dir, "documents"), fold(5) != 1)
+
+
 def op4_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import crf
 
@@ -71,14 +77,28 @@ def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *risk.BASE, "base_failed", "kept")
 
 
+def op9_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import wordbpe
+
+    found = wordbpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lattice_near_duplicates, op2_minmax_near_duplicates, op4_line_crf_quality, op5_sharded_warc, op6_seed_and_extend, op7_risk_controlled_rules, op8_byte_cnn_language)
-}
-OP5_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), b AS (SELECT *, encode(html) AS raw, sha1(html) AS hex FROM p),
-d AS (SELECT *, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(hex, 1 + 10 * (i // 8), 10))::BIGINT // (1::BIGINT << (35 - 5 * (i % 8))) % 32)::INT, 1), '' ORDER BY i) FROM range(32) r(i)) AS digest FROM b)
-SELECT page_id, octet_length(raw)::BIGINT AS payload_bytes, digest AS payload_digest,
-  CASE WHEN page_id = max(page_id) OVER (PARTITION BY html) THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id < max(page_id) OVER (PARTITION BY html) THEN max(page_id) OVER (PARTITION BY html) END AS refers_to FROM d
-"""
+    f.__name__: f
+    for f in (
+        op1_lattice_near_duplicates, op2_minmax_near_duplicates, op3_context_mixing, op4_line_crf_quality, op5_sharded_warc,
+        op6_seed_and_extend, op7_risk_controlled_rules, op8_byte_cnn_language, op9_vector_best_fit, op10_word_table_bpe,
+    )
+}
 ORACLES: dict[str, str] = {"op5_sharded_warc": OP5_SQL, "op7_risk_controlled_rules": risk.oracle()}
