@@ -42,6 +42,7 @@ def spread(data: bytes, kind: str = "") -> np.ndarray | bytes:
 
 
 def block_id(partition: int, number: int) -> int:
+    """``partition`` is that of the scan (spark_partition_id), which other stages and unions do not shift."""
     return (partition << 24) + number
 
 

@@ -23,7 +23,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -270,7 +269,7 @@ class Block:
         self.sizes: list[np.ndarray] = []
         self.train: list[np.ndarray] = []
         self.batches: list[pa.RecordBatch] = []
-        self.size = 0
+        self.size = self.part = 0
 
     def add(self, batch: pa.RecordBatch) -> None:
         data, offs = lowered(batch.column(1))
@@ -287,6 +286,7 @@ class Block:
         self.train.append(batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
         self.batches.append(batch)
         self.size += len(data)
+        self.part = batch.column(3)[0].as_py()
 
     def close(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct words in bucket order, their buckets' offsets, and the code of each word in the texts."""
@@ -320,7 +320,7 @@ def _words(buckets: int):
                     part = words[cut[b] : cut[b + 1]]  # ascending, so their differences are smaller
                     a, c = blocks.squeeze(np.diff(part, prepend=U(0))), blocks.squeeze(count[cut[b] : cut[b + 1]])
                     rows.append((b, len(a).to_bytes(4, "little") + a + c))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([blocks.block_id(TaskContext.get().partitionId(), k)] * len(rows), pa.int64()), pa.array([total] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block", "sum", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([blocks.block_id(block.part, k)] * len(rows), pa.int64()), pa.array([total] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block", "sum", "data"])
 
     return run
 
@@ -367,7 +367,7 @@ def _bodies(buckets: int, model, key_type: pa.DataType):
             score = np.concatenate([m.scores(*buffer_of(b.column(1))) for b in block.batches])
             keys = [x for b in block.batches for x in b.column(0).to_pylist()]
             more = score.astype("<f8").tobytes() + np.concatenate(block.train).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([blocks.block_id(TaskContext.get().partitionId(), k)], pa.int64()), pa.array([blocks.checksum(words)], pa.int64()), pa.array([blocks.squeeze(codes)], pa.binary()), pa.array([keys], pa.list_(key_type)), pa.array([np.concatenate(block.sizes).tolist()], pa.list_(pa.int32())), pa.array([more], pa.binary())], names=["block", "sum", "data", "keys", "sizes", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array([blocks.block_id(block.part, k)], pa.int64()), pa.array([blocks.checksum(words)], pa.int64()), pa.array([blocks.squeeze(codes)], pa.binary()), pa.array([keys], pa.list_(key_type)), pa.array([np.concatenate(block.sizes).tolist()], pa.list_(pa.int32())), pa.array([more], pa.binary())], names=["block", "sum", "data", "keys", "sizes", "more"])
 
     return run
 
@@ -408,7 +408,7 @@ def score(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc_id
 
     spark = docs.sparkSession
     store.bound_batches(spark)
-    slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), F.spark_partition_id().alias("part"))
     model = spark.sparkContext.broadcast(train(slim.where("learn").select("text")))
     kind, arrow = slim.schema["key"].dataType, to_arrow_type(slim.schema["key"].dataType)
     buckets = blocks.buckets_of(docs)

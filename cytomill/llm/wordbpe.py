@@ -18,7 +18,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +70,7 @@ class Block:
         self.table.default_factory = self.table.__len__
         self.keys: list = []
         self.codes: list[np.ndarray] = []
-        self.size = 0
+        self.size = self.part = 0
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[Block]:
@@ -79,6 +78,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[Block]:
     block = Block()
     for batch in pieces(batches, "text"):
         keys = batch.column(0).to_pylist()
+        block.part = batch.column(2)[0].as_py()
         for key, text in zip(keys, batch.column(1).to_pylist(), strict=True):
             words = split(text, special)
             block.keys.append(key)
@@ -106,7 +106,7 @@ def _words(path: str, buckets: int):
             rows = [(b, blocks.squeeze(" ".join(words[i] for i in order[cut[b] : cut[b + 1]]).encode())) for b in range(buckets) if cut[b] < cut[b + 1]]
             n = len(rows)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([blocks.block_id(TaskContext.get().partitionId(), k)] * n, pa.int64()), pa.array([blocks.checksum(h)] * n, pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block", "sum", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([blocks.block_id(block.part, k)] * n, pa.int64()), pa.array([blocks.checksum(h)] * n, pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block", "sum", "data"])
 
     return run
 
@@ -141,7 +141,7 @@ def _bodies(path: str, buckets: int, key_type: pa.DataType):
             place[order] = np.arange(len(order), dtype=np.uint32)
             codes = place[np.concatenate(block.codes)] if len(h) else np.zeros(0, np.uint32)
             sizes = pa.array([[len(c) for c in block.codes]], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([blocks.block_id(TaskContext.get().partitionId(), k)], pa.int64()), pa.array([blocks.checksum(h)], pa.int64()), pa.array([blocks.squeeze(codes)], pa.binary()), pa.array([block.keys], pa.list_(key_type)), sizes, pa.array([None], pa.binary())], names=["block", "sum", "data", "keys", "sizes", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array([blocks.block_id(block.part, k)], pa.int64()), pa.array([blocks.checksum(h)], pa.int64()), pa.array([blocks.squeeze(codes)], pa.binary()), pa.array([block.keys], pa.list_(key_type)), sizes, pa.array([None], pa.binary())], names=["block", "sum", "data", "keys", "sizes", "more"])
 
     return run
 
@@ -195,7 +195,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
     """
     spark = docs.sparkSession
     store.bound_batches(spark)
-    slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.spark_partition_id().alias("part"))
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind, arrow = slim.schema["key"].dataType, to_arrow_type(slim.schema["key"].dataType)
