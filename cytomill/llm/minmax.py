@@ -10,10 +10,11 @@ short signatures and proposes pairs; each proposed pair is verified on the full
   so this joins most of a group;
 * round 2 takes, in buckets that still hold several components, every pair across components whose
   estimate is above LEAST_ESTIMATE, over five standard deviations below the threshold. There only the
-  nodes outside a bucket's largest component are compared with all of it.
+  nodes outside a bucket's largest component are compared with all of it, each pair in the first band
+  it shares. The texts of nodes with such a pair come to the tile, which verifies pairs until it has
+  them joined and emits its spanning trees.
 
-So groups cost about one verification a member rather than one a pair, and no link between
-components is left out. At the threshold the bands miss a pair with a probability below 1e-5.
+So no pairs of groups are shuffled, and no link between components is left out. At the threshold the bands miss a pair with a probability below 1e-5.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .words import LOWER, U, binary, bounds, buffer_of, hashes, mix, pieces, shi
 
 WORDS, PERCENT, PERMUTATIONS, ROWS = 5, 85, 50, 5
 BANDS = 2 * PERMUTATIONS // ROWS
-FIRST_BANDS, TILE, LEAST_ESTIMATE, GROUP = 6, 2048, 0.65, 64
+FIRST_BANDS, TILE, NARROW_TILE, LEAST_ESTIMATE, GROUP = 6, 1024, 512, 0.65, 64
 
 
 def lowered(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -38,17 +39,25 @@ def lowered(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes().translate(LOWER), np.uint8), offs
 
 
-def sets(col: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, flat, and their offsets."""
+def sets(col: pa.Array, words: int, limit: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, flat, and their offsets; worked out over pieces of about
+    ``limit`` bytes, so that only the result grows with the batch."""
     data, offs = lowered(col)
-    starts, ends, first = bounds(data, offs)
-    h, at = shingles(hashes(data, starts, ends), first, words)
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[new], np.searchsorted(row[new], np.arange(len(at)))
+    out, size, i = [np.zeros(0, U)], [np.zeros(1, np.int64)], 0
+    while i < len(offs) - 1:
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1)
+        part, cut = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        starts, ends, first = bounds(part, cut)
+        h, at = shingles(hashes(part, starts, ends), first, words)
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        out.append(h[new])
+        size.append(np.bincount(row[new], minlength=j - i))
+        i = j
+    return np.concatenate(out), np.cumsum(np.concatenate(size))
 
 
 def signature(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -105,52 +114,122 @@ def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Shares of equal short values, freed of what chance alone makes equal."""
     same = np.empty((len(a), len(b)), np.float32)
     for i in range(0, len(a), 64):
-        same[i : i + 64] = (a[i : i + 64, None] == b[None]).mean(2)
-    return (same - 1 / 256) / (1 - 1 / 256)
-
-
-def _propose(tree: bool):
-    """Pairs of tiles; rows are sorted by tile and have node, component, side (1, 2 or both) and short signature."""
-
-    def pairs(node: np.ndarray, comp: np.ndarray, side: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x, y = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
-        est = _estimates(short[x], short[y])
-        est[(comp[x][:, None] == comp[y][None]) | (node[x][:, None] == node[y][None])] = -1
-        i, j = np.nonzero(est >= LEAST_ESTIMATE)
-        if tree and len(i):  # Kruskal, the most similar first
-            order = np.argsort(-est[i, j], kind="stable")
-            root = list(range(len(node)))
-
-            def find(k: int) -> int:
-                while root[k] != k:
-                    root[k] = root[root[k]]
-                    k = root[k]
-                return k
-
-            keep, left = [], len(set(x.tolist()) | set(y.tolist())) - 1
-            for o in order.tolist():
-                a, b = find(int(x[i[o]])), find(int(y[j[o]]))
-                if a != b:
-                    root[a] = b
-                    keep.append(o)
+        same[i : i + 64] = np.count_nonzero(a[i : i + 64, None] == b[None], axis=2)
+    return (same / np.float32(max(1, a.shape[1])) - np.float32(1 / 256)) / np.float32(1 - 1 / 256)
+
+
+class Roots:
+    """Union-find over the rows of a tile."""
+
+    def __init__(self, n: int) -> None:
+        self.root = list(range(n))
+
+    def find(self, k: int) -> int:
+        root = self.root
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.root[a] = b
+        return a != b
+
+
+def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning trees of tiles by estimate, the most similar first; rows (tile, node, short) sorted by tile."""
+    for t in whole_groups(batches):
+        tile, node = t.column(0).to_numpy(), t.column(1).to_numpy()
+        short = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(len(node), -1)
+        cut = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+        out = []
+        for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(tile)).tolist(), strict=True):
+            if hi - lo < 2:
+                continue
+            est = np.triu(_estimates(short[lo:hi], short[lo:hi]), 1)
+            i, j = np.nonzero(est >= LEAST_ESTIMATE)
+            roots, left = Roots(hi - lo), hi - lo - 1
+            for o in np.argsort(-est[i, j], kind="stable").tolist():
+                if roots.join(int(i[o]), int(j[o])):
+                    a, b = int(node[lo + i[o]]), int(node[lo + j[o]])
+                    out.append((min(a, b), max(a, b)))
                     left -= 1
                     if not left:
                         break
-            i, j = i[keep], j[keep]
-        a, b = node[x[i]], node[y[j]]
-        return np.minimum(a, b), np.maximum(a, b)
-
+        if out:
+            a, b = zip(*set(out), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _candidates(band: int, node: np.ndarray, comp: np.ndarray, side: np.ndarray, short: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a tile, by row, to be verified here: in different components, likely enough, and not already
+    together in an earlier band; and their estimates."""
+    x, y = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    est = _estimates(short[x], short[y])
+    both = ((side[x] & 2) > 0)[:, None] & ((side[y] & 1) > 0)[None]  # met twice in this tile
+    est[(comp[x][:, None] == comp[y][None]) | (both & (node[x][:, None] > node[y][None]))] = -1
+    i, j = np.nonzero(est >= LEAST_ESTIMATE)
+    value = est[i, j]
+    i, j = x[i], y[j]
+    for k in range(band):
+        new = bands[i, k] != bands[j, k]
+        i, j, value = i[new], j[new], value[new]
+    return i, j, value
+
+
+def _tile_arrays(t: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Rows (tile, band, node, comp, side, short, bands, ...)."""
+    tile, band, node, comp, side = (t.column(i).to_numpy() for i in range(5))
+    short = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(len(node), -1)
+    return tile, band, node, comp, side, short, np.frombuffer(b"".join(t.column(6).to_pylist()), np.int64).reshape(len(node), BANDS)
+
+
+def _doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of tiles that have a candidate pair."""
+    for t in whole_groups(batches):
+        tile, band, node, comp, side, short, bands = _tile_arrays(t)
+        cut = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+        keep = np.zeros(len(tile), bool)
+        for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(tile)).tolist(), strict=True):
+            i, j, _ = _candidates(int(band[lo]), node[lo:hi], comp[lo:hi], side[lo:hi], short[lo:hi], bands[lo:hi])
+            keep[lo + i] = keep[lo + j] = True
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in t.columns[:5]], names=["tile", "band", "node", "comp", "side"])
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _settle(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Verify the candidate pairs of tiles; rows as in _tile_arrays with the text behind."""
         for t in whole_groups(batches):
-            tile, node, comp, side = (t.column(i).to_numpy() for i in range(4))
-            short = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(len(node), -1)
+            tile, band, node, comp, side, short, bands = _tile_arrays(t)
             cut = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
-            found = [pairs(node[i:j], comp[i:j], side[i:j], short[i:j]) for i, j in zip(cut, np.append(cut[1:], len(tile)), strict=True) if j - i > 1]
-            if found:
-                a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-                if len(a):
-                    both = np.unique(np.stack([a, b], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            out = []
+            for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(tile)).tolist(), strict=True):
+                i, j, value = _candidates(int(band[lo]), node[lo:hi], comp[lo:hi], side[lo:hi], short[lo:hi], bands[lo:hi])
+                if not len(i):
+                    continue
+                h, at = sets(t.column(7).slice(lo, hi - lo), words)
+                roots, first = Roots(hi - lo), {}
+                for k, c in enumerate(comp[lo:hi].tolist()):  # what is joined already counts as one
+                    roots.join(k, first.setdefault(c, k))
+                order = np.argsort(-value, kind="stable")
+                for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                    if roots.find(a) != roots.find(b) and _similar(h[at[a] : at[a + 1]], h[at[b] : at[b + 1]], percent):
+                        roots.join(a, b)
+                        out.append((int(node[lo + a]), int(node[lo + b])))
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -191,13 +270,7 @@ def _verify(words: int, percent: int):
                 if not len(k):
                     continue
                 base = h[at[k[0]] : at[k[0] + 1]]
-                for m in range(i, j):
-                    if node[m] != hub[m]:
-                        own = h[at[m] : at[m + 1]]
-                        pos = np.minimum(np.searchsorted(base, own), len(base) - 1)
-                        both = int((base[pos] == own).sum())
-                        if 100 * both >= percent * (len(base) + len(own) - both):
-                            out.append((int(hub[m]), int(node[m])))
+                out += [(int(hub[m]), int(node[m])) for m in range(i, j) if node[m] != hub[m] and _similar(base, h[at[m] : at[m + 1]], percent)]
             if out:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -205,25 +278,30 @@ def _verify(words: int, percent: int):
     return run
 
 
-def dealt_buckets(rows: DataFrame, comps: DataFrame | None, shorts: DataFrame, parts: int) -> DataFrame:
-    """Buckets with at least two components as tiles: (tile, node, comp, side, short). Without
-    components, each node is in one tile of its bucket; with them, tiles pair the nodes outside the
-    largest component (side 1) with all nodes (side 2)."""
-    if comps is None:
-        sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("k"))
-        r = rows.join(sizes, "bucket").withColumn("i", F.pmod(F.xxhash64("bucket", "node"), F.col("k")))
-        r = r.select(F.xxhash64("bucket", "i").alias("tile"), "node", F.col("node").alias("comp"), F.lit(3).alias("side"))
-    else:
-        r = rows.join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
-        sizes = r.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
-        sizes = sizes.select("bucket", F.col("most.comp").alias("most"), F.ceil((F.col("n") - F.col("most.n")) / TILE).cast("int").alias("k1"), F.ceil(F.col("n") / TILE).cast("int").alias("k2"))
-        r = r.join(sizes, "bucket")
-        i, j = F.pmod(F.xxhash64("node"), F.col("k1")).cast("int"), F.pmod(F.xxhash64("node"), F.col("k2")).cast("int")
-        one = F.transform(F.sequence(F.lit(0), F.col("k2") - 1), lambda x: F.struct(i.alias("i"), x.alias("j"), (F.lit(1) + F.when(x == j, 2).otherwise(0)).alias("side")))
-        two = F.filter(F.transform(F.sequence(F.lit(0), F.col("k1") - 1), lambda x: F.struct(x.alias("i"), j.alias("j"), F.lit(2).alias("side"))), lambda p: (F.col("comp") == F.col("most")) | (p["i"] != i))
-        r = r.select("bucket", "node", "comp", F.explode(F.when(F.col("comp") != F.col("most"), F.concat(one, two)).otherwise(two)).alias("p"))
-        r = r.select(F.xxhash64("bucket", "p.i", "p.j").alias("tile"), "node", "comp", "p.side")
-    return r.join(shorts, "node").select("tile", "node", "comp", "side", "short").repartition(parts, "tile").sortWithinPartitions("tile")
+def tree_tiles(rows: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+    """Buckets as tiles (tile, node, short), each node in one tile of its bucket."""
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("k"))
+    r = rows.join(sizes, "bucket").select(F.xxhash64("bucket", F.pmod(F.xxhash64("bucket", "node"), F.col("k"))).alias("tile"), "node")
+    return r.join(nodes.select("node", "short"), "node").select("tile", "node", "short").repartition(parts, "tile").sortWithinPartitions("tile")
+
+
+def open_tiles(rows: DataFrame, comps: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+    """Buckets with several components as tiles (tile, band, node, comp, side, short, bands): the nodes outside the
+    largest component (side 1) against all nodes (side 2)."""
+    r = rows.join(comps, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("comp"))
+    sizes = r.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
+    sizes = sizes.select("bucket", F.col("most.comp").alias("most"), F.ceil((F.col("n") - F.col("most.n")) / NARROW_TILE).cast("int").alias("k1"), F.ceil(F.col("n") / NARROW_TILE).cast("int").alias("k2"))
+    r = r.join(sizes, "bucket")
+    i, j = F.pmod(F.xxhash64("node"), F.col("k1")).cast("int"), F.pmod(F.xxhash64("node"), F.col("k2")).cast("int")
+    one = F.transform(F.sequence(F.lit(0), F.col("k2") - 1), lambda x: F.struct(i.alias("i"), x.alias("j"), (F.lit(1) + F.when(x == j, 2).otherwise(0)).alias("side")))
+    two = F.filter(F.transform(F.sequence(F.lit(0), F.col("k1") - 1), lambda x: F.struct(x.alias("i"), j.alias("j"), F.lit(2).alias("side"))), lambda p: (F.col("comp") == F.col("most")) | (p["i"] != i))
+    r = r.select("bucket", "band", "node", "comp", F.explode(F.when(F.col("comp") != F.col("most"), F.concat(one, two)).otherwise(two)).alias("p"))
+    r = r.select(F.xxhash64("bucket", "p.i", "p.j").alias("tile"), "band", "node", "comp", F.col("p.side").cast("int").alias("side"))
+    return described(r, nodes).repartition(parts, "tile").sortWithinPartitions("tile")
+
+
+def described(r: DataFrame, nodes: DataFrame) -> DataFrame:
+    return r.join(nodes.select("node", "short", "bands"), "node").select("tile", "band", "node", "comp", "side", "short", "bands")
 
 
 def verified(pairs: DataFrame, n_pairs: int, texts: DataFrame, nodes: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
@@ -257,24 +335,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     signed = store.cut(d.mapInArrow(_sign(words), f"id {kind}, row_key long, n_shingles long, node long, bands binary, short binary"), "signed")
     rep = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.min("row_key").alias("row_key"), F.first("bands").alias("bands"), F.first("short").alias("short"))
     nodes = store.cut(rep, "nodes")
-    shorts = nodes.select("node", "short")
     rows = nodes.select("node", "bands").mapInArrow(_bucket_rows, "node long, bucket long, band int")
     multi = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     buckets = store.cut(rows.join(multi, "bucket"), "buckets")
     texts = d.select("row_key", "text")
-    edges = None
-    tried = None
-    for early in (True, False):
-        comps = None if edges is None else store.components(edges)
-        some = buckets.where(F.col("band") < FIRST_BANDS) if early else buckets
-        tiles = dealt_buckets(some.drop("band"), comps, shorts, parts)
-        found = tiles.mapInArrow(_propose(early), "a long, b long").distinct()
-        if tried is not None:
-            found = found.join(tried, ["a", "b"], "left_anti")
-        pairs = store.cut(found, "pairs")
-        tried = pairs
-        ok = store.cut(verified(pairs, pairs.count(), texts, nodes, words, percent, parts), "verified")
-        edges = ok if edges is None else edges.union(ok)
+    pairs = store.cut(tree_tiles(buckets.where(F.col("band") < FIRST_BANDS), nodes, parts).mapInArrow(_propose, "a long, b long").distinct(), "pairs")
+    trees = store.cut(verified(pairs, pairs.count(), texts, nodes, words, percent, parts), "verified")
+    left = open_tiles(buckets, store.components(trees), nodes, parts).mapInArrow(_doubtful, "tile long, band int, node long, comp long, side int")
+    left = store.cut(left, "left")
+    wanted = left.join(nodes.select("node", "row_key"), "node").select("row_key", "tile", "band", "node", "comp", "side")
+    full = texts.join(store.small(wanted, left.count()), "row_key").dropDuplicates(["tile", "node", "side"])
+    full = full.join(nodes.select("node", "short", "bands"), "node").select("tile", "band", "node", "comp", "side", "short", "bands", "text")
+    settled = full.repartition(parts, "tile").sortWithinPartitions("tile", "node", "side").mapInArrow(_settle(words, percent), "a long, b long")
+    edges = trees.union(store.cut(settled, "settled"))
     member = store.components(edges)
     known = nodes.select("node", "rep").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
