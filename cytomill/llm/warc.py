@@ -99,7 +99,7 @@ def _writer(out: str, limit: int):
                     seq = seq + 1 if s == shard and done else 0
                     shard, size, count, sha = s, 0, 0, hashlib.sha256()
                     name = f"{s:06d}-{seq:05d}-{attempt}.warc.gz"
-                    file = at.open_output_stream(f"{base}/_temporary/{name}")
+                    file = at.open_output_stream(f"{base}/_temporary/{name}", compression=None)
                     put(member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, f"{s}/{seq}")), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], f"software: {SOFTWARE}\r\nformat: WARC File Format 1.1\r\n".encode()))
                 put(page_record(page, url, html, sha1, known[2] if known[:2] == (page, sha1) else None))
                 count += 1
@@ -205,7 +205,7 @@ def read(spark: SparkSession, out: str, payload: bool = True) -> DataFrame:
             for name in batch.column(0).to_pylist():
                 rows: list[tuple] = []
                 size = 0
-                with at.open_input_stream(f"{base}/{name}") as stream:
+                with at.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for record in members(stream):
                         f, block = parse(record)
                         if f["warc-block-digest"] != f"sha1:{digest(block)}":
