@@ -1,15 +1,15 @@
 """Language-model scores by online logistic context mixing.
 
 A text is coded byte by byte, each byte as the binary decisions of a Huffman code of the training bytes.
-Several predictors give each decision a probability from counts under a hashed context: the last two,
-three and six bytes, the word so far, and the word so far with the word before it. Their counts cover
-all training texts; tasks count, and the counts are summed by slices of the tables. The logits are mixed
-by weights with a gate (how sure the longest context is) that are learned online along the text,
-and the mixed logit is refined by an adaptive correction for its own level. The sum over all decisions
-is the text's log probability.
+Several predictors give each decision a probability from counts under a hashed context: the last three
+bytes, the word so far, and for a word's first EARLY bytes the word so far with the word before it.
+Their counts cover all training texts; tasks count, and the counts are summed by slices of the tables. The logits are mixed by weights with a gate (how
+sure the word so far is) that are learned online along the text, and the mixed logit is refined by
+an adaptive correction for its own level. The sum over all decisions is the text's log probability.
 
-Texts are worked on in lanes of LANE bytes whose contexts reach back over the lane's start and whose
-weights start anew, so a score depends on the text alone and many lanes advance together in numpy.
+A text is a sequence of stretches, each a word with the white space behind it. Contexts within the stretch
+are counted and looked up once per distinct stretch of a block, while mixing sees every decision. It works on lanes of LANE bytes whose weights start anew, so a score
+depends on the text alone and many lanes advance together in numpy.
 
 The base score is that of smoothed word frequencies; its word table is joined back by blocks.
 """
@@ -27,24 +27,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, store
-from .minmax import lowered
-from .words import SPACE, U, bounds, buffer_of, hashes, mix, pieces
+from .words import CHUNK, LOWER, SPACE, U, _powers, buffer_of, hashes, mix, pieces
 
 #: Bits of each predictor's table: fixed parameters, which bound what is broadcast.
-BITS = (18, 20, 22, 22)
+BITS = (20, 21, 22)
 CONTEXTS = len(BITS)
-SLICE, LANE, RATE, REFINE, LEVELS = 1 << 16, 1024, 0.02, 0.02, 17
-START = (0.15, 0.3, 0.4, 0.35)
-CLIP, SCALE = 7.9, 16.0
+SLICE, BLOCK, LANE, LANES, EARLY, RATE, REFINE, LEVELS = 1 << 16, 4 << 20, 512, 4096, 2, 0.02, 0.005, 17
+START = (0.3, 0.7, 0.5)
+CLIP, SCALE, TOP = 7.9, 16.0, np.float32(11.9)
 #: The token after the last word: no word hashes to it but by chance.
 END = U(0x9E3779B97F4A7C15)
+CONTEXT_BASE = 0xD1342543DE82EF95
 
 
 @dataclass
 class Code:
-    """A Huffman code of the 256 bytes. ``length`` by byte; for decision j of byte b: ``node`` and ``bit`` at 64 * b + j."""
+    """A Huffman code of the 256 bytes. ``length`` and ``first`` by byte; the decisions of a byte are the
+    entries of ``node`` (hashed) and ``bit`` from its ``first`` on."""
 
     length: np.ndarray
+    first: np.ndarray
     node: np.ndarray
     bit: np.ndarray
 
@@ -60,73 +62,155 @@ def huffman(count: np.ndarray) -> Code:
         kids[nodes] = (a[2], b[2])
         heapq.heappush(heap, (a[0] + b[0], nodes, nodes))
         nodes += 1
-    length, node, bit = np.zeros(256, np.int64), np.zeros(256 * 64, np.uint32), np.zeros(256 * 64, np.uint8)
+    paths: dict[int, list[tuple[int, int]]] = {}
     stack: list[tuple[int, list[tuple[int, int]]]] = [(nodes - 1, [])]
     while stack:
         at, path = stack.pop()
         if at < 256:
-            length[at] = len(path)
-            for j, (n, x) in enumerate(path):
-                node[64 * at + j], bit[64 * at + j] = n - 256, x
+            paths[at] = path
         else:
-            for x in (0, 1):
-                stack.append((kids[at][x], [*path, (at, x)]))
-    return Code(length, node, bit)
+            stack += [(kids[at][x], [*path, (at - 256, x)]) for x in (0, 1)]
+    length = np.array([len(paths[b]) for b in range(256)], np.uint8)
+    flat = [step for b in range(256) for step in paths[b]]
+    node = np.array([n for n, _ in flat], np.uint32) * np.uint32(0x85EBCA6B) + np.uint32(1)
+    return Code(length, (np.cumsum(length) - length).astype(np.int32), node, np.array([x for _, x in flat], np.uint8))
 
 
-def contexts(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-    """For each predictor the 32-bit hash of the context before each byte; texts begin with zero bytes."""
-    n = len(data)
-    place = np.arange(n) - np.repeat(offs[:-1], np.diff(offs))
-    d = data.astype(np.uint32)
+class Stretches:
+    """The stretches of a batch of texts, the distinct ones among them, and their words' hashes."""
 
-    def back(k: int) -> np.ndarray:
-        out = np.zeros(n, np.uint32)
-        out[k:] = d[: n - k]
-        out[place < k] = 0
-        return out
+    def __init__(self, data: np.ndarray, offs: np.ndarray) -> None:
+        n = len(data)
+        head = np.zeros(n, bool)
+        head[1:] = SPACE[data[:-1]]
+        head[offs[:-1][offs[:-1] < offs[1:]]] = True
+        self.data, self.offs = data, offs
+        self.begin = np.flatnonzero(head)
+        self.run = np.diff(np.append(self.begin, n))
+        h = np.empty(len(self.begin), U)
+        table = np.random.default_rng(21).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
+        i = 0
+        while i < len(h):  # pieces that stay in the cache
+            j = max(i + 1, int(np.searchsorted(self.begin, self.begin[i] + CHUNK)))
+            lo, hi = int(self.begin[i]), int(self.begin[j - 1] + self.run[j - 1])
+            size = max(CHUNK, 1 << (hi - lo).bit_length()) + 1
+            sums = np.zeros(hi - lo + 1, U)
+            np.cumsum(table[data[lo:hi]] * _powers(CONTEXT_BASE, size)[: hi - lo], out=sums[1:])
+            b = self.begin[i:j] - lo
+            h[i:j] = (sums[b + self.run[i:j]] - sums[b]) * _powers(pow(CONTEXT_BASE, -1, 1 << 64), size)[b] + self.run[i:j].astype(U)
+            i = j
+        # a text's alphabet stands for its language: the most frequent of the bytes above ASCII, if it is not rare
+        row = np.searchsorted(offs, self.begin, side="right") - 1
+        high = np.flatnonzero(data >= 0x80)
+        used = np.bincount((np.searchsorted(offs, high, side="right") - 1) * 128 + data[high] - 128, minlength=128 * (len(offs) - 1)).reshape(-1, 128)
+        used[:, 64:] = 0  # leading bytes say less than those that follow
+        most = used.max(1) if len(used) else used
+        alphabet = np.where(most * 500 > np.diff(offs), used.argmax(1) + 1, 0).astype(U)
+        h = mix(h) ^ mix(alphabet[row])
+        _, one, self.inverse = np.unique(h, return_index=True, return_inverse=True)
+        self.alphabet = alphabet[row[one]]
+        run = self.run[one]
+        self.first = np.cumsum(run) - run
+        at = np.repeat(self.begin[one] - self.first, run)
+        at += np.arange(len(at))
+        self.bytes, self.byte_run = data.take(at), run
+        self.worded = ~SPACE[self.bytes[self.first]]
+        low = np.frombuffer(self.bytes.tobytes().translate(LOWER), np.uint8)
+        last = self.first + run - 1
+        self.word = np.zeros(len(run), U)
+        self.word[self.worded] = hashes(low, self.first[self.worded], (last + ~SPACE[self.bytes[last]])[self.worded])
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct tokens, the end among them, the texts' tokens as places among these, and their numbers by text."""
+        distinct, place = np.unique(np.append(self.word[self.worded], END), return_inverse=True)
+        code = np.zeros(len(self.word), np.uint32)
+        code[self.worded] = place[:-1]
+        some = self.worded[self.inverse]
+        text = np.searchsorted(self.offs, self.begin[some], side="right") - 1
+        n = np.bincount(text, minlength=len(self.offs) - 1) + 1
+        out = np.full(int(n.sum()), place[-1], np.uint32)
+        out[np.arange(len(text)) + text] = code[self.inverse[some]]
+        return distinct, out, n
+
+    def decide(self, code: Code) -> None:
+        """Lay out the decisions of the distinct stretches."""
+        self.code = code
+        self.size = code.length[self.bytes]
+        total = offsets(self.size)
+        self.decision = total[self.first]
+        self.decisions = total[self.first + self.byte_run] - self.decision
+        self.early = total[self.first + np.minimum(self.byte_run, EARLY)] - self.decision
+        at = np.repeat(code.first[self.bytes] - total[:-1], self.size)
+        at += np.arange(len(at), dtype=np.int32)
+        node, self.bit = taken(code.node, at), taken(code.bit, at)
+        del at
+        data, n = self.bytes, len(self.bytes)
+
+        def before(x: np.ndarray) -> np.ndarray:
+            out = np.zeros(n, np.uint32)
+            out[1:] = x[:-1]
+            out[self.first] = 0
+            return out
 
-    b = [back(k) for k in range(1, 7)]
-    o2 = b[0] | b[1] << np.uint32(8)
-    o3 = o2 | b[2] << np.uint32(16)
-    # the word so far: sums of its bytes' random powers since its start, and the same of the word before
-    table, base, inverse = (np.random.default_rng(21).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)), 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
-    from .words import _powers
-
-    size = 1 << max(20, n.bit_length())
-    sums = np.zeros(n + 1, U)
-    np.cumsum(table[data] * _powers(base, size)[:n], out=sums[1:])
-    space = SPACE[data]
-    head = np.zeros(n, bool)
-    head[1:] = space[:-1]
-    head[offs[:-1][offs[:-1] < offs[1:]]] = True
-    begin = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    prefix = (sums[:n] - sums[begin]) * _powers(inverse, size)[begin]
-    start, end, first = bounds(data, offs)
-    word = hashes(data, start, end, seed=3)
-    nth = np.searchsorted(start, begin)  # the word that begins here or next
-    row_first = np.repeat(first[:-1], np.diff(offs))
-    before = np.where(nth > row_first, word[np.maximum(nth - 1, 0)] if len(word) else U(0), U(0))
-    long = mix(prefix ^ mix(before))
-    short = mix(prefix + U(77))
-    c = np.uint32(0x9E3779B1)
-    return [o2 * c ^ (o2 >> np.uint32(7)), (o3 * c) ^ ((o3 * c) >> np.uint32(15)), (short >> U(32)).astype(np.uint32), (long >> U(32)).astype(np.uint32)]
-
-
-def decisions(data: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all bytes: the byte's place, the node's hash and the bit of every decision."""
-    n = code.length[data]
-    place = np.repeat(np.arange(len(data), dtype=np.int32), n)
-    j = np.arange(len(place), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
-    at = 64 * data[place].astype(np.int32) + j
-    return place, code.node[at] * np.uint32(0x85EBCA6B) + np.uint32(1), code.bit[at]
-
-
-def slots(context: np.ndarray, place: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    x = context[place] ^ node
-    x *= np.uint32(0x2C1B3C6D)
+        one = before(data)
+        two = before(one)
+        three = (before(two) << np.uint32(16) | two << np.uint32(8) | one) * np.uint32(0x9E3779B1)
+        table = np.random.default_rng(22).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
+        size = 1 << max(20, n.bit_length())
+        sums = np.zeros(n + 1, U)
+        np.cumsum(table[data] * _powers(CONTEXT_BASE, size)[:n], out=sums[1:])
+        prefix = sums[:n] - np.repeat(sums[self.first], self.byte_run)
+        prefix *= np.repeat(_powers(pow(CONTEXT_BASE, -1, 1 << 64), size)[self.first], self.byte_run)
+        prefix ^= np.repeat(mix(self.alphabet + U(9)), self.byte_run)
+        three ^= np.repeat((mix(self.alphabet + U(3)) >> U(32)).astype(np.uint32), self.byte_run)
+        self.within = [np.repeat(c, self.size) ^ node for c in (three ^ three >> np.uint32(15), (mix(prefix) >> U(32)).astype(np.uint32))]
+
+    def followers(self) -> Iterator[tuple[np.ndarray, np.ndarray, slice, np.ndarray]]:
+        """For the early decisions of stretches, some stretches at a time: their places among the distinct decisions, the
+        slots of their contexts with the word before, which stretches these are, and their numbers of early decisions."""
+        before = np.zeros(len(self.begin), U)
+        before[1:] = self.word[self.inverse[:-1]]
+        before[np.searchsorted(self.begin, self.offs[:-1][self.offs[:-1] < self.offs[1:]])] = 1
+        before = (mix(before + U(5)) >> U(32)).astype(np.uint32)
+        for i in range(0, len(self.begin), 1 << 16):
+            own = slice(i, i + (1 << 16))
+            which = self.inverse[own]
+            n = self.early[which]
+            place = np.repeat(self.decision[which] - (np.cumsum(n) - n), n)
+            place += np.arange(len(place))
+            x = self.within[-1].take(place)
+            x ^= np.repeat(before[own], n)
+            yield place, slots(x, BITS[-1]), own, n
+
+
+def offsets(size: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=out[1:])
+    return out
+
+
+def taken(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``table[at]`` piece by piece, as numpy widens narrow indexes."""
+    out = np.empty(len(at), table.dtype)
+    for i in range(0, len(at), 1 << 19):
+        np.take(table, at[i : i + (1 << 19)], out=out[i : i + (1 << 19)], mode="clip")
+    return out
+
+
+def looked_up(table: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
+    """The entries of the slots of ``x``, piece by piece."""
+    out = np.empty(len(x), table.dtype)
+    for i in range(0, len(x), 1 << 19):
+        np.take(table, slots(x[i : i + (1 << 19)], bits), out=out[i : i + (1 << 19)], mode="clip")
+    return out
+
+
+def slots(x: np.ndarray, bits: int) -> np.ndarray:
+    x = x * np.uint32(0x2C1B3C6D)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x297A2D39)
     x >>= np.uint32(32 - bits)
-    return x.astype(np.int64)
+    return x.astype(np.intp)
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,17 +220,41 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts of about a block together, as bytes and offsets."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        held.append(buffer_of(batch.column(column)))
+        size += len(held[-1][0])
+        if size >= BLOCK:
+            yield joined(held)
+            held, size = [], 0
+    if size:
+        yield joined(held)
+
+
+def joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.cumsum([0, *(len(d) for d, _ in held)])
+    return np.concatenate([d for d, _ in held]), np.concatenate([np.zeros(1, np.int64), *(o[1:] + s for (_, o), s in zip(held, starts, strict=False))])
+
+
 def _count(code: Code):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(2 << b, np.uint32) for b in BITS]
-        for batch in pieces(batches, "text", 1 << 19):
-            data, offs = buffer_of(batch.column(0))
-            place, node, bit = decisions(data, code)
-            for t, c, b in zip(tables, contexts(data, offs), BITS, strict=True):
-                at = slots(c, place, node, b)
+        tables = [np.zeros(2 << b, np.uint32) for b in BITS]  # a task reads far fewer than 2**32 decisions
+        for data, offs in gathered(pieces(batches, "text"), 0):
+            s = Stretches(data, offs)
+            s.decide(code)
+            weight = np.repeat(np.bincount(s.inverse).astype(float), s.decisions)
+            for t, x, b in zip(tables, s.within, BITS, strict=False):
+                at = slots(x, b)
                 at *= 2
-                at += bit
-                np.add.at(t, at, np.uint32(1))
+                at += s.bit
+                np.add(t, np.bincount(at, weight, len(t)), out=t, casting="unsafe")
+            del weight
+            at = np.concatenate([(2 * at + s.bit.take(place)).astype(np.int32) for place, at, _, _ in s.followers()])
+            np.add(tables[-1], np.bincount(at, minlength=len(tables[-1])), out=tables[-1], casting="unsafe")
+            del s, at
         for k, t in enumerate(tables):
             for s in range(0, len(t), SLICE):
                 part = t[s : s + SLICE]
@@ -184,59 +292,98 @@ class Model:
     code: Code
     tables: list[np.ndarray]
 
-    def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    def scores(self, s: Stretches) -> np.ndarray:
         """log10 probability of each text."""
+        data, offs = s.data, s.offs
         out = np.zeros(len(offs) - 1)
-        n = len(data)
-        if not n:
+        if not len(data):
             return out
-        place, node, bit = decisions(data, self.code)
-        logits = np.empty((CONTEXTS, len(place)), np.int8)
-        for k, (c, b) in enumerate(zip(contexts(data, offs), BITS, strict=True)):
-            logits[k] = self.tables[k][slots(c, place, node, b)]
+        s.decide(self.code)
+        packed = np.zeros((len(s.bit), 4), np.int8)  # all that mixing needs of a decision, together
+        for k, x in enumerate(s.within):
+            packed[:, k] = looked_up(self.tables[k], x, BITS[k])
+        packed[:, 3] = s.bit * np.int8(2) - np.int8(1)
+        packed = packed.view(np.uint32).ravel()
+        ends = offsets(self.code.length[data])
+        head = ends[s.begin]
+        shift = s.decision[s.inverse] - head
+        follower = np.zeros(ends[-1], np.int8)
+        for _, at, own, n in s.followers():
+            where = np.repeat(head[own] - (np.cumsum(n) - n), n)
+            where += np.arange(len(where))
+            follower[where] = self.tables[-1].take(at)
+        s.within = []
         # lanes: pieces of LANE bytes of each text
-        size = np.diff(offs)
-        lanes = -(-size // LANE)
-        row = np.repeat(np.arange(len(size)), lanes)
+        length = np.diff(offs)
+        lanes = -(-length // LANE)
+        row = np.repeat(np.arange(len(length)), lanes)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         begin = offs[:-1][row] + nth * LANE
         end = np.minimum(begin + LANE, offs[1:][row])
-        ends = np.concatenate([[0], np.cumsum(self.code.length[data])])
-        first, count = ends[begin], ends[end] - ends[begin]
-        np.add.at(out, row, self._mix(logits, bit, first, count))
+        value = np.empty(len(row))
+        for i in range(0, len(row), LANES):
+            a, b = begin[i : i + LANES], end[i : i + LANES]
+            lo, hi = int(ends[a[0]]), int(ends[b[-1]])
+            x, y = np.searchsorted(s.begin, a[0], side="right") - 1, np.searchsorted(s.begin, b[-1])
+            cut = np.clip(np.append(head[x:y], hi), lo, hi)
+            place = np.repeat(shift[x:y], np.diff(cut))
+            place += np.arange(lo, hi, dtype=np.int32)
+            rows = taken(packed, place)
+            rows.view(np.int8)[2::4] = follower[lo:hi]
+            value[i : i + LANES] = _mix(rows, ends[a] - lo, ends[b] - ends[a])
+        np.add.at(out, row, value)
         return out
 
-    def _mix(self, logits: np.ndarray, bit: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-        order = np.argsort(-count, kind="stable")
-        first, count = first[order], count[order]
-        lanes = len(first)
-        w = np.repeat(np.array(START, np.float32)[:, None], lanes, 1)
-        gated = np.zeros((CONTEXTS, lanes), np.float32)
-        level = np.zeros(LEVELS * lanes, np.float32)
-        column = np.arange(lanes)
-        total = np.zeros(lanes)
-        active = np.searchsorted(-count, -np.arange(int(count[0])), side="left").tolist() if lanes else []
-        for t, k in enumerate(active):  # decision t of the k lanes that have one
-            at = first[:k] + t
-            x = logits[:, at].astype(np.float32)
-            x *= np.float32(1 / SCALE)
-            gate = np.abs(x[-1]) * np.float32(1 / CLIP)
-            gx = x * gate
-            z = np.einsum("ij,ij->j", w[:, :k], x) + np.einsum("ij,ij->j", gated[:, :k], gx)
-            np.clip(z, -12, 12, out=z)
-            b = bit[at]
-            sign = b * np.float32(2) - 1
-            err = (b - 1 / (1 + np.exp(-z))) * np.float32(RATE)
-            w[:, :k] += x * err
-            gated[:, :k] += gx * err
-            spot = ((z + 12) * np.float32((LEVELS - 1) / 24) + np.float32(0.5)).astype(np.int64) * lanes + column[:k]
-            c = level[spot]
-            q = 1 / (1 + np.exp(-(z + c) * sign))
-            total[:k] += np.log(q)
-            level[spot] = c + np.float32(REFINE * 4) * sign * (1 - q)
-        out = np.empty(lanes)
-        out[order] = total / np.log(10)
-        return out
+
+def _mix(rows: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Mix and refine decision by decision, all lanes at once, those with most decisions first; the log10
+    probabilities of the lanes. ``rows`` packs the decisions' logits and bits."""
+    order = np.argsort(-count, kind="stable")
+    first, count = first[order], count[order]
+    lanes = len(first)
+    active = np.searchsorted(-count, -np.arange(int(count[0])), side="left").tolist()
+    w = np.zeros((2 * CONTEXTS, lanes), np.float32)
+    w[:CONTEXTS] = np.array(START, np.float32)[:, None]
+    x = np.empty((2 * CONTEXTS, lanes), np.float32)
+    level = np.zeros(LEVELS * lanes, np.float32)
+    column = np.arange(lanes) + LEVELS // 2 * lanes
+    total, chance = np.zeros(lanes), np.ones(lanes, np.float32)
+    one, scale, clip, half = np.float32(1), np.float32(1 / SCALE), np.float32(1 / CLIP), np.float32((LEVELS - 1) / 24)
+    rate, step = np.float32(RATE), np.float32(4 * REFINE)
+    for t, k in enumerate(active):
+        v = rows.take(first[:k] + t).view(np.int8).reshape(k, 4)
+        xs, ws = x[:, :k], w[:, :k]
+        np.multiply(v.T[:CONTEXTS], scale, out=xs[:CONTEXTS], casting="unsafe")
+        gate = np.abs(xs[1])
+        gate *= clip
+        np.multiply(xs[:CONTEXTS], gate, out=xs[CONTEXTS:])
+        z = np.add.reduce(ws * xs, 0)
+        np.maximum(z, -TOP, out=z)
+        np.minimum(z, TOP, out=z)
+        s = v[:, 3].astype(np.float32)  # 1 or -1
+        spot = np.rint(z * half).astype(np.intp)
+        spot *= lanes
+        spot += column[:k]
+        c = level.take(spot)
+        z += c
+        z *= s
+        np.exp(z, out=z)
+        miss = np.reciprocal(z + one)  # what the probability lacks
+        z *= miss
+        chance[:k] *= z
+        miss *= s
+        c += miss * step
+        level[spot] = c
+        miss *= rate
+        xs *= miss
+        ws += xs
+        if t & 3 == 3:
+            total += np.log(chance)
+            chance[:] = 1
+    total += np.log(chance)
+    out = np.empty(lanes)
+    out[order] = total / np.log(10)
+    return out
 
 
 def train(texts: DataFrame) -> Model:
@@ -261,66 +408,47 @@ def train(texts: DataFrame) -> Model:
     return Model(code, tables)
 
 
-class Block:
-    """Distinct words of some texts, the count of each in training texts, and the texts' words."""
-
-    def __init__(self) -> None:
-        self.words: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        self.train: list[np.ndarray] = []
-        self.batches: list[pa.RecordBatch] = []
-        self.size = self.part = 0
-
-    def add(self, batch: pa.RecordBatch) -> None:
-        data, offs = lowered(batch.column(1))
-        start, end, first = bounds(data, offs)
-        n = np.diff(first) + 1
-        h = np.empty(int(n.sum()), U)
-        last = np.cumsum(n) - 1
-        inner = np.ones(len(h), bool)
-        inner[last] = False
-        h[inner] = hashes(data, start, end)
-        h[last] = END
-        self.words.append(h)
-        self.sizes.append(n)
-        self.train.append(batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
-        self.batches.append(batch)
-        self.size += len(data)
-        self.part = batch.column(3)[0].as_py()
-
-    def close(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct words in bucket order, their buckets' offsets, and the code of each word in the texts."""
-        distinct, inverse = np.unique(np.concatenate(self.words), return_inverse=True)
-        order, cut = blocks.order_by_bucket(distinct, buckets)
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order), dtype=np.uint32)
-        return distinct[order], cut, place[inverse]
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    block = Block()
-    for batch in pieces(batches, "text", 1 << 20):
-        block.add(batch)
-        if block.size >= blocks.BLOCK_BYTES:
-            yield block
-            block = Block()
-    if block.batches:
-        yield block
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], Stretches, np.ndarray]]:
+    """Blocks of rows (key, text, learn, part): their batches, stretches and flags of training."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def close() -> tuple[list[pa.RecordBatch], Stretches, np.ndarray]:
+        learn = np.concatenate([b.column(2).to_numpy(zero_copy_only=False).astype(bool) for b in held])
+        return held, Stretches(*joined([buffer_of(b.column(1)) for b in held])), learn
+
+    for batch in pieces(batches, "text"):
+        held.append(batch)
+        size += len(buffer_of(batch.column(1))[0])
+        if size >= BLOCK:
+            yield close()
+            held, size = [], 0
+    if held:
+        yield close()
+
+
+def _bucketed(s: Stretches, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens in bucket order, the buckets' offsets, the texts' tokens as places among them, and their numbers."""
+    distinct, codes, n = s.tokens()
+    order, cut = blocks.order_by_bucket(distinct, buckets)
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    return distinct[order], cut, place[codes], n
 
 
 def _words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, block in enumerate(_blocks(batches)):
-            words, cut, codes = block.close(buckets)
-            learn = np.repeat(np.concatenate(block.train), np.concatenate(block.sizes))
-            count = np.bincount(codes[learn], minlength=len(words)).astype(np.uint32)
+        for k, (held, s, learn) in enumerate(_blocks(batches)):
+            words, cut, codes, n = _bucketed(s, buckets)
+            part = held[0].column(3)[0].as_py()
+            count = np.bincount(codes[np.repeat(learn, n)], minlength=len(words)).astype(np.uint32)
             total, rows = blocks.checksum(words), []
             for b in range(buckets):
                 if cut[b] < cut[b + 1]:
-                    part = words[cut[b] : cut[b + 1]]  # ascending, so their differences are smaller
-                    a, c = blocks.squeeze(np.diff(part, prepend=U(0))), blocks.squeeze(count[cut[b] : cut[b + 1]])
+                    own = words[cut[b] : cut[b + 1]]  # ascending, so their differences are smaller
+                    a, c = blocks.squeeze(np.diff(own, prepend=U(0))), blocks.squeeze(count[cut[b] : cut[b + 1]])
                     rows.append((b, len(a).to_bytes(4, "little") + a + c))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([blocks.block_id(block.part, k)] * len(rows), pa.int64()), pa.array([total] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block", "sum", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([blocks.block_id(part, k)] * len(rows), pa.int64()), pa.array([total] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block", "sum", "data"])
 
     return run
 
@@ -362,12 +490,12 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bodies(buckets: int, model, key_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for k, block in enumerate(_blocks(batches)):
-            words, _, codes = block.close(buckets)
-            score = np.concatenate([m.scores(*buffer_of(b.column(1))) for b in block.batches])
-            keys = [x for b in block.batches for x in b.column(0).to_pylist()]
-            more = score.astype("<f8").tobytes() + np.concatenate(block.train).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([blocks.block_id(block.part, k)], pa.int64()), pa.array([blocks.checksum(words)], pa.int64()), pa.array([blocks.squeeze(codes)], pa.binary()), pa.array([keys], pa.list_(key_type)), pa.array([np.concatenate(block.sizes).tolist()], pa.list_(pa.int32())), pa.array([more], pa.binary())], names=["block", "sum", "data", "keys", "sizes", "more"])
+        for k, (held, s, learn) in enumerate(_blocks(batches)):
+            words, _, codes, n = _bucketed(s, buckets)
+            part = held[0].column(3)[0].as_py()
+            keys = [x for b in held for x in b.column(0).to_pylist()]
+            more = m.scores(s).astype("<f8").tobytes() + learn.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([blocks.block_id(part, k)], pa.int64()), pa.array([blocks.checksum(words)], pa.int64()), pa.array([blocks.squeeze(codes)], pa.binary()), pa.array([keys], pa.list_(key_type)), pa.array([n.tolist()], pa.list_(pa.int32())), pa.array([more], pa.binary())], names=["block", "sum", "data", "keys", "sizes", "more"])
 
     return run
 
