@@ -122,7 +122,7 @@ def accepted_range(meth: np.ndarray, seen: np.ndarray, strip: float) -> tuple[np
 
 def sloped_plateau(meth: np.ndarray, seen: np.ndarray, cfg: PlateauConfig) -> tuple[float, float]:
     """Intercept and slope that most positions agree with, the first of equals; at least half have to. The
-    intercept is then the median of the betas within the accepted strip, freed of the slope."""
+    intercept is then the median of the betas within the accepted strip."""
     x = np.arange(len(meth))
     with np.errstate(invalid="ignore", divide="ignore"):
         beta = meth / seen
@@ -139,8 +139,9 @@ def sloped_plateau(meth: np.ndarray, seen: np.ndarray, cfg: PlateauConfig) -> tu
     if best < len(meth) / 2:
         raise ValueError("no plateau found")
     a, b = intercepts[at[0]], slopes[at[1]]
-    near = np.abs(beta - np.clip(a + b * x, 0, 1)) < cfg.always_accept
-    return float(np.median((beta - b * x)[near])) if near.any() else float(a), float(b)
+    with np.errstate(invalid="ignore"):
+        near = np.abs(beta - (a + b * x)) < cfg.always_accept
+    return float(np.median(beta[near])) if near.any() else float(a), float(b)
 
 
 def integrated(beta: np.ndarray, low: np.ndarray, high: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -203,7 +204,7 @@ def detect(classic: DataFrame, cfg: PlateauConfig = PlateauConfig()) -> DataFram
     return S.least_length(S.smoothed(table), cfg.min_plateau_length)
 
 
-def normal_plateau(group: pd.DataFrame, min_share: float = 0.5, max_std: float = 0.1, min_flen: int = 45) -> tuple[int, int]:
+def normal_plateau(group: pd.DataFrame, min_share: float = 0.5, max_std: float = 0.02, min_flen: int = 50) -> tuple[int, int]:
     """An alternative for one curve: the longest stretch of positions whose betas deviate less than ``max_std``
     and whose four positions at either end lie within two deviations of the mean; of equally long
     stretches that with the least deviation. The whole curve itself is not a candidate."""

@@ -21,11 +21,12 @@ LINE = 1 << 20
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """SAM text in splits, without Python. ``file_ord`` is the split's offset and the row's place in it."""
     t = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"))
-    f = F.split("value", "\t")
+    parts = F.split("value", "\t")
+    f = [F.get(parts, F.lit(i)) for i in range(11)]  # header lines have fewer
     order = F.col("_at") + F.col("_n").bitwiseAND((1 << 33) - 1)
     return t.where(~F.col("value").startswith("@") & (F.length("value") > 0)).select(
-        f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("rname"), (f[3].cast("long") - 1).alias("pos"), f[4].cast("int").alias("mapq"),
-        f[5].alias("cigar"), f[8].cast("long").alias("tlen"), f[9].alias("seq"), f[10].alias("qual"), order.alias("file_ord"),
+        f[0].alias("qname"), f[1].try_cast("int").alias("flag"), f[2].alias("rname"), (f[3].try_cast("long") - 1).alias("pos"), f[4].try_cast("int").alias("mapq"),
+        f[5].alias("cigar"), f[8].try_cast("long").alias("tlen"), f[9].alias("seq"), f[10].alias("qual"), order.alias("file_ord"),
     )
 
 
