@@ -39,7 +39,7 @@ def lowered(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes().translate(LOWER), np.uint8), offs
 
 
-def sets(col: pa.Array, words: int, limit: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+def sets(col: pa.Array, words: int, limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, flat, and their offsets; worked out over pieces of about
     ``limit`` bytes, so that only the result grows with the batch."""
     data, offs = lowered(col)

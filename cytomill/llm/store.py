@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch sent to Python: bounds a worker's memory whatever the text lengths.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: A side is broadcast only after its rows were counted and found to be at most this many narrow rows.
 BROADCAST_ROWS = 250_000
 

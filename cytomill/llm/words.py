@@ -16,7 +16,7 @@ import pyarrow as pa
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U = np.uint64
 
 
@@ -114,7 +114,7 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return mix(out), at
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` text bytes; one longer text is a batch of its own."""
     for batch in batches:
         if not batch.num_rows:
