@@ -108,4 +108,27 @@ SELECT page_id, octet_length(raw)::BIGINT AS payload_bytes, digest AS payload_di
   CASE WHEN page_id = max(page_id) OVER (PARTITION BY html) THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id < max(page_id) OVER (PARTITION BY html) THEN max(page_id) OVER (PARTITION BY html) END AS refers_to FROM d
 """
-ORACLES: dict[str, str] = {"op5_sharded_warc": OP5_SQL, "op7_risk_controlled_rules": risk.oracle()}
+_REACH = """reach(id, r) AS (SELECT DISTINCT id, id FROM node UNION SELECT l.b, reach.r FROM reach JOIN link l ON l.a = reach.id)"""
+OP1_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.95), node AS (SELECT vec_id AS id FROM embeddings), {_REACH},
+c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id), k AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN k ON k.a = vec_id
+"""
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+OP2_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS n, count(*) AS i FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM p WHERE 100 * i >= 85 * (n - i)), node AS (SELECT doc_id AS id FROM documents), {_REACH}, c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON c.id = doc_id
+"""
+OP6_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), g AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM w WHERE len(w) >= 35),
+h AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS h FROM g), d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM d, (SELECT unnest(range(35)) AS o)), u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM u ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+ORACLES: dict[str, str] = {"op1_lattice_near_duplicates": OP1_SQL, "op2_minmax_near_duplicates": OP2_SQL, "op5_sharded_warc": OP5_SQL, "op6_seed_and_extend": OP6_SQL, "op7_risk_controlled_rules": risk.oracle()}
