@@ -188,12 +188,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     slim = docs.select(row_key.alias("row_key"), body.alias("text"))
     path = store.write_table(slim.mapInArrow(_anchors(length), BLOCK_ROWS), "anchors")
     anchors = spark.read.schema(BLOCK_ROWS).parquet(path)
-    twice = anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # written tables join as plain shuffles, whose hot keys Spark splits; behind an aggregate it could not
+    twice = store.cut(anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "twice")
     met = store.cut(anchors.join(twice, "anchor"), "met")
     store.remove(spark, path)
     place = F.shiftleft(F.col("start").cast("long"), 20) + F.col("n")
     kinds = store.cut(met.groupBy("anchor", "block").agg(F.count("*").alias("c"), F.min(F.struct("row_key", place.alias("place"))).alias("one")), "kinds")
-    open_ = kinds.where("c = 1").select("anchor").distinct()
+    open_ = store.cut(kinds.where("c = 1").select("anchor").distinct(), "open")
     alone = kinds.join(open_, "anchor", "left_semi").groupBy("one.row_key").agg(F.collect_set("one.place").alias("places"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(row_key.alias("_row_key"), body.alias("_text"), *own).repartition(parts, "_row_key")
