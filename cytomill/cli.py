@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
     c = command("stats", "alignments", "index", "out")
     c.add_argument("--config")
     c = command("evaluate-mbias", "counts", "out")
-    c.add_argument("--plateau-detection", default='{"algorithm": "binomp"}')
+    c.add_argument("--plateau-detection", default='{"algorithm": "binomial"}')
     c.add_argument("--use-cached", action="store_true")
     c.add_argument("--config")
     c = command("mbias-plots", "spec", "datasets", "out")
