@@ -32,7 +32,7 @@ from .words import CHUNK, LOWER, SPACE, U, _powers, buffer_of, hashes, mix, piec
 #: Bits of each predictor's table: fixed parameters, which bound what is broadcast.
 BITS = (20, 21, 22)
 CONTEXTS = len(BITS)
-SLICE, BLOCK, LANE, LANES, EARLY, RATE, REFINE, LEVELS = 1 << 16, 4 << 20, 512, 4096, 2, 0.02, 0.005, 17
+SLICE, BLOCK, LANE, LANES, EARLY, RATE, REFINE, LEVELS = 1 << 16, 2 << 20, 512, 4096, 2, 0.02, 0.005, 17
 START = (0.3, 0.7, 0.5)
 CLIP, SCALE, TOP = 7.9, 16.0, np.float32(11.9)
 #: The token after the last word: no word hashes to it but by chance.
@@ -220,14 +220,14 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
 
 
-def gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Texts of about a block together, as bytes and offsets."""
+def gathered(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts of about ``limit`` bytes together, as bytes and offsets."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for batch in batches:
         held.append(buffer_of(batch.column(column)))
         size += len(held[-1][0])
-        if size >= BLOCK:
+        if size >= limit:
             yield joined(held)
             held, size = [], 0
     if size:
@@ -242,7 +242,7 @@ def joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 def _count(code: Code):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros(2 << b, np.uint32) for b in BITS]  # a task reads far fewer than 2**32 decisions
-        for data, offs in gathered(pieces(batches, "text"), 0):
+        for data, offs in gathered(pieces(batches, "text"), 0, BLOCK // 2):
             s = Stretches(data, offs)
             s.decide(code)
             weight = np.repeat(np.bincount(s.inverse).astype(float), s.decisions)
@@ -252,9 +252,9 @@ def _count(code: Code):
                 at += s.bit
                 np.add(t, np.bincount(at, weight, len(t)), out=t, casting="unsafe")
             del weight
-            at = np.concatenate([(2 * at + s.bit.take(place)).astype(np.int32) for place, at, _, _ in s.followers()])
-            np.add(tables[-1], np.bincount(at, minlength=len(tables[-1])), out=tables[-1], casting="unsafe")
-            del s, at
+            for place, at, _, _ in s.followers():
+                np.add.at(tables[-1], 2 * at + s.bit.take(place), np.uint32(1))
+            del s, at, place, x
         for k, t in enumerate(tables):
             for s in range(0, len(t), SLICE):
                 part = t[s : s + SLICE]
