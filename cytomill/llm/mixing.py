@@ -32,7 +32,7 @@ from .words import CHUNK, LOWER, SPACE, U, _powers, buffer_of, hashes, mix, piec
 #: Bits of each predictor's table: fixed parameters, which bound what is broadcast.
 BITS = (20, 21, 22)
 CONTEXTS = len(BITS)
-SLICE, BLOCK, LANE, LANES, EARLY, RATE, REFINE, LEVELS = 1 << 16, 2 << 20, 512, 4096, 2, 0.02, 0.005, 17
+SLICE, BLOCK, LANE, LANES, EARLY, RATE, REFINE, LEVELS = 1 << 16, 2 << 20, 512, 8192, 2, 0.02, 0.005, 17
 START = (0.3, 0.7, 0.5)
 CLIP, SCALE, TOP = 7.9, 16.0, np.float32(11.9)
 #: The token after the last word: no word hashes to it but by chance.
@@ -107,7 +107,12 @@ class Stretches:
         most = used.max(1) if len(used) else used
         alphabet = np.where(most * 500 > np.diff(offs), used.argmax(1) + 1, 0).astype(U)
         h = mix(h) ^ mix(alphabet[row])
-        _, one, self.inverse = np.unique(h, return_index=True, return_inverse=True)
+        order = np.argsort(h)
+        new = np.ones(len(h), bool)
+        new[1:] = h[order[1:]] != h[order[:-1]]
+        one = order[new]
+        self.inverse = np.empty(len(h), np.int64)
+        self.inverse[order] = np.cumsum(new) - 1
         self.alphabet = alphabet[row[one]]
         run = self.run[one]
         self.first = np.cumsum(run) - run
@@ -358,8 +363,7 @@ def _mix(rows: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
         gate *= clip
         np.multiply(xs[:CONTEXTS], gate, out=xs[CONTEXTS:])
         z = np.add.reduce(ws * xs, 0)
-        np.maximum(z, -TOP, out=z)
-        np.minimum(z, TOP, out=z)
+        z.clip(-TOP, TOP, out=z)
         s = v[:, 3].astype(np.float32)  # 1 or -1
         spot = np.rint(z * half).astype(np.intp)
         spot *= lanes
