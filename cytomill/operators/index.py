@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
+#: Letters of a piece.
+PIECE = 128
+
 
 def whole_contigs(df: DataFrame, chrom: str = "chrom", seq: str = "seq") -> DataFrame:
     """Genome rows of whole contigs."""
@@ -21,6 +24,18 @@ def whole_contigs(df: DataFrame, chrom: str = "chrom", seq: str = "seq") -> Data
     return df.select(F.col(chrom).cast("string").alias("chrom"), F.lit(0).cast("long").alias("chunk_start"), F.lit(0).alias("left"), F.length(s).alias("core"), s.alias("seq"))
 
 
+def pieces(genome: DataFrame, flank: int, size: int = PIECE) -> DataFrame:
+    """The same genome in short rows. Letters are then exploded beside a short string: a long one would be copied
+    for each of its letters, and finding the i-th letter takes time with i."""
+    lo = lambda k: F.greatest(F.col("left") + k - flank, F.lit(0))
+    n = lambda k: F.least(F.lit(size), F.col("core") - k)
+    cut = F.transform(F.sequence(F.lit(0), F.col("core") - 1, F.lit(size)), lambda k: F.struct(
+        k.alias("k"), (F.col("left") + k - lo(k)).alias("left"), n(k).alias("core"), F.substring("seq", lo(k) + 1, F.col("left") + k - lo(k) + n(k) + flank).alias("seq"),
+    ))
+    p = genome.where("core > 0").select("chrom", "chunk_start", F.explode(cut).alias("p"))
+    return p.select("chrom", (F.col("chunk_start") + F.col("p.k")).alias("chunk_start"), "p.left", "p.core", "p.seq")
+
+
 def check_motifs(motifs: Sequence[str]) -> tuple[str, ...]:
     """CG, CHG, CHH and CWG may be asked for; CHG and CWG exclude each other. Nothing classifies as CWG,
     so an index of it alone is empty."""
@@ -38,7 +53,7 @@ def motif_index(genome: DataFrame, motifs: Sequence[str] = ("CG",), annotations:
     """BED6 rows of all motif positions on both strands; ``annotations`` in the caller's order: of
     ``triplet_seq`` (padded with ``$``) and ``seq_context`` (``context_size`` letters on each side, ``.`` at contig ends)."""
     motifs = check_motifs(motifs)
-    g = genome.where("core > 0").select("chrom", "chunk_start", "left", "seq", F.explode(F.sequence(F.col("left"), F.col("left") + F.col("core") - 1)).alias("i"))
+    g = pieces(genome, max(2, context_size)).select("chrom", "chunk_start", "left", "seq", F.explode(F.sequence(F.col("left"), F.col("left") + F.col("core") - 1)).alias("i"))
     g = g.withColumn("base", F.substring("seq", F.col("i") + 1, F.lit(1))).where(F.col("base").isin("C", "G"))
     begin = F.greatest(F.col("i") - 2, F.lit(0))
     triplet = F.when(F.col("base") == "C", F.substring("seq", F.col("i") + 1, F.lit(3))).otherwise(C.reverse_complement(F.substring("seq", begin + 1, F.col("i") - begin + 1)))

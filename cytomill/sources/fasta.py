@@ -12,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .files import is_gzip, open_text
 
 SCHEMA = "chrom string, chunk_start bigint, left int, core int, seq string"
-CHUNK, FLANK = 1 << 20, 64
+CHUNK, FLANK = 1 << 16, 64
 
 
 def contigs(path: str) -> list[str]:
