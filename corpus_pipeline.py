@@ -36,18 +36,21 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id; of its repeated rows, one."""
-    found = minmax.near_duplicates(docs)
-    kept = found.where("kept").select("doc_id").distinct()
-    one = F.row_number().over(_window())
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").withColumn("_n", one).where("_n = 1")
-    return rows.select(*COLUMNS)
+    """One row of each group stays, that with the smallest id (a null one last); hashes break ties. Rows without
+    a word link with nothing and stay. An id may be null or come again with another text, which is another document."""
+    found = minmax.linked(docs)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("first")
+    grouped = found.where("component IS NOT NULL").groupBy("component").agg(first).select(F.col("first.row_key").alias("_row"), F.lit(True).alias("_group"))
+    single = found.where("component IS NULL").select(F.col("row_key").alias("_row"), F.lit(False).alias("_group")).distinct()
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(grouped.union(single), "_row")
+    copies = rows.where("_group").withColumn("_n", F.row_number().over(_window())).where("_n = 1")
+    return copies.select(*COLUMNS).union(rows.where("NOT _group").select(*COLUMNS))
 
 
 def _window():
     from pyspark.sql import Window
 
-    return Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("lang", "source"))
+    return Window.partitionBy("_row").orderBy(F.xxhash64("lang", "source"), F.xxhash64("n_chars"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

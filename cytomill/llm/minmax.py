@@ -319,14 +319,9 @@ def verified(pairs: DataFrame, n_pairs: int, texts: DataFrame, nodes: DataFrame,
     return rows.mapInArrow(_verify(words, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``key``, ``n_shingles``, ``component_id`` (smallest key reachable) and ``kept`` for every row.
-
-    Words are lower-cased in A-Z. A text with fewer than ``words`` words is one shingle; a null text or
-    one without words has none and links with nothing. Rows with equal sets are linked, repeated rows
-    included; rows that share a key are told apart by their texts. A row with a null key is linked like
-    others but names no component unless all keys there are null (then null, and the row is kept).
-    """
+def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``id`` (the key), ``row_key`` (a hash of key and text), ``n_shingles``, ``component`` and ``component_id`` (its
+    smallest key) for every row; rows of equal ``component`` are linked. Both are null for texts without shingles."""
     spark = docs.sparkSession
     store.bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -350,9 +345,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     edges = trees.union(store.cut(settled, "settled"))
     member = store.components(edges)
     known = nodes.select("node", "rep").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = known.join(least, "component").select("node", "component_id")
-    out = signed.select("id", "n_shingles", "node").join(known, "node", "left")
-    component: Column = F.when(F.col("node").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
+    smallest = known.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = known.join(smallest, "component").select("node", "component", "component_id")
+    return signed.select("id", "row_key", "n_shingles", "node").join(known, "node", "left").drop("node")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``key``, ``n_shingles``, ``component_id`` (smallest key reachable) and ``kept`` for every row.
+
+    Words are lower-cased in A-Z. A text with fewer than ``words`` words is one shingle; a null text or
+    one without words has none and links with nothing. Rows with equal sets are linked, repeated rows
+    included; rows that share a key are told apart by their texts. A row with a null key is linked like
+    others but names no component unless all keys there are null (then null, and the row is kept).
+    """
+    out = linked(docs, text, key, words, percent)
+    component: Column = F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 

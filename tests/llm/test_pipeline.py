@@ -113,3 +113,17 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_dedup_keeps_a_row_of_each_group(spark):
+    """Different texts without an id, or under one id, are different documents."""
+    def row(key, text, lang="en"):
+        return (key, text, lang, "s", len(text))
+
+    a, b, c, d, e = (prose(700 + i, 80) for i in range(5))
+    rows = [row(None, a), row(None, a, "fr"), row(None, b), row(7, c), row(7, d), row(8, d), row(5, e), row(None, e), row(5, e)]
+    rows += [row(7, "  "), row(None, "")]
+    docs = spark.createDataFrame(rows, SCHEMA.rpartition(",")[0]).repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    want = [(None, a), (None, b), (7, c), (7, d), (5, e), (7, "  "), (None, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
