@@ -15,6 +15,8 @@ from cytomill.llm import bytecnn, minmax, packing, repeats, risk, store
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A language is told with this probability at least, or the document goes.
 LEAST_LANGUAGE = 0.3
+#: Documents are near copies from this Jaccard similarity of their word shingles on, in per cent.
+PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays, that with the smallest id (a null one last); hashes break ties. Rows without
     a word link with nothing and stay. An id may be null or come again with another text, which is another document."""
-    found = minmax.linked(docs)
+    found = minmax.linked(docs, percent=PERCENT)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("first")
     grouped = found.where("component IS NOT NULL").groupBy("component").agg(first).select(F.col("first.row_key").alias("_row"), F.lit(True).alias("_group"))
     single = found.where("component IS NULL").select(F.col("row_key").alias("_row"), F.lit(False).alias("_group")).distinct()

@@ -9,12 +9,13 @@ short signatures and proposes pairs; each proposed pair is verified on the full
 * round 1 takes a spanning tree of each tile by estimated similarity; tiles differ from band to band,
   so this joins most of a group;
 * round 2 takes, in buckets that still hold several components, every pair across components whose
-  estimate is above LEAST_ESTIMATE, over five standard deviations below the threshold. There only the
+  estimate is above ``least_estimate``, over five standard deviations below the threshold. There only the
   nodes outside a bucket's largest component are compared with all of it, each pair in the first band
   it shares. The texts of nodes with such a pair come to the tile, which verifies pairs until it has
   them joined and emits its spanning trees.
 
-So no pairs of groups are shuffled, and no link between components is left out. At the threshold the bands miss a pair with a probability below 1e-5.
+So no pairs of groups are shuffled, and no link between components is left out. The rows of a band follow from the
+threshold, so that at the threshold the bands miss a pair with a probability below MISSED.
 """
 
 from __future__ import annotations
@@ -29,11 +30,23 @@ from pyspark.sql import functions as F
 from . import store
 from .words import LOWER, U, binary, bounds, buffer_of, hashes, mix, pieces, shingles
 
-WORDS, PERCENT, PERMUTATIONS, ROWS = 5, 85, 50, 5
-BANDS = 2 * PERMUTATIONS // ROWS
+WORDS, PERCENT, PERMUTATIONS, ROWS, MISSED = 5, 85, 50, 5, 1e-5
 FIRST_BANDS, TILE, NARROW_TILE, LEAST_ESTIMATE, GROUP = 6, 1024, 512, 0.65, 64
 
 
+def band_rows(percent: int) -> int:
+    """The most values a band may have, of ROWS and less, for pairs at the threshold to be missed by fewer than MISSED;
+    the signature is dealt to bands without a rest."""
+    fit = [r for r in range(ROWS, 0, -1) if 2 * PERMUTATIONS % r == 0]
+    return next((r for r in fit if (1 - (percent / 100) ** r) ** (2 * PERMUTATIONS // r) < MISSED), 1)
+
+
+def least_estimate(percent: int) -> float:
+    """LEAST_ESTIMATE, or less where that is not five standard deviations below the threshold."""
+    p = percent / 100
+    return min(LEAST_ESTIMATE, p - 5.5 * (p * (1 - p) / (2 * PERMUTATIONS)) ** 0.5)
+
+
 def lowered(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offs = buffer_of(col)
     return np.frombuffer(data.tobytes().translate(LOWER), np.uint8), offs
@@ -84,7 +97,8 @@ def signature(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sign(words: int):
+def _sign(words: int, rows: int):
+    n_bands = 2 * PERMUTATIONS // rows
     odd = np.random.default_rng(12).integers(1, 1 << 62, 2 * PERMUTATIONS, dtype=np.uint64) * U(2) + U(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +109,7 @@ def _sign(words: int):
             other = np.concatenate([np.zeros(1, U), np.cumsum(mix(h ^ U(0x1234567)), dtype=U)])
             node = mix((total[at[1:]] - total[at[:-1]]) ^ mix((other[at[1:]] - other[at[:-1]]) + n.astype(U)))
             sig = signature(h, at)
-            bands = mix((sig * odd).reshape(len(sig), BANDS, ROWS).sum(2, dtype=U) + np.arange(BANDS).astype(U))
+            bands = mix((sig * odd).reshape(len(sig), n_bands, rows).sum(2, dtype=U) + np.arange(n_bands).astype(U))
             short = (sig >> U(56)).astype(np.uint8)
             wide = [binary(bands).cast(pa.binary()), binary(short).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(node.view(np.int64), mask=~some), *wide], names=["id", "row_key", "n_shingles", "node", "bands", "short"])
@@ -103,11 +117,14 @@ def _sign(words: int):
     return run
 
 
-def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        node = batch.column(0).to_numpy()
-        bands = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, BANDS)), pa.array(bands.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(node)))], names=["node", "bucket", "band"])
+def _bucket_rows(n_bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            bands = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, n_bands)), pa.array(bands), pa.array(np.tile(np.arange(n_bands, dtype=np.int32), len(node)))], names=["node", "bucket", "band"])
+
+    return run
 
 
 def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,39 +154,42 @@ class Roots:
         return a != b
 
 
-def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning trees of tiles by estimate, the most similar first; rows (tile, node, short) sorted by tile."""
-    for t in whole_groups(batches):
-        tile, node = t.column(0).to_numpy(), t.column(1).to_numpy()
-        short = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(len(node), -1)
-        cut = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
-        out = []
-        for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(tile)).tolist(), strict=True):
-            if hi - lo < 2:
-                continue
-            est = np.triu(_estimates(short[lo:hi], short[lo:hi]), 1)
-            i, j = np.nonzero(est >= LEAST_ESTIMATE)
-            roots, left = Roots(hi - lo), hi - lo - 1
-            for o in np.argsort(-est[i, j], kind="stable").tolist():
-                if roots.join(int(i[o]), int(j[o])):
-                    a, b = int(node[lo + i[o]]), int(node[lo + j[o]])
-                    out.append((min(a, b), max(a, b)))
-                    left -= 1
-                    if not left:
-                        break
-        if out:
-            a, b = zip(*set(out), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _candidates(band: int, node: np.ndarray, comp: np.ndarray, side: np.ndarray, short: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _propose(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spanning trees of tiles by estimate, the most similar first; rows (tile, node, short) sorted by tile."""
+        for t in whole_groups(batches):
+            tile, node = t.column(0).to_numpy(), t.column(1).to_numpy()
+            short = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(len(node), -1)
+            cut = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+            out = []
+            for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(tile)).tolist(), strict=True):
+                if hi - lo < 2:
+                    continue
+                est = np.triu(_estimates(short[lo:hi], short[lo:hi]), 1)
+                i, j = np.nonzero(est >= least)
+                roots, left = Roots(hi - lo), hi - lo - 1
+                for o in np.argsort(-est[i, j], kind="stable").tolist():
+                    if roots.join(int(i[o]), int(j[o])):
+                        a, b = int(node[lo + i[o]]), int(node[lo + j[o]])
+                        out.append((min(a, b), max(a, b)))
+                        left -= 1
+                        if not left:
+                            break
+            if out:
+                a, b = zip(*set(out), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _candidates(band: int, node: np.ndarray, comp: np.ndarray, side: np.ndarray, short: np.ndarray, bands: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a tile, by row, to be verified here: in different components, likely enough, and not already
     together in an earlier band; and their estimates."""
     x, y = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
     est = _estimates(short[x], short[y])
     both = ((side[x] & 2) > 0)[:, None] & ((side[y] & 1) > 0)[None]  # met twice in this tile
     est[(comp[x][:, None] == comp[y][None]) | (both & (node[x][:, None] > node[y][None]))] = -1
-    i, j = np.nonzero(est >= LEAST_ESTIMATE)
+    i, j = np.nonzero(est >= least)
     value = est[i, j]
     i, j = x[i], y[j]
     for k in range(band):
@@ -182,20 +202,23 @@ def _tile_arrays(t: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """Rows (tile, band, node, comp, side, short, bands, ...)."""
     tile, band, node, comp, side = (t.column(i).to_numpy() for i in range(5))
     short = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(len(node), -1)
-    return tile, band, node, comp, side, short, np.frombuffer(b"".join(t.column(6).to_pylist()), np.int64).reshape(len(node), BANDS)
+    return tile, band, node, comp, side, short, np.frombuffer(b"".join(t.column(6).to_pylist()), np.int64).reshape(len(node), -1)
+
 
+def _doubtful(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of tiles that have a candidate pair."""
+        for t in whole_groups(batches):
+            tile, band, node, comp, side, short, bands = _tile_arrays(t)
+            cut = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+            keep = np.zeros(len(tile), bool)
+            for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(tile)).tolist(), strict=True):
+                i, j, _ = _candidates(int(band[lo]), node[lo:hi], comp[lo:hi], side[lo:hi], short[lo:hi], bands[lo:hi], least)
+                keep[lo + i] = keep[lo + j] = True
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in t.columns[:5]], names=["tile", "band", "node", "comp", "side"])
 
-def _doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of tiles that have a candidate pair."""
-    for t in whole_groups(batches):
-        tile, band, node, comp, side, short, bands = _tile_arrays(t)
-        cut = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
-        keep = np.zeros(len(tile), bool)
-        for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(tile)).tolist(), strict=True):
-            i, j, _ = _candidates(int(band[lo]), node[lo:hi], comp[lo:hi], side[lo:hi], short[lo:hi], bands[lo:hi])
-            keep[lo + i] = keep[lo + j] = True
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in t.columns[:5]], names=["tile", "band", "node", "comp", "side"])
+    return run
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -208,6 +231,8 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _settle(words: int, percent: int):
+    least = least_estimate(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Verify the candidate pairs of tiles; rows as in _tile_arrays with the text behind."""
         for t in whole_groups(batches):
@@ -215,7 +240,7 @@ def _settle(words: int, percent: int):
             cut = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
             out = []
             for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(tile)).tolist(), strict=True):
-                i, j, value = _candidates(int(band[lo]), node[lo:hi], comp[lo:hi], side[lo:hi], short[lo:hi], bands[lo:hi])
+                i, j, value = _candidates(int(band[lo]), node[lo:hi], comp[lo:hi], side[lo:hi], short[lo:hi], bands[lo:hi], least)
                 if not len(i):
                     continue
                 h, at = sets(t.column(7).slice(lo, hi - lo), words)
@@ -323,20 +348,21 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int
     """``id`` (the key), ``row_key`` (a hash of key and text), ``n_shingles``, ``component`` and ``component_id`` (its
     smallest key) for every row; rows of equal ``component`` are linked. Both are null for texts without shingles."""
     spark = docs.sparkSession
+    rows_a_band, least = band_rows(percent), least_estimate(percent)
     store.bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(key, text).alias("row_key"))
     kind = d.schema["id"].dataType.simpleString()
-    signed = store.cut(d.mapInArrow(_sign(words), f"id {kind}, row_key long, n_shingles long, node long, bands binary, short binary"), "signed")
+    signed = store.cut(d.mapInArrow(_sign(words, rows_a_band), f"id {kind}, row_key long, n_shingles long, node long, bands binary, short binary"), "signed")
     rep = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.min("row_key").alias("row_key"), F.first("bands").alias("bands"), F.first("short").alias("short"))
     nodes = store.cut(rep, "nodes")
-    rows = nodes.select("node", "bands").mapInArrow(_bucket_rows, "node long, bucket long, band int")
+    rows = nodes.select("node", "bands").mapInArrow(_bucket_rows(2 * PERMUTATIONS // rows_a_band), "node long, bucket long, band int")
     multi = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     buckets = store.cut(rows.join(multi, "bucket"), "buckets")
     texts = d.select("row_key", "text")
-    pairs = store.cut(tree_tiles(buckets.where(F.col("band") < FIRST_BANDS), nodes, parts).mapInArrow(_propose, "a long, b long").distinct(), "pairs")
+    pairs = store.cut(tree_tiles(buckets.where(F.col("band") < FIRST_BANDS), nodes, parts).mapInArrow(_propose(least), "a long, b long").distinct(), "pairs")
     trees = store.cut(verified(pairs, pairs.count(), texts, nodes, words, percent, parts), "verified")
-    left = open_tiles(buckets, store.components(trees), nodes, parts).mapInArrow(_doubtful, "tile long, band int, node long, comp long, side int")
+    left = open_tiles(buckets, store.components(trees), nodes, parts).mapInArrow(_doubtful(least), "tile long, band int, node long, comp long, side int")
     left = store.cut(left, "left")
     wanted = left.join(nodes.select("node", "row_key"), "node").select("row_key", "tile", "band", "node", "comp", "side")
     full = texts.join(store.small(wanted, left.count()), "row_key").dropDuplicates(["tile", "node", "side"])

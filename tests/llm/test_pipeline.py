@@ -127,3 +127,22 @@ def test_dedup_keeps_a_row_of_each_group(spark):
     got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     want = [(None, a), (None, b), (7, c), (7, d), (5, e), (7, "  "), (None, "")]
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_dedup_links_from_eighty_per_cent(spark):
+    """Jaccard similarities of five-word shingles in [0.80, 0.85) link, those below 0.80 do not."""
+    rows, want = [], set()
+    for i in range(40):
+        words = prose(800 + i, 200).split()
+        own = shingles(" ".join(words))
+        for n in range(1, 60):  # the first change at the end that brings the similarity into the band
+            other = [*words[:-n], *(f"x{j}" for j in range(n))]
+            like = shingles(" ".join(other))
+            share = 100 * len(own & like) / len(own | like)
+            if share < (85 if i % 2 else 80):
+                break
+        rows += [(2 * i, " ".join(words), "en", "s", 0), (2 * i + 1, " ".join(other), "en", "s", 0)]
+        assert 80 <= share < 85 if i % 2 else 75 < share < 80
+        want |= {2 * i} if i % 2 else {2 * i, 2 * i + 1}
+    docs = spark.createDataFrame(rows, SCHEMA.rpartition(",")[0]).repartition(3)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
