@@ -71,6 +71,7 @@ def cells(unit: np.ndarray) -> np.ndarray:
     planes, odd = _projection(dim)
     out = np.empty((n, TABLES, 1 + PROBES), U)
     steps = shortest()
+    own = mix(np.arange(TABLES).astype(U) + U(TABLES * dim))  # cells of other tables and lengths are others, the zero point's too
     with np.errstate(over="ignore"):
         for t in range(TABLES):
             y = np.zeros((n, 8 * BLOCKS))
@@ -88,14 +89,14 @@ def cells(unit: np.ndarray) -> np.ndarray:
                 best.append(top + b * len(steps))
                 gain.append(np.take_along_axis(dot, top, 1))
             home = ((2 * points).astype(np.int64).view(U) * odd[t]).sum(1, dtype=U)
-            out[:, t, 0] = mix(home + U(t))
+            out[:, t, 0] = mix(home + own[t])
             best, gain = np.concatenate(best, 1), np.concatenate(gain, 1)
             pick = np.take_along_axis(best, np.argsort(-gain, axis=1, kind="stable")[:, :PROBES], 1)
             for p in range(PROBES):
                 block, step = np.divmod(pick[:, p], len(steps))
                 move = (2 * steps[step]).astype(np.int64).view(U)
                 weight = odd[t].reshape(BLOCKS, 8)[block]
-                out[:, t, 1 + p] = mix(home + (move * weight).sum(1, dtype=U) + U(t))
+                out[:, t, 1 + p] = mix(home + (move * weight).sum(1, dtype=U) + own[t])
     return out
 
 

@@ -65,6 +65,22 @@ def test_lattice_cells_do_not_depend_on_the_batch():
     assert all((lattice.cells(x[i : i + 1])[0] == whole[i]).all() for i in range(50))
 
 
+def test_lattice_lengths_do_not_share_cells(spark):
+    """Many vectors have the zero point as home; those of another length must not come into its cell."""
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for dim in (16, 24):
+        base = rng.normal(size=(400, dim))
+        for k, v in enumerate(np.concatenate([base, base + rng.normal(size=base.shape) * 0.02])):
+            rows.append((1000 * dim + k, v.tolist()))
+        unit = lattice.unit_rows(np.array([v for _, v in rows[-800:]]))
+        want |= {1000 * dim + k: int(n) for k, n in enumerate((unit @ unit.T >= lattice.COSINE).sum(1) - 1)}
+    one, other = (set(lattice.cells(lattice.unit_rows(np.array([v for _, v in rows if len(v) == d]))).ravel().tolist()) for d in (16, 24))
+    assert not one & other
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert {r["vec_id"]: r["n_links"] for r in lattice.near_duplicates(df).collect()} == want
+
+
 def test_lattice_points_are_nearest():
     y = np.random.default_rng(2).normal(size=(200, 8)) * 2
     near = lattice.nearest(y)
