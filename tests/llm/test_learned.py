@@ -219,3 +219,21 @@ def test_mixing_probabilities_sum_to_one():
 
 def test_mixing_empty(spark):
     assert mixing.score(empty(spark), F.lit(True)).count() == 0
+
+
+def test_language_sample_counts_copies_once_and_holds_every_language(spark):
+    copies = [(prose(1, 100), "en")] * 400
+    rows = [*copies, *((prose(10 + i, 60), "en") for i in range(300)), *((prose(900 + i, 60), "fr") for i in range(3))]
+    df = spark.createDataFrame([*rows, (None, "en"), ("no language", None), ("12 34", "en")], "text string, lang string").repartition(3)
+    got = bytecnn.sampled(df, sample=20)
+    assert Counter(lang for _, lang, _ in got) == {"en": 17, "fr": 3}
+    assert len({h for h, _, _ in got}) == 20 and {p for _, lang, part in got if lang == "fr" for p in part} == {t for t, lang in rows if lang == "fr"}
+    assert bytecnn.train(df, sample=20).languages == ["en", "fr"]
+    assert bytecnn.quota([5, 100, 100], 25) == 10 and bytecnn.quota([1] * 9, 4) == 1
+
+
+def test_language_sample_spans_long_texts(spark):
+    long = "a" * 30_000 + "é" * 30_000 + "z" * 300
+    (_, _, part), = bytecnn.sampled(spark.createDataFrame([(long, "en")], "text string, lang string"))
+    assert len(part) == bytecnn.SAMPLE_CHARS // bytecnn.WINDOW and {len(p) for p in part} == {bytecnn.WINDOW}
+    assert part[0] == long[: bytecnn.WINDOW] and part[-1] == long[-bytecnn.WINDOW :] and "é" * bytecnn.WINDOW in part
