@@ -5,7 +5,9 @@ Several predictors give each decision a probability from counts under a hashed c
 bytes, the word so far, and for a word's first EARLY bytes the word so far with the word before it.
 Their counts cover all training texts; tasks count, and the counts are summed by slices of the tables. The logits are mixed by weights with a gate (how
 sure the word so far is) that are learned online along the text, and the mixed logit is refined by
-an adaptive correction for its own level. The sum over all decisions is the text's log probability.
+an adaptive correction for its own level. Before each byte and at the end, whether the text ends has a
+probability by the byte before. The sum over all decisions is the text's log probability: contexts, the
+alphabet among them, know only bytes that came before, so those of all texts add up to one.
 
 A text is a sequence of stretches, each a word with the white space behind it. Contexts within the stretch
 are counted and looked up once per distinct stretch of a block, while mixing sees every decision. It works on lanes of LANE bytes whose weights start anew, so a score
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -99,21 +101,15 @@ class Stretches:
             b = self.begin[i:j] - lo
             h[i:j] = (sums[b + self.run[i:j]] - sums[b]) * _powers(pow(CONTEXT_BASE, -1, 1 << 64), size)[b] + self.run[i:j].astype(U)
             i = j
-        # a text's alphabet stands for its language: the most frequent of the bytes above ASCII, if it is not rare
-        row = np.searchsorted(offs, self.begin, side="right") - 1
-        high = np.flatnonzero(data >= 0x80)
-        used = np.bincount((np.searchsorted(offs, high, side="right") - 1) * 128 + data[high] - 128, minlength=128 * (len(offs) - 1)).reshape(-1, 128)
-        used[:, 64:] = 0  # leading bytes say less than those that follow
-        most = used.max(1) if len(used) else used
-        alphabet = np.where(most * 500 > np.diff(offs), used.argmax(1) + 1, 0).astype(U)
-        h = mix(h) ^ mix(alphabet[row])
+        alphabet = alphabets(data, offs, self.begin)
+        h = mix(h) ^ mix(alphabet)
         order = np.argsort(h)
         new = np.ones(len(h), bool)
         new[1:] = h[order[1:]] != h[order[:-1]]
         one = order[new]
         self.inverse = np.empty(len(h), np.int64)
         self.inverse[order] = np.cumsum(new) - 1
-        self.alphabet = alphabet[row[one]]
+        self.alphabet = alphabet[one]
         run = self.run[one]
         self.first = np.cumsum(run) - run
         at = np.repeat(self.begin[one] - self.first, run)
@@ -188,6 +184,31 @@ class Stretches:
             yield place, slots(x, BITS[-1]), own, n
 
 
+def alphabets(data: np.ndarray, offs: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """What stands for the language at each stretch: of the bytes above ASCII that the text has had before it, the most
+    frequent one (of these the one that came to it last) and one, or 0 if it is rare; leading bytes say less and do not count."""
+    at = np.flatnonzero((data >= 0x80) & (data < 0xC0))
+    row = np.searchsorted(offs, begin, side="right") - 1
+    out = np.zeros(len(begin), U)
+    if not len(at):
+        return out
+    text = np.searchsorted(offs, at, side="right") - 1
+    key = text * 64 + data[at] - 0x80
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(key[order]) > 0))
+    nth = np.empty(len(at), np.int64)  # which of its text's equal bytes each is
+    nth[order] = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) + 1
+    base = text * (len(data) + 1)
+    most = np.maximum.accumulate(base + nth) - base
+    leader = np.maximum.accumulate(np.where(nth == most, np.arange(len(at)), 0))
+    before = np.searchsorted(at, begin) - 1
+    some = np.flatnonzero((before >= 0) & (text[before] == row))
+    k = before[some]
+    frequent = most[k] * 500 > begin[some] - offs[row[some]]
+    out[some] = np.where(frequent, data[at[leader[k]]].astype(np.int64) - 0x7F, 0)
+    return out
+
+
 def offsets(size: np.ndarray) -> np.ndarray:
     out = np.zeros(len(size) + 1, np.int32)
     np.cumsum(size, out=out[1:])
@@ -219,10 +240,16 @@ def slots(x: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(256, np.int64)
+    """Counts of the bytes, of those that end a text, of texts and of empty ones."""
+    total = np.zeros(514, np.int64)
     for batch in batches:
-        total += np.bincount(buffer_of(batch.column(0))[0], minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
+        data, offs = buffer_of(batch.column(0))
+        total[:256] += np.bincount(data, minlength=256)
+        full = offs[:-1] < offs[1:]
+        total[256:512] += np.bincount(data[offs[1:][full] - 1], minlength=256)
+        total[512] += len(full)
+        total[513] += (~full).sum()
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["byte", "n"])
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -294,11 +321,24 @@ def _sum(final: bool):
 
 @dataclass
 class Model:
+    """``stop`` holds the probability of the text's end behind each byte and, as its last entry, at the start."""
+
     code: Code
     tables: list[np.ndarray]
+    stop: np.ndarray = field(default_factory=lambda: np.full(257, 0.5))
+
+    def ends(self, s: Stretches) -> np.ndarray:
+        """log10 probability of each text's end where it is and of none before."""
+        full = s.offs[:-1] < s.offs[1:]
+        on = np.log10(1 - self.stop)
+        out = np.full(len(full), np.log10(self.stop[-1]))
+        last = s.data[s.offs[1:][full] - 1]
+        value = on.take(s.data)  # whole texts are summed, the last byte's share is taken back
+        out[full] = on[-1] + np.add.reduceat(value, s.offs[:-1][full]) - on[last] + np.log10(self.stop[last]) if full.any() else 0
+        return out
 
     def scores(self, s: Stretches) -> np.ndarray:
-        """log10 probability of each text."""
+        """log10 probability of each text's bytes; that of its end comes from ``ends``."""
         data, offs = s.data, s.offs
         out = np.zeros(len(offs) - 1)
         if not len(data):
@@ -391,15 +431,17 @@ def _mix(rows: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def train(texts: DataFrame) -> Model:
-    """Count all ``texts`` (one column). The driver receives 256 byte counts and the finished tables,
+    """Count all ``texts`` (one column). The driver receives 514 counts of bytes and ends and the finished tables,
     whose size BITS fixes."""
     spark = texts.sparkSession
     store.bound_batches(spark)
     t = texts.select(F.coalesce(F.col(texts.columns[0]), F.lit("")).alias("text"))
-    count = np.zeros(256, np.int64)
+    count = np.zeros(514, np.int64)
     for b, n in t.mapInArrow(_histogram, "byte long, n long").groupBy("byte").agg(F.sum("n")).collect():
         count[b] = n
-    code = huffman(count)
+    code = huffman(count[:256])
+    # smoothed, so that no probability is 0 or 1
+    stop = (np.append(count[256:512], count[513]) + 0.5) / (np.append(count[:256], count[512]) + 1)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # summed within groups of tasks first, so that no slice gathers one row of every task
     rows = t.mapInArrow(_count(code), "k int, s long, data binary")
@@ -409,7 +451,7 @@ def train(texts: DataFrame) -> Model:
     for k, s, data in done.toLocalIterator():
         part = np.frombuffer(zstandard.decompress(bytes(data)), np.int8)
         tables[k][s // 2 : s // 2 + len(part)] = part
-    return Model(code, tables)
+    return Model(code, tables, stop)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], Stretches, np.ndarray]]:
@@ -498,7 +540,7 @@ def _bodies(buckets: int, model, key_type: pa.DataType):
             words, _, codes, n = _bucketed(s, buckets)
             part = held[0].column(3)[0].as_py()
             keys = [x for b in held for x in b.column(0).to_pylist()]
-            more = m.scores(s).astype("<f8").tobytes() + learn.tobytes()
+            more = (m.scores(s) + m.ends(s)).astype("<f8").tobytes() + learn.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([blocks.block_id(part, k)], pa.int64()), pa.array([blocks.checksum(words)], pa.int64()), pa.array([blocks.squeeze(codes)], pa.binary()), pa.array([keys], pa.list_(key_type)), pa.array([n.tolist()], pa.list_(pa.int32())), pa.array([more], pa.binary())], names=["block", "sum", "data", "keys", "sizes", "more"])
 
     return run
@@ -532,7 +574,7 @@ def score(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc_id
     """``key``, ``held_out`` (not ``learn``), ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
     ``score`` of every row, learning from the rows with ``learn``.
 
-    A null or empty text has one token, its end, and scores 0 bits. Repeated rows count as often as they
+    Both scores charge the text's end. A null or empty text has one token, its end. Repeated rows count as often as they
     come. Null keys are scored like others; further columns are ignored. Without training rows all
     predictors give even odds. An empty table gives no rows.
     """

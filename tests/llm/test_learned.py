@@ -237,3 +237,42 @@ def test_language_sample_spans_long_texts(spark):
     (_, _, part), = bytecnn.sampled(spark.createDataFrame([(long, "en")], "text string, lang string"))
     assert len(part) == bytecnn.SAMPLE_CHARS // bytecnn.WINDOW and {len(p) for p in part} == {bytecnn.WINDOW}
     assert part[0] == long[: bytecnn.WINDOW] and part[-1] == long[-bytecnn.WINDOW :] and "é" * bytecnn.WINDOW in part
+
+
+def test_mixing_continuations_and_end_sum_to_one():
+    """Over all 256 bytes and the end, behind texts with and without alphabets."""
+    rng = np.random.default_rng(3)
+    tables = [rng.integers(-60, 60, 1 << b).astype(np.int8) for b in mixing.BITS]
+    model = mixing.Model(mixing.huffman(rng.integers(0, 1000, 256)), tables, rng.uniform(0.01, 0.5, 257))
+    for prefix in (b"", b"a", "é à è ".encode(), "ж word жжж".encode(), b"x " * 300):
+        texts = [prefix, *(prefix + bytes([b]) for b in range(256))]
+        s = mixing.Stretches(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        bytes_, ends = model.scores(s), model.ends(s)
+        stop = model.stop[prefix[-1] if prefix else 256]
+        goes_on = ends[0] - np.log10(stop) + np.log10(1 - stop)
+        share = 10 ** (bytes_[1:] - bytes_[0])
+        assert share.sum() == pytest.approx(1, abs=1e-3)
+        assert stop + (10 ** (goes_on - (ends[0] - np.log10(stop))) * share).sum() == pytest.approx(1, abs=1e-3)
+        assert np.allclose(ends[1:], goes_on + np.log10(model.stop[:256]))
+
+
+def test_mixing_alphabet_is_that_of_the_bytes_before():
+    texts = ["plain words é é ñ ñ ñ end", "é", "no more", "", "ж и"]
+    data, offs = mixing.buffer_of(pa.array(texts, pa.large_string()))
+    begin = mixing.Stretches(data, offs).begin
+    want = []
+    for b in begin:
+        text = max(i for i in range(len(texts)) if offs[i] <= b < offs[i + 1])
+        count, best = Counter(), 0
+        for x in data[offs[text] : b].tolist():
+            if 0x80 <= x < 0xC0:
+                count[x] += 1
+                best = x - 0x7F if count[x] == max(count.values()) else best
+        want.append(best if max(count.values(), default=0) * 500 > b - offs[text] else 0)
+    assert mixing.alphabets(data, offs, begin).tolist() == want and len(set(want)) > 2
+
+
+def test_mixing_score_charges_the_end(spark):
+    rows = [(i, prose(i % 5, 20)) for i in range(20)] + [(20, ""), (21, None)]
+    got = {r["doc_id"]: r["score"] for r in mixing.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect()}
+    assert got[20] == got[21] == pytest.approx(math.log10(2.5 / 23))
