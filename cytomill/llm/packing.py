@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from . import store
 from .words import pieces, spans
 
-CAPACITY, MAX_DOCS, END, GROUP = 1024, 128, 2, 16_384
+CAPACITY, END, GROUP = 1024, 2, 16_384
 WEIGHTS = (1.0, 0.1, 0.1)
 #: The split pattern of byte-level BPE, as the tokenizer file's ByteLevel pre-tokenizer has it built in.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -132,19 +131,20 @@ def best_fit(length: np.ndarray, capacity: tuple[int, int, int], weights: tuple[
     return bins, offset
 
 
-def pack(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, max_docs: int = MAX_DOCS, max_attention: int | None = None, end: int | None = END, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, max_docs: int | None = None, max_attention: int | None = None, end: int | None = END, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``key``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``, and
     with ``with_ids`` also ``ids`` (little-endian unsigned 32-bit integers).
 
     A document's ids are followed by ``end``; a null text is empty, so it is ``end`` alone, and without an
-    ``end`` it has no piece. Only documents longer than ``capacity`` are cut. ``max_attention`` bounds the
-    sum of squared lengths in a sequence (default: the square of ``capacity``, which never binds); a
-    capacity too small for a piece raises. Repeated rows are packed as often as they come. An empty
-    table gives no rows.
+    ``end`` it has no piece. Only documents longer than ``capacity`` are cut. ``max_docs`` bounds the pieces of a
+    sequence and ``max_attention`` the sum of their squared lengths; without them the tokens alone bind, as no
+    sequence of ``capacity`` tokens has more than ``capacity`` pieces or a larger sum than its square. A
+    capacity too small for a piece raises. Keys may be null and of any type and come back as they are. Repeated
+    rows are packed as often as they come. Further columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     store.bound_batches(spark)
-    limits = (capacity, max_docs, max_attention or capacity * capacity)
+    limits = (capacity, max_docs or capacity, max_attention or capacity * capacity)
     kind = docs.schema[key].dataType.simpleString()
     slim = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     shape = f"key {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
@@ -153,12 +153,13 @@ def pack(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", ca
     # the written table is read in the same order again, so a piece keeps its group when a task is repeated
     dealt = cut.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "key", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        bins, offset = best_fit(pdf["length"].to_numpy(np.int64), limits)
-        pdf["sequence_id"] = (pdf["group"].to_numpy(np.int64) << 32) + bins
-        pdf["offset"] = offset
-        return pdf.drop(columns="group")
+    def place(table: pa.Table) -> pa.Table:
+        # in Arrow throughout: a null among whole numbers must not turn the others into floats
+        by = [("length", "descending"), ("key", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+        t = table.sort_by([(c, o) for c, o in by if pa.types.is_primitive(table.schema.field(c).type) or pa.types.is_string(table.schema.field(c).type)])
+        bins, offset = best_fit(t["length"].to_numpy().astype(np.int64), limits)
+        sequence = (t["group"].to_numpy().astype(np.int64) << 32) + bins
+        return t.drop_columns(["group"]).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    out = dealt.groupBy("group").applyInPandas(place, shape + ", sequence_id long, offset long")
+    out = dealt.groupBy("group").applyInArrow(place, shape + ", sequence_id long, offset long")
     return out.withColumnRenamed("key", key)

@@ -66,15 +66,17 @@ def test_warc_empty(spark, tmp_path):
 
 def test_best_fit_keeps_every_constraint():
     rng = np.random.default_rng(0)
-    for cap in ((1024, 128, 1024 * 1024), (1024, 3, 1024 * 1024), (1024, 128, 600_000 + 1024 * 1024 // 2)):
-        length = rng.integers(1, 1025, 3000)
+    tight, used = 400_000, {}
+    for cap in ((1024, 1024, 1024 * 1024), (1024, 3, 1024 * 1024), (1024, 1024, tight)):
+        length = rng.integers(1, 601, 3000)
         bins, offset = packing.best_fit(length, cap)
+        used[cap] = max((length[bins == b] ** 2).sum() for b in np.unique(bins))
         for b in np.unique(bins):
             own = np.flatnonzero(bins == b)
             own = own[np.argsort(offset[own])]
             assert length[own].sum() <= cap[0] and len(own) <= cap[1] and (length[own] ** 2).sum() <= cap[2]
             assert (offset[own] == np.cumsum(length[own]) - length[own]).all()
-    bins, _ = packing.best_fit(rng.integers(1, 1025, 3000), (1024, 128, 1 << 20))
+    assert used[1024, 1024, 1024 * 1024] > tight  # without the bound on attention some sequence goes beyond it
     assert packing.best_fit(np.zeros(0, np.int64), (4, 4, 16))[0].size == 0
     with pytest.raises(ValueError):
         packing.best_fit(np.array([10]), (5, 5, 25))
@@ -82,8 +84,31 @@ def test_best_fit_keeps_every_constraint():
 
 def test_packing_is_tight():
     length = np.random.default_rng(1).integers(1, 1025, 5000)
-    bins, _ = packing.best_fit(length, (1024, 128, 1 << 20))
+    bins, _ = packing.best_fit(length, (1024, 1024, 1 << 20))
     assert len(np.unique(bins)) <= 1.02 * length.sum() / 1024
+    assert len(np.unique(packing.best_fit(np.ones(2048, np.int64), (1024, 1024, 1 << 20))[0])) == 2
+
+
+def test_packing_limits_and_large_keys(spark):
+    """Keys beyond 2**53 beside null ones stay as they are, and each capacity binds in whole runs."""
+    path = P.path("byte_bpe_50k.json")
+    rows = [((1 << 53) + 1, "a"), ((1 << 60) + 7, "b c"), (None, "d"), (None, None), (5, ""), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(df, path).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(k) for k, _ in rows) and len({r["sequence_id"] for r in got}) == 1
+    many = spark.createDataFrame([(i, None) for i in range(2000)], "doc_id long, text string")
+    assert packing.pack(many, path).select("sequence_id").distinct().count() == 2
+    assert packing.pack(many, path, max_docs=100).select("sequence_id").distinct().count() == 20
+    words = spark.createDataFrame([(i, prose(i, 30)) for i in range(40)], "doc_id long, text string")
+    wide = {}
+    for most in (None, 30_000):
+        sums = collections.Counter()
+        for r in packing.pack(words, path, max_attention=most).collect():
+            sums[r["sequence_id"]] += r["length"] ** 2
+        wide[most] = max(sums.values())
+    assert wide[30_000] <= 30_000 < wide[None]
+    named = packing.pack(words.select(F.concat(F.lit("k"), "doc_id").alias("doc_id"), "text"), path).collect()
+    assert {r["doc_id"] for r in named} == {f"k{i}" for i in range(40)}
 
 
 def test_packing_hard_rows(spark):
