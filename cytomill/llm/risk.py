@@ -1,13 +1,14 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions alone.
 
-Each rule is a statistic of a text, high for bad texts. On labelled clean documents a cutoff is
-certified when the exact binomial lower tail P(Bin(n, alpha) <= k) is at most the level, k being
-the clean documents of a stratum that the cutoff would reject: with that confidence the rule
-rejects less than alpha of the stratum's clean documents (the one-sided Clopper-Pearson bound).
-Within a rule and stratum the cutoffs are tested from lenient to strict and the first failure ends
-the sequence, which needs no correction; over rules and strata the level is divided by their number
-(Bonferroni). alpha is the allowed false rejection of a stratum divided by the number of rules, so
-the union of all rules keeps to it.
+Each rule is a statistic of a text, high for bad texts. A setting gives every rule a cutoff; the settings
+are a fixed sequence from lenient to strict. On the labelled clean documents of a stratum a setting is
+certified when the exact binomial lower tail P(Bin(n, FALSE_REJECTION) <= k) is at most the level, k being
+the clean documents that any of its rules would reject: with that confidence the rules together
+reject less than FALSE_REJECTION of the stratum's clean documents (the one-sided Clopper-Pearson bound).
+Settings are tested in their order and the first failure ends the sequence (fixed-sequence testing, so the
+last one certified needs no correction within a stratum); over strata the level is divided by their number
+(Bonferroni). A stratum with fewer than ln(level) / ln(1 - FALSE_REJECTION) clean documents, 408 here, cannot
+certify anything, and the base rules alone decide there.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import store
 
-#: Fixed cutoffs to test, from lenient to strict, by statistic.
+#: Fixed cutoffs by statistic; the i-th of all statistics are the i-th setting.
 CUTOFFS: dict[str, tuple[float, ...]] = {
     "symbols_per_word": (2.0, 1.0, 0.5, 0.3, 0.2, 0.1, 0.05, 0.02),
     "dup_line_share": (0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05),
@@ -27,6 +28,7 @@ CUTOFFS: dict[str, tuple[float, ...]] = {
 #: Strata by number of words: the lower ends.
 STRATA: tuple[int, ...] = (0, 150, 600)
 FALSE_REJECTION, LEVEL = 0.01, 0.05
+SETTINGS = 8
 WHITE, SYMBOLS = r"[\x20\x09-\x0D]+", r"[#*$%&|<>]+"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -41,10 +43,11 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts of BASE (long), the rules' statistics (double) and ``stratum`` (int).
 
     A null text counts as empty; all its counts and statistics are 0. One scan without a shuffle:
-    every count stays inside its row. Columns of those names in ``docs`` are replaced.
+    every count stays inside its row. Columns of those names in ``docs`` are replaced; further columns
+    may have any name, as they are kept aside in one column meanwhile.
     """
     own = [c for c in docs.columns if c not in {*BASE, *CUTOFFS, "stratum"}]
-    d = docs.select(*own, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    d = docs.select((F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.lit(0)).alias("_own"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     d = d.withColumns({
         "_w": F.filter(F.split("_t", WHITE), lambda w: w != ""),
         "_l": F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
@@ -79,7 +82,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "repeat_share": share("n_repeat_words", "n_words"), "capital_share": share("_caps", "word_chars"),
         "stratum": sum((F.col("n_words") >= lo).cast("int") for lo in STRATA[1:]),
     })
-    return d.select(*own, *BASE, *CUTOFFS, "stratum")
+    return d.select(*[F.col("_own")[c].alias(c) for c in own], *BASE, *CUTOFFS, "stratum")
 
 
 def lower_tail(n: Column, k: Column, alpha: float) -> Column:
@@ -98,37 +101,45 @@ def lower_tail(n: Column, k: Column, alpha: float) -> Column:
 
 
 def cutoffs(clean: DataFrame, false_rejection: float = FALSE_REJECTION, level: float = LEVEL) -> DataFrame:
-    """The certified cutoffs from the statistics of labelled clean documents: at most one row per
-    stratum, a column per rule, null where no cutoff could be certified. One aggregation of
-    conditional counts, combined before its shuffle."""
-    alpha, own = false_rejection / len(CUTOFFS), level / (len(CUTOFFS) * len(STRATA))
-    sums = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r, cs in CUTOFFS.items() for i, c in enumerate(cs)]
-    counts = clean.groupBy("stratum").agg(F.count("*").alias("n"), *sums)
-    tests = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r, cs in CUTOFFS.items() for i, c in enumerate(cs)]))
-    rows = counts.select("stratum", "n", tests.alias("x")).select("stratum", "n", "x.*").withColumn("ok", lower_tail(F.col("n"), F.col("k"), alpha) <= own)
-    ended = rows.groupBy("stratum", "rule").agg(F.coalesce(F.min(F.when(~F.col("ok"), F.col("i"))), F.lit(1 << 20)).alias("end"), F.collect_list(F.struct("i", "cutoff")).alias("all"))
-    best = ended.select("stratum", "rule", F.array_max(F.filter("all", lambda x: x["i"] < F.col("end")))["cutoff"].alias("cutoff"))
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in CUTOFFS])
+    """The certified setting of each stratum from the statistics of labelled clean documents: ``stratum``, ``n``
+    (clean documents), ``setting`` and ``max_`` with each rule's name; no row where no setting is certified.
+    One aggregation of conditional counts, combined before its shuffle; at most a row per stratum after it."""
+    over = [F.coalesce(_any([F.col(r) > cs[i] for r, cs in CUTOFFS.items()]), F.lit(False)) for i in range(SETTINGS)]
+    counts = clean.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum(o.cast("long")).alias(f"k{i}") for i, o in enumerate(over)])
+    ok = F.array(*[lower_tail(F.col("n"), F.col(f"k{i}"), false_rejection) <= level / len(STRATA) for i in range(SETTINGS)])
+    first = F.array_position(ok, False)  # of the first failure, from 1 on; 0 if there is none
+    passed = F.when(first == 0, SETTINGS).otherwise(first - 1).cast("int")  # how many come before it
+    best = counts.select("stratum", "n", (passed - 1).alias("setting")).where("setting >= 0")
+    return best.select("*", *[F.element_at(F.array(*map(F.lit, cs)), F.col("setting") + 1).alias(f"max_{r}") for r, cs in CUTOFFS.items()])
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
 
 
 def apply(stats: DataFrame, found: DataFrame) -> DataFrame:
     """``stats`` with ``base_failed`` and ``kept``. ``found`` has one row per stratum at most, so it
     is broadcast whatever the input. A value equal to its cutoff passes."""
-    joined = stats.join(F.broadcast(found), "stratum", "left")
-    over = [F.coalesce(F.col(r) > F.col(f"max_{r}"), F.lit(False)) for r in CUTOFFS]
+    stats = stats.drop("base_failed", "kept")
+    own, key = stats.columns, store.unused("_stratum", stats.columns)
+    at = store.unused("_found", stats.columns)
+    limits = found.select(F.col("stratum").alias(key), F.struct(*[f"max_{r}" for r in CUTOFFS]).alias(at))
+    joined = stats.join(F.broadcast(limits), stats["stratum"] == F.col(key), "left")
+    over = F.coalesce(_any([F.col(r) > F.col(at)[f"max_{r}"] for r in CUTOFFS]), F.lit(False))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    verdict = ~over[0]
-    for x in over[1:]:
-        verdict &= ~x
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict)
+    return joined.select(*[F.col(f"`{c}`") for c in own], failed.alias("base_failed"), (~failed & ~over).alias("kept"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The verdicts on all ``docs``: their columns but the text, the statistics, ``base_failed``, ``kept``.
 
     ``labels`` has ``key`` and ``quality``; a document is clean when all its labels are 1, rows with
-    null are ignored. Without enough clean documents in a stratum no rule can be certified there and
-    the base rules alone decide. Repeated rows are judged alike; an empty table stays empty.
+    null are ignored. Without enough clean documents in a stratum no setting can be certified there and
+    the base rules alone decide. Rows without a key are judged but teach nothing. Repeated rows are judged alike
+    and count as often as they come; a value equal to its cutoff passes; an empty table stays empty.
     """
     stats = store.cut(statistics(docs, text).drop(text), "stats")
     clean = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("_q")).where("_q = 1").select(key)
@@ -137,9 +148,13 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def oracle() -> str:
     """DuckDB SQL for the query on ``documents`` and ``labels``."""
-    alpha, own = FALSE_REJECTION / len(CUTOFFS), LEVEL / (len(CUTOFFS) * len(STRATA))
-    tests = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {i} AS i, {c!r}::DOUBLE AS cutoff, count(*) AS n, count(*) FILTER (WHERE {r} > {c!r}::DOUBLE) AS k FROM clean GROUP BY stratum" for r, cs in CUTOFFS.items() for i, c in enumerate(cs))
-    over = " AND ".join(f"NOT coalesce({r} > max_{r}, false)" for r in CUTOFFS)
+    alpha, own = FALSE_REJECTION, LEVEL / len(STRATA)
+
+    def over(i: int) -> str:
+        return " OR ".join(f"{r} > {cs[i]!r}::DOUBLE" for r, cs in CUTOFFS.items())
+
+    tests = " UNION ALL ".join(f"SELECT stratum, {i} AS i, count(*) AS n, count(*) FILTER (WHERE {over(i)}) AS k FROM clean GROUP BY stratum" for i in range(SETTINGS))
+    verdict = " ".join(f"WHEN {i} THEN NOT ({over(i)})" for i in range(SETTINGS))
     return rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -156,12 +171,10 @@ stats AS (SELECT *, CASE WHEN n_words = 0 THEN 0 ELSE n_symbols::DOUBLE / n_word
   {" + ".join(f"(n_words >= {lo})::INT" for lo in STRATA[1:])} AS stratum FROM s),
 clean AS (SELECT * FROM stats SEMI JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) c USING (doc_id)),
 tests AS ({tests}),
-term AS (SELECT stratum, rule, i, j, n * ln(1 - {alpha!r}) + sum(CASE WHEN j = 0 THEN 0 ELSE ln((n - j + 1)::DOUBLE / j) + ln({alpha!r}) - ln(1 - {alpha!r}) END) OVER (PARTITION BY stratum, rule, i ORDER BY j) AS t
+term AS (SELECT stratum, i, j, n * ln(1 - {alpha!r}) + sum(CASE WHEN j = 0 THEN 0 ELSE ln((n - j + 1)::DOUBLE / j) + ln({alpha!r}) - ln(1 - {alpha!r}) END) OVER (PARTITION BY stratum, i ORDER BY j) AS t
   FROM (SELECT *, unnest(generate_series(0, k)) AS j FROM tests WHERE k < n * {alpha!r})),
-ok AS (SELECT stratum, rule, i FROM term GROUP BY ALL HAVING sum(exp(t)) <= {own!r}),
-ended AS (SELECT t.stratum, t.rule, min(t.i) FILTER (WHERE ok.i IS NULL) AS e FROM tests t LEFT JOIN ok ON t.stratum = ok.stratum AND t.rule = ok.rule AND t.i = ok.i GROUP BY ALL),
-best AS (SELECT t.stratum, t.rule, arg_max(t.cutoff, t.i) AS cutoff FROM tests t JOIN ended e ON t.stratum = e.stratum AND t.rule = e.rule WHERE t.i < coalesce(e.e, 1000) GROUP BY ALL),
-wide AS (SELECT stratum, {", ".join(f"max(cutoff) FILTER (WHERE rule = '{r}') AS max_{r}" for r in CUTOFFS)} FROM best GROUP BY stratum),
-judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stats LEFT JOIN wide USING (stratum))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {over} AS kept FROM judged
+ok AS (SELECT stratum, i FROM term GROUP BY ALL HAVING sum(exp(t)) <= {own!r}),
+ended AS (SELECT stratum, coalesce(min(t.i) FILTER (WHERE ok.i IS NULL), {SETTINGS}) - 1 AS setting FROM tests t LEFT JOIN ok USING (stratum, i) GROUP BY stratum),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stats LEFT JOIN ended USING (stratum))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND CASE setting {verdict} ELSE true END AS kept FROM judged
 """

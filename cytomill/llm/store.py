@@ -90,6 +90,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def unused(name: str, *columns: list[str]) -> str:
+    """``name``, with underscores in front until no column has it."""
+    taken = {c.lower() for cs in columns for c in cs}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def hot_bound(total: int) -> int:
     """From so many rows on a key is hot. At most total / bound keys are, so they fit in a broadcast whatever the input."""
     return max(HOT_ROWS, -(-total // BROADCAST_ROWS))

@@ -1,6 +1,7 @@
 """Quality rules, line CRF, language network, context mixing: exact parts against brute force, learned parts by held-out accuracy."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -69,6 +70,39 @@ def test_rules_query_equals_its_sql(spark, tmp_path):
     assert Counter(got) == Counter(want)
     kept = {r[0]: r[-1] for r in got}
     assert not any(kept[i] for i in range(0, 3000, 5)) and np.mean([kept[i] for i in range(3000) if i % 5]) > 0.98
+    assert any(not r[-1] and not r[-2] for r in got)  # the base rules alone would not give this
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the driver's tables")
+def test_rules_are_certified_on_a_tenth(spark):
+    docs, labels = (queries.table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    stats = risk.statistics(docs.select("doc_id", "text")).drop("text").cache()
+    clean = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
+    found = {r["stratum"]: r for r in risk.cutoffs(stats.join(clean, "doc_id", "left_semi")).collect()}
+    assert found and all(r["n"] >= 408 for r in found.values())
+    judged = risk.apply(stats, risk.cutoffs(stats.join(clean, "doc_id", "left_semi")))
+    assert judged.where("NOT kept AND NOT base_failed").count() > 0
+    rejected = judged.join(clean, "doc_id", "left_semi").where("NOT base_failed").groupBy("stratum").agg(F.mean((~F.col("kept")).cast("double"))).collect()
+    assert all(share < risk.FALSE_REJECTION for _, share in rejected)
+
+
+def test_rules_sequence_ends_at_the_first_failure(spark):
+    """Settings: the second fails though the third, counted alone, would pass as well as the first."""
+    def rows(n, value):
+        return [(0, value, 0.0, 0.0, 0.0)] * n
+
+    some = spark.createDataFrame(rows(600, 0.0) + rows(30, 1.5), "stratum int, symbols_per_word double, dup_line_share double, repeat_share double, capital_share double")
+    (r,) = risk.cutoffs(some).collect()
+    assert (r["n"], r["setting"], r["max_symbols_per_word"], r["max_capital_share"]) == (630, 0, 2.0, 0.9)
+    assert risk.cutoffs(some.limit(400)).count() == 0 and risk.cutoffs(some.where("symbols_per_word = 0")).first()["setting"] == risk.SETTINGS - 1
+    assert all(len(c) == risk.SETTINGS for c in risk.CUTOFFS.values())
+
+
+def test_rules_clashing_names(spark):
+    names = ["_t", "_w", "_l", "_own", "_found", "_stratum", "max_repeat_share", "kept", "stratum", "a.b"]
+    df = hard(spark).select("doc_id", "text", *[F.lit(f"x{c}").alias(c) for c in names])
+    got = risk.judge(df, spark.createDataFrame([], "doc_id long, quality int"))
+    assert got.count() == len(hard_rows()) and {r["_t"] for r in got.collect()} == {"x_t"} and got.columns.count("kept") == 1
 
 
 def test_rules_without_labels_or_rows(spark):
