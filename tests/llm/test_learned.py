@@ -197,6 +197,49 @@ def test_crf_hard_rows(spark):
     assert crf.score(empty(spark), model).count() == 0 and crf.score(hard(spark), None).where("score = 0.5").count() == len(hard_rows())
 
 
+def test_crf_sample_is_bounded_and_spans_long_texts(spark):
+    """An id with many rows and a very long text count as one document; its windows reach from start to end."""
+    long = "".join(f"line {i} of it\n" for i in range(40_000))
+    rows = [(1, long)] + [(2, f"text {i}") for i in range(500)] + [(i, f"word {i}") for i in range(3, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] + [(None, 1), (4, None)], "doc_id long, quality int")
+    got = crf.sampled(df, labels, F.lit(True))
+    assert len(got) == 39 and len(crf.sampled(df, labels, F.lit(True), sample=10)) <= 10
+    (part,) = [t for _, _, t in got if len(t) > 1000]
+    assert len(part) == crf.SAMPLE_CHARS + crf.SPREAD - 1 and part.startswith(long[:500]) and part.endswith(long[-500:])
+
+
+def plain_crf_score(model, text):
+    """Features line by line, marginals by enumeration, the mean and the curve, without batches."""
+    x, row, weight = crf.lines(*crf.buffer_of(pa.array([text], pa.large_string())))
+    if not len(x):
+        return 0.0
+    n, u = len(x), np.clip(x @ model.w, -30, 30)
+    good, z = np.zeros(n), 0.0
+    for code in range(1 << n):
+        y = [(code >> i) & 1 for i in range(n)]
+        s = math.exp(sum(u[i] * y[i] for i in range(n)) + sum(model.trans[a, b] for a, b in zip(y, y[1:], strict=False)))
+        z, good = z + s, good + s * np.array(y)
+    size = [len("".join(line.split()).encode()) for line in text.split("\n") if line.strip()]
+    m = min(max(float((good / z) @ np.array(size)) / sum(size), 1e-6), 1 - 1e-6)
+    return 1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * math.log(m / (1 - m)))))
+
+
+def test_crf_query_equals_a_plain_version(spark, tmp_path):
+    rng = random.Random(8)
+    docs = [(i, "\n".join(prose(rng.randint(0, 9999), rng.randint(1, 9)).capitalize() + rng.choice([".", "!!", " 12", ""]) for _ in range(rng.randint(1, 7)))) for i in range(80)]
+    docs += [(100, ""), (101, None), (102, " \n ")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, int("!!" not in (t or ""))) for i, t in docs[:70]], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["doc_id"]: r for r in queries.op4_line_crf_quality(spark, str(tmp_path)).collect()}
+    model = crf.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, queries.fold(4) != 2)
+    for i, t in docs:
+        r = got[i]
+        assert r["score"] == pytest.approx(plain_crf_score(model, t or ""), abs=1e-6) and r["predicted"] == (r["score"] >= 0.7)
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def reference_scores(rows):
     low = {i: i + 32 for i in range(65, 91)}
     tokens = {i: [*WORD.findall((t or "").translate(low)), None] for i, (_, t) in enumerate(rows)}
