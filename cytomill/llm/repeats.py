@@ -176,35 +176,40 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     A word goes if a window of ``length`` consecutive words covers it whose sequence also starts
     anywhere else, in the same or another row; all copies go. Repeated rows are copies of each other
     even if they share a key. A null text has no words and a null in ``kept_text`` is never returned.
-    Texts of fewer than ``length`` words stay whole. Columns with the names above are replaced.
+    Texts of fewer than ``length`` words stay whole. Columns with the names above are replaced; others may have any name.
     """
     if length < ANCHOR:
         raise ValueError(f"length must be {ANCHOR} at least")
     spark = docs.sparkSession
     store.bound_batches(spark)
+    tables = store.Tables(spark)
     own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "repeats")]
     body = F.coalesce(F.col(text), F.lit(""))
     row_key = F.xxhash64(F.col(key), F.col(text))
     slim = docs.select(row_key.alias("row_key"), body.alias("text"))
-    path = store.write_table(slim.mapInArrow(_anchors(length), BLOCK_ROWS), "anchors")
-    anchors = spark.read.schema(BLOCK_ROWS).parquet(path)
-    # written tables join as plain shuffles, whose hot keys Spark splits; behind an aggregate it could not
-    twice = store.cut(anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "twice")
-    met = store.cut(anchors.join(twice, "anchor"), "met")
-    store.remove(spark, path)
+    anchors = tables.cut(slim.mapInArrow(_anchors(length), BLOCK_ROWS), "anchors")
+    twice = tables.cut(anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "twice")
+    met = tables.cut(store.with_value(anchors, twice, ["anchor"], "c", anchors.count()).drop("c"), "met")
+    tables.drop("anchors", "twice")
+    store.forget_shuffles(spark)
     place = F.shiftleft(F.col("start").cast("long"), 20) + F.col("n")
-    kinds = store.cut(met.groupBy("anchor", "block").agg(F.count("*").alias("c"), F.min(F.struct("row_key", place.alias("place"))).alias("one")), "kinds")
-    open_ = store.cut(kinds.where("c = 1").select("anchor").distinct(), "open")
+    kinds = tables.cut(met.groupBy("anchor", "block").agg(F.count("*").alias("c"), F.min(F.struct("row_key", place.alias("place"))).alias("one")), "kinds")
+    open_ = kinds.where("c = 1").select("anchor").distinct()
     alone = kinds.join(open_, "anchor", "left_semi").groupBy("one.row_key").agg(F.collect_set("one.place").alias("places"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(row_key.alias("_row_key"), body.alias("_text"), *own).repartition(parts, "_row_key")
-    grown = dealt.join(alone, dealt["_row_key"] == alone["row_key"]).select("row_key", F.col("_text").alias("text"), "places")
-    windows = grown.mapInArrow(_extend(length), "window long, row_key long, start int")
-    again = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
-    single = windows.join(again, "window").select("row_key", (F.shiftleft(F.col("start").cast("long"), 20) + 1).alias("place"))
-    whole = met.join(kinds.where("c > 1").select("anchor", "block"), ["anchor", "block"]).select("row_key", place.alias("place"))
-    starts = whole.union(single).groupBy(F.col("row_key").alias("_k")).agg(F.collect_set("place").alias("_starts"))
-    full = dealt.join(starts, dealt["_row_key"] == starts["_k"], "left").select(*own, "_text", "_starts")
+    grown = slim.join(alone, "row_key").select("row_key", "text", "places")
+    windows = tables.cut(grown.mapInArrow(_extend(length), "window long, row_key long, start int"), "windows")
+    again = tables.cut(windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1"), "again")
+    single = store.with_value(windows, again, ["window"], "c", windows.count()).select("row_key", (F.shiftleft(F.col("start").cast("long"), 20) + 1).alias("place"))
+    same = kinds.where("c > 1").select("anchor", "block", "c")
+    whole = store.with_value(met, same, ["anchor", "block"], "c", met.count()).select("row_key", place.alias("place"))
+    starts = tables.cut(whole.union(single).groupBy(F.col("row_key").alias("_k")).agg(F.collect_set("place").alias("_starts")), "starts")
+    tables.drop_all_but("starts")
+    store.forget_shuffles(spark)
+    # the caller's columns travel in one, so that none of their names can clash
+    aside = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(0).alias("none"))
+    dealt = docs.select(row_key.alias("_row_key"), body.alias("_text"), aside.alias("_own")).repartition(parts, "_row_key")
+    full = dealt.join(starts, dealt["_row_key"] == starts["_k"], "left").select("_own", "_text", "_starts")
     added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType()), StructField("repeats", ArrayType(IntegerType()))]
-    schema = StructType([*(docs.schema[c] for c in own), *added])
-    return full.mapInArrow(_drop(length, len(own), len(own) + 1, list(range(len(own)))), schema)
+    out = full.mapInArrow(_drop(length, 1, 2, [0]), StructType([full.schema["_own"], *added]))
+    return out.select(*[F.col("_own")[c].alias(c) for c in own], *[f.name for f in added])

@@ -164,6 +164,18 @@ def test_repeats_hard_rows(spark):
     check_repeats(spark, [r[:2] for r in hard_rows()], 35)
 
 
+def test_repeats_clashing_names_and_hot_keys(spark, monkeypatch):
+    """Extra columns may have any name; hot anchors, blocks and windows come by broadcast and give the same rows."""
+    monkeypatch.setattr(store, "HOT_ROWS", 5)
+    passage = prose(91, 60)
+    rows = [(i, prose(i, 10) + " " + passage + (" " + prose(92, 40) if i % 3 else "") + f" tail{i % 4}") for i in range(60)]
+    check_repeats(spark, rows, 35)
+    names = ["row_key", "_text", "_k", "_own", "_starts", "_row_key", "window", "a.b"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(c).alias(c) for c in names])
+    got = repeats.remove_repeats(df, 35)
+    assert got.columns[:10] == ["doc_id", "text", *names] and all(r["_k"] == "_k" and r["n_removed"] >= 60 for r in got.collect())
+
+
 def test_repeats_partial_matches(spark):
     """Few words, so that windows match in parts, overlap, repeat within a text and extend by different lengths."""
     rng = np.random.default_rng(4)
@@ -201,3 +213,14 @@ def test_components(spark):
     comp = closure(600, links)
     assert got == {i: comp[i] for i in {x for p in links if p[0] != p[1] for x in p}}
     assert store.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [250_000, 0])
+def test_components_of_hubs_and_long_paths(spark, broadcast, monkeypatch):
+    """Hubs beyond the bound and paths of many rounds, with minima broadcast whole or by hot keys."""
+    monkeypatch.setattr(store, "BROADCAST_ROWS", max(broadcast, 40))
+    monkeypatch.setattr(store, "HOT_ROWS", 8)
+    links = [(1000, i) for i in range(60)] + [(2000 + i, 2001 + i) for i in range(150)] + [(3000 + (i * 7) % 64, 3000 + (i * 7 + 7) % 64) for i in range(63)]
+    got = dict(store.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect())
+    comp = closure(4000, links)
+    assert got == {i: comp[i] for i in {x for p in links for x in p}}
