@@ -238,10 +238,11 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("embedding")).withColumn("ok", usable("embedding"))
     rows = rows.withColumn("node", F.when(F.col("ok"), F.xxhash64("embedding")))
     good = rows.where("ok")
+    tables = store.Tables(spark)
     nodes = store.cut(good.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("count"), F.first("embedding").alias("embedding")), "vectors")
-    spots = store.cut(nodes.select("node", "embedding").mapInArrow(_cells, "node long, cell long, home boolean"), "cells")
-    sizes = spots.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("n")).where("homes > 0 AND n > 1")
-    dealt = spots.join(sizes, "cell").withColumns({"th": F.ceil(F.col("homes") / TILE).cast("int"), "tq": F.ceil(F.col("n") / TILE).cast("int")})
+    spots = tables.cut(nodes.select("node", "embedding").mapInArrow(_cells, "node long, cell long, home boolean"), "cells")
+    sizes = tables.cut(spots.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("n")).where("homes > 0 AND n > 1"), "sizes")
+    dealt = store.with_value(spots, sizes, ["cell"], "n", spots.count()).withColumns({"th": F.ceil(F.col("homes") / TILE).cast("int"), "tq": F.ceil(F.col("n") / TILE).cast("int")})
     h, q = F.pmod(F.xxhash64("node"), F.col("th")).cast("int"), F.pmod(F.xxhash64(F.lit(3), "node"), F.col("tq")).cast("int")
     home = F.col("home").cast("int")
     # roles as bits: 1 as one at home, 2 as a visitor, 4 at home too
@@ -254,6 +255,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     full = full.select("tile", "cell", "node", "role", "count", "embedding").repartition(parts, "tile").sortWithinPartitions("tile")
     found = store.cut(full.mapInArrow(_tiles(cosine), "node long, links long, root long"), "links")
+    tables.drop_all_but()
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     member = store.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = nodes.select("node", "rep", "count").join(member, "node", "left").withColumn("component", F.coalesce("component", "node")).join(links, "node", "left")

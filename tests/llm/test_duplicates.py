@@ -90,6 +90,23 @@ def test_lattice_points_are_nearest():
     assert all((((y[i] - near[i] - steps) ** 2).sum(1) >= d[i] - 1e-9).all() for i in range(200))
 
 
+@pytest.mark.parametrize("dim", [32, 64, 256])
+def test_lattice_recall_at_the_threshold(dim):
+    """Pairs at a cosine of 0.95 exactly, the hardest to find: nearly all meet in a cell."""
+    rng = np.random.default_rng(dim)
+    a = lattice.unit_rows(rng.normal(size=(2000, dim)))
+    o = rng.normal(size=a.shape)
+    o = lattice.unit_rows(o - (o * a).sum(1, keepdims=True) * a)
+    b = lattice.COSINE * a + np.sqrt(1 - lattice.COSINE**2) * o
+    met = lattice.first_cell(lattice.cells(a), lattice.cells(b)) != np.uint64(0xFFFFFFFFFFFFFFFF)
+    assert met.mean() >= 0.999
+
+
+def test_lattice_hot_cells(spark, monkeypatch):
+    monkeypatch.setattr(store, "HOT_ROWS", 3)
+    test_lattice_finds_what_brute_force_finds(spark, 1024, monkeypatch)
+
+
 def test_lattice_empty(spark):
     assert lattice.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
