@@ -28,10 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .words import LOWER, U, binary, bounds, buffer_of, hashes, mix, pieces, shingles
+from .words import LOWER, U, binary, bounds, buffer_of, hashes, mix, pieces, shingles, spans
 
 WORDS, PERCENT, PERMUTATIONS, ROWS, MISSED = 5, 85, 50, 5, 1e-5
 FIRST_BANDS, TILE, NARROW_TILE, LEAST_ESTIMATE, GROUP = 6, 1024, 512, 0.65, 64
+#: Shingles of each side of a tile whose sets are held together, about.
+TILE_SHINGLES = 1 << 20
 
 
 def band_rows(percent: int) -> int:
@@ -120,9 +122,19 @@ def _sign(words: int, rows: int):
 def _bucket_rows(n_bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(0).to_numpy()
+            node, size = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             bands = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, n_bands)), pa.array(bands), pa.array(np.tile(np.arange(n_bands, dtype=np.int32), len(node)))], names=["node", "bucket", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, n_bands)), pa.array(bands), pa.array(np.tile(np.arange(n_bands, dtype=np.int32), len(node))), pa.array(np.repeat(size, n_bands))], names=["node", "bucket", "band", "size"])
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (node, text) as (node, shingles): the sorted set as 64-bit integers."""
+        for batch in pieces(batches):
+            h, at = sets(batch.column(1), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), spans(h, at).cast(pa.binary())], names=["node", "shingles"])
 
     return run
 
@@ -199,7 +211,7 @@ def _candidates(band: int, node: np.ndarray, comp: np.ndarray, side: np.ndarray,
 
 
 def _tile_arrays(t: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Rows (tile, band, node, comp, side, short, bands, ...)."""
+    """Rows (tile, band, node, comp, side, short, bands, ...); the sets stay in Arrow."""
     tile, band, node, comp, side = (t.column(i).to_numpy() for i in range(5))
     short = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(len(node), -1)
     return tile, band, node, comp, side, short, np.frombuffer(b"".join(t.column(6).to_pylist()), np.int64).reshape(len(node), -1)
@@ -230,11 +242,11 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _settle(words: int, percent: int):
+def _settle(percent: int):
     least = least_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Verify the candidate pairs of tiles; rows as in _tile_arrays with the text behind."""
+        """Verify the candidate pairs of tiles; rows as in _tile_arrays with the sets behind."""
         for t in whole_groups(batches):
             tile, band, node, comp, side, short, bands = _tile_arrays(t)
             cut = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
@@ -243,13 +255,19 @@ def _settle(words: int, percent: int):
                 i, j, value = _candidates(int(band[lo]), node[lo:hi], comp[lo:hi], side[lo:hi], short[lo:hi], bands[lo:hi], least)
                 if not len(i):
                     continue
-                h, at = sets(t.column(7).slice(lo, hi - lo), words)
+                held: dict[int, np.ndarray] = {}
+
+                def of(k: int, held=held, column=t.column(7), lo=lo) -> np.ndarray:
+                    if k not in held:
+                        held[k] = np.frombuffer(column[lo + k].as_buffer(), U)
+                    return held[k]
+
                 roots, first = Roots(hi - lo), {}
                 for k, c in enumerate(comp[lo:hi].tolist()):  # what is joined already counts as one
                     roots.join(k, first.setdefault(c, k))
                 order = np.argsort(-value, kind="stable")
                 for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
-                    if roots.find(a) != roots.find(b) and _similar(h[at[a] : at[a + 1]], h[at[b] : at[b + 1]], percent):
+                    if roots.find(a) != roots.find(b) and _similar(of(a), of(b), percent):
                         roots.join(a, b)
                         out.append((int(node[lo + a]), int(node[lo + b])))
             if out:
@@ -281,21 +299,23 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield joined()
 
 
-def _verify(words: int, percent: int):
-    """Rows sorted by group: (group, node, hub, text); every node of a group is compared with its hub."""
+def _verify(percent: int):
+    """Rows sorted by group, the hub's first: (group, node, hub, shingles). Every node of a group is compared with its
+    hub, whose set alone is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches):
-            group, node, hub = (t.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            h, at = sets(t.column(3), words)
-            cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        at, base = None, np.zeros(0, U)
+        for t in batches:
             out = []
-            for i, j in zip(cut, np.append(cut[1:], len(group)), strict=True):
-                k = i + np.flatnonzero(node[i:j] == hub[i:j])
-                if not len(k):
-                    continue
-                base = h[at[k[0]] : at[k[0] + 1]]
-                out += [(int(hub[m]), int(node[m])) for m in range(i, j) if node[m] != hub[m] and _similar(base, h[at[m] : at[m + 1]], percent)]
+            group, node, hub = (t.column(i).to_pylist() for i in range(3))
+            for k, (g, n, h) in enumerate(zip(group, node, hub, strict=True)):
+                own = np.frombuffer(t.column(3)[k].as_buffer(), U)
+                if n == h:
+                    at, base = (g, h), own.copy()
+                elif at != (g, h):
+                    raise RuntimeError("a hub's set is missing")
+                elif _similar(base, own, percent):
+                    out.append((h, n))
             if out:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -305,18 +325,24 @@ def _verify(words: int, percent: int):
 
 def tree_tiles(rows: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     """Buckets as tiles (tile, node, short), each node in one tile of its bucket."""
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("k"))
-    r = rows.join(sizes, "bucket").select(F.xxhash64("bucket", F.pmod(F.xxhash64("bucket", "node"), F.col("k"))).alias("tile"), "node")
+    k = F.ceil(F.col("n") / TILE).cast("int")
+    r = rows.select(F.xxhash64("bucket", F.pmod(F.xxhash64("bucket", "node"), k)).alias("tile"), "node")
     return r.join(nodes.select("node", "short"), "node").select("tile", "node", "short").repartition(parts, "tile").sortWithinPartitions("tile")
 
 
-def open_tiles(rows: DataFrame, comps: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+def open_tiles(rows: DataFrame, comps: DataFrame, nodes: DataFrame, parts: int, tables: store.Tables) -> DataFrame:
     """Buckets with several components as tiles (tile, band, node, comp, side, short, bands): the nodes outside the
     largest component (side 1) against all nodes (side 2)."""
-    r = rows.join(comps, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("comp"))
-    sizes = r.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
-    sizes = sizes.select("bucket", F.col("most.comp").alias("most"), F.ceil((F.col("n") - F.col("most.n")) / NARROW_TILE).cast("int").alias("k1"), F.ceil(F.col("n") / NARROW_TILE).cast("int").alias("k2"))
-    r = r.join(sizes, "bucket")
+    r = tables.cut(rows.join(comps, "node", "left").select("bucket", "band", "node", "size", F.coalesce("component", "node").alias("comp")), "placed")
+    sizes = r.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("bucket")
+    sizes = sizes.agg(F.max(F.struct("n", "comp", "size")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("n > most.n")
+
+    def tiles(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / NARROW_TILE), F.ceil(size / TILE_SHINGLES)).cast("int")
+
+    outside = tiles(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size"))
+    sizes = tables.cut(sizes.select("bucket", "n", F.col("most.comp").alias("most"), outside.alias("k1"), tiles(F.col("n"), F.col("size")).alias("k2")), "open")
+    r = store.with_value(r, sizes, ["bucket"], "n", r.count())
     i, j = F.pmod(F.xxhash64("node"), F.col("k1")).cast("int"), F.pmod(F.xxhash64("node"), F.col("k2")).cast("int")
     one = F.transform(F.sequence(F.lit(0), F.col("k2") - 1), lambda x: F.struct(i.alias("i"), x.alias("j"), (F.lit(1) + F.when(x == j, 2).otherwise(0)).alias("side")))
     two = F.filter(F.transform(F.sequence(F.lit(0), F.col("k1") - 1), lambda x: F.struct(x.alias("i"), j.alias("j"), F.lit(2).alias("side"))), lambda p: (F.col("comp") == F.col("most")) | (p["i"] != i))
@@ -329,19 +355,29 @@ def described(r: DataFrame, nodes: DataFrame) -> DataFrame:
     return r.join(nodes.select("node", "short", "bands"), "node").select("tile", "band", "node", "comp", "side", "short", "bands")
 
 
-def verified(pairs: DataFrame, n_pairs: int, texts: DataFrame, nodes: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
+def sets_of(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, tables: store.Tables, name: str) -> DataFrame:
+    """(node, shingles) of the nodes in ``wanted``, each worked out from one row's text and written once."""
+    need = tables.cut(wanted.distinct().join(nodes.select("node", "row_key"), "node").select("node", "row_key"), f"{name}-need")
+    found = texts.join(store.small(need, need.count()), "row_key").select("node", "text").mapInArrow(_sets(words), "node long, shingles binary")
+    return tables.cut(found.dropDuplicates(["node"]), name)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, percent: int, parts: int, tables: store.Tables) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough. Pairs are grouped by the node that has
-    more of them, in groups of about GROUP, so a hub's text travels once for many of its mates."""
+    more of them, in groups of about GROUP, so a hub's set travels once for many of its mates."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count("*").alias("d"))
-    p = pairs.join(ends.select(F.col("node").alias("a"), F.col("d").alias("da")), "a").join(ends.select(F.col("node").alias("b"), F.col("d").alias("db")), "b")
+    ends = tables.cut(ends, "ends")
+    held = sets_of(ends.select("node"), texts, nodes, words, tables, "sets")
+    p = pairs
+    for end in ("a", "b"):
+        p = store.with_value(p, ends.select(F.col("node").alias(end), F.col("d").alias(f"d{end}")), [end], f"d{end}", 2 * pairs.count())
     first = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
     p = p.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("mate"), F.greatest("da", "db").alias("d"))
     p = p.withColumn("group", F.xxhash64("hub", F.pmod(F.xxhash64("mate"), F.ceil(F.col("d") / GROUP))))
     need = p.select("group", F.col("mate").alias("node"), "hub").union(p.select("group", "hub", "hub").distinct())
-    need = need.join(nodes.select("node", "row_key"), "node")
-    rows = texts.join(store.small(need, 2 * n_pairs), "row_key").dropDuplicates(["group", "node"])
-    rows = rows.select("group", "node", "hub", "text").repartition(parts, "group").sortWithinPartitions("group", "node")
-    return rows.mapInArrow(_verify(words, percent), "a long, b long")
+    rows = need.join(held, "node").withColumn("mate", F.col("node") != F.col("hub"))
+    rows = rows.repartition(parts, "group").sortWithinPartitions("group", "hub", "mate").select("group", "node", "hub", "shingles")
+    return rows.mapInArrow(_verify(percent), "a long, b long")
 
 
 def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -354,21 +390,26 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int
     d = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(key, text).alias("row_key"))
     kind = d.schema["id"].dataType.simpleString()
     signed = store.cut(d.mapInArrow(_sign(words, rows_a_band), f"id {kind}, row_key long, n_shingles long, node long, bands binary, short binary"), "signed")
-    rep = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.min("row_key").alias("row_key"), F.first("bands").alias("bands"), F.first("short").alias("short"))
+    tables = store.Tables(spark)
+    rep = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("short").alias("short"))
     nodes = store.cut(rep, "nodes")
-    rows = nodes.select("node", "bands").mapInArrow(_bucket_rows(2 * PERMUTATIONS // rows_a_band), "node long, bucket long, band int")
-    multi = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = store.cut(rows.join(multi, "bucket"), "buckets")
+    rows = tables.cut(nodes.select("node", "bands", "size").mapInArrow(_bucket_rows(2 * PERMUTATIONS // rows_a_band), "node long, bucket long, band int, size long"), "rows")
+    multi = tables.cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "multi")
+    buckets = tables.cut(store.with_value(rows, multi, ["bucket"], "n", rows.count()), "buckets")
+    tables.drop("rows", "multi")
     texts = d.select("row_key", "text")
-    pairs = store.cut(tree_tiles(buckets.where(F.col("band") < FIRST_BANDS), nodes, parts).mapInArrow(_propose(least), "a long, b long").distinct(), "pairs")
-    trees = store.cut(verified(pairs, pairs.count(), texts, nodes, words, percent, parts), "verified")
-    left = open_tiles(buckets, store.components(trees), nodes, parts).mapInArrow(_doubtful(least), "tile long, band int, node long, comp long, side int")
-    left = store.cut(left, "left")
-    wanted = left.join(nodes.select("node", "row_key"), "node").select("row_key", "tile", "band", "node", "comp", "side")
-    full = texts.join(store.small(wanted, left.count()), "row_key").dropDuplicates(["tile", "node", "side"])
-    full = full.join(nodes.select("node", "short", "bands"), "node").select("tile", "band", "node", "comp", "side", "short", "bands", "text")
-    settled = full.repartition(parts, "tile").sortWithinPartitions("tile", "node", "side").mapInArrow(_settle(words, percent), "a long, b long")
-    edges = trees.union(store.cut(settled, "settled"))
+    pairs = tables.cut(tree_tiles(buckets.where(F.col("band") < FIRST_BANDS), nodes, parts).mapInArrow(_propose(least), "a long, b long").distinct(), "pairs")
+    trees = store.cut(verified(pairs, texts, nodes, words, percent, parts, tables), "verified")
+    tables.drop_all_but("buckets")
+    left = open_tiles(buckets, store.components(trees), nodes, parts, tables).mapInArrow(_doubtful(least), "tile long, band int, node long, comp long, side int")
+    left = tables.cut(left, "left")
+    held = sets_of(left.select("node"), texts, nodes, words, tables, "sets")
+    full = described(left, nodes).join(held, "node").select("tile", "band", "node", "comp", "side", "short", "bands", "shingles")
+    settled = full.repartition(parts, "tile").sortWithinPartitions("tile", "node", "side").mapInArrow(_settle(percent), "a long, b long")
+    settled = store.cut(settled, "settled")
+    tables.drop_all_but()
+    store.forget_shuffles(spark)
+    edges = trees.union(settled)
     member = store.components(edges)
     known = nodes.select("node", "rep").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = known.groupBy("component").agg(F.min("rep").alias("component_id"))

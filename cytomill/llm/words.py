@@ -130,7 +130,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 
 def release() -> None:
-    """Give the allocator's free memory back: workers stay for other tasks, and so would their peaks."""
+    """Give the allocators' free memory back: workers stay for other tasks, and so would their peaks."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not glibc

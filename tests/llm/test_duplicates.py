@@ -104,6 +104,7 @@ def test_lattice_recall_at_the_threshold(dim):
 
 def test_lattice_hot_cells(spark, monkeypatch):
     monkeypatch.setattr(store, "HOT_ROWS", 3)
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 1500)
     test_lattice_finds_what_brute_force_finds(spark, 1024, monkeypatch)
 
 
@@ -136,6 +137,11 @@ def test_minmax_groups_of_all_kinds(spark, tile, monkeypatch):
     """Families whose members are linked with their origin, with some others, or just not."""
     monkeypatch.setattr(minmax, "TILE", tile)
     monkeypatch.setattr(minmax, "NARROW_TILE", tile)
+    if tile == 4:  # hot buckets by broadcast, tiles bounded by their sets, hubs in several groups
+        monkeypatch.setattr(minmax, "TILE_SHINGLES", 600)
+        monkeypatch.setattr(minmax, "GROUP", 3)
+        monkeypatch.setattr(store, "HOT_ROWS", 3)
+        monkeypatch.setattr(store, "BROADCAST_ROWS", 1000)
     rng = np.random.default_rng(3)
     rows = []
     for family in range(8):
@@ -184,6 +190,7 @@ def test_repeats_hard_rows(spark):
 def test_repeats_clashing_names_and_hot_keys(spark, monkeypatch):
     """Extra columns may have any name; hot anchors, blocks and windows come by broadcast and give the same rows."""
     monkeypatch.setattr(store, "HOT_ROWS", 5)
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 1000)
     passage = prose(91, 60)
     rows = [(i, prose(i, 10) + " " + passage + (" " + prose(92, 40) if i % 3 else "") + f" tail{i % 4}") for i in range(60)]
     check_repeats(spark, rows, 35)
