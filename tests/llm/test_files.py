@@ -25,13 +25,49 @@ def pages():
     return rows + [(300, None, None), (301, "http://ü/ a\r\nEvil: 1", ""), (302, "http://y", "é" * 70_000), (5, rows[5][1], rows[5][2]), (None, "http://z", rows[7][2]), (None, "http://z", "only here")]
 
 
+def headers(path):
+    with open(path, "rb") as f:
+        return [warc.parse(m)[0] for m in warc.members(f)]
+
+
+@pytest.mark.parametrize("ids", [[*range(1, 2000), 10**9], [*range(1, 2000), 1 << 60], [-(1 << 63), *range(500), (1 << 63) - 1], [k * k * k for k in range(1500)], [5], [None, 5]])
+def test_warc_shards_of_sparse_ids(spark, tmp_path, ids):
+    """Shards of about equal bytes and ascending ids wherever the ids lie."""
+    df = spark.createDataFrame([(i, f"u{i}", f"{i} " * 30) for i in ids], "page_id long, url string, html string")
+    manifest = warc.write(df, str(tmp_path / "a"), shard_bytes=60_000).orderBy("file").collect()
+    total = sum(len(f"{i} " * 30) + 512 for i in ids)
+    assert len(manifest) >= total / 60_000 and max(f["records"] for f in manifest) <= 2 * 60_000 / 512
+    order = [int(f["x-page-id"]) if "x-page-id" in f else None for m in manifest for f in headers(tmp_path / "a" / m["file"]) if f["warc-type"] != "warcinfo"]
+    assert order == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
+def test_warc_hot_ids_are_dealt(spark, tmp_path):
+    """A third of the rows without an id, a third with one id, one row many times: many shards, unique record ids."""
+    rows = [(None, "u", f"a {i}") for i in range(400)] + [(7, "u", f"b {i}") for i in range(400)] + [(9, "same", "x" * 50)] * 1000 + [(11, "v", "x" * 50), (None, None, "x" * 50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    manifest = warc.write(df, str(tmp_path / "a"), shard_bytes=30_000).collect()
+    found = [f for m in manifest for f in headers(tmp_path / "a" / m["file"]) if f["warc-type"] != "warcinfo"]
+    assert len(found) == len(rows) and max(m["records"] for m in manifest) < 200
+    ids = {f["warc-record-id"] for f in found}
+    assert len(ids) == len(rows)
+    revisits = [f for f in found if f["warc-type"] == "revisit"]
+    assert len(revisits) == 1001 and {f["x-refers-to-page-id"] for f in revisits} == {"11"} and all(f["warc-refers-to"] in ids for f in revisits)
+
+
+def test_warc_refuses_other_keys(spark, tmp_path):
+    with pytest.raises(TypeError):
+        warc.write(spark.createDataFrame([("a", None, "x")], "page_id string, url string, html string"), str(tmp_path / "a"))
+    with pytest.raises(FileNotFoundError):
+        warc.read(spark, str(tmp_path))
+
+
 @pytest.mark.parametrize("least", [0, 100_000])
 def test_warc_round_trip(spark, tmp_path, least):
     rows = pages()
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit(1))
-    manifest = warc.write(df, str(tmp_path / "a"), min_bytes=least, shard_bytes=20_000, file_bytes=5_000)
+    manifest = [r.asDict() for r in warc.write(df, str(tmp_path / "a"), min_bytes=least, shard_bytes=20_000, file_bytes=5_000).orderBy("file").collect()]
     assert len(manifest) > 5 and sum(f["records"] for f in manifest) == len(rows)
-    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == sorted([f["file"] for f in manifest] + ["manifest.json"])
+    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == sorted([f["file"] for f in manifest] + ["manifest"])
     last = collections.defaultdict(lambda: None)
     for k, _, h in rows:
         if k is not None and len((h or "").encode()) >= least:
@@ -45,7 +81,10 @@ def test_warc_round_trip(spark, tmp_path, least):
     assert collections.Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_digest"], r["payload_bytes"], None if r["payload"] is None else bytes(r["payload"])) for r in got) == want
     # the same rows in another order give the same bytes
     again = warc.write(df.repartition(7), str(tmp_path / "b"), min_bytes=least, shard_bytes=20_000, file_bytes=5_000)
-    assert again == manifest
+    assert [r.asDict() for r in again.orderBy("file").collect()] == manifest
+    ids = [f["warc-record-id"] for m in manifest for f in headers(tmp_path / "a" / m["file"])]
+    known = {f["warc-record-id"] for m in manifest for f in headers(tmp_path / "a" / m["file"]) if f["warc-type"] == "response"}
+    assert len(ids) == len(set(ids)) and all(f["warc-refers-to"] in known for m in manifest for f in headers(tmp_path / "a" / m["file"]) if f["warc-type"] == "revisit")
     for f in manifest:
         raw = (tmp_path / "a" / f["file"]).read_bytes()
         assert hashlib.sha256(raw).hexdigest() == f["sha256"] and gzip.decompress(raw).count(b"WARC/1.1\r\n") == f["records"] + 1
@@ -60,7 +99,7 @@ def test_warc_damage_is_found(spark, tmp_path):
 
 
 def test_warc_empty(spark, tmp_path):
-    assert warc.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "a")) == []
+    assert warc.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "a")).count() == 0
     assert warc.read(spark, str(tmp_path / "a")).count() == 0
 
 
