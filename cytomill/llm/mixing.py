@@ -1,19 +1,25 @@
 """Language-model scores by online logistic context mixing.
 
-A text is coded byte by byte, each byte as the binary decisions of a Huffman code of the training bytes.
-Several predictors give each decision a probability from counts under a hashed context: the last three
-bytes, the word so far, and for a word's first EARLY bytes the word so far with the word before it.
-Their counts cover all training texts; tasks count, and the counts are summed by slices of the tables. The logits are mixed by weights with a gate (how
-sure the word so far is) that are learned online along the text, and the mixed logit is refined by
-an adaptive correction for its own level. Before each byte and at the end, whether the text ends has a
-probability by the byte before. The sum over all decisions is the text's log probability: contexts, the
-alphabet among them, know only bytes that came before, so those of all texts add up to one.
-
-A text is a sequence of stretches, each a word with the white space behind it. Contexts within the stretch
-are counted and looked up once per distinct stretch of a block, while mixing sees every decision. It works on lanes of LANE bytes whose weights start anew, so a score
-depends on the text alone and many lanes advance together in numpy.
-
-The base score is that of smoothed word frequencies; its word table is joined back by blocks.
+A text is coded byte by byte, each byte as the binary decisions of a Huffman code for its context, the byte before.
+Four predictors give each decision a probability from counts of all training texts under a hashed or exact context:
+
+* the byte before, and the two bytes before, within the word: exact tables over all pairs and triples of bytes,
+  which the number of byte values bounds and which are broadcast;
+* the word so far with the text's alphabet: every prefix of every training word keeps the counts of the bytes after it;
+* the two words before: the word that followed them most often predicts, bit by bit, for as long as the text agrees.
+
+The last two tables grow with the corpus and are nowhere held whole: blocks of documents ask for the contexts they
+need, all askers of a context meet in the task of its bucket, which sums the counts of all blocks and answers each.
+
+The logits are mixed by weights that are selected by a gate (whether and how surely the words before predict) and
+learned online from the first word of a text to its last; the mixed logit is refined by an adaptive correction for its
+own level. Both learn after each word from all of its decisions, so all texts of a block advance together in numpy,
+word by word. Before each byte and at the end, whether the text ends has a probability by the byte before. Contexts, the
+alphabet among them, know only bytes that came before, so the probabilities of all texts add up to one.
+
+A text is a sequence of stretches, each a word with the white space behind it. What depends on the stretch and the
+alphabet alone is worked out once per distinct stretch of a block. The base score is that of smoothed word
+frequencies; its word table is joined back by the same exchange.
 """
 
 from __future__ import annotations
@@ -24,28 +30,34 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, store
 from .words import CHUNK, LOWER, SPACE, U, _powers, buffer_of, hashes, mix, pieces
 
-#: Bits of each predictor's table: fixed parameters, which bound what is broadcast.
-BITS = (20, 21, 22)
-CONTEXTS = len(BITS)
-SLICE, BLOCK, LANE, LANES, EARLY, RATE, REFINE, LEVELS = 1 << 16, 2 << 20, 512, 8192, 2, 0.02, 0.005, 17
-START = (0.3, 0.7, 0.5)
+#: Bytes of a block of texts: a bound of memory, without a part in the scores.
+BLOCK = 4 << 20
+RATE, REFINE, LEVELS, DELTA = 0.004, 0.01, 33, 0.4
+#: Inputs of the mixer: one byte, two bytes, word so far, the words before, word so far once more by its own sureness.
+INPUTS, GATES = 5, 4
+START = np.array([[0.1, 0.3, 0.6, 0.0, 0.2], [0.1, 0.3, 0.5, 0.3, 0.2], [0.1, 0.2, 0.3, 0.8, 0.1], [0.1, 0.2, 0.3, 1.0, 0.1]], np.float32)
 CLIP, SCALE, TOP = 7.9, 16.0, np.float32(11.9)
 #: The token after the last word: no word hashes to it but by chance.
 END = U(0x9E3779B97F4A7C15)
 CONTEXT_BASE = 0xD1342543DE82EF95
+#: Contexts are told apart by so many bits of their hashes.
+KEY = U((1 << 48) - 1)
+#: Bytes of a stretch that the words before predict.
+AHEAD = 16
+#: Where the counts of text ends, texts and empty texts stand behind those of byte triples.
+TRIPLES = 1 << 24
 
 
 @dataclass
 class Code:
-    """A Huffman code of the 256 bytes. ``length`` and ``first`` by byte; the decisions of a byte are the
-    entries of ``node`` (hashed) and ``bit`` from its ``first`` on."""
+    """Huffman codes of the 256 bytes, one for each byte before. ``length`` and ``first`` by (byte before) * 256 + byte; the
+    decisions of a byte are the entries of ``node`` (0 to 254 within its code) and ``bit`` from its ``first`` on."""
 
     length: np.ndarray
     first: np.ndarray
@@ -54,28 +66,30 @@ class Code:
 
 
 def huffman(count: np.ndarray) -> Code:
-    """From byte counts, each raised by one so that every byte has a code."""
-    heap = [(int(c) + 1, b, b) for b, c in enumerate(count)]
-    heapq.heapify(heap)
-    kids: dict[int, tuple[int, int]] = {}
-    nodes = 256
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        kids[nodes] = (a[2], b[2])
-        heapq.heappush(heap, (a[0] + b[0], nodes, nodes))
-        nodes += 1
-    paths: dict[int, list[tuple[int, int]]] = {}
-    stack: list[tuple[int, list[tuple[int, int]]]] = [(nodes - 1, [])]
-    while stack:
-        at, path = stack.pop()
-        if at < 256:
-            paths[at] = path
-        else:
-            stack += [(kids[at][x], [*path, (at - 256, x)]) for x in (0, 1)]
-    length = np.array([len(paths[b]) for b in range(256)], np.uint8)
-    flat = [step for b in range(256) for step in paths[b]]
-    node = np.array([n for n, _ in flat], np.uint32) * np.uint32(0x85EBCA6B) + np.uint32(1)
-    return Code(length, (np.cumsum(length) - length).astype(np.int32), node, np.array([x for _, x in flat], np.uint8))
+    """From (256, 256) counts of pairs, each weighed so that every byte has a code."""
+    length, node, bit = np.empty(1 << 16, np.int32), [], []
+    for one in range(256):
+        heap = [(int(c) * 256 + 1, b, b) for b, c in enumerate(count[one])]
+        heapq.heapify(heap)
+        kids: list[tuple[int, int]] = []
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            kids.append((a[2], b[2]))
+            heapq.heappush(heap, (a[0] + b[0], 255 + len(kids), 255 + len(kids)))
+        paths: list[list[tuple[int, int]]] = [[] for _ in range(511)]
+        for at in range(510, 255, -1):
+            for x in (0, 1):
+                paths[kids[at - 256][x]] = [*paths[at], (at - 256, x)]
+        for b in range(256):
+            length[one * 256 + b] = len(paths[b])
+            node += [n for n, _ in paths[b]]
+            bit += [x for _, x in paths[b]]
+    return Code(length, (np.cumsum(length) - length).astype(np.int32), np.array(node, np.uint8), np.array(bit, np.uint8))
+
+
+def logits(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Of a decision's counts, in steps of 1 / SCALE; few counts give small ones."""
+    return np.rint(np.clip(np.log((one + DELTA) / (zero + DELTA)), -CLIP, CLIP) * SCALE).astype(np.int8)
 
 
 class Stretches:
@@ -133,29 +147,18 @@ class Stretches:
         out[np.arange(len(text)) + text] = code[self.inverse[some]]
         return distinct, out, n
 
-    def decide(self, code: Code) -> None:
-        """Lay out the decisions of the distinct stretches."""
-        self.code = code
-        self.size = code.length[self.bytes]
-        total = offsets(self.size)
-        self.decision = total[self.first]
-        self.decisions = total[self.first + self.byte_run] - self.decision
-        self.early = total[self.first + np.minimum(self.byte_run, EARLY)] - self.decision
-        at = np.repeat(code.first[self.bytes] - total[:-1], self.size)
-        at += np.arange(len(at), dtype=np.int32)
-        node, self.bit = taken(code.node, at), taken(code.bit, at)
-        del at
+    def contexts(self) -> None:
+        """The one and two bytes before each byte of the distinct stretches, and the keys of the word so far."""
         data, n = self.bytes, len(self.bytes)
 
         def before(x: np.ndarray) -> np.ndarray:
-            out = np.zeros(n, np.uint32)
+            out = np.zeros(n, np.int32)
             out[1:] = x[:-1]
             out[self.first] = 0
             return out
 
-        one = before(data)
-        two = before(one)
-        three = (before(two) << np.uint32(16) | two << np.uint32(8) | one) * np.uint32(0x9E3779B1)
+        self.one = before(data)
+        self.two = before(self.one)
         table = np.random.default_rng(22).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
         size = 1 << max(20, n.bit_length())
         sums = np.zeros(n + 1, U)
@@ -163,25 +166,27 @@ class Stretches:
         prefix = sums[:n] - np.repeat(sums[self.first], self.byte_run)
         prefix *= np.repeat(_powers(pow(CONTEXT_BASE, -1, 1 << 64), size)[self.first], self.byte_run)
         prefix ^= np.repeat(mix(self.alphabet + U(9)), self.byte_run)
-        three ^= np.repeat((mix(self.alphabet + U(3)) >> U(32)).astype(np.uint32), self.byte_run)
-        self.within = [np.repeat(c, self.size) ^ node for c in (three ^ three >> np.uint32(15), (mix(prefix) >> U(32)).astype(np.uint32))]
-
-    def followers(self) -> Iterator[tuple[np.ndarray, np.ndarray, slice, np.ndarray]]:
-        """For the early decisions of stretches, some stretches at a time: their places among the distinct decisions, the
-        slots of their contexts with the word before, which stretches these are, and their numbers of early decisions."""
-        before = np.zeros(len(self.begin), U)
-        before[1:] = self.word[self.inverse[:-1]]
-        before[np.searchsorted(self.begin, self.offs[:-1][self.offs[:-1] < self.offs[1:]])] = 1
-        before = (mix(before + U(5)) >> U(32)).astype(np.uint32)
-        for i in range(0, len(self.begin), 1 << 16):
-            own = slice(i, i + (1 << 16))
-            which = self.inverse[own]
-            n = self.early[which]
-            place = np.repeat(self.decision[which] - (np.cumsum(n) - n), n)
-            place += np.arange(len(place))
-            x = self.within[-1].take(place)
-            x ^= np.repeat(before[own], n)
-            yield place, slots(x, BITS[-1]), own, n
+        self.prefix = mix(prefix + self.one.astype(U)) & KEY
+
+    def ahead(self) -> np.ndarray:
+        """The first AHEAD bytes of the distinct stretches, with zeros behind."""
+        out = np.zeros((len(self.first), AHEAD), np.uint8)
+        at = np.minimum(self.first[:, None] + np.arange(AHEAD), max(len(self.bytes) - 1, 0))
+        inside = np.arange(AHEAD) < self.byte_run[:, None]
+        out[inside] = self.bytes[at[inside]]
+        return out
+
+    def before(self) -> np.ndarray:
+        """The keys of the two words before each stretch; at a text's start there are none."""
+        n = len(self.begin)
+        word = self.word[self.inverse]
+        one, two = np.zeros(n, U), np.zeros(n, U)
+        one[1:] = word[:-1]
+        head = np.searchsorted(self.begin, self.offs[:-1][self.offs[:-1] < self.offs[1:]])
+        one[head] = 1
+        two[1:] = one[:-1]
+        two[head] = 2
+        return mix(mix(one + U(5)) * U(3) + two) & KEY
 
 
 def alphabets(data: np.ndarray, offs: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -209,122 +214,64 @@ def alphabets(data: np.ndarray, offs: np.ndarray, begin: np.ndarray) -> np.ndarr
     return out
 
 
-def offsets(size: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(size) + 1, np.int32)
-    np.cumsum(size, out=out[1:])
-    return out
-
-
-def taken(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """``table[at]`` piece by piece, as numpy widens narrow indexes."""
-    out = np.empty(len(at), table.dtype)
-    for i in range(0, len(at), 1 << 19):
-        np.take(table, at[i : i + (1 << 19)], out=out[i : i + (1 << 19)], mode="clip")
-    return out
-
-
-def looked_up(table: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
-    """The entries of the slots of ``x``, piece by piece."""
-    out = np.empty(len(x), table.dtype)
-    for i in range(0, len(x), 1 << 19):
-        np.take(table, slots(x[i : i + (1 << 19)], bits), out=out[i : i + (1 << 19)], mode="clip")
-    return out
-
-
-def slots(x: np.ndarray, bits: int) -> np.ndarray:
-    x = x * np.uint32(0x2C1B3C6D)
-    x ^= x >> np.uint32(15)
-    x *= np.uint32(0x297A2D39)
-    x >>= np.uint32(32 - bits)
-    return x.astype(np.intp)
-
-
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the bytes, of those that end a text, of texts and of empty ones."""
-    total = np.zeros(514, np.int64)
-    for batch in batches:
-        data, offs = buffer_of(batch.column(0))
-        total[:256] += np.bincount(data, minlength=256)
-        full = offs[:-1] < offs[1:]
-        total[256:512] += np.bincount(data[offs[1:][full] - 1], minlength=256)
-        total[512] += len(full)
-        total[513] += (~full).sum()
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["byte", "n"])
-
-
-def gathered(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Texts of about ``limit`` bytes together, as bytes and offsets."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    for batch in batches:
-        held.append(buffer_of(batch.column(column)))
-        size += len(held[-1][0])
-        if size >= limit:
-            yield joined(held)
-            held, size = [], 0
-    if size:
-        yield joined(held)
-
-
 def joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum([0, *(len(d) for d, _ in held)])
     return np.concatenate([d for d, _ in held]), np.concatenate([np.zeros(1, np.int64), *(o[1:] + s for (_, o), s in zip(held, starts, strict=False))])
 
 
-def _count(code: Code):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(2 << b, np.uint32) for b in BITS]  # a task reads far fewer than 2**32 decisions
-        for data, offs in gathered(pieces(batches, "text"), 0, BLOCK // 2):
-            s = Stretches(data, offs)
-            s.decide(code)
-            weight = np.repeat(np.bincount(s.inverse).astype(float), s.decisions)
-            for t, x, b in zip(tables, s.within, BITS, strict=False):
-                at = slots(x, b)
-                at *= 2
-                at += s.bit
-                np.add(t, np.bincount(at, weight, len(t)), out=t, casting="unsafe")
-            del weight
-            for place, at, _, _ in s.followers():
-                np.add.at(tables[-1], 2 * at + s.bit.take(place), np.uint32(1))
-            del s, at, place, x
-        for k, t in enumerate(tables):
-            for s in range(0, len(t), SLICE):
-                part = t[s : s + SLICE]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([s], pa.int64()), pa.array([blocks.squeeze(part)], pa.binary())], names=["k", "s", "data"])
+def offsets(size: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=out[1:])
+    return out
 
-    return run
 
+def spread_over(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of runs of ``size``, one run after the other."""
+    at = np.repeat(first - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    return at
 
-def _sum(final: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Slices are summed one by one; a task holds one sum for each slice that falls to it."""
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for k, s, data in blocks.rows_of(batches):
-            key = (k.as_py(), s.as_py())
-            part = blocks.spread(data.as_py()).astype(np.int64)
-            if key in total:
-                total[key] += part
-            else:
-                total[key] = part
-        for (k, s), t in total.items():
-            if final:
-                pair = t.reshape(-1, 2)
-                logit = np.log((pair[:, 1] + 0.4) / (pair[:, 0] + 0.4))
-                raw = zstandard.compress(np.rint(np.clip(logit, -CLIP, CLIP) * SCALE).astype(np.int8).tobytes(), 3)
-            else:
-                raw = blocks.squeeze(t)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([s], pa.int64()), pa.array([raw], pa.binary())], names=["k", "s", "data"])
 
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of byte triples within stretches, of bytes that end a text, of texts and of empty ones."""
+    total: dict[int, int] = {}
+    ends = np.zeros(258, np.int64)
+    for batch in pieces(batches, "text"):
+        data, offs = buffer_of(batch.column(0))
+        full = offs[:-1] < offs[1:]
+        ends[:256] += np.bincount(data[offs[1:][full] - 1], minlength=256)
+        ends[256:] += (len(full), (~full).sum())
+        if not len(data):
+            continue
+        head = np.zeros(len(data), bool)  # as in Stretches
+        head[1:] = SPACE[data[:-1]]
+        head[offs[:-1][full]] = True
+        key = data.astype(np.uint32)
+        one = np.zeros(len(data), np.uint32)
+        one[1:] = key[:-1]
+        one[head] = 0
+        two = np.zeros(len(data), np.uint32)
+        two[1:] = one[:-1]
+        two[head] = 0
+        key |= one << np.uint32(8) | two << np.uint32(16)
+        key.sort()
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        for k, c in zip(key[first].tolist(), np.diff(np.append(first, len(key))).tolist(), strict=True):
+            total[k] = total.get(k, 0) + c
+    total |= {TRIPLES + i: int(n) for i, n in enumerate(ends) if n}
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["key", "n"])
 
 
 @dataclass
 class Model:
-    """``stop`` holds the probability of the text's end behind each byte and, as its last entry, at the start."""
+    """The exact tables: ``one`` has a logit for each byte before and node, ``two`` for each pair of bytes in ``pair`` (of
+    65536, -1 if it was not seen) and node; ``stop`` the probability of the text's end behind each byte and, as its last
+    entry, at the start."""
 
     code: Code
-    tables: list[np.ndarray]
+    one: np.ndarray
+    two: np.ndarray
+    pair: np.ndarray
     stop: np.ndarray = field(default_factory=lambda: np.full(257, 0.5))
 
     def ends(self, s: Stretches) -> np.ndarray:
@@ -337,246 +284,496 @@ class Model:
         out[full] = on[-1] + np.add.reduceat(value, s.offs[:-1][full]) - on[last] + np.log10(self.stop[last]) if full.any() else 0
         return out
 
-    def scores(self, s: Stretches) -> np.ndarray:
-        """log10 probability of each text's bytes; that of its end comes from ``ends``."""
-        data, offs = s.data, s.offs
-        out = np.zeros(len(offs) - 1)
-        if not len(data):
-            return out
-        s.decide(self.code)
-        packed = np.zeros((len(s.bit), 4), np.int8)  # all that mixing needs of a decision, together
-        for k, x in enumerate(s.within):
-            packed[:, k] = looked_up(self.tables[k], x, BITS[k])
-        packed[:, 3] = s.bit * np.int8(2) - np.int8(1)
-        packed = packed.view(np.uint32).ravel()
-        ends = offsets(self.code.length[data])
-        head = ends[s.begin]
-        shift = s.decision[s.inverse] - head
-        follower = np.zeros(ends[-1], np.int8)
-        for _, at, own, n in s.followers():
-            where = np.repeat(head[own] - (np.cumsum(n) - n), n)
-            where += np.arange(len(where))
-            follower[where] = self.tables[-1].take(at)
-        s.within = []
-        # lanes: pieces of LANE bytes of each text
-        length = np.diff(offs)
-        lanes = -(-length // LANE)
-        row = np.repeat(np.arange(len(length)), lanes)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        begin = offs[:-1][row] + nth * LANE
-        end = np.minimum(begin + LANE, offs[1:][row])
-        value = np.empty(len(row))
-        for i in range(0, len(row), LANES):
-            a, b = begin[i : i + LANES], end[i : i + LANES]
-            lo, hi = int(ends[a[0]]), int(ends[b[-1]])
-            x, y = np.searchsorted(s.begin, a[0], side="right") - 1, np.searchsorted(s.begin, b[-1])
-            cut = np.clip(np.append(head[x:y], hi), lo, hi)
-            place = np.repeat(shift[x:y], np.diff(cut))
-            place += np.arange(lo, hi, dtype=np.int32)
-            rows = taken(packed, place)
-            rows.view(np.int8)[2::4] = follower[lo:hi]
-            value[i : i + LANES] = _mix(rows, ends[a] - lo, ends[b] - ends[a])
-        np.add.at(out, row, value)
-        return out
 
-
-def _mix(rows: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Mix and refine decision by decision, all lanes at once, those with most decisions first; the log10
-    probabilities of the lanes. ``rows`` packs the decisions' logits and bits."""
-    order = np.argsort(-count, kind="stable")
-    first, count = first[order], count[order]
-    lanes = len(first)
-    active = np.searchsorted(-count, -np.arange(int(count[0])), side="left").tolist()
-    w = np.zeros((2 * CONTEXTS, lanes), np.float32)
-    w[:CONTEXTS] = np.array(START, np.float32)[:, None]
-    x = np.empty((2 * CONTEXTS, lanes), np.float32)
-    level = np.zeros(LEVELS * lanes, np.float32)
-    column = np.arange(lanes) + LEVELS // 2 * lanes
-    total, chance = np.zeros(lanes), np.ones(lanes, np.float32)
-    one, scale, clip, half = np.float32(1), np.float32(1 / SCALE), np.float32(1 / CLIP), np.float32((LEVELS - 1) / 24)
-    rate, step = np.float32(RATE), np.float32(4 * REFINE)
-    for t, k in enumerate(active):
-        v = rows.take(first[:k] + t).view(np.int8).reshape(k, 4)
-        xs, ws = x[:, :k], w[:, :k]
-        np.multiply(v.T[:CONTEXTS], scale, out=xs[:CONTEXTS], casting="unsafe")
-        gate = np.abs(xs[1])
-        gate *= clip
-        np.multiply(xs[:CONTEXTS], gate, out=xs[CONTEXTS:])
-        z = np.add.reduce(ws * xs, 0)
-        z.clip(-TOP, TOP, out=z)
-        s = v[:, 3].astype(np.float32)  # 1 or -1
-        spot = np.rint(z * half).astype(np.intp)
-        spot *= lanes
-        spot += column[:k]
-        c = level.take(spot)
-        z += c
-        z *= s
-        np.exp(z, out=z)
-        miss = np.reciprocal(z + one)  # what the probability lacks
-        z *= miss
-        chance[:k] *= z
-        miss *= s
-        c += miss * step
-        level[spot] = c
-        miss *= rate
-        xs *= miss
-        ws += xs
-        if t & 3 == 3:
-            total += np.log(chance)
-            chance[:] = 1
-    total += np.log(chance)
-    out = np.empty(lanes)
-    out[order] = total / np.log(10)
-    return out
+def model_of(keys: np.ndarray, n: np.ndarray) -> Model:
+    """From counts by key, as ``_count`` has them."""
+    triple = keys < TRIPLES
+    k, c = keys[triple], n[triple]
+    two, byte = k >> 8, k & 255
+    pairs = np.bincount(k & 0xFFFF, c, 1 << 16).astype(np.int64)
+    code = huffman(pairs.reshape(256, 256))
+
+    def table(context: np.ndarray, one: np.ndarray, byte: np.ndarray, count: np.ndarray, contexts: int) -> np.ndarray:
+        at = one * 256 + byte
+        place = spread_over(code.first[at], code.length[at])
+        key = (np.repeat(context, code.length[at]) * 255 + code.node[place]) * 2 + code.bit[place]
+        both = np.bincount(key, np.repeat(count, code.length[at]), contexts * 510).reshape(-1, 2)
+        return logits(both[:, 0], both[:, 1])
+
+    seen = np.flatnonzero(pairs)
+    one = table(seen >> 8, seen >> 8, seen & 255, pairs[seen], 256)
+    known = np.unique(two)
+    pair = np.full(1 << 16, -1, np.int32)
+    pair[known] = np.arange(len(known))
+    second = table(pair[two].astype(np.int64), two & 255, byte, c, len(known)) if len(known) else np.zeros(255, np.int8)
+    ends = np.zeros(258, np.int64)
+    ends[keys[~triple] - TRIPLES] = n[~triple]
+    bytes_ = np.bincount(k & 255, c, 256)
+    stop = (np.append(ends[:256], ends[257]) + 0.5) / (np.append(bytes_, ends[256]) + 1)  # smoothed: never 0 or 1
+    return Model(code, one, second, pair, stop)
 
 
 def train(texts: DataFrame) -> Model:
-    """Count all ``texts`` (one column). The driver receives 514 counts of bytes and ends and the finished tables,
-    whose size BITS fixes."""
-    spark = texts.sparkSession
-    store.bound_batches(spark)
+    """Count the byte triples of all ``texts`` (one column). The driver receives a count for each triple that occurs,
+    TRIPLES at most whatever the corpus."""
+    store.bound_batches(texts.sparkSession)
     t = texts.select(F.coalesce(F.col(texts.columns[0]), F.lit("")).alias("text"))
-    count = np.zeros(514, np.int64)
-    for b, n in t.mapInArrow(_histogram, "byte long, n long").groupBy("byte").agg(F.sum("n")).collect():
-        count[b] = n
-    code = huffman(count[:256])
-    # smoothed, so that no probability is 0 or 1
-    stop = (np.append(count[256:512], count[513]) + 0.5) / (np.append(count[:256], count[512]) + 1)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # summed within groups of tasks first, so that no slice gathers one row of every task
-    rows = t.mapInArrow(_count(code), "k int, s long, data binary")
-    half = rows.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(32))).repartition(parts, "k", "s", "g").select("k", "s", "data").mapInArrow(_sum(False), "k int, s long, data binary")
-    done = half.repartition(parts, "k", "s").mapInArrow(_sum(True), "k int, s long, data binary")
-    tables = [np.zeros(1 << b, np.int8) for b in BITS]
-    for k, s, data in done.toLocalIterator():
-        part = np.frombuffer(zstandard.decompress(bytes(data)), np.int8)
-        tables[k][s // 2 : s // 2 + len(part)] = part
-    return Model(code, tables, stop)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], Stretches, np.ndarray]]:
-    """Blocks of rows (key, text, learn, part): their batches, stretches and flags of training."""
+    got = t.mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    return model_of(got["key"].to_numpy(), got["n"].to_numpy())
+
+
+# what a block asks for, and the answers
+
+
+def packed_up(*arrays: np.ndarray) -> bytes:
+    """Arrays as one value, each compressed by itself behind its size."""
+    parts = [blocks.squeeze(a) for a in arrays]
+    return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+
+
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(raw):
+        n = int.from_bytes(raw[at : at + 4], "little")
+        out.append(blocks.spread(raw[at + 4 : at + 4 + n]))
+        at += 4 + n
+    return out
+
+
+def narrow(a: np.ndarray) -> np.ndarray:
+    """In the fewest bytes that hold the values."""
+    top = int(a.max(initial=0))
+    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and each value's place among them."""
+    order = np.argsort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[order[1:]] != x[order[:-1]]
+    inverse = np.empty(len(x), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return x[order[new]], inverse
+
+
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of ``n``."""
+    value, inverse = distinct(key)
+    return value, np.bincount(inverse, n, len(value)).astype(np.int64)
+
+
+class Asked:
+    """A block's contexts: the three kinds of keys by bucket and key, and after ``count`` the training counts that it adds.
+
+    ``token`` has the distinct tokens; ``node`` the prefixes, with edges to the bytes after them; ``pair`` the words before,
+    with edges to the stretches after them."""
+
+    def __init__(self, s: Stretches, buckets: int) -> None:
+        self.buckets = buckets
+        s.contexts()
+        words, self.codes, self.sizes = s.tokens()
+        self.token, place, self.token_cut = self.ordered(words)
+        self.codes = place[self.codes]
+        node, at = distinct(s.prefix)
+        self.node, place, self.node_cut = self.ordered(node)
+        self.node_at = place[at]
+        pair, at = distinct(s.before())
+        self.pair, place, self.pair_cut = self.ordered(pair)
+        self.pair_at = place[at]
+
+    def count(self, s: Stretches, learn: np.ndarray) -> None:
+        """Add what the texts with ``learn`` count."""
+        text = np.searchsorted(s.offs, s.begin, side="right") - 1
+        known = learn[text] if len(text) else np.zeros(0, bool)
+        self.token_count = np.bincount(self.codes[np.repeat(learn, self.sizes)], minlength=len(self.token))
+        heavy = np.repeat(np.bincount(s.inverse[known], minlength=len(s.first)), s.byte_run)
+        some = np.flatnonzero(heavy)
+        self.edge, self.edge_count = summed(self.node_at[some] << 8 | s.bytes[some], heavy[some])
+        d = max(1, len(s.first))
+        self.next, self.next_count = summed(self.pair_at[known] * d + s.inverse[known], np.ones(int(known.sum())))
+        self.next_stretch = s.ahead()[self.next % d] if len(self.next) else np.zeros((0, AHEAD), np.uint8)
+        self.next //= d
+
+    def ordered(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys by bucket and value, their places there, and the buckets' offsets."""
+        order, cut = blocks.order_by_bucket(key, self.buckets)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return key[order], place, cut
+
+    def row(self, b: int) -> bytes:
+        def keys(all_: np.ndarray, cut: np.ndarray) -> np.ndarray:
+            return narrow(np.diff(all_[cut[b] : cut[b + 1]], prepend=U(0)))
+
+        def fan(at: np.ndarray, cut: np.ndarray, shift: int) -> tuple[np.ndarray, slice]:
+            lo, hi = np.searchsorted(at >> shift, (cut[b], cut[b + 1]))
+            return narrow(np.bincount((at[lo:hi] >> shift) - cut[b], minlength=cut[b + 1] - cut[b])), slice(lo, hi)
+
+        edges, e = fan(self.edge, self.node_cut, 8)
+        nexts, x = fan(self.next, self.pair_cut, 0)
+        return packed_up(
+            keys(self.token, self.token_cut), narrow(self.token_count[self.token_cut[b] : self.token_cut[b + 1]]),
+            keys(self.node, self.node_cut), edges, (self.edge[e] & 255).astype(np.uint8), narrow(self.edge_count[e]),
+            keys(self.pair, self.pair_cut), nexts, np.ascontiguousarray(self.next_stretch[x]).view(np.uint64).ravel(), narrow(self.next_count[x]),
+        )
+
+    def sum(self) -> int:
+        return blocks.checksum(np.concatenate([self.token, self.node, self.pair]))
+
+
+ASKED = "bucket int, block long, sum long, data binary"
+
+
+def _ask(buckets: int, block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, (held, learn) in enumerate(_blocks(batches, block)):
+            s = Stretches(*joined([buffer_of(b.column(1)) for b in held]))
+            asked = Asked(s, buckets)
+            asked.count(s, learn)
+            id_, total = blocks.block_id(held[0].column(3)[0].as_py(), k), asked.sum()
+            for b in range(buckets):
+                if any(cut[b] < cut[b + 1] for cut in (asked.token_cut, asked.node_cut, asked.pair_cut)):
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([id_], pa.int64()), pa.array([total], pa.int64()), pa.array([asked.row(b)], pa.binary())], names=["bucket", "block", "sum", "data"])
+
+    return run
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray]]:
+    """Blocks of rows (key, text, learn, part): their batches and flags of training."""
     held: list[pa.RecordBatch] = []
     size = 0
 
-    def close() -> tuple[list[pa.RecordBatch], Stretches, np.ndarray]:
-        learn = np.concatenate([b.column(2).to_numpy(zero_copy_only=False).astype(bool) for b in held])
-        return held, Stretches(*joined([buffer_of(b.column(1)) for b in held])), learn
+    def close() -> tuple[list[pa.RecordBatch], np.ndarray]:
+        return held, np.concatenate([b.column(2).to_numpy(zero_copy_only=False).astype(bool) for b in held])
 
     for batch in pieces(batches, "text"):
         held.append(batch)
         size += len(buffer_of(batch.column(1))[0])
-        if size >= BLOCK:
+        if size >= block:
             yield close()
             held, size = [], 0
     if held:
         yield close()
 
 
-def _bucketed(s: Stretches, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens in bucket order, the buckets' offsets, the texts' tokens as places among them, and their numbers."""
-    distinct, codes, n = s.tokens()
-    order, cut = blocks.order_by_bucket(distinct, buckets)
-    place = np.empty(len(order), np.uint32)
-    place[order] = np.arange(len(order), dtype=np.uint32)
-    return distinct[order], cut, place[codes], n
-
-
-def _words(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, (held, s, learn) in enumerate(_blocks(batches)):
-            words, cut, codes, n = _bucketed(s, buckets)
-            part = held[0].column(3)[0].as_py()
-            count = np.bincount(codes[np.repeat(learn, n)], minlength=len(words)).astype(np.uint32)
-            total, rows = blocks.checksum(words), []
-            for b in range(buckets):
-                if cut[b] < cut[b + 1]:
-                    own = words[cut[b] : cut[b + 1]]  # ascending, so their differences are smaller
-                    a, c = blocks.squeeze(np.diff(own, prepend=U(0))), blocks.squeeze(count[cut[b] : cut[b + 1]])
-                    rows.append((b, len(a).to_bytes(4, "little") + a + c))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([blocks.block_id(part, k)] * len(rows), pa.int64()), pa.array([total] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block", "sum", "data"])
+class Counts:
+    """Sums of a bucket over all blocks."""
+
+    def __init__(self, rows: list[bytes]) -> None:
+        kinds: list[list[tuple[np.ndarray, ...]]] = [[], [], []]
+        for raw in rows:
+            token, count, node, edges, byte, edge_count, pair, nexts, ahead, next_count = unpacked(raw)
+            kinds[0].append((np.cumsum(token, dtype=U), count))
+            kinds[1].append((np.repeat(np.cumsum(node, dtype=U), edges) << U(8) | byte, edge_count))
+            kinds[2].append((np.repeat(np.cumsum(pair, dtype=U), nexts), ahead.reshape(-1, 2), next_count))
+            if len(kinds[0]) >= 32:
+                kinds = [[self.reduced(i, k)] for i, k in enumerate(kinds)]
+        none = [(np.zeros(0, U), np.zeros(0, np.int64)), (np.zeros(0, U), np.zeros(0, np.int64)), (np.zeros(0, U), np.zeros((0, 2), U), np.zeros(0, np.int64))]
+        self.token, self.edge, self.next = (self.reduced(i, k or [none[i]]) for i, k in enumerate(kinds))
+        # of what followed two words: the most frequent stretch, of equals the one first by its bytes, and all of them
+        key, ahead, count = self.next
+        order = np.lexsort((ahead[:, 1], ahead[:, 0], -count, key))
+        head = np.ones(len(key), bool)
+        head[1:] = key[order[1:]] != key[order[:-1]]
+        first = np.flatnonzero(head)
+        self.pair, self.best = key[order[first]], order[first]
+        self.pair_total = np.add.reduceat(count[order], first) if len(first) else np.zeros(0, np.int64)
+
+    @staticmethod
+    def reduced(kind: int, parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        count = cols[-1].astype(np.int64)
+        if kind < 2:
+            return summed(cols[0], count)
+        both = mix(cols[0] ^ mix(cols[1][:, 0] + U(7)) ^ mix(cols[1][:, 1] + U(11)) * U(3))
+        order = np.argsort(both)
+        first = np.flatnonzero(np.append(True, both[order[1:]] != both[order[:-1]])) if len(order) else order
+        return cols[0][order[first]], cols[1][order[first]], np.add.reduceat(count[order], first) if len(first) else count
+
+    def answer(self, raw: bytes) -> bytes:
+        token, _, node, _, _, _, pair, _, _, _ = unpacked(raw)
+        words, counts = self.token
+        count = counts[np.searchsorted(words, np.cumsum(token, dtype=U))]
+        key = np.cumsum(node, dtype=U)
+        lo, hi = np.searchsorted(self.edge[0], key << U(8)), np.searchsorted(self.edge[0], (key + U(1)) << U(8))
+        at = spread_over(lo, hi - lo)
+        i = np.searchsorted(self.pair, np.cumsum(pair, dtype=U))
+        i = np.minimum(i, max(0, len(self.pair) - 1))
+        some = self.pair[i] == np.cumsum(pair, dtype=U) if len(self.pair) else np.zeros(len(i), bool)
+        best = self.best[i[some]] if some.any() else np.zeros(0, np.int64)
+        return packed_up(
+            narrow(count), narrow(hi - lo), (self.edge[0][at] & U(255)).astype(np.uint8), narrow(self.edge[1][at]),
+            some.astype(np.uint8), np.ascontiguousarray(self.next[1][best]).ravel(), narrow(self.next[2][best]), narrow(self.pair_total[i[some]] if some.any() else np.zeros(0, np.int64)),
+        )
+
+
+ANSWERED = "block long, bucket int, sum long, data binary"
 
-    return run
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum each bucket over all blocks, then answer every block. The compressed rows of one bucket are held, not
+    those of others; buckets follow one another. A row of block -1 has the bucket's training tokens and distinct ones."""
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(raw[:4], "little")
-    return np.cumsum(blocks.spread(raw[4 : 4 + n], "<u8"), dtype=U), blocks.spread(raw[4 + n :])
-
+    def row(block: int, bucket: int, total: int, data: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], names=["block", "bucket", "sum", "data"])
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum each bucket's words over all blocks, then answer every block. The compressed rows of one
-    bucket are held, not those of others; buckets follow one another."""
-
-    def answer(bucket: int, rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        words, counts = np.zeros(0, U), np.zeros(0, np.int64)
-        for i in range(0, len(rows), 32):
-            got = [_unpack(r[2]) for r in rows[i : i + 32]]
-            both = np.concatenate([words, *(w for w, _ in got)])
-            count = np.concatenate([counts, *(c.astype(np.int64) for _, c in got)])
-            words, inverse = np.unique(both, return_inverse=True)
-            counts = np.bincount(inverse, count, len(words)).astype(np.int64)
-        known = counts > 0
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([bucket], pa.int32()), pa.array([0], pa.int64()), pa.array([b""], pa.binary()), pa.array([int(counts.sum())], pa.int64()), pa.array([int(known.sum())], pa.int64())], names=["block", "bucket", "sum", "data", "tokens", "distinct"])
+    def answers(bucket: int, rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        c = Counts([r[2] for r in rows])
+        yield row(-1, bucket, 0, packed_up(np.array([c.token[1].sum(), (c.token[1] > 0).sum()], np.int64)))
         for block, total, raw in rows:
-            count = counts[np.searchsorted(words, _unpack(raw)[0])]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([total], pa.int64()), pa.array([blocks.squeeze(count)], pa.binary()), pa.array([0], pa.int64()), pa.array([0], pa.int64())], names=["block", "bucket", "sum", "data", "tokens", "distinct"])
+            yield row(block, bucket, total, c.answer(raw))
 
     at, rows = None, []
     for bucket, block, total, data in blocks.rows_of(batches):
         if bucket.as_py() != at:
             if rows:
-                yield from answer(at, rows)
+                yield from answers(at, rows)
             at, rows = bucket.as_py(), []
         rows.append((block.as_py(), total.as_py(), data.as_py()))
     if rows:
-        yield from answer(at, rows)
+        yield from answers(at, rows)
+
+
+# scores of a block
+
+
+class Answers:
+    """All answers to a block, in the order of its keys."""
+
+    def __init__(self, rows: list[bytes]) -> None:
+        cols = list(zip(*(unpacked(r) for r in rows), strict=True)) or [[np.zeros(0, np.uint8)]] * 8
+        self.count, self.edges, self.byte, self.edge_count, some, ahead, best, total = (np.concatenate(c) for c in cols)
+        at = np.cumsum(some.astype(np.int64)) - 1
+        some = some.astype(bool)
+        self.ahead = np.zeros((len(some), 2), U)
+        self.best, self.total = np.zeros(len(some)), np.zeros(len(some))
+        if some.any():
+            self.ahead[some], self.best[some], self.total[some] = ahead.reshape(-1, 2).astype(U)[at[some]], best[at[some]], total[at[some]]
+
+
+def decisions(model: Model, s: Stretches, asked: Asked, got: Answers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct stretches: offsets of their decisions; logits of the three predictors within the stretch and 1 or -1
+    for the bit, together in 32 bits; and offsets of the bytes' decisions. A byte after a prefix is worked out once."""
+    code = model.code
+    step, which = distinct(asked.node_at << 8 | s.bytes)
+    one, two = np.zeros(len(step), np.int32), np.zeros(len(step), np.int32)
+    one[which], two[which] = s.one, s.two
+    at = one << 8 | (step & 255)
+    size = code.length[at]
+    place = spread_over(code.first[at], size)
+    node, bit = code.node[place].astype(np.int32), code.bit[place]
+    x = np.zeros((len(node), 4), np.int8)
+    x[:, 0] = model.one.take(np.repeat(one * 255, size) + node)
+    pair = np.repeat(model.pair[two << 8 | one], size)
+    x[:, 1] = np.where(pair >= 0, model.two.take(np.maximum(pair, 0).astype(np.int64) * 255 + node), 0)
+    x[:, 2] = so_far(model, one, step >> 8, asked, got, size, node)
+    x[:, 3] = bit * np.int8(2) - np.int8(1)
+    byte_size = size[which]
+    rows = x.view(np.int32).ravel().take(spread_over(offsets(size)[which], byte_size))
+    byte_cut = offsets(byte_size)
+    return byte_cut[np.append(s.first, len(s.bytes))], rows, byte_cut
+
+
+def so_far(model: Model, one: np.ndarray, of: np.ndarray, asked: Asked, got: Answers, size: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Logits of the word so far for decisions ``node``, ``size`` of them for each byte after the prefix ``of``, ascending. The
+    bytes that the corpus has after each prefix are added up along their codes, some prefixes at a time."""
+    code = model.code
+    out = np.zeros(len(node), np.int8)
+    before = np.zeros(len(asked.node), np.int32)
+    before[of] = one
+    edge, own = offsets(got.edges), np.append(np.searchsorted(of, np.arange(len(asked.node))), len(of))
+    cut = offsets(size)
+    i, n = 0, len(asked.node)
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(edge, edge[i] + (1 << 18), side="right")) - 1))
+        e = slice(int(edge[i]), int(edge[j]))
+        owner = np.repeat(np.arange(j - i, dtype=np.int32), got.edges[i:j])
+        at = before[i:j][owner] << 8 | got.byte[e]
+        length = code.length[at]
+        path = spread_over(code.first[at], length)
+        key = np.repeat(owner << 8, length) | code.node[path]
+        order = np.argsort(key)
+        key, count, bit = key[order], np.repeat(got.edge_count[e].astype(np.float64), length)[order], code.bit[path][order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        lo, hi = int(own[i]), int(own[j])
+        wanted = np.repeat((of[lo:hi] - i).astype(np.int32) << 8, size[lo:hi]) | node[cut[lo] : cut[hi]]
+        if len(first):
+            ones = np.add.reduceat(count * bit, first)
+            value = logits(np.add.reduceat(count, first) - ones, ones)
+            key = key[first]
+            k = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            out[cut[lo] : cut[hi]] = np.where(key[k] == wanted, value[k], 0)
+        i = j
+    return out
+
 
+def agreed(model: Model, s: Stretches, asked: Asked, got: Answers, byte_cut: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each stretch: how many of its first decisions the words before predict as they are, whether they predict the next
+    one wrongly, the logit's size, and the gate."""
+    which = s.inverse
+    guess = np.ascontiguousarray(got.ahead[asked.pair_at]).view(np.uint8).reshape(-1, AHEAD)
+    own = s.ahead()[which]
+    some = got.total[asked.pair_at] > 0
+    length = np.minimum(s.byte_run[which], AHEAD)
+    differ = (guess != own) & (np.arange(AHEAD) < length[:, None])
+    same = np.where(differ.any(1), differ.argmax(1), length)
+    here = s.first[which] + same
+    inside = some & (same < length)
+    last = np.minimum(here, len(s.bytes) - 1)
+    n = byte_cut[here] - byte_cut[s.first[which]]
+    # along the byte that differs: the bits its code shares with the one that was predicted; a zero ends the prediction
+    wrong = np.zeros(len(which), bool)
+    k = np.flatnonzero(inside)
+    b = guess[k, np.minimum(same[k], AHEAD - 1)]
+    k, b = k[b > 0], b[b > 0]
+    if len(k):
+        a, c = s.one[last[k]] << 8 | s.bytes[last[k]], s.one[last[k]] << 8 | b
+        steps = np.arange(int(np.minimum(model.code.length[a], model.code.length[c]).max()))
+        top = len(model.code.bit) - 1
+        unlike = model.code.bit[np.minimum(model.code.first[a][:, None] + steps, top)] != model.code.bit[np.minimum(model.code.first[c][:, None] + steps, top)]
+        n[k] += unlike.argmax(1)
+        wrong[k] = True
+    best, total = got.best[asked.pair_at], got.total[asked.pair_at]
+    size = np.rint(np.clip(np.log((best + DELTA) / (total - best + DELTA)), 0, CLIP) * SCALE)
+    gate = np.where(some, np.where(2 * best <= total, 1, np.where(best < 2, 2, 3)), 0)
+    return np.where(some, n, 0), wrong & some, np.where(some, size, 0).astype(np.int8), gate
+
+
+def scores(model: Model, s: Stretches, asked: Asked, got: Answers) -> np.ndarray:
+    """log10 probability of each text's bytes; that of its end comes from ``Model.ends``."""
+    texts = len(s.offs) - 1
+    out = np.zeros(texts)
+    if not len(s.begin):
+        return out
+    cut, rows, byte_cut = decisions(model, s, asked, got)
+    same, wrong, strength, gate = agreed(model, s, asked, got, byte_cut)
+    text = np.searchsorted(s.offs, s.begin, side="right") - 1
+    count = np.bincount(text, minlength=texts)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    rank = np.empty(texts, np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(texts)
+    lane = rank[text]
+    order = np.argsort(nth * texts + lane)  # word by word, in each the texts with most words first
+    which = s.inverse[order]
+    size = np.diff(cut)[which]
+    active = np.bincount(nth)
+    weights = np.tile(START.reshape(1, -1), (texts, 1)).reshape(texts * GATES, INPUTS)
+    level = np.zeros(texts * LEVELS, np.float32)
+    total = np.zeros(texts)
+    chosen = (lane * GATES + gate)[order]
+    own_level = lane[order] * LEVELS + LEVELS // 2
+    same, wrong, strength = same[order].astype(np.int32), wrong[order].astype(np.int8), strength[order]
+    at = offsets(size)
+    steps = offsets(active)
+    i = 0
+    while i < len(active):  # steps of about half a million decisions are laid out together
+        j = max(i + 1, int(np.searchsorted(at[steps], at[steps[i]] + (1 << 19))) - 1)
+        w = slice(int(steps[i]), int(steps[j]))
+        n = size[w]
+        v = rows.take(spread_over(cut[which[w]], n)).view(np.int8).reshape(-1, 4)
+        left = np.repeat(same[w], n)  # how many decisions are predicted as they are, from each on
+        left -= spread_over(np.zeros(len(n), np.int32), n.astype(np.int32))
+        guess = (left > 0).view(np.int8) - ((left == 0) & np.repeat(wrong[w], n).view(bool)).view(np.int8)
+        sign = v[:, 3].astype(np.float32)
+        x = np.empty((len(v), INPUTS), np.float32)
+        np.multiply(v[:, :3], np.float32(1 / SCALE), out=x[:, :3], casting="unsafe")
+        np.multiply(guess * v[:, 3], np.repeat(strength[w] * np.float32(1 / SCALE), n), out=x[:, 3])
+        np.multiply(x[:, 2], np.abs(x[:, 2]), out=x[:, 4])
+        x[:, 4] *= np.float32(1 / CLIP)
+        base = int(at[steps[i]])
+        of = np.repeat(np.arange(len(n)), n)
+        spot = np.repeat(own_level[w], n)
+        miss = np.empty(len(v), np.float32)
+        for t in range(i, j):
+            a, b = int(steps[t]), int(steps[t + 1])
+            k = slice(int(at[a]) - base, int(at[b]) - base)
+            _step(x[k], sign[k], of[k] - (a - w.start), at[a:b] - at[a], chosen[a:b], spot[k], weights, level, miss[k])
+        np.negative(miss, out=miss)
+        np.add.at(total, lane[order[w]], np.add.reduceat(np.log1p(miss), at[w] - base, dtype=np.float64))
+        i = j
+    out[:] = total[rank] / np.log(10)
+    return out
 
-def _bodies(buckets: int, model, key_type: pa.DataType):
+
+_HALF = np.float32((LEVELS - 1) / 24)
+
+
+def _step(x: np.ndarray, sign: np.ndarray, of: np.ndarray, first: np.ndarray, chosen: np.ndarray, spot: np.ndarray, weights: np.ndarray, level: np.ndarray, miss: np.ndarray) -> None:
+    """One word of each text: ``x`` has its decisions' inputs, ``of`` their word; then weights and levels learn from
+    what each probability lacks, which goes to ``miss``."""
+    w = weights.take(chosen, axis=0)
+    z = np.einsum("ij,ij->i", x, w.take(of, axis=0))
+    np.minimum(z, TOP, out=z)
+    np.maximum(z, -TOP, out=z)
+    spot += np.rint(z * _HALF).astype(np.int64)
+    z += level.take(spot)
+    z *= sign
+    np.exp(z, out=z)
+    z += np.float32(1)
+    np.reciprocal(z, out=miss)
+    np.multiply(miss, sign, out=z)
+    np.add.at(level, spot, z * np.float32(REFINE))
+    x *= z[:, None]
+    d = np.add.reduceat(x, first, axis=0)
+    d *= np.float32(RATE)
+    w += d
+    weights[chosen] = w
+
+
+def _bodies(key_type: pa.DataType, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for k, (held, s, learn) in enumerate(_blocks(batches)):
-            words, _, codes, n = _bucketed(s, buckets)
-            part = held[0].column(3)[0].as_py()
+        for k, (held, learn) in enumerate(_blocks(batches, block)):
+            data, offs = joined([buffer_of(b.column(1)) for b in held])
             keys = [x for b in held for x in b.column(0).to_pylist()]
-            more = (m.scores(s) + m.ends(s)).astype("<f8").tobytes() + learn.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([blocks.block_id(part, k)], pa.int64()), pa.array([blocks.checksum(words)], pa.int64()), pa.array([blocks.squeeze(codes)], pa.binary()), pa.array([keys], pa.list_(key_type)), pa.array([n.tolist()], pa.list_(pa.int32())), pa.array([more], pa.binary())], names=["block", "sum", "data", "keys", "sizes", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array([blocks.block_id(held[0].column(3)[0].as_py(), k)], pa.int64()), pa.array([0], pa.int64()), pa.array([blocks.squeeze(data.tobytes())], pa.binary()), pa.array([keys], pa.list_(key_type)), pa.array([np.diff(offs).tolist()], pa.list_(pa.int32())), pa.array([learn.tobytes()], pa.binary())], names=["block", "sum", "data", "keys", "sizes", "more"])
 
     return run
 
 
-def _join(tokens: int, distinct: int):
+SCORED = "held_out boolean, n_tokens long, n_known long, logs double, score double, tokens long, distinct long"
+
+
+def _join(buckets: int, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, counts = None, []
+        m = model.value
+        at, rows = None, []
         for block, bucket, total, data, keys, sizes, more in blocks.rows_of(batches):
+            if block.as_py() < 0:
+                pair = unpacked(data.as_py())[0].astype(np.int64)
+                none = [pa.nulls(1, t) for t in (keys.type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(pair[:1]), pa.array(pair[1:])], names=["key", "held_out", "n_tokens", "n_known", "logs", "score", "tokens", "distinct"])
+                continue
             if at is None or at[0] != block.as_py():
-                at, counts = (block.as_py(), total.as_py()), []
-            elif at[1] != total.as_py():
-                raise RuntimeError("the documents came in another order; score a table that is read alike each time")
+                at, rows = (block.as_py(), total.as_py()), []
             if bucket.as_py() < 1 << 30:
-                counts.append(blocks.spread(data.as_py()).astype(np.int64))
+                rows.append(data.as_py())
                 continue
-            count = np.concatenate(counts)
-            codes, n = blocks.spread(data.as_py()), np.array(sizes.as_py(), np.int64)
-            first = np.cumsum(n) - n
-            value = np.log10((count + 0.5) / (tokens + 0.5 * (distinct + 1)))
-            base, known = np.add.reduceat(value[codes], first), np.add.reduceat((count > 0)[codes].astype(np.int64), first)
-            raw = more.as_py()
-            score, train = np.frombuffer(raw[: 8 * len(n)], "<f8"), np.frombuffer(raw[8 * len(n) :], bool)
-            cols = [keys.values, pa.array(~train), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            learn = np.frombuffer(more.as_py(), bool)
+            s = Stretches(np.frombuffer(blocks.spread(data.as_py()), np.uint8), offsets(np.array(sizes.as_py(), np.int64)))
+            asked = Asked(s, buckets)
+            if asked.sum() != at[1]:
+                raise RuntimeError("the documents came in another order; score a table that is read alike each time")
+            got = Answers(rows)
+            score = scores(m, s, asked, got) + m.ends(s)
+            first = np.cumsum(asked.sizes) - asked.sizes
+            count = got.count.astype(np.int64)
+            logs = np.add.reduceat(np.log10(count + 0.5)[asked.codes], first)
+            known = np.add.reduceat((count > 0)[asked.codes].astype(np.int64), first)
+            n = len(learn)
+            cols = [keys.values, pa.array(~learn), pa.array(asked.sizes.astype(np.int64)), pa.array(known), pa.array(logs), pa.array(score), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "held_out", "n_tokens", "n_known", "logs", "score", "tokens", "distinct"])
 
     return run
 
 
-def score(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """``key``, ``held_out`` (not ``learn``), ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
     ``score`` of every row, learning from the rows with ``learn``.
 
     Both scores charge the text's end. A null or empty text has one token, its end. Repeated rows count as often as they
     come. Null keys are scored like others; further columns are ignored. Without training rows all
-    predictors give even odds. An empty table gives no rows.
+    predictors give even odds. An empty table gives no rows. ``block`` bounds the bytes that are worked on together
+    and has no part in the results; a longer text is a block of its own.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -586,10 +783,11 @@ def score(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc_id
     model = spark.sparkContext.broadcast(train(slim.where("learn").select("text")))
     kind, arrow = slim.schema["key"].dataType, to_arrow_type(slim.schema["key"].dataType)
     buckets = blocks.buckets_of(docs)
-    words = slim.mapInArrow(_words(buckets), "bucket int, block long, sum long, data binary")
-    answers = store.cut(blocks.by_bucket(words, buckets).mapInArrow(_tally, "block long, bucket int, sum long, data binary, tokens long, distinct long"), "tally")
-    tokens, distinct = answers.where("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    bodies = slim.mapInArrow(_bodies(buckets, model, arrow), f"block long, sum long, data binary, keys array<{kind.simpleString()}>, sizes array<int>, more binary")
-    shape = f"key {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = blocks.meet(answers.where("block >= 0"), bodies, buckets).mapInArrow(_join(tokens, distinct), shape)
-    return out.withColumnRenamed("key", key)
+    asked = slim.mapInArrow(_ask(buckets, block), ASKED)
+    answers = blocks.by_bucket(asked, buckets).mapInArrow(_tally, ANSWERED)
+    bodies = slim.mapInArrow(_bodies(arrow, block), f"block long, sum long, data binary, keys array<{kind.simpleString()}>, sizes array<int>, more binary")
+    done = store.cut(blocks.meet(answers, bodies, buckets).mapInArrow(_join(buckets, model), f"key {kind.simpleString()}, {SCORED}"), "scored")
+    n, v = done.where("tokens IS NOT NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (v + 1)))
+    out = done.where("tokens IS NULL").select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out
