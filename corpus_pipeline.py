@@ -7,7 +7,7 @@ of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cytomill.llm import bytecnn, minmax, packing, repeats, risk, store
@@ -28,31 +28,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or a certified cutoff go."""
-    docs = docs.select(*COLUMNS)
+    """Documents that fail the base rules or the certified cutoffs of their stratum go; those without an id are judged
+    alike, and a value equal to its cutoff passes."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), "text")
-    verdict = risk.judge(keyed, labels)
-    kept = verdict.where("kept").select("_row").distinct()
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(kept, "_row", "left_semi").select(*COLUMNS)
+    return risk.judge(docs.select(*COLUMNS), labels, keep_text=True).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays, that with the smallest id (a null one last); hashes break ties. Rows without
-    a word link with nothing and stay. An id may be null or come again with another text, which is another document."""
+    a word link with nothing and stay. An id may be null or come again with another text, which is another document.
+    Repeated rows are reduced to one where they are read, before rows of a document meet."""
     found = minmax.linked(docs, percent=PERCENT)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("first")
-    grouped = found.where("component IS NOT NULL").groupBy("component").agg(first).select(F.col("first.row_key").alias("_row"), F.lit(True).alias("_group"))
-    single = found.where("component IS NULL").select(F.col("row_key").alias("_row"), F.lit(False).alias("_group")).distinct()
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(grouped.union(single), "_row")
-    copies = rows.where("_group").withColumn("_n", F.row_number().over(_window())).where("_n = 1")
-    return copies.select(*COLUMNS).union(rows.where("NOT _group").select(*COLUMNS))
-
-
-def _window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("_row").orderBy(F.xxhash64("lang", "source"), F.xxhash64("n_chars"))
+    kept = found.where("component IS NOT NULL").groupBy("component").agg(first).select(F.col("first.row_key").alias("_row"))
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_row"))
+    word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.xxhash64("lang", "source"), F.xxhash64("n_chars")))
+    one = rows.where(word).withColumn("_n", nth).where("_n = 1")
+    return one.join(kept, "_row", "left_semi").select(*COLUMNS).union(rows.where(~word).select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,15 +133,16 @@ def apply(stats: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select(*[F.col(f"`{c}`") for c in own], failed.alias("base_failed"), (~failed & ~over).alias("kept"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The verdicts on all ``docs``: their columns but the text, the statistics, ``base_failed``, ``kept``.
+def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", keep_text: bool = False) -> DataFrame:
+    """The verdicts on all ``docs``: their columns, without the text unless ``keep_text``, the statistics, ``base_failed``, ``kept``.
 
     ``labels`` has ``key`` and ``quality``; a document is clean when all its labels are 1, rows with
     null are ignored. Without enough clean documents in a stratum no setting can be certified there and
     the base rules alone decide. Rows without a key are judged but teach nothing. Repeated rows are judged alike
     and count as often as they come; a value equal to its cutoff passes; an empty table stays empty.
     """
-    stats = store.cut(statistics(docs, text).drop(text), "stats")
+    stats = statistics(docs, text)
+    stats = store.cut(stats if keep_text else stats.drop(text), "stats")
     clean = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("_q")).where("_q = 1").select(key)
     return apply(stats, cutoffs(stats.join(clean, key, "left_semi")))
 

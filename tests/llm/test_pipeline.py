@@ -70,7 +70,7 @@ def plain_rules(rows):
 
 def plain_duplicates(rows):
     sets = [shingles(r["text"]) for r in rows]
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= corpus_pipeline.PERCENT * len(sets[i] | sets[j])]
     comp, best = closure(len(rows), links), {}
     for i, r in enumerate(rows):
         key = (r["doc_id"] is None, r["doc_id"] or 0)
