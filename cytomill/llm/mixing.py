@@ -46,8 +46,9 @@ CLIP, SCALE, TOP = 7.9, 16.0, np.float32(11.9)
 #: The token after the last word: no word hashes to it but by chance.
 END = U(0x9E3779B97F4A7C15)
 CONTEXT_BASE = 0xD1342543DE82EF95
-#: Contexts are told apart by so many bits of their hashes.
-KEY = U((1 << 48) - 1)
+#: Contexts are told apart by so many bits of their hashes more than it takes to number the training bytes, so the few
+#: that are taken for others stay as rare whatever the corpus.
+SPARE = 8
 #: Bytes of a stretch that the words before predict.
 AHEAD = 16
 #: Where the counts of text ends, texts and empty texts stand behind those of byte triples.
@@ -166,7 +167,7 @@ class Stretches:
         prefix = sums[:n] - np.repeat(sums[self.first], self.byte_run)
         prefix *= np.repeat(_powers(pow(CONTEXT_BASE, -1, 1 << 64), size)[self.first], self.byte_run)
         prefix ^= np.repeat(mix(self.alphabet + U(9)), self.byte_run)
-        self.prefix = mix(prefix + self.one.astype(U)) & KEY
+        self.prefix = mix(prefix + self.one.astype(U))
 
     def ahead(self) -> np.ndarray:
         """The first AHEAD bytes of the distinct stretches, with zeros behind."""
@@ -186,7 +187,7 @@ class Stretches:
         one[head] = 1
         two[1:] = one[:-1]
         two[head] = 2
-        return mix(mix(one + U(5)) * U(3) + two) & KEY
+        return mix(mix(one + U(5)) * U(3) + two)
 
 
 def alphabets(data: np.ndarray, offs: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -266,13 +267,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """The exact tables: ``one`` has a logit for each byte before and node, ``two`` for each pair of bytes in ``pair`` (of
     65536, -1 if it was not seen) and node; ``stop`` the probability of the text's end behind each byte and, as its last
-    entry, at the start."""
+    entry, at the start; ``bits`` says how many of a context's hash count."""
 
     code: Code
     one: np.ndarray
     two: np.ndarray
     pair: np.ndarray
     stop: np.ndarray = field(default_factory=lambda: np.full(257, 0.5))
+    bits: int = 48
 
     def ends(self, s: Stretches) -> np.ndarray:
         """log10 probability of each text's end where it is and of none before."""
@@ -310,7 +312,7 @@ def model_of(keys: np.ndarray, n: np.ndarray) -> Model:
     ends[keys[~triple] - TRIPLES] = n[~triple]
     bytes_ = np.bincount(k & 255, c, 256)
     stop = (np.append(ends[:256], ends[257]) + 0.5) / (np.append(bytes_, ends[256]) + 1)  # smoothed: never 0 or 1
-    return Model(code, one, second, pair, stop)
+    return Model(code, one, second, pair, stop, min(56, int(c.sum()).bit_length() + SPARE))
 
 
 def train(texts: DataFrame) -> Model:
@@ -368,31 +370,42 @@ class Asked:
     ``token`` has the distinct tokens; ``node`` the prefixes, with edges to the bytes after them; ``pair`` the words before,
     with edges to the stretches after them."""
 
-    def __init__(self, s: Stretches, buckets: int) -> None:
+    def __init__(self, s: Stretches, buckets: int, bits: int) -> None:
         self.buckets = buckets
+        key = U((1 << bits) - 1)
         s.contexts()
         words, self.codes, self.sizes = s.tokens()
         self.token, place, self.token_cut = self.ordered(words)
         self.codes = place[self.codes]
-        node, at = distinct(s.prefix)
+        node, at = distinct(s.prefix & key)
         self.node, place, self.node_cut = self.ordered(node)
         self.node_at = place[at]
-        pair, at = distinct(s.before())
+        pair, at = distinct(s.before() & key)
         self.pair, place, self.pair_cut = self.ordered(pair)
         self.pair_at = place[at]
 
     def count(self, s: Stretches, learn: np.ndarray) -> None:
         """Add what the texts with ``learn`` count."""
-        text = np.searchsorted(s.offs, s.begin, side="right") - 1
-        known = learn[text] if len(text) else np.zeros(0, bool)
         self.token_count = np.bincount(self.codes[np.repeat(learn, self.sizes)], minlength=len(self.token))
-        heavy = np.repeat(np.bincount(s.inverse[known], minlength=len(s.first)), s.byte_run)
+        heavy = np.repeat(np.bincount(s.inverse[self.known(s, learn)], minlength=len(s.first)), s.byte_run)
         some = np.flatnonzero(heavy)
         self.edge, self.edge_count = summed(self.node_at[some] << 8 | s.bytes[some], heavy[some])
-        d = max(1, len(s.first))
-        self.next, self.next_count = summed(self.pair_at[known] * d + s.inverse[known], np.ones(int(known.sum())))
-        self.next_stretch = s.ahead()[self.next % d] if len(self.next) else np.zeros((0, AHEAD), np.uint8)
-        self.next //= d
+        self.count_pairs(s, learn)
+
+    def known(self, s: Stretches, learn: np.ndarray) -> np.ndarray:
+        return learn[np.searchsorted(s.offs, s.begin, side="right") - 1] if len(s.begin) else np.zeros(0, bool)
+
+    def count_pairs(self, s: Stretches, learn: np.ndarray) -> None:
+        """What follows the words before; of each of these, the most frequent stretch first, of equals that first by its bytes."""
+        known, d = self.known(s, learn), max(1, len(s.first))
+        at, self.next_count = summed(self.pair_at[known] * d + s.inverse[known], np.ones(int(known.sum())))
+        ahead = s.ahead() if len(at) else np.zeros((0, AHEAD), np.uint8)
+        self.next, self.next_ahead = at // d, ahead[at % d].view(np.uint64)
+        self.nexts = np.bincount(self.next, minlength=len(self.pair))
+        many = np.flatnonzero(self.nexts[self.next] > 1)
+        k = self.next_ahead[many]
+        order = many[np.lexsort((k[:, 1], k[:, 0], -self.next_count[many], self.next[many]))]
+        self.next_count[many], self.next_ahead[many] = self.next_count[order], self.next_ahead[order]
 
     def ordered(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys by bucket and value, their places there, and the buckets' offsets."""
@@ -403,7 +416,7 @@ class Asked:
 
     def row(self, b: int) -> bytes:
         def keys(all_: np.ndarray, cut: np.ndarray) -> np.ndarray:
-            return narrow(np.diff(all_[cut[b] : cut[b + 1]], prepend=U(0)))
+            return narrow(np.diff(all_[cut[b] : cut[b + 1]] // U(self.buckets), prepend=U(0)))
 
         def fan(at: np.ndarray, cut: np.ndarray, shift: int) -> tuple[np.ndarray, slice]:
             lo, hi = np.searchsorted(at >> shift, (cut[b], cut[b + 1]))
@@ -414,7 +427,7 @@ class Asked:
         return packed_up(
             keys(self.token, self.token_cut), narrow(self.token_count[self.token_cut[b] : self.token_cut[b + 1]]),
             keys(self.node, self.node_cut), edges, (self.edge[e] & 255).astype(np.uint8), narrow(self.edge_count[e]),
-            keys(self.pair, self.pair_cut), nexts, np.ascontiguousarray(self.next_stretch[x]).view(np.uint64).ravel(), narrow(self.next_count[x]),
+            keys(self.pair, self.pair_cut), nexts, np.ascontiguousarray(self.next_ahead[x]).ravel(), narrow(self.next_count[x]),
         )
 
     def sum(self) -> int:
@@ -424,11 +437,11 @@ class Asked:
 ASKED = "bucket int, block long, sum long, data binary"
 
 
-def _ask(buckets: int, block: int):
+def _ask(buckets: int, block: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (held, learn) in enumerate(_blocks(batches, block)):
             s = Stretches(*joined([buffer_of(b.column(1)) for b in held]))
-            asked = Asked(s, buckets)
+            asked = Asked(s, buckets, bits)
             asked.count(s, learn)
             id_, total = blocks.block_id(held[0].column(3)[0].as_py(), k), asked.sum()
             for b in range(buckets):
@@ -459,13 +472,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[lis
 class Counts:
     """Sums of a bucket over all blocks."""
 
-    def __init__(self, rows: list[bytes]) -> None:
+    def __init__(self, rows: list[bytes], bucket: int, buckets: int) -> None:
+        self.bucket, self.buckets = U(bucket), U(buckets)
         kinds: list[list[tuple[np.ndarray, ...]]] = [[], [], []]
         for raw in rows:
             token, count, node, edges, byte, edge_count, pair, nexts, ahead, next_count = unpacked(raw)
-            kinds[0].append((np.cumsum(token, dtype=U), count))
-            kinds[1].append((np.repeat(np.cumsum(node, dtype=U), edges) << U(8) | byte, edge_count))
-            kinds[2].append((np.repeat(np.cumsum(pair, dtype=U), nexts), ahead.reshape(-1, 2), next_count))
+            kinds[0].append((self.keys(token), count))
+            kinds[1].append((np.repeat(self.keys(node), edges) << U(8) | byte, edge_count))
+            kinds[2].append((np.repeat(self.keys(pair), nexts), ahead.reshape(-1, 2), next_count))
             if len(kinds[0]) >= 32:
                 kinds = [[self.reduced(i, k)] for i, k in enumerate(kinds)]
         none = [(np.zeros(0, U), np.zeros(0, np.int64)), (np.zeros(0, U), np.zeros(0, np.int64)), (np.zeros(0, U), np.zeros((0, 2), U), np.zeros(0, np.int64))]
@@ -479,6 +493,9 @@ class Counts:
         self.pair, self.best = key[order[first]], order[first]
         self.pair_total = np.add.reduceat(count[order], first) if len(first) else np.zeros(0, np.int64)
 
+    def keys(self, steps: np.ndarray) -> np.ndarray:
+        return np.cumsum(steps, dtype=U) * self.buckets + self.bucket
+
     @staticmethod
     def reduced(kind: int, parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
         cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
@@ -491,26 +508,42 @@ class Counts:
         return cols[0][order[first]], cols[1][order[first]], np.add.reduceat(count[order], first) if len(first) else count
 
     def answer(self, raw: bytes) -> bytes:
-        token, _, node, _, _, _, pair, _, _, _ = unpacked(raw)
+        """For the row of a block: the tokens' counts, the edges of the prefixes, and what follows the words before most
+        often. That needs no bytes where the block's own most frequent stretch, the first in its row, is the one."""
+        token, _, node, _, _, _, pair, nexts, ahead, _ = unpacked(raw)
         words, counts = self.token
-        count = counts[np.searchsorted(words, np.cumsum(token, dtype=U))]
-        key = np.cumsum(node, dtype=U)
+        count = counts[np.searchsorted(words, self.keys(token))]
+        key = self.keys(node)
         lo, hi = np.searchsorted(self.edge[0], key << U(8)), np.searchsorted(self.edge[0], (key + U(1)) << U(8))
         at = spread_over(lo, hi - lo)
-        i = np.searchsorted(self.pair, np.cumsum(pair, dtype=U))
-        i = np.minimum(i, max(0, len(self.pair) - 1))
-        some = self.pair[i] == np.cumsum(pair, dtype=U) if len(self.pair) else np.zeros(len(i), bool)
-        best = self.best[i[some]] if some.any() else np.zeros(0, np.int64)
+        key = self.keys(pair)
+        some, i = np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+        if len(self.pair):
+            i = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            some = self.pair[i] == key
+        best = self.next[1][self.best[i[some]]] if some.any() else np.zeros((0, 2), U)
+        own = np.zeros((len(key), 2), U)
+        own[nexts > 0] = ahead.reshape(-1, 2)[offsets(nexts)[:-1][nexts > 0]]
+        other = ((own[some] != best).any(1)) | (nexts[some] == 0)
+        state = np.zeros(len(key), np.uint8)
+        state[some] = 1 + other
         return packed_up(
             narrow(count), narrow(hi - lo), (self.edge[0][at] & U(255)).astype(np.uint8), narrow(self.edge[1][at]),
-            some.astype(np.uint8), np.ascontiguousarray(self.next[1][best]).ravel(), narrow(self.next[2][best]), narrow(self.pair_total[i[some]] if some.any() else np.zeros(0, np.int64)),
+            state, best[other].ravel(), narrow(self.next[2][self.best[i[some]]] if some.any() else i[some]), narrow(self.pair_total[i[some]] if some.any() else i[some]),
         )
 
 
 ANSWERED = "block long, bucket int, sum long, data binary"
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tally(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _tallied(batches, buckets)
+
+    return run
+
+
+def _tallied(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Sum each bucket over all blocks, then answer every block. The compressed rows of one bucket are held, not
     those of others; buckets follow one another. A row of block -1 has the bucket's training tokens and distinct ones."""
 
@@ -518,7 +551,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], names=["block", "bucket", "sum", "data"])
 
     def answers(bucket: int, rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        c = Counts([r[2] for r in rows])
+        c = Counts([r[2] for r in rows], bucket, buckets)
         yield row(-1, bucket, 0, packed_up(np.array([c.token[1].sum(), (c.token[1] > 0).sum()], np.int64)))
         for block, total, raw in rows:
             yield row(block, bucket, total, c.answer(raw))
@@ -540,15 +573,15 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Answers:
     """All answers to a block, in the order of its keys."""
 
-    def __init__(self, rows: list[bytes]) -> None:
+    def __init__(self, rows: list[bytes], asked: Asked) -> None:
         cols = list(zip(*(unpacked(r) for r in rows), strict=True)) or [[np.zeros(0, np.uint8)]] * 8
-        self.count, self.edges, self.byte, self.edge_count, some, ahead, best, total = (np.concatenate(c) for c in cols)
-        at = np.cumsum(some.astype(np.int64)) - 1
-        some = some.astype(bool)
-        self.ahead = np.zeros((len(some), 2), U)
-        self.best, self.total = np.zeros(len(some)), np.zeros(len(some))
-        if some.any():
-            self.ahead[some], self.best[some], self.total[some] = ahead.reshape(-1, 2).astype(U)[at[some]], best[at[some]], total[at[some]]
+        self.count, self.edges, self.byte, self.edge_count, state, ahead, best, total = (np.concatenate(c) for c in cols)
+        self.ahead = np.zeros((len(state), 2), U)
+        own = state == 1
+        self.ahead[own] = asked.next_ahead[offsets(asked.nexts)[:-1][own]]
+        self.ahead[state == 2] = ahead.astype(U).reshape(-1, 2)
+        self.best, self.total = np.zeros(len(state)), np.zeros(len(state))
+        self.best[state > 0], self.total[state > 0] = best, total
 
 
 def decisions(model: Model, s: Stretches, asked: Asked, got: Answers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -750,10 +783,11 @@ def _join(buckets: int, model):
                 continue
             learn = np.frombuffer(more.as_py(), bool)
             s = Stretches(np.frombuffer(blocks.spread(data.as_py()), np.uint8), offsets(np.array(sizes.as_py(), np.int64)))
-            asked = Asked(s, buckets)
+            asked = Asked(s, buckets, m.bits)
             if asked.sum() != at[1]:
                 raise RuntimeError("the documents came in another order; score a table that is read alike each time")
-            got = Answers(rows)
+            asked.count_pairs(s, learn)
+            got = Answers(rows, asked)
             score = scores(m, s, asked, got) + m.ends(s)
             first = np.cumsum(asked.sizes) - asked.sizes
             count = got.count.astype(np.int64)
@@ -783,8 +817,8 @@ def score(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc_id
     model = spark.sparkContext.broadcast(train(slim.where("learn").select("text")))
     kind, arrow = slim.schema["key"].dataType, to_arrow_type(slim.schema["key"].dataType)
     buckets = blocks.buckets_of(docs)
-    asked = slim.mapInArrow(_ask(buckets, block), ASKED)
-    answers = blocks.by_bucket(asked, buckets).mapInArrow(_tally, ANSWERED)
+    asked = slim.mapInArrow(_ask(buckets, block, model.value.bits), ASKED)
+    answers = blocks.by_bucket(asked, buckets).mapInArrow(_tally(buckets), ANSWERED)
     bodies = slim.mapInArrow(_bodies(arrow, block), f"block long, sum long, data binary, keys array<{kind.simpleString()}>, sizes array<int>, more binary")
     done = store.cut(blocks.meet(answers, bodies, buckets).mapInArrow(_join(buckets, model), f"key {kind.simpleString()}, {SCORED}"), "scored")
     n, v = done.where("tokens IS NOT NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()

@@ -273,11 +273,11 @@ def local_scores(train, texts, buckets=3):
     made = []
     for part, learn in ((train, True), (texts, False)):
         st = mixing.Stretches(*mixing.buffer_of(pa.array(part, pa.large_string())))
-        asked = mixing.Asked(st, buckets)
+        asked = mixing.Asked(st, buckets, model.bits)
         asked.count(st, np.full(len(part), learn))
         made.append((st, asked, [asked.row(b) for b in range(buckets)]))
-    counts = [mixing.Counts([m[2][b] for m in made]) for b in range(buckets)]
-    return model, [mixing.scores(model, st, asked, mixing.Answers([counts[b].answer(rows[b]) for b in range(buckets)])) + model.ends(st) for st, asked, rows in made]
+    counts = [mixing.Counts([m[2][b] for m in made], b, buckets) for b in range(buckets)]
+    return model, [mixing.scores(model, st, asked, mixing.Answers([counts[b].answer(rows[b]) for b in range(buckets)], asked)) + model.ends(st) for st, asked, rows in made]
 
 
 def plain_scores(train, texts):
@@ -437,12 +437,12 @@ def test_mixing_continuations_and_end_sum_to_one():
         (counted,) = list(mixing._count(iter([pa.RecordBatch.from_arrays([pa.array(train, pa.string())], names=["text"])])))
         model = mixing.model_of(counted.column(0).to_numpy(), counted.column(1).to_numpy())
         learned = mixing.Stretches(*mixing.buffer_of(pa.array(train, pa.large_string())))
-        first, s = mixing.Asked(learned, 1), mixing.Stretches(np.frombuffer(data, np.uint8), offs)
+        first, s = mixing.Asked(learned, 1, model.bits), mixing.Stretches(np.frombuffer(data, np.uint8), offs)
         first.count(learned, np.ones(len(train), bool))
-        asked = mixing.Asked(s, 1)
+        asked = mixing.Asked(s, 1, model.bits)
         asked.count(s, np.zeros(257, bool))
-        counts = mixing.Counts([first.row(0), asked.row(0)])
-        bytes_, ends = mixing.scores(model, s, asked, mixing.Answers([counts.answer(asked.row(0))])), model.ends(s)
+        counts = mixing.Counts([first.row(0), asked.row(0)], 0, 1)
+        bytes_, ends = mixing.scores(model, s, asked, mixing.Answers([counts.answer(asked.row(0))], asked)), model.ends(s)
         stop = model.stop[raw[-1] if raw else 256]
         goes_on = ends[0] - np.log10(stop) + np.log10(1 - stop)
         share = 10 ** (bytes_[1:] - bytes_[0])
