@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from . import config
 from .operators import mbias, plateau
 from .plans import workflows
+from .sources import writers
 
 
 def session(app: str) -> SparkSession:
@@ -39,8 +40,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--max-read-length", type=int, default=101)
     c.add_argument("--config")
     c.add_argument("--single-file", action="store_true")
+    c.add_argument("--template", default=writers.TEMPLATE, help="names of single files by [motif] and [chrom]")
     c = command("stats", "alignments", "index", "out")
     c.add_argument("--config")
+    c.add_argument("--tsv", action="store_true")
     c = command("evaluate-mbias", "counts", "out")
     c.add_argument("--plateau-detection", default='{"algorithm": "binomial"}')
     c.add_argument("--use-cached", action="store_true")
@@ -48,6 +51,7 @@ def parser() -> argparse.ArgumentParser:
     c = command("mbias-plots", "spec", "datasets", "out")
     c = command("evaluate-calls", "calls", "out")
     c.add_argument("--config")
+    c.add_argument("--chart")
     c = command("merge-calls", "calls", "out")
     c.add_argument("--by-lines", action="store_true")
     c.add_argument("--single-file", action="store_true")
@@ -71,18 +75,20 @@ def main(args: list[str] | None = None) -> None:
         workflows.make_index(spark, a.genome, a.out, motifs, notes, a.seq_context or 2, a.single_file)
     elif a.command == "call":
         q = cfg["basic_quality_filtering"]
-        trim = config.trimming(a.trimming) if a.trimming else None
-        workflows.call(spark, a.alignments, a.index, a.out, a.formats.split(","), trim, a.max_read_length, q["min_mapq"], q["min_phred_score"], a.single_file)
+        trim = config.trimming(a.trimming, cfg) if a.trimming else None
+        workflows.call(spark, a.alignments, a.index, a.out, a.formats.split(","), trim, a.max_read_length, q["min_mapq"], q["min_phred_score"], a.single_file, {f: a.template for f in writers.FORMATS})
     elif a.command == "stats":
         s = cfg["stats"]
-        workflows.collect_stats(spark, a.alignments, a.index, a.out, mbias.Binning(s["seq_context_size"], s["max_flen_with_single_flen_resolution"], s["flen_bin_size"], s["max_flen"], s["phred_bin_size"], s["max_phred"]))
+        workflows.collect_stats(spark, a.alignments, a.index, a.out, mbias.Binning(s["seq_context_size"], s["max_flen_with_single_flen_resolution"], s["flen_bin_size"], s["max_flen"], s["phred_bin_size"], s["max_phred"]), a.tsv)
     elif a.command == "evaluate-mbias":
         workflows.evaluate_mbias(spark, a.counts, a.out, cfg["stats"]["seq_context_size"], plateau_config(a.plateau_detection), a.use_cached)
     elif a.command == "mbias-plots":
+        if not a.spec.endswith(".json"):
+            raise SystemExit("a plot specification is a JSON file; Python modules are not executed")
         Path(a.out).mkdir(parents=True, exist_ok=True)
         workflows.mbias_plots(spark, json.loads(Path(a.spec).read_text()), config.named_paths(a.datasets), a.out)
     elif a.command == "evaluate-calls":
-        workflows.evaluate_calls(spark, a.calls, a.out, cfg["coverage_analysis"]["max_per_motif_cov"])
+        workflows.evaluate_calls(spark, a.calls, a.out, cfg["coverage_analysis"]["max_per_motif_cov"], a.chart)
     else:
         workflows.merge_calls(spark, a.calls, a.out, a.by_lines, a.single_file)
 

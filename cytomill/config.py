@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import copy
+import itertools
 import json
 import tomllib
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
-#: Default parameters.
+#: Default parameters; fixed values.
 DEFAULTS: dict[str, Any] = {
     "paths": {
         "mbias_counts": "{output_dir}/qc_stats/{name}_mbias-counts", "mbias_stats": "{output_dir}/qc_stats/{name}_mbias-stats",
         "cutting_sites": "{output_dir}/qc_stats/{name}_cutting-sites", "coverage": "{output_dir}/qc_stats/{name}_coverage",
         "calls": "{output_dir}/meth_calls/{name}",
     },
-    "stats": {"seq_context_size": 5, "max_flen_with_single_flen_resolution": 150, "flen_bin_size": 10, "max_flen": 500, "phred_bin_size": 5, "max_phred": 40},
-    "basic_quality_filtering": {"min_mapq": 15, "min_phred_score": 20},
-    "trimming": {"max_flen_considered_for_trimming": 500},
-    "coverage_analysis": {"max_per_motif_cov": 100},
+    "stats": {"seq_context_size": 5, "max_flen_with_single_flen_resolution": 150, "flen_bin_size": 20, "max_flen": 500, "phred_bin_size": 5, "max_phred": 40},
+    "basic_quality_filtering": {"min_mapq": 25, "min_phred_score": 25},
+    "trimming": {
+        "min_plateau_perc": 0.5, "max_flen_considered_for_trimming": 500, "min_flen_considered_for_trimming": 50, "max_std_within_plateau": 0.02,
+        "relative_to_fragment_ends_dict": {"w_bc": [0, 9], "c_bc": [0, 9], "w_bc_rv": [9, 0], "c_bc_rv": [9, 0]},
+    },
+    "coverage_analysis": {"max_per_motif_cov": 80},
 }
 
 
@@ -43,6 +47,14 @@ def merged(base: Mapping, custom: Mapping, allow_new_keys: bool = False) -> dict
     return out
 
 
+def selected(template: str, **values: Any) -> str | list[str]:
+    """A template filled with every combination of the given values: one value or a list for each field, the last
+    field varying fastest. Other fields stay; a single combination gives a string."""
+    lists = [[v] if isinstance(v, (str, int)) else list(v) for v in values.values()]
+    out = [expand(template, dict(zip(values, found, strict=True))) for found in itertools.product(*lists)]
+    return out[0] if len(out) == 1 else out
+
+
 def expand(value: Any, fields: Mapping[str, Any]) -> Any:
     """Fill {fields} in all strings of a nested value; unknown fields stay."""
     if isinstance(value, str):
@@ -79,10 +91,12 @@ def named_paths(text: str) -> dict[str, str]:
     return dict(part.split("=", 1) for part in text.split(",") if part)
 
 
-def trimming(text: str) -> tuple[str, Any]:
-    """``frag_end::{json}`` or ``cutting_sites::path``; trimming by read ends is not supported."""
+def trimming(text: str, cfg: Mapping = DEFAULTS) -> tuple[str, Any]:
+    """``frag_end::{json}``, ``frag_end`` alone for the configuration's own, or ``cutting_sites::path``; trimming by
+    read ends is not supported."""
     kind, _, rest = text.partition("::")
     if kind == "frag_end":
+        rest = rest or json.dumps(cfg["trimming"]["relative_to_fragment_ends_dict"])
         return kind, {k: (int(v[0]), int(v[1])) for k, v in json.loads(rest).items()}
     if kind == "cutting_sites":
         return kind, rest

@@ -134,16 +134,17 @@ def aggregates(configs: Iterable[PlotConfig], tables: Mapping[str, DataFrame]) -
 
 
 def post_filter(df: DataFrame, filters: Mapping[str, Sequence]) -> DataFrame:
-    """Keep some elements of levels that the table has; an element that it lacks is an error. Only the
-    distinct elements among the wanted ones are looked up."""
-    for k, v in _filters(filters):
-        if k not in df.columns:
-            continue
-        found = {r[0] for r in df.where(F.col(k).isin(list(v))).select(k).distinct().collect()}
-        if missing := set(v) - found:
-            raise ValueError(f"{k} has no {sorted(map(str, missing))}")
-        df = df.where(F.col(k).isin(list(v)))
-    return df
+    """Keep some elements of levels that the table has; an element that it lacks is an error when the rows are
+    read. What is there comes as one row from an aggregate over the same table, in the same job."""
+    known = [(k, list(v)) for k, v in _filters(filters) if k in df.columns]
+    if not known:
+        return df
+    kept = reduce(Column.__and__, [F.col(k).isin(v) for k, v in known])
+    lacks = [F.array_except(F.lit(v).cast(f"array<{df.schema[k].dataType.simpleString()}>"), F.col(f"_{i}")) for i, (k, v) in enumerate(known)]
+    there = df.agg(*[F.collect_set(F.when(F.col(k).isin(v), F.col(k))).alias(f"_{i}") for i, (k, v) in enumerate(known)])
+    says = [F.when(F.size(m) > 0, F.raise_error(F.concat(F.lit(f"{k} has no "), F.array_join(m.cast("array<string>"), ", ")))) for m, (k, _) in zip(lacks, known, strict=True)]
+    guard = there.select(F.coalesce(*[s.cast("boolean") for s in says], F.lit(True)).alias("_there"))
+    return df.where(kept).join(F.broadcast(guard)).where("_there").drop("_there")
 
 
 def plot_data(config: PlotConfig, done: Mapping[Task, DataFrame]) -> DataFrame:
@@ -160,14 +161,77 @@ def plot_data(config: PlotConfig, done: Mapping[Task, DataFrame]) -> DataFrame:
 SCHEMA = "https://vega.github.io/schema/vega-lite/v5.json"
 
 
-def chart(config: PlotConfig, df: DataFrame, max_rows: int = 100_000) -> dict:
-    """A chart as a Vega-Lite dictionary with its rows. Charts of more than ``max_rows`` rows are refused."""
+@dataclass(frozen=True)
+class Axis:
+    """``breaks``: their number or the values; ``limits``: None or (low, high)."""
+
+    share: bool = True
+    breaks: int | tuple[float, ...] = 5
+    limits: tuple[float, float] | None = None
+    rotate_labels: bool = True
+
+    def encoding(self) -> dict:
+        ticks = {"tickCount": self.breaks} if isinstance(self.breaks, int) else {"values": list(self.breaks)}
+        axis = {"axis": {**ticks, **({"labelAngle": -90} if self.rotate_labels else {})}}
+        return {**axis, **({"scale": {"domain": list(self.limits)}} if self.limits else {})}
+
+
+@dataclass(frozen=True)
+class PlotParams:
+    """Presentation of a chart; panels are measured in centimetres."""
+
+    y_axis: Axis = Axis()
+    x_axis: Axis = Axis(rotate_labels=False)
+    panel_height_cm: float = 6
+    panel_width_cm: float = 6
+    theme: str = "paper"
+    plot: tuple[str, ...] = ("line",)
+
+    @staticmethod
+    def of(params: Mapping[str, object]) -> tuple[PlotParams, dict]:
+        """From a specification's ``plot_params``; what is not known here goes to the chart's own configuration."""
+        known = {k: v for k, v in params.items() if k in PlotParams.__dataclass_fields__}
+        for k in ("x_axis", "y_axis"):
+            if k in known:
+                known[k] = Axis(**{n: tuple(v) if isinstance(v, list) else v for n, v in dict(known[k]).items()})
+        if "plot" in known:
+            known["plot"] = tuple(known["plot"])
+        return PlotParams(**known), {k: v for k, v in params.items() if k not in known}
+
+
+#: Font sizes of the themes.
+THEMES = {"paper": 10, "notebook": 12, "talk": 16, "poster": 22}
+
+
+def line_chart(df: DataFrame, fields: Mapping[str, str], title: str, params: Mapping[str, object] | None = None, max_rows: int = 100_000) -> dict:
+    """A chart as a Vega-Lite dictionary with its rows, lines and, if ``plot`` has them, points. ``fields`` maps channels
+    (x, y, color, detail, column, row) to columns. Charts of more than ``max_rows`` rows are refused."""
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise ValueError(f"a chart of more than {max_rows} rows; group by fewer variables")
     kinds = dict(df.dtypes)
-    encoding = {k: {"field": v, "type": "nominal" if kinds.get(v) == "string" else "quantitative"} for k, v in config.mapping.encoding().items()}
-    return {"$schema": SCHEMA, "title": config.group, "mark": {"type": "line"}, "data": {"values": [r.asDict() for r in rows]}, "encoding": encoding, "resolve": {"scale": {"x": "independent", "y": "independent"}}, **({"config": dict(config.params)} if config.params else {})}
+    p, rest = PlotParams.of(params or {})
+    encoding = {k: {"field": v, "type": "nominal" if kinds.get(v) == "string" else "quantitative"} for k, v in fields.items()}
+    for k, axis in (("x", p.x_axis), ("y", p.y_axis)):
+        encoding[k] |= axis.encoding()
+    size = {"width": round(p.panel_width_cm * 96 / 2.54), "height": round(p.panel_height_cm * 96 / 2.54)}
+    resolve = {"scale": {k: "shared" if a.share else "independent" for k, a in (("x", p.x_axis), ("y", p.y_axis))}}
+    font = THEMES.get(p.theme, THEMES["paper"])
+    look = {"axis": {"labelFontSize": font, "titleFontSize": font}, **rest}
+    return {"$schema": SCHEMA, "title": title, "mark": {"type": "line", "point": "point" in p.plot}, **size, "data": {"values": [r.asDict() for r in rows]}, "encoding": encoding, "resolve": resolve, "config": look}
+
+
+def chart(config: PlotConfig, df: DataFrame, max_rows: int = 100_000) -> dict:
+    """The chart of one entry of a specification."""
+    return line_chart(df, config.mapping.encoding(), config.group, dict(config.params), max_rows)
+
+
+def plot_frame(df: DataFrame, mapping: Mapping2D, flens: Sequence[int] = ()) -> DataFrame:
+    """The rows of one chart straight from a table: sums by the variables of the mapping, of fragment lengths (if they
+    are among these) only ``flens``, without rows that have no y."""
+    variables = mapping.variables()
+    chosen = {"flen": list(flens)} if "flen" in variables and flens else None
+    return aggregate_table(df, variables, chosen).where(F.col(mapping.y).isNotNull())
 
 
 def report(groups: Mapping[str, Sequence[str]], title: str = "M-bias") -> str:

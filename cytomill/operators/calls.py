@@ -47,24 +47,40 @@ def merge_strands(called: DataFrame) -> DataFrame:
     return _merged(called.withColumn("_key", key), ["chrom", "_key"], F.struct(F.col("start"), F.col("strand")), rest, called.columns)
 
 
+#: Letters of a stretch whose lines are numbered by one task.
+STRETCH = 1 << 20
+
+
+def line_numbers(called: DataFrame, order: Sequence[str | Column], by: Sequence[str]) -> DataFrame:
+    """``called`` with ``_n``, the number of a row within ``by`` in ``order``, from 0. Where ``order`` begins with contig and
+    start, stretches of contigs are counted first and numbered in parallel; a stretch's offset comes from the small table of counts."""
+    if list(order[:2]) != ["chrom", "start"]:
+        return called.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    cut = called.withColumn("_at", F.floor(F.col("start") / STRETCH))
+    counts = cut.groupBy(*by, "chrom", "_at").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("chrom", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*by, "chrom", "_at", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(*by, "chrom", "_at").orderBy(*order[1:])) - 1
+    return cut.join(counts, [*by, "chrom", "_at"]).withColumn("_n", nth + F.col("_before")).drop("_at", "_before")
+
+
 def merge_lines(called: DataFrame, order: Sequence[str | Column] = ("chrom", "start", "strand"), by: Sequence[str] = ("motif",)) -> DataFrame:
     """Sum consecutive rows, first and second, third and fourth and so on, within each ``by``, whatever they
     are; an odd last row is dropped. ``start`` and other columns come from the first row, ``end`` from the second."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    rows = called.withColumn("_n", n - 1).withColumn("_key", F.floor(F.col("_n") / 2))
-    keep = Window.partitionBy(*by, "_key")
-    rows = rows.withColumn("_c", F.count("*").over(keep)).where("_c = 2")
+    rows = line_numbers(called, order, by).withColumn("_key", F.floor(F.col("_n") / 2))
     rest = [c for c in called.columns if c not in ("start", "end", *by) and not c.endswith(("n_meth", "n_total", "beta_value"))]
-    return _merged(rows, [*by, "_key"], F.col("_n"), rest, called.columns)
+    return _merged(rows, [*by, "_key"], F.col("_n"), rest, called.columns, lines=2)
 
 
-def _merged(rows: DataFrame, keys: list[str], order: Column, rest: list[str], columns: list[str]) -> DataFrame:
+def _merged(rows: DataFrame, keys: list[str], order: Column, rest: list[str], columns: list[str], lines: int | None = None) -> DataFrame:
     stats = [c[: -len("n_total")] for c in columns if c.endswith("n_total")]
     first = [F.min_by(c, order).alias(c) for c in rest if c not in keys]
     if "strand" in columns and "strand" not in rest and "strand" not in keys:
         first.append(F.min_by("strand", order).alias("strand"))
     sums = [F.sum(f"{p}{c}").cast("long").alias(f"{p}{c}") for p in stats for c in ("n_meth", "n_total")]
-    out = rows.groupBy(*keys).agg(F.min_by("start", order).alias("start"), F.max_by("end", order).alias("end"), *first, *sums)
+    out = rows.groupBy(*keys).agg(F.min_by("start", order).alias("start"), F.max_by("end", order).alias("end"), *first, *sums, F.count("*").alias("_lines"))
+    if lines is not None:
+        out = out.where(F.col("_lines") == lines)
     out = out.withColumns({f"{p}beta_value": C.ratio(F.col(f"{p}n_meth"), F.col(f"{p}n_total")) for p in stats})
     return out.select(*[c for c in columns if c in out.columns])
 

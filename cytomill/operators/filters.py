@@ -27,9 +27,9 @@ def phred_filter(reads: DataFrame, min_phred: int) -> DataFrame:
 
 def trim(reads: DataFrame, sites: DataFrame, max_flen: int) -> DataFrame:
     """Keep bases within the cutting sites of their strand and fragment length. ``sites`` is dense in
-    flen (see ``sites.dense``) and has at most four rows per length up to ``max_flen``, so it is broadcast;
-    longer fragments count as ``max_flen``, missing sites trim everything."""
-    s = sites.select("bs_strand", F.col("flen").alias("_flen"), F.col("start").alias("_from"), F.col("end").alias("_to"))
+    flen (see ``sites.dense``); of the rows for one strand and length the first counts. There are four strands and
+    ``max_flen`` lengths at most, so it is broadcast; longer fragments count as ``max_flen``, missing sites trim everything."""
+    s = sites.where(F.col("flen").between(0, max_flen) & F.col("bs_strand").isin(*C.STRANDS)).dropDuplicates(["bs_strand", "flen"]).select("bs_strand", F.col("flen").alias("_flen"), F.col("start").alias("_from"), F.col("end").alias("_to"))
     flen = F.least(F.abs("tlen"), F.lit(max_flen))
     joined = reads.withColumn("_flen", flen.cast("long")).join(F.broadcast(s.withColumn("_flen", F.col("_flen").cast("long"))), ["bs_strand", "_flen"])
     return joined.where((F.col("_from") <= F.col("pos_in_read")) & (F.col("pos_in_read") < F.col("_to"))).drop("_flen", "_from", "_to")

@@ -53,7 +53,12 @@ def motif_index(genome: DataFrame, motifs: Sequence[str] = ("CG",), annotations:
     """BED6 rows of all motif positions on both strands; ``annotations`` in the caller's order: of
     ``triplet_seq`` (padded with ``$``) and ``seq_context`` (``context_size`` letters on each side, ``.`` at contig ends)."""
     motifs = check_motifs(motifs)
-    g = pieces(genome, max(2, context_size)).select("chrom", "chunk_start", "left", "seq", F.explode(F.sequence(F.col("left"), F.col("left") + F.col("core") - 1)).alias("i"))
+    g = pieces(genome, max(2, context_size))
+    # places of C and G only become rows: each part of the core between them ends before one
+    core = F.expr("substring(seq, left + 1, core)")
+    parts = F.split(core, "(?=[CG])")
+    ends = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    g = g.where(core.rlike("[CG]")).select("chrom", "chunk_start", "left", "seq", F.explode(ends).alias("i")).withColumn("i", F.col("left") + F.col("i"))
     g = g.withColumn("base", F.substring("seq", F.col("i") + 1, F.lit(1))).where(F.col("base").isin("C", "G"))
     begin = F.greatest(F.col("i") - 2, F.lit(0))
     triplet = F.when(F.col("base") == "C", F.substring("seq", F.col("i") + 1, F.lit(3))).otherwise(C.reverse_complement(F.substring("seq", begin + 1, F.col("i") - begin + 1)))
@@ -65,7 +70,3 @@ def motif_index(genome: DataFrame, motifs: Sequence[str] = ("CG",), annotations:
     made = {"triplet_seq": F.rpad("triplet", 3, "$"), "seq_context": context}
     strand = F.when(F.col("base") == "C", "+").otherwise("-")
     return g.select("chrom", start.alias("start"), (start + 1).alias("end"), "motif", F.lit(".").alias("score"), strand.alias("strand"), *[made[a].alias(a) for a in annotations if a])
-
-
-def with_watson_base(index: DataFrame) -> DataFrame:
-    return index.withColumn("watson_base", F.when(F.col("strand") == "+", "C").otherwise("G"))

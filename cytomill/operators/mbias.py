@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -24,7 +24,7 @@ class Binning:
 
     context_size: int = 5
     max_single_flen: int = 150
-    flen_width: int = 10
+    flen_width: int = 20
     max_flen: int = 500
     phred_width: int = 5
     max_phred: int = 40
@@ -66,7 +66,7 @@ def stats(cube: DataFrame, context_size: int = 5, classical: bool = True) -> Dat
 
 
 def ordered(df: DataFrame) -> DataFrame:
-    """Sorted by motif, context, mate, strand by its ordinal, and numbers."""
+    """Sorted by motif, context, mate, strand by its ordinal, and numbers: the order of tables that people read."""
     keys = [C.strand_rank(F.col(c)) if c == "bs_strand" else F.col(c) for c in INDEX if c in df.columns]
     return df.orderBy(*keys)
 
@@ -88,9 +88,9 @@ def classic(df: DataFrame) -> DataFrame:
 
 def masked(df: DataFrame, sites: DataFrame) -> DataFrame:
     """Null the numbers outside the cutting sites (0-based, half-open, against positions from 1). A stratum
-    without a site is an error when the rows are read. Sites are as few as strands times lengths."""
+    without a site is an error when the rows are read. Spark broadcasts the sites if their size allows it."""
     s = sites.select("bs_strand", "flen", F.col("start").alias("_from"), F.col("end").alias("_to"))
-    joined = df.join(F.broadcast(s), ["bs_strand", "flen"], "left")
+    joined = df.join(s, ["bs_strand", "flen"], "left")
     missing = F.raise_error(F.concat(F.lit("no cutting site for "), F.col("bs_strand"), F.lit(" "), F.col("flen").cast("string"))).cast("boolean")
     inside = F.when(F.col("_from").isNull(), missing).otherwise((F.col("_from") + 1 <= F.col("pos")) & (F.col("pos") <= F.col("_to")))
     return joined.withColumns({c: F.when(inside, F.col(c)) for c in ("n_meth", "n_unmeth", "beta_value")}).select(*df.columns)
@@ -98,21 +98,21 @@ def masked(df: DataFrame, sites: DataFrame) -> DataFrame:
 
 def phred_thresholds(df: DataFrame, motif: str = "CG") -> DataFrame:
     """For each quality level the counts of strictly better levels, summed over fragment lengths, without the
-    two best levels. The quality axis is filled in first, so each group has every level."""
+    two best levels. Each group has every level: its few levels are gathered in one row and the levels of
+    the whole table, a single row, are spread there."""
     own = [c for c in INDEX if c in df.columns and c not in ("flen", "phred")]
     flat = df.where(F.col("motif") == motif).groupBy(*own, "phred").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n_meth", "n_unmeth")])
-    levels = flat.select("phred").distinct()
-    full = flat.select(*own).distinct().join(F.broadcast(levels)).join(flat, [*own, "phred"], "left").fillna(0, ["n_meth", "n_unmeth"])
-    above = Window.partitionBy(*own).orderBy("phred").rowsBetween(1, Window.unboundedFollowing)
-    full = full.withColumns({c: F.coalesce(F.sum(c).over(above), F.lit(0)).cast("long") for c in ("n_meth", "n_unmeth")})
-    best = levels.orderBy(F.col("phred").desc()).limit(2)
-    return with_beta(full.join(F.broadcast(best), "phred", "left_anti")).select(*own, "phred", "n_meth", "n_unmeth", "beta_value")
+    groups = flat.groupBy(*own).agg(F.collect_list(F.struct("phred", "n_meth", "n_unmeth")).alias("_had"))
+    levels = flat.agg(F.sort_array(F.collect_set("phred"), asc=False).alias("_levels"))
+
+    def better(c: str, level: Column) -> Column:
+        return F.aggregate("_had", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["phred"] > level, x[c]).otherwise(0))
+
+    shown = F.slice("_levels", 3, F.greatest(F.size("_levels") - 2, F.lit(0)))
+    full = groups.crossJoin(F.broadcast(levels)).select(*own, "_had", F.explode(shown).alias("phred"))
+    return with_beta(full.select(*own, "phred", *[better(c, F.col("phred")).alias(c) for c in ("n_meth", "n_unmeth")])).select(*own, "phred", "n_meth", "n_unmeth", "beta_value")
 
 
 def value_levels(spark, name: str, values: Sequence) -> DataFrame:
     """A level table of ``densify``."""
     return spark.createDataFrame([(v,) for v in values], [name])
-
-
-def total(df: DataFrame) -> Column:
-    return F.col("n_meth") + F.col("n_unmeth")

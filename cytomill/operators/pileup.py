@@ -61,12 +61,18 @@ def read_level(alignments: DataFrame) -> DataFrame:
 
 
 def interval_join(spans: DataFrame, points: DataFrame, start: str = "start", length: str = "len", point: str = "pos", by: str = "chrom", width: int = BIN) -> DataFrame:
-    """Pairs of a span and a point within [start, start + length) of the same ``by``."""
+    """Pairs of a span and a point within [start, start + length) of the same ``by``. Bins are best about as wide as
+    the spans are long: wider ones make pairs that do not meet, narrower ones copies of the spans (``span_width``)."""
     s = spans.where(F.col(length) > 0).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(start) + F.col(length) - 1) / width))))
     p = points.withColumn("_bin", F.floor(F.col(point) / width))
     return s.join(p, [by, "_bin"]).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(start) + F.col(length))).drop("_bin")
 
 
+def span_width(spans: DataFrame, length: str = "len") -> int:
+    """The counted mean length of the spans, 1 at least: one aggregate over one column."""
+    return max(1, round(spans.where(F.col(length) > 0).agg(F.coalesce(F.avg(length), F.lit(1))).first()[0]))
+
+
 def pileup_reads(alignments: DataFrame, index: DataFrame) -> DataFrame:
     """One row per index position and read aligned there with a usable base. Positions without reads are
     not among them: aggregates join the index back (``calls``), which is far smaller than outer-joined reads."""

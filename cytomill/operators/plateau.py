@@ -6,13 +6,16 @@ The curve has one row per position, so it is fitted in one task; strata are test
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import lgamma
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import sites as S
 
@@ -32,11 +35,50 @@ class PlateauConfig:
 
 
 _lgamma = np.vectorize(lgamma, otypes=[float])
+#: From this smaller parameter on the beta function is integrated numerically, below it its fraction is summed.
+LARGE, FAR = 3000.0, 20.0
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(48)
 
 
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The regularised incomplete beta function by its continued fraction, elementwise for a, b > 0."""
+    """The regularised incomplete beta function, elementwise for a, b > 0, whatever their size."""
     a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float))
+    out = np.empty(a.shape)
+    large = np.minimum(a, b) > LARGE
+    for part, f in ((large, _by_quadrature), (~large, _by_fraction)):
+        if part.any():
+            out[part] = f(a[part], b[part], x[part])
+    return out
+
+
+def _by_quadrature(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Gauss-Legendre quadrature of the density over panels of one deviation around its top, where it is as good as all.
+    The density is taken relative to its top and the integral relative to the whole, so no large terms cancel."""
+    top = (a - 1) / (a + b - 2)
+    width = np.sqrt(top * (1 - top) / (a + b - 2))
+
+    def panel(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        d = width[:, None] * ((hi - lo)[:, None] / 2 * _NODES + (hi + lo)[:, None] / 2)
+        inside = (d > -top[:, None]) & (d < 1 - top[:, None])
+        d = np.where(inside, d, 0)
+        log = (a - 1)[:, None] * np.log1p(d / top[:, None]) + (b - 1)[:, None] * np.log1p(-d / (1 - top)[:, None])
+        return (np.where(inside, np.exp(log), 0) @ _WEIGHTS) * (hi - lo) / 2
+
+    z = np.clip((x - top) / width, -FAR, FAR)
+    # the tail on the nearer side and all of the density, tails of their own precision
+    near = np.where(z > 0, 1.0, -1.0)
+    tail, whole = np.zeros(len(z)), np.zeros(len(z))
+    for k in np.arange(-FAR, FAR, 4):
+        whole += panel(np.full(len(z), k), np.full(len(z), k + 4))
+    for k in np.arange(0, FAR, 2):  # outwards from z
+        at = np.abs(z) + k
+        lo, hi = np.minimum(at, FAR), np.minimum(at + 2, FAR)
+        tail += panel(np.where(near > 0, lo, -hi), np.where(near > 0, hi, -lo))
+    return np.where(near > 0, 1 - tail / whole, tail / whole)
+
+
+def _by_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The continued fraction, summed until it stands."""
     swap = x > (a + 1) / (a + b + 2)
     p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -48,7 +90,8 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
 
     c, d = np.ones_like(y), 1 / safe(1 - (p + q) * y / (p + 1))
     h = d.copy()
-    for m in range(1, 500):
+    most = 1000 + 20 * int(np.sqrt(max(a.max(), b.max())))  # it takes terms in proportion to that root
+    for m in range(1, most):
         even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
         d, c = 1 / safe(1 + even * d), safe(1 + even / c)
         h *= d * c
@@ -58,6 +101,8 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
         h *= step
         if np.all(np.abs(step - 1) < 1e-15):
             break
+    else:
+        raise ArithmeticError(f"the fraction did not converge in {most} terms")
     out = np.where(y <= 0, 0.0, front * h)
     return np.where(swap, 1 - out, out)
 
@@ -170,35 +215,66 @@ def breakpoints(p: np.ndarray, flen: int) -> tuple[int, int]:
     return start, end
 
 
+def cg_counts(classic: DataFrame) -> DataFrame:
+    """``bs_strand``, ``flen``, ``pos``, ``n_meth``, ``n_total`` of the CG rows; masked rows count 0."""
+    rows = classic.where(F.col("motif") == "CG") if "motif" in classic.columns else classic
+    return rows.select("bs_strand", F.col("flen").cast("long").alias("flen"), F.col("pos").cast("long").alias("pos"), F.coalesce("n_meth", F.lit(0)).cast("long").alias("n_meth"), F.coalesce(F.col("n_meth") + F.col("n_unmeth"), F.lit(0)).cast("long").alias("n_total"))
+
+
+def curve(counts: DataFrame, cfg: PlateauConfig) -> DataFrame:
+    """The curve that the plateau is fitted to: sums by position over the long fragments of the chosen strands."""
+    chosen = counts.where(F.col("bs_strand").isin(*cfg.plateau_strands) & (F.col("flen") >= cfg.plateau_flen))
+    return chosen.groupBy("pos").agg(F.sum("n_meth").alias("n_meth"), F.sum("n_total").alias("n_total"))
+
+
+def stratum_p_values(counts: DataFrame, intercept: float, slope: float, first: int, always_accept: float) -> DataFrame:
+    """``counts`` with ``p``: how well a position agrees with the plateau of that ``intercept`` at position ``first`` and
+    ``slope``, within ``always_accept``. Row by row, in Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pos, k, n = (batch.column(c).to_numpy().astype(float) for c in ("pos", "n_meth", "n_total"))
+            model = intercept + slope * (pos - first)
+            lo, hi = model - always_accept, model + always_accept
+            beta = np.where(n > 0, k / np.maximum(n, 1), 0.0)
+            p = integrated(beta, p_values(k, n, lo), p_values(k, n, hi), (lo, hi))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "p"])
+
+    return counts.mapInArrow(run, StructType([*counts.schema.fields, StructField("p", DoubleType())]))
+
+
+def cut_ends(p: DataFrame, first: int, last: int) -> DataFrame:
+    """Cutting sites of all strata from rows (bs_strand, flen, pos, p), as ``breakpoints`` has them for one: the
+    positions from ``first`` to ``last`` in a row's arrays. A position without a row disagrees."""
+    n = last - first + 1
+    rows = p.groupBy("bs_strand", "flen").agg(F.map_from_entries(F.collect_list(F.struct("pos", "p"))).alias("at"))
+    all_ = F.transform(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")), lambda i: F.coalesce(F.nanvl(F.try_element_at("at", i), F.lit(0.0)), F.lit(0.0)))
+    rows = rows.select("bs_strand", "flen", all_.alias("p"))
+    end = F.when((F.col("flen") > 0) & (F.col("flen") < n), F.col("flen") - 1).otherwise(n - 1).cast("int")
+    starts = F.sequence(F.lit(0), F.lit(n - RUN)) if n >= RUN else F.array().cast("array<int>")
+    runs = F.filter(starts, lambda i: F.forall(F.slice("p", i + 1, F.lit(RUN)), lambda x: x > PLATEAU_P))
+    rows = rows.select("bs_strand", "flen", "p", end.alias("e"), runs.alias("runs"))
+    inner = F.filter("runs", lambda i: i + RUN <= F.col("e") + 1)
+    low, high = F.get("p", F.lit(0)) < END_P, F.get("p", F.col("e")) < END_P
+    none = (low & (F.size("runs") == 0)) | (high & (F.size(inner) == 0))
+    start = F.when(low, F.get("runs", F.lit(0))).otherwise(0)
+    stop = F.when(high, F.get(inner, F.size(inner) - 1) + RUN).otherwise(n)
+    return rows.select("bs_strand", "flen", F.when(none, 0).otherwise(start).cast("long").alias("start"), F.when(none, 0).otherwise(stop).cast("long").alias("end"))
+
+
 def detect(classic: DataFrame, cfg: PlateauConfig = PlateauConfig()) -> DataFrame:
     """Cutting sites from CG rows of the classic table: ``bs_strand``, ``flen``, ``pos``, ``n_meth``, ``n_unmeth``."""
     spark = classic.sparkSession
-    rows = classic.where(F.col("motif") == "CG") if "motif" in classic.columns else classic
-    rows = rows.select("bs_strand", F.col("flen").cast("long").alias("flen"), F.col("pos").cast("long").alias("pos"), F.coalesce("n_meth", F.lit(0)).cast("long").alias("n_meth"), F.coalesce(F.col("n_meth") + F.col("n_unmeth"), F.lit(0)).cast("long").alias("n_total"))
-    chosen = rows.where(F.col("bs_strand").isin(*cfg.plateau_strands) & (F.col("flen") >= cfg.plateau_flen))
-    curve = chosen.groupBy("pos").agg(F.sum("n_meth").alias("n_meth"), F.sum("n_total").alias("n_total")).orderBy("pos").toPandas()  # a row per position in a read
-    if not len(curve):
+    rows = cg_counts(classic)
+    line = curve(rows, cfg).orderBy("pos").toPandas()  # a row per position in a read
+    if not len(line):
         raise ValueError("no fragments are long enough to estimate the plateau")
-    meth, seen = curve["n_meth"].to_numpy(float), curve["n_total"].to_numpy(float)
+    meth, seen = line["n_meth"].to_numpy(float), line["n_total"].to_numpy(float)
     intercept, slope = sloped_plateau(meth, seen, cfg) if cfg.allow_slope else (flat_plateau(meth, seen), 0.0)
     if slope > cfg.max_slope:
         raise ValueError("the plateau is too steep")
-    first, top = rows.agg(F.min("pos"), F.max("pos")).first()
-    width = top - first + 1
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, n = np.zeros(width), np.zeros(width)
-        at = pdf["pos"].to_numpy() - first
-        k[at], n[at] = pdf["n_meth"], pdf["n_total"]
-        model = intercept + slope * np.arange(width)
-        lo, hi = model - cfg.always_accept, model + cfg.always_accept
-        beta = np.where(n > 0, k / np.maximum(n, 1), 0.0)
-        p = integrated(beta, p_values(k, n, lo), p_values(k, n, hi), (lo, hi))
-        flen = int(pdf["flen"].iloc[0])
-        start, end = breakpoints(p, flen)
-        return pd.DataFrame({"bs_strand": [pdf["bs_strand"].iloc[0]], "flen": [flen], "start": [start], "end": [end]})
-
-    found = rows.groupBy("bs_strand", "flen").applyInPandas(one, "bs_strand string, flen long, start long, end long")
+    first, last = rows.agg(F.min("pos"), F.max("pos")).first()
+    found = cut_ends(stratum_p_values(rows, intercept, slope, first, cfg.always_accept), first, last)
     # strands times lengths rows: written out once so that the windows do not test the strata again
     table = spark.createDataFrame(found.toPandas(), found.schema)
     return S.least_length(S.smoothed(table), cfg.min_plateau_length)

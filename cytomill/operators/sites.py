@@ -34,9 +34,10 @@ def dense(sites: DataFrame) -> DataFrame:
     """A row for every length from the smallest to the largest, gaps filled from the next larger length.
     Below the smallest there is none, so everything is trimmed there."""
     ends = sites.agg(F.min("flen").alias("lo"), F.max("flen").alias("hi"))
-    grid = ends.select(F.explode(F.sequence("lo", "hi")).alias("flen")).join(F.broadcast(sites.select("bs_strand").distinct()))
+    strands = F.broadcast(sites.where(F.col("bs_strand").isin(*C.STRANDS)).select("bs_strand").distinct())  # four rows at most
+    grid = ends.select(F.explode(F.sequence("lo", "hi")).alias("flen")).join(strands)
     w = Window.partitionBy("bs_strand").orderBy("flen").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    full = grid.join(F.broadcast(sites), ["bs_strand", "flen"], "left")
+    full = grid.join(sites, ["bs_strand", "flen"], "left")
     return full.select("bs_strand", "flen", *[F.coalesce(F.first(c, ignorenulls=True).over(w), F.lit(0)).cast("long").alias(c) for c in ("start", "end")])
 
 
@@ -69,5 +70,5 @@ def least_length(sites: DataFrame, min_length: int) -> DataFrame:
 
 
 def plot_table(sites: DataFrame) -> DataFrame:
-    """Long form for a line chart: ``cut_end`` (start or end) and ``cut_pos``."""
-    return sites.unpivot(["bs_strand", "flen"], ["start", "end"], "cut_end", "cut_pos")
+    """Long form for a line chart: ``cut_end`` (start or end) and ``cut_pos``; by motif too if there is one."""
+    return sites.unpivot([c for c in ("motif", "bs_strand", "flen") if c in sites.columns], ["start", "end"], "cut_end", "cut_pos")

@@ -372,11 +372,52 @@ def union_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.table(spark, sf_dir, "orders").selectExpr("o_orderkey as span_id", "o_custkey % 5 as chrom", "(o_orderkey * 7919) % 100000 as a", "o_custkey % 150 as len")
     p = views.table(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 5 as chrom", "(l_partkey * 104729) % 100000 as pos").distinct()
-    return pileup.interval_join(s, p, "a", "len", "pos").groupBy("chrom", "pos").agg(F.count("*").alias("n_spans"), F.sum(F.col("pos") - F.col("a")).alias("offsets"))
+    return pileup.interval_join(s, p, "a", "len", "pos", width=pileup.span_width(s)).groupBy("chrom", "pos").agg(F.count("*").alias("n_spans"), F.sum(F.col("pos") - F.col("a")).alias("offsets"))
+
+
+@query(f"WITH {CLASSIC} SELECT pos, sum(n_meth)::BIGINT AS n_meth, sum(n_meth + n_unmeth)::BIGINT AS n_total FROM classic WHERE motif = 'CG' AND bs_strand IN ('c_bc', 'w_bc') AND flen >= 210 GROUP BY pos")
+def plateau_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plateau.curve(plateau.cg_counts(mbias.classic(_stats(spark, sf_dir))), plateau.PlateauConfig())
+
+
+#: A plateau for the queries that test strata against one, with the strip in which every position agrees.
+_HEIGHT, _SLOPE, _STRIP = 0.6, 0.0005, 0.02
+#: Shown p-values are counted in millionths, cut at a place that no short decimal has, where both engines agree.
+_OFF = 0.3819660112501
+
+
+def _tail(k: str, n: str, p: str) -> str:
+    """The doubled smaller tail of a binomial count, term by term."""
+    c = f"(SELECT sum(exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - ({p})))) FROM (SELECT unnest(generate_series(0, {k})) AS i))"
+    return f"CASE WHEN {k} >= {n} THEN 0 ELSE (SELECT 2 * CASE WHEN c > 0.5 THEN 1 - c ELSE c END FROM (SELECT {c} AS c)) END"
+
+
+P_VALUES = f"""{CLASSIC}, cg AS (SELECT bs_strand, flen, pos, n_meth AS k, n_meth + n_unmeth AS n, {_HEIGHT} + {_SLOPE} * (pos - 1) AS m FROM classic WHERE motif = 'CG'),
+ tails AS (SELECT *, {_tail("k", "n", f"m - {_STRIP}")} AS a, {_tail("k", "n", f"m + {_STRIP}")} AS b FROM cg),
+ pv AS (SELECT bs_strand, flen, pos, CASE WHEN k / n BETWEEN m - {_STRIP} AND m + {_STRIP} THEN 1 ELSE greatest(a, b) END AS p FROM tails)"""
+
+
+def _p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plateau.stratum_p_values(plateau.cg_counts(mbias.classic(_stats(spark, sf_dir))), _HEIGHT, _SLOPE, 1, _STRIP)
+
+
+@query(f"WITH {P_VALUES} SELECT bs_strand, flen, pos, floor(p * 1000000 + {_OFF})::BIGINT AS millionths FROM pv")
+def plateau_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p_values(spark, sf_dir).select("bs_strand", "flen", "pos", F.floor(F.col("p") * 1_000_000 + _OFF).alias("millionths"))
+
+
+@query(f"""WITH {P_VALUES}, d AS (SELECT s.bs_strand, s.flen, i, coalesce(p, 0) AS p, CASE WHEN s.flen BETWEEN 1 AND 100 THEN s.flen - 1 ELSE 100 END AS e
+  FROM (SELECT DISTINCT bs_strand, flen FROM pv) s CROSS JOIN (SELECT unnest(range(0, 101)) AS i) LEFT JOIN pv ON pv.bs_strand = s.bs_strand AND pv.flen = s.flen AND pos = i + 1),
+ r AS (SELECT *, min((p > 0.1)::INT) OVER (PARTITION BY bs_strand, flen ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) = 1 AND i <= 95 AS run FROM d),
+ a AS (SELECT bs_strand, flen, max(p) FILTER (WHERE i = 0) < 1e-6 AS low, max(p) FILTER (WHERE i = e) < 1e-6 AS high, min(i) FILTER (WHERE run) AS first, max(i) FILTER (WHERE run AND i + 6 <= e + 1) AS last FROM r GROUP BY ALL)
+ SELECT bs_strand, flen, CASE WHEN (low AND first IS NULL) OR (high AND last IS NULL) OR NOT low THEN 0 ELSE first END::BIGINT AS start,
+  CASE WHEN (low AND first IS NULL) OR (high AND last IS NULL) THEN 0 WHEN high THEN last + 6 ELSE 101 END::BIGINT AS "end" FROM a""")
+def plateau_cut_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plateau.cut_ends(_p_values(spark, sf_dir), 1, READ_LENGTH)
 
 
 @query()
 def plateau_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cutting sites detected in the classic table; numeric, so without SQL."""
-    cfg = plateau.PlateauConfig(steps=100, always_accept=0.2)
-    return plateau.detect(mbias.classic(_stats(spark, sf_dir)), cfg)
+    """Cutting sites detected in the classic table; the search for the plateau is numeric, so without SQL. Its grid is the
+    operator's own; the synthetic reads agree with no plateau more closely than within a fifth, so the strip is that wide here."""
+    return plateau.detect(mbias.classic(_stats(spark, sf_dir)), plateau.PlateauConfig(always_accept=0.2))

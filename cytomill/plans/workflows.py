@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from pathlib import Path
 
 from pyspark import StorageLevel
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import aggspec, calls, filters, index, mbias, pileup, plateau, sites
-from ..sources import bed, fasta, sam, writers
+from ..sources import bed, fasta, files, sam, writers
 
 POSITION = ("chrom", "start", "motif")
 
@@ -35,8 +35,11 @@ def resolve_sites(spark: SparkSession, trimming: tuple[str, object] | None, max_
     return full, int(full.agg(F.max("flen")).first()[0])
 
 
-def call(spark: SparkSession, alignments: str, index_path: str, out: str, formats: Sequence[str] = ("bed",), trimming: tuple[str, object] | None = None, max_read_length: int = 101, min_mapq: int = 15, min_phred: int = 20, single_file: bool = False) -> dict[str, DataFrame]:
-    """Methylation calls; the filtered reads are computed once for all output formats."""
+def call(spark: SparkSession, alignments: str, index_path: str, out: str, formats: Sequence[str] = ("bed",), trimming: tuple[str, object] | None = None, max_read_length: int = 101, min_mapq: int = 25, min_phred: int = 25, single_file: bool = False, templates: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
+    """Methylation calls; the filtered reads are computed once for all output formats. With ``single_file``, a format's
+    ``templates`` entry names its files under ``out`` by ``[motif]`` and ``[chrom]``. The frames returned read what was written or
+    can be computed again from the files."""
+    templates = dict(templates or {})
     formats = writers.check_formats(formats)
     idx = bed.read_index(spark, index_path).drop("watson_base")
     s, top = resolve_sites(spark, trimming, max_read_length)
@@ -46,21 +49,35 @@ def call(spark: SparkSession, alignments: str, index_path: str, out: str, format
     done: dict[str, DataFrame] = {}
     if "bed" in formats:
         done["bed"] = calls.with_all_positions(idx, calls.call(reads))
-        writers.write(writers.bed_lines(done["bed"]), f"{out}/bed", writers.BED9, single_file)
+        writers.write(writers.bed_lines(done["bed"]), f"{out}/bed", writers.BED9, single_file, templates.get("bed", writers.TEMPLATE))
     if "stratified_bed" in formats:
         done["stratified_bed"] = calls.with_all_positions(idx, calls.stratified_call(reads))
-        writers.write(writers.stratified_lines(done["stratified_bed"]), f"{out}/stratified_bed", writers.BED27, single_file)
+        writers.write(writers.stratified_lines(done["stratified_bed"]), f"{out}/stratified_bed", writers.BED27, single_file, templates.get("stratified_bed", writers.TEMPLATE))
     if "bismark" in formats:
         done["bismark"] = writers.bismark_lines(reads)
-        writers.write(done["bismark"], f"{out}/bismark", None, single_file)
+        writers.write(done["bismark"], f"{out}/bismark", None, single_file, templates.get("bismark", writers.TEMPLATE))
+    reads.unpersist()
     return done
 
 
-def collect_stats(spark: SparkSession, alignments: str, index_path: str, out: str, binning: mbias.Binning = mbias.Binning()) -> DataFrame:
-    """The count cube of reads at index positions with a sequence context, as Parquet."""
+def run_pileup(spark: SparkSession, alignments: str, index_path: str, steps: Sequence[Callable[[DataFrame], DataFrame]], counters: Mapping[str, Callable[[DataFrame], DataFrame]]) -> dict[str, DataFrame]:
+    """The place for a user's own operators: ``steps`` take and return rows of ``pileup.pileup_reads`` one after the other
+    (filters, marks, further columns), ``counters`` make a table each from the last step's rows. All of them are plans
+    over one scan; a counter that is never read costs nothing."""
+    reads = pileup.pileup_reads(sam.read(spark, alignments), bed.read_index(spark, index_path).drop("watson_base"))
+    for step in steps:
+        reads = reads.transform(step)
+    return {name: reads.transform(f) for name, f in counters.items()}
+
+
+def collect_stats(spark: SparkSession, alignments: str, index_path: str, out: str, binning: mbias.Binning = mbias.Binning(), tsv: bool = False) -> DataFrame:
+    """The count cube of reads at index positions with a sequence context, as Parquet, and with ``tsv`` as tab-separated
+    text with a header in ``out``_tsv too."""
     idx = bed.read_index(spark, index_path).drop("watson_base")
     cube = mbias.count_cube(pileup.pileup_reads(sam.read(spark, alignments), idx), binning)
     cube.write.mode("overwrite").parquet(out)
+    if tsv:
+        spark.read.parquet(out).write.mode("overwrite").csv(f"{out}_tsv", sep="\t", header=True, compression="gzip")
     return spark.read.parquet(out)
 
 
@@ -71,7 +88,7 @@ def evaluate_mbias(spark: SparkSession, counts: str, out: str, context_size: int
         df.write.mode("overwrite").parquet(f"{out}/{name}")
         return spark.read.parquet(f"{out}/{name}")
 
-    if reuse and Path(f"{out}/stats").exists():
+    if reuse and files.modified(f"{out}/stats/_SUCCESS") is not None:
         stats = spark.read.parquet(f"{out}/stats")
     else:
         stats = stored("stats", mbias.used_phred(mbias.stats(spark.read.parquet(counts), context_size)))
@@ -105,11 +122,21 @@ def mbias_plots(spark: SparkSession, spec: Mapping[str, dict], datasets: Mapping
     return [p for ps in groups.values() for p in ps]
 
 
-def evaluate_calls(spark: SparkSession, called: str | DataFrame, out: str, max_coverage: int = 100) -> DataFrame:
+def evaluate_calls(spark: SparkSession, called: str | DataFrame, out: str, max_coverage: int = 80, chart: str | None = None) -> DataFrame:
+    """The coverage histogram as Parquet, and with ``chart`` a line chart of it, a panel for each motif."""
     df = bed.read(spark, called) if isinstance(called, str) else called
     hist = calls.coverage_histogram(df, max_coverage)
     hist.write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
+    hist = spark.read.parquet(out)
+    if chart:
+        Path(chart).write_text(json.dumps(aggspec.line_chart(hist, {"x": "coverage", "y": "counts", "column": "motif"}, "Coverage")))
+    return hist
+
+
+def plot_sites(found: DataFrame, chart: str) -> None:
+    """A line chart of cutting sites by fragment length, a panel for each strand, and for each motif if there is one."""
+    row = {"row": "motif"} if "motif" in found.columns else {}
+    Path(chart).write_text(json.dumps(aggspec.line_chart(sites.plot_table(found), {"x": "flen", "y": "cut_pos", "color": "cut_end", "column": "bs_strand", **row}, "Cutting sites")))
 
 
 def merge_calls(spark: SparkSession, called: str, out: str, by_lines: bool = False, single_file: bool = False) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .files import is_gzip, open_text
+from .files import exists, is_gzip, open_binary, open_text
 
 SCHEMA = "chrom string, chunk_start bigint, left int, core int, seq string"
 CHUNK, FLANK = 1 << 16, 64
@@ -51,10 +50,10 @@ class FastaReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         index = f"{self.path}.fai"
-        if not os.path.exists(index) or is_gzip(self.path):
+        if not exists(index) or is_gzip(self.path):
             return [Piece(self.path)]
         out = []
-        with open(index, encoding="utf-8") as f:
+        with open_text(index) as f:
             for line in f:
                 name, *numbers = line.split("\t")[:5]
                 length, offset, bases, width = map(int, numbers)
@@ -68,7 +67,7 @@ class FastaReader(DataSourceReader):
         length, offset, bases, width = partition.entry
         lo, core = max(0, partition.start - self.flank), min(self.size, length - partition.start)
         hi = min(length, partition.start + core + self.flank)
-        with open(partition.path, "rb") as f:
+        with open_binary(partition.path) as f:
             begin = offset + lo // bases * width + lo % bases
             f.seek(begin)
             raw = f.read(offset + hi // bases * width + hi % bases - begin)

@@ -1,25 +1,54 @@
-"""Opening of plain or gzip files with the errors users expect."""
+"""Opening of plain or gzip files, on local disks or any store that pyarrow reads, with the errors users expect."""
 
 from __future__ import annotations
 
 import gzip
-import os
+import io
 from typing import IO
 
+from pyarrow import fs
+
+
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI and the path in it; a path without a scheme is local."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def exists(path: str) -> bool:
+    at, name = located(path)
+    return at.get_file_info(name).type == fs.FileType.File
+
+
+def modified(path: str) -> int | None:
+    """Nanoseconds of the last change, None if there is no such file or folder."""
+    at, name = located(path)
+    return at.get_file_info(name).mtime_ns
+
+
+def open_binary(path: str) -> IO[bytes]:
+    """For reading, with seeks."""
+    at, name = located(path)
+    if isinstance(at, fs.LocalFileSystem):
+        return open(name, "rb")
+    return io.BufferedReader(at.open_input_file(name), 1 << 20)
+
 
 def is_gzip(path: str) -> bool:
-    with open(path, "rb") as f:
+    with open_binary(path) as f:
         return f.read(2) == b"\x1f\x8b"
 
 
 def check_file(path: str) -> None:
-    if not os.path.exists(path):
+    at, name = located(path)
+    info = at.get_file_info(name)
+    if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(f"{path} not found")
-    if not os.path.getsize(path):
+    if not info.size:
         raise ValueError(f"{path} is empty")
 
 
 def open_text(path: str) -> IO[str]:
     """A plain or gzip text file, told apart by its first bytes."""
     check_file(path)
-    return gzip.open(path, "rt") if is_gzip(path) else open(path, encoding="utf-8")
+    f = open_binary(path)
+    return io.TextIOWrapper(gzip.GzipFile(fileobj=f) if is_gzip(path) else f, encoding="utf-8")

@@ -4,7 +4,6 @@ seq, qual (text with offset 33) and ``file_ord``, which sorts reads as in the fi
 from __future__ import annotations
 
 import gzip
-import os
 import struct
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import exists, open_binary
+
 SCHEMA = "qname string, flag int, rname string, pos bigint, mapq int, cigar string, tlen bigint, seq string, qual string, file_ord bigint"
 #: Fixed values of the BAM format: letters of packed bases and CIGAR operations.
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
@@ -54,7 +55,7 @@ class Stream:
     """Bytes of a BGZF file from a virtual offset on, aware of where they are."""
 
     def __init__(self, path: str, offset: int = 0) -> None:
-        self.f = open(path, "rb")  # noqa: SIM115
+        self.f = open_binary(path)
         self.f.seek(offset >> 16)
         self.block, self.at, self.data = offset >> 16, 0, b""
         self.load()
@@ -114,7 +115,7 @@ def record(raw: bytes, names: list[str], order: int) -> tuple:
 
 def split_points(bai: str) -> list[int]:
     """Virtual offsets of record starts from the linear index of a ``.bai`` file."""
-    with open(bai, "rb") as f:
+    with open_binary(bai) as f:
         data = f.read()
     if data[:4] != b"BAI\x01":
         raise ValueError("not a BAI file")
@@ -145,7 +146,7 @@ class BamReader(DataSourceReader):
         s = Stream(self.path)
         header(s)
         cuts = [s.tell()]
-        if os.path.exists(f"{self.path}.bai"):
+        if exists(f"{self.path}.bai"):
             for v in split_points(f"{self.path}.bai"):
                 if (v >> 16) - (cuts[-1] >> 16) >= self.split:
                     cuts.append(v)

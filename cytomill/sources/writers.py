@@ -6,6 +6,7 @@ import gzip
 import shutil
 from collections.abc import Iterable
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ BED6 = ("chrom", "start", "end", "motif", "score", "strand")
 BED9 = (*BED6, "beta_value", "n_meth", "n_total")
 BED27 = (*BED9, *[f"{s}_{c}" for s in C.STRATA for c in ("beta_value", "n_meth", "n_total")])
 FORMATS = ("bed", "bismark", "stratified_bed")
+#: Names of single files: both fields are needed, as each motif and contig has a file of its own.
+TEMPLATE = "[motif]_[chrom].txt.gz"
 
 
 def header(columns: Iterable[str]) -> str:
@@ -49,18 +52,22 @@ def bismark_lines(reads: DataFrame) -> DataFrame:
     return r.select("motif", "chrom", "start", *keep, line.alias("line"))
 
 
-def write(lines: DataFrame, out: str, columns: Iterable[str] | None = None, single_file: bool = False) -> None:
+def write(lines: DataFrame, out: str, columns: Iterable[str] | None = None, single_file: bool = False, template: str = TEMPLATE) -> None:
     """Sorted gzip text under ``out``/motif=…/chrom=…, a file per task and group; a large contig's rows are
     range-partitioned over tasks in file name order. With ``single_file`` (local folders) the parts of a group are
-    joined to ``out``/motif_chrom.txt.gz behind a header line."""
+    joined behind a header line to the file under ``out`` that ``template`` names by ``[motif]`` and ``[chrom]``."""
+    if not all(f in template for f in ("[motif]", "[chrom]")):
+        raise ValueError(f"{template} needs the fields [motif] and [chrom]")
     order = ["motif", "chrom", "start", *[c for c in ("file_ord",) if c in lines.columns]]
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("motif", "chrom", "line")
     dealt.write.mode("overwrite").partitionBy("motif", "chrom").option("compression", "gzip").text(out)
     if single_file:
         for group in sorted(Path(out).glob("motif=*/chrom=*")):
-            name = "_".join(p.split("=", 1)[1] for p in group.parts[-2:])
-            with open(Path(out) / f"{name}.txt.gz", "wb") as to:
+            motif, chrom = (unquote(p.split("=", 1)[1]) for p in group.parts[-2:])
+            name = Path(out) / template.replace("[motif]", motif).replace("[chrom]", chrom)
+            name.parent.mkdir(parents=True, exist_ok=True)
+            with open(name, "wb") as to:
                 if columns:
                     to.write(gzip.compress((header(columns) + "\n").encode(), mtime=0))
                 for part in sorted(group.glob("part-*")):

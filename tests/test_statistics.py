@@ -156,12 +156,89 @@ def test_specs(spark):
     assert aggspec.chart(found[0], aggspec.plot_data(found[0], done))["encoding"]["color"]["type"] == "nominal"
     with pytest.raises(ValueError):
         aggspec.plot_configs({"g": {"datasets": ["full"]}})
-    with pytest.raises(ValueError):
-        aggspec.post_filter(stats_table(spark), {"motif": ["CG", "XX"]})
+    bad = aggspec.post_filter(stats_table(spark), {"motif": ["CG", "XX"]})  # lazy: no job runs before the rows are read
+    with pytest.raises(Exception, match="motif has no XX"):
+        bad.collect()
+    with pytest.raises(TypeError):
+        aggspec.post_filter(stats_table(spark), {"nothing": "CG"})
     assert aggspec.post_filter(stats_table(spark), {"motif": ["CG"], "absent": [1]}).count() == 8
     assert stats_table(spark).where(aggspec.selection(motif="CG", flen=slice(55, None), pos=[1])).count() == 2
 
 
+def test_no_job_runs_while_a_chart_is_planned(spark):
+    found = aggspec.plot_configs(SPEC, ["full", "other"])
+    table = stats_table(spark)
+    spark.sparkContext.setJobGroup("planned", "")
+    done = aggspec.aggregates(found, {"full": table, "other": table})
+    for c in found:
+        aggspec.post_filter(aggspec.plot_data(c, done), {"motif": ["CG"]})
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planned")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_chart_parameters(spark):
+    params = {"y_axis": {"share": False, "breaks": [0, 0.5, 1], "limits": [0, 1]}, "panel_width_cm": 10, "plot": ["line", "point"], "theme": "talk", "background": "white"}
+    c = aggspec.line_chart(stats_table(spark), {"x": "pos", "y": "beta_value", "color": "bs_strand"}, "t", params)
+    assert c["encoding"]["y"]["axis"]["values"] == [0, 0.5, 1] and c["encoding"]["y"]["scale"]["domain"] == [0, 1] and c["resolve"]["scale"] == {"x": "shared", "y": "independent"}
+    assert c["width"] == 378 and c["mark"]["point"] and c["config"]["background"] == "white" and c["config"]["axis"]["labelFontSize"] == 16
+    frame = aggspec.plot_frame(stats_table(spark), aggspec.Mapping2D("pos", "beta_value", color="flen"), [50])
+    assert {r["flen"] for r in frame.collect()} == {50} and frame.count() == 2
+    with pytest.raises(ValueError):
+        aggspec.line_chart(stats_table(spark), {"x": "pos", "y": "beta_value"}, "t", max_rows=3)
+
+
+def test_binomial_cdf_of_many_counts():
+    """At half of the probability mass the normal law is close; tails against the logarithm of exact terms."""
+    for n in (10**4, 10**6, 10**8, 10**10):
+        k = np.array([0.7 * n])
+        assert plateau.binomial_cdf(k, n, 0.7)[0] == pytest.approx(0.5, abs=0.6 / np.sqrt(n)) and plateau.binomial_cdf(k, n, 0.7)[0] > 0.5
+        sd = np.sqrt(n * 0.21)
+        low, high = plateau.binomial_cdf(k - 5 * sd, n, 0.7)[0], 1 - plateau.binomial_cdf(k + 5 * sd, n, 0.7)[0]
+        assert 1.5e-7 < low < 6e-7 and 1.5e-7 < high < 6e-7
+        assert plateau.binomial_cdf(k - 100 * sd, n, 0.7)[0] < 1e-80 and plateau.binomial_cdf(k + 40 * sd, n, 0.7)[0] == 1
+    n, p = 40_000, 0.4
+    f = Fraction(2, 5)
+    for k in (15_600, 15_990, 16_300):
+        terms = np.array([plateau._lgamma(n + 1) - plateau._lgamma(i + 1) - plateau._lgamma(n - i + 1) + i * np.log(float(f)) + (n - i) * np.log(1 - float(f)) for i in range(k + 1)])
+        assert plateau.binomial_cdf(k, n, p) == pytest.approx(np.exp(terms).sum(), rel=1e-7)
+    few = plateau.binomial_cdf(np.array([3.0, 0.0, 10.0**9 - 3]), 10**9, np.array([3e-9, 1e-9, 1 - 3e-9]))
+    assert few == pytest.approx([0.6472318887822313, 0.36787944117, 0.5768099188731565], rel=1e-5)
+
+
+def test_cut_ends_equal_breakpoints(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for flen in range(1, 130):
+        p = np.where(rng.random(101) < 0.06, rng.choice([0.0, 1e-9, 0.05], 101), 0.8)
+        p[: rng.integers(0, 15)] = 0
+        p[101 - rng.integers(0, 15) :] = 0
+        gone = rng.random(101) < 0.02
+        want["w_bc", flen] = plateau.breakpoints(np.where(gone, 0, p), flen)
+        rows += [("w_bc", flen, i + 1, float(p[i])) for i in range(101) if not gone[i]]
+    got = plateau.cut_ends(spark.createDataFrame(rows, "bs_strand string, flen long, pos long, p double"), 1, 101).collect()
+    assert {(r["bs_strand"], r["flen"]): (r["start"], r["end"]) for r in got} == want
+
+
+def test_phred_thresholds_equal_a_plain_version(spark):
+    rng = np.random.default_rng(2)
+    rows = [("CG", "Mate 1", "w_bc", int(f), int(q), int(pos), int(a), int(b)) for f in (50, 60) for q in (4, 9, 14, 19) for pos in (1, 2, 3) for a, b in [rng.integers(0, 9, 2)] if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "motif string, mate string, bs_strand string, flen long, phred long, pos long, n_meth long, n_unmeth long")
+    levels = sorted({r[4] for r in rows})
+    want = {(pos, q): tuple(sum(r[i] for r in rows if r[5] == pos and r[4] > q) for i in (6, 7)) for pos in {r[5] for r in rows} for q in levels[:-2]}
+    assert {(r["pos"], r["phred"]): (r["n_meth"], r["n_unmeth"]) for r in mbias.phred_thresholds(df).collect()} == want
+
+
+def test_default_parameters():
+    d = config.DEFAULTS
+    assert d["stats"] == {"seq_context_size": 5, "max_flen_with_single_flen_resolution": 150, "flen_bin_size": 20, "max_flen": 500, "phred_bin_size": 5, "max_phred": 40}
+    assert d["basic_quality_filtering"] == {"min_mapq": 25, "min_phred_score": 25} and d["coverage_analysis"] == {"max_per_motif_cov": 80}
+    assert d["trimming"]["min_plateau_perc"] == 0.5 and d["trimming"]["min_flen_considered_for_trimming"] == 50 and d["trimming"]["max_std_within_plateau"] == 0.02
+    s = d["stats"]
+    assert mbias.Binning() == mbias.Binning(s["seq_context_size"], s["max_flen_with_single_flen_resolution"], s["flen_bin_size"], s["max_flen"], s["phred_bin_size"], s["max_phred"])
+    assert config.trimming("frag_end") == ("frag_end", {"w_bc": (0, 9), "c_bc": (0, 9), "w_bc_rv": (9, 0), "c_bc_rv": (9, 0)})
+    assert config.selected("{a}/{b}_{c}", a="x", b=["1", "2"]) == ["x/1_{c}", "x/2_{c}"] and config.selected("{a}", a="y") == "y"
+
+
 def test_configuration(tmp_path):
     user = tmp_path / "c.toml"
     user.write_text("[stats]\nmax_flen = 300\n")

@@ -46,6 +46,37 @@ def test_calls_from_files(spark, files):
     assert merged.count() == GENOME.count("CG") and workflows.evaluate_calls(spark, str(tmp / "calls" / "bed" / "CG_c1.txt.gz"), str(tmp / "cov"), 10).count() == 33
 
 
+def test_templates_text_and_own_operators(spark, files):
+    tmp, index = files
+    workflows.call(spark, str(tmp / "a.sam"), index, str(tmp / "named"), ("bed",), None, single_file=True, templates={"bed": "x/s1_[motif]_chr-[chrom].bed.gz"})
+    assert (tmp / "named" / "bed" / "x" / "s1_CG_chr-c1.bed.gz").exists() and not list((tmp / "named" / "bed").glob("motif=*"))
+    with pytest.raises(ValueError):
+        workflows.call(spark, str(tmp / "a.sam"), index, str(tmp / "named"), ("bed",), None, single_file=True, templates={"bed": "x.gz"})
+    counts = workflows.collect_stats(spark, f"file://{tmp}/a.sam", index, str(tmp / "counts"), tsv=True)
+    again = spark.read.csv(str(tmp / "counts_tsv"), sep="\t", header=True)
+    assert again.count() == counts.count() > 0 and again.columns == counts.columns
+    got = workflows.run_pileup(spark, str(tmp / "a.sam"), index, [lambda r: r.where("phred >= 20"), lambda r: r.withColumn("half", F.col("start") % 2)], {"by_half": lambda r: r.groupBy("half").count(), "never": lambda r: r.where("no_such_column") if False else r})
+    assert sum(r["count"] for r in got["by_half"].collect()) == got["never"].count() > 0
+    hist = workflows.evaluate_calls(spark, str(tmp / "named" / "bed" / "x" / "s1_CG_chr-c1.bed.gz"), str(tmp / "cov"), chart=str(tmp / "cov.json"))
+    assert hist.count() == 3 * 81 and json.loads((tmp / "cov.json").read_text())["encoding"]["column"]["field"] == "motif"
+    workflows.plot_sites(spark.createDataFrame([("w_bc", 50, 0, 40)], "bs_strand string, flen long, start long, end long"), str(tmp / "sites.json"))
+    assert len(json.loads((tmp / "sites.json").read_text())["data"]["values"]) == 2
+
+
+def test_lines_are_merged_across_stretches(spark, monkeypatch):
+    from cytomill.operators import calls
+
+    monkeypatch.setattr(calls, "STRETCH", 7)
+    rows = [("CG" if i % 3 else "CHH", f"c{i // 40}", i * 3 % 101 + i, i * 3 % 101 + i + 1, "+", i, i + 5) for i in range(97)]
+    df = spark.createDataFrame(rows, "motif string, chrom string, start int, end int, strand string, n_meth long, n_total long").repartition(3)
+    got = {tuple(r)[:6] for r in calls.merge_lines(df, ("chrom", "start")).select("motif", "chrom", "start", "end", "n_meth", "n_total").collect()}
+    want = set()
+    for m in ("CG", "CHH"):
+        own = sorted((r for r in rows if r[0] == m), key=lambda r: r[1:3])
+        want |= {(m, a[1], a[2], b[3], a[5] + b[5], a[6] + b[6]) for a, b in zip(own[::2], own[1::2], strict=False)}
+    assert got == want
+
+
 def test_bias_from_files(spark, files):
     tmp, index = files
     workflows.collect_stats(spark, str(tmp / "a.sam"), index, str(tmp / "counts"), mbias.Binning(5, 150, 10, 500, 5, 40))
