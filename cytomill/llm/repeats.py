@@ -189,7 +189,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     slim = docs.select(row_key.alias("row_key"), body.alias("text"))
     anchors = tables.cut(slim.mapInArrow(_anchors(length), BLOCK_ROWS), "anchors")
     twice = tables.cut(anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "twice")
-    met = tables.cut(store.with_value(anchors, twice, ["anchor"], "c", anchors.count()).drop("c"), "met")
+    met = tables.cut(store.with_value(anchors, twice, ["anchor"], "c", anchors.count(), whole=False).drop("c"), "met")
     tables.drop("anchors", "twice")
     store.forget_shuffles(spark)
     place = F.shiftleft(F.col("start").cast("long"), 20) + F.col("n")
@@ -200,9 +200,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     grown = slim.join(alone, "row_key").select("row_key", "text", "places")
     windows = tables.cut(grown.mapInArrow(_extend(length), "window long, row_key long, start int"), "windows")
     again = tables.cut(windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1"), "again")
-    single = store.with_value(windows, again, ["window"], "c", windows.count()).select("row_key", (F.shiftleft(F.col("start").cast("long"), 20) + 1).alias("place"))
+    single = store.with_value(windows, again, ["window"], "c", windows.count(), whole=False).select("row_key", (F.shiftleft(F.col("start").cast("long"), 20) + 1).alias("place"))
     same = kinds.where("c > 1").select("anchor", "block", "c")
-    whole = store.with_value(met, same, ["anchor", "block"], "c", met.count()).select("row_key", place.alias("place"))
+    whole = store.with_value(met, same, ["anchor", "block"], "c", met.count(), whole=False).select("row_key", place.alias("place"))
     starts = tables.cut(whole.union(single).groupBy(F.col("row_key").alias("_k")).agg(F.collect_set("place").alias("_starts")), "starts")
     tables.drop_all_but("starts")
     store.forget_shuffles(spark)

@@ -103,11 +103,11 @@ def hot_bound(total: int) -> int:
     return max(HOT_ROWS, -(-total // BROADCAST_ROWS))
 
 
-def with_value(rows: DataFrame, values: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+def with_value(rows: DataFrame, values: DataFrame, on: list[str], count: str, total: int, whole: bool = True) -> DataFrame:
     """``rows`` joined with the one row that ``values`` has for each key, inner. ``values`` is a written table whose column
-    ``count`` has the number of the key's rows, ``total`` of them in all. Few values are broadcast whole. Of many, those of
+    ``count`` has the number of the key's rows, ``total`` of them in all. Few values are broadcast whole, if ``whole``. Of many, those of
     hot keys are broadcast and their rows stay where they are, so no task holds all rows of one; the others meet in a shuffle."""
-    if values.count() <= BROADCAST_ROWS:
+    if whole and values.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(values), on)
     bound = hot_bound(total)
     heavy = values.where(F.col(count) >= bound)

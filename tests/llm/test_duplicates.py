@@ -190,7 +190,6 @@ def test_repeats_hard_rows(spark):
 def test_repeats_clashing_names_and_hot_keys(spark, monkeypatch):
     """Extra columns may have any name; hot anchors, blocks and windows come by broadcast and give the same rows."""
     monkeypatch.setattr(store, "HOT_ROWS", 5)
-    monkeypatch.setattr(store, "BROADCAST_ROWS", 1000)
     passage = prose(91, 60)
     rows = [(i, prose(i, 10) + " " + passage + (" " + prose(92, 40) if i % 3 else "") + f" tail{i % 4}") for i in range(60)]
     check_repeats(spark, rows, 35)
