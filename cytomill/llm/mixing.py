@@ -37,7 +37,7 @@ from . import blocks, store
 from .words import CHUNK, LOWER, SPACE, U, _powers, buffer_of, hashes, mix, pieces
 
 #: Bytes of a block of texts: a bound of memory, without a part in the scores.
-BLOCK = 4 << 20
+BLOCK = 6 << 20
 RATE, REFINE, LEVELS, DELTA = 0.004, 0.01, 33, 0.4
 #: Inputs of the mixer: one byte, two bytes, word so far, the words before, word so far once more by its own sureness.
 INPUTS, GATES = 5, 4
@@ -474,22 +474,26 @@ class Counts:
 
     def __init__(self, rows: list[bytes], bucket: int, buckets: int) -> None:
         self.bucket, self.buckets = U(bucket), U(buckets)
-        kinds: list[list[tuple[np.ndarray, ...]]] = [[], [], []]
+        none = ((np.zeros(0, U), np.zeros(0, np.int64)), (np.zeros(0, U), np.zeros(0, np.int64)), (np.zeros(0, U), np.zeros((0, 2), U), np.zeros(0, np.int64)))
+        kinds: list[list[tuple[np.ndarray, ...]]] = [[n] for n in none]
         for raw in rows:
             token, count, node, edges, byte, edge_count, pair, nexts, ahead, next_count = unpacked(raw)
             kinds[0].append((self.keys(token), count))
             kinds[1].append((np.repeat(self.keys(node), edges) << U(8) | byte, edge_count))
             kinds[2].append((np.repeat(self.keys(pair), nexts), ahead.reshape(-1, 2), next_count))
-            if len(kinds[0]) >= 32:
-                kinds = [[self.reduced(i, k)] for i, k in enumerate(kinds)]
-        none = [(np.zeros(0, U), np.zeros(0, np.int64)), (np.zeros(0, U), np.zeros(0, np.int64)), (np.zeros(0, U), np.zeros((0, 2), U), np.zeros(0, np.int64))]
-        self.token, self.edge, self.next = (self.reduced(i, k or [none[i]]) for i, k in enumerate(kinds))
+            for i, k in enumerate(kinds):  # sums are made when as much has come as was summed already
+                if sum(len(x[0]) for x in k[1:]) > max(1 << 20, len(k[0][0])):
+                    kinds[i] = [self.reduced(i, k)]
+        self.token, self.edge, self.next = (self.reduced(i, k) for i, k in enumerate(kinds))
         # of what followed two words: the most frequent stretch, of equals the one first by its bytes, and all of them
         key, ahead, count = self.next
-        order = np.lexsort((ahead[:, 1], ahead[:, 0], -count, key))
-        head = np.ones(len(key), bool)
-        head[1:] = key[order[1:]] != key[order[:-1]]
-        first = np.flatnonzero(head)
+        order = np.argsort(key, kind="stable")
+        new = np.ones(len(key), bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        first = np.flatnonzero(new)
+        many = np.flatnonzero(np.repeat(np.diff(np.append(first, len(key))) > 1, np.diff(np.append(first, len(key)))))
+        m = order[many]
+        order[many] = m[np.lexsort((ahead[m, 1], ahead[m, 0], -count[m], key[m]))]
         self.pair, self.best = key[order[first]], order[first]
         self.pair_total = np.add.reduceat(count[order], first) if len(first) else np.zeros(0, np.int64)
 
@@ -818,9 +822,13 @@ def score(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc_id
     kind, arrow = slim.schema["key"].dataType, to_arrow_type(slim.schema["key"].dataType)
     buckets = blocks.buckets_of(docs)
     asked = slim.mapInArrow(_ask(buckets, block, model.value.bits), ASKED)
-    answers = blocks.by_bucket(asked, buckets).mapInArrow(_tally(buckets), ANSWERED)
+    tables = store.Tables(spark)
+    # written, so that the shuffle of what was asked can go before the answers are shuffled
+    answers = tables.cut(blocks.by_bucket(asked, buckets).mapInArrow(_tally(buckets), ANSWERED), "answers")
+    store.forget_shuffles(spark)
     bodies = slim.mapInArrow(_bodies(arrow, block), f"block long, sum long, data binary, keys array<{kind.simpleString()}>, sizes array<int>, more binary")
     done = store.cut(blocks.meet(answers, bodies, buckets).mapInArrow(_join(buckets, model), f"key {kind.simpleString()}, {SCORED}"), "scored")
+    tables.drop_all_but()
     n, v = done.where("tokens IS NOT NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (v + 1)))
     out = done.where("tokens IS NULL").select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
