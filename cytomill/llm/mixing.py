@@ -37,7 +37,7 @@ from . import blocks, store
 from .words import CHUNK, LOWER, SPACE, U, _powers, buffer_of, hashes, mix, pieces
 
 #: Bytes of a block of texts: a bound of memory, without a part in the scores.
-BLOCK = 6 << 20
+BLOCK = 4 << 20
 RATE, REFINE, LEVELS, DELTA = 0.004, 0.01, 33, 0.4
 #: Inputs of the mixer: one byte, two bytes, word so far, the words before, word so far once more by its own sureness.
 INPUTS, GATES = 5, 4
