@@ -197,3 +197,33 @@ def test_word_table_equals_the_library(spark, block, monkeypatch):
 def test_registered_queries():
     assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+#: The columns that the contracts name.
+CONTRACT = {
+    "op1": "vec_id n_links component_id kept", "op2": "doc_id n_shingles component_id kept", "op3": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op4": "doc_id held_out score predicted", "op5": "page_id payload_bytes payload_digest record_type refers_to", "op6": "doc_id n_words n_removed kept_sha256",
+    "op7": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op8": "doc_id held_out lang_pred score",
+    "op9": "doc_id piece start length ids_crc32 sequence_id offset", "op10": "doc_id n_tokens ids_sha256 decoded_sha256",
+}
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_registered_query_on_hard_tables(spark, tmp_path_factory, name):
+    """Every query on tables with nulls, blank and long texts and repeated rows: its columns, a row for each row (a
+    piece for operator 9), and folds by the id's checksum."""
+    d = tmp_path_factory.mktemp("hard")
+    hard(spark).write.parquet(str(d / "documents.parquet"))
+    vectors = [(i, [float(i % 3), 1.0]) for i in range(9)] + [(20, None), (21, [0.0, 0.0]), (22, [float("nan"), 1.0]), (None, [1.0, 1.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(d / "embeddings.parquet"))
+    spark.createDataFrame(pages(), "page_id long, url string, html string").write.parquet(str(d / "pages.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(18)] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+    df = queries.QUERIES[name](spark, str(d))
+    number = name.split("_")[0]
+    assert df.columns[: len(CONTRACT[number].split())] == CONTRACT[number].split()
+    rows = df.collect()
+    want = {"op1": len(vectors), "op5": len(pages())}.get(number, len(hard_rows()))
+    assert len(rows) == want if number != "op9" else sum(r["piece"] == 0 for r in rows) == want
+    if "held_out" in df.columns:
+        of, rest = (5, 1) if number == "op3" else (4, 2)
+        assert all(r["held_out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % of == rest) for r in rows)
