@@ -30,6 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -328,20 +329,51 @@ def train(texts: DataFrame) -> Model:
 
 
 def packed_up(*arrays: np.ndarray) -> bytes:
-    """Arrays as one value, each compressed by itself behind its size."""
-    parts = [blocks.squeeze(a) for a in arrays]
-    return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+    """Arrays as one value. Each plane of an array's bytes is compressed by itself behind its size, as the low bytes of
+    hashes do not compress and would spoil the code of the others; a plane that does not gain stays as it is."""
+    parts = []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        parts.append(a.itemsize.to_bytes(1, "little") + len(a).to_bytes(4, "little"))
+        for plane in a.view(np.uint8).reshape(len(a), a.itemsize).T:
+            raw = plane.tobytes()
+            less = zstandard.compress(raw, 3)
+            if len(less) >= len(raw):
+                less = raw
+            parts.append(len(less).to_bytes(4, "little") + less)
+    return b"".join(parts)
 
 
 def unpacked(raw: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(raw):
-        n = int.from_bytes(raw[at : at + 4], "little")
-        out.append(blocks.spread(raw[at + 4 : at + 4 + n]))
-        at += 4 + n
+        size, n = raw[at], int.from_bytes(raw[at + 1 : at + 5], "little")
+        at += 5
+        a = np.empty((n, size), np.uint8)
+        for j in range(size):
+            k = int.from_bytes(raw[at : at + 4], "little")
+            plane = raw[at + 4 : at + 4 + k]
+            a[:, j] = np.frombuffer(plane if k == n else zstandard.decompress(plane), np.uint8)
+            at += 4 + k
+        out.append(a.reshape(-1).view(f"<u{size}"))
     return out
 
 
+def shortened(ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first bytes of stretches, two numbers each, as their lengths without the zeros at the end and the bytes, one
+    stretch behind the other: so the compression finds words that come again."""
+    b = np.ascontiguousarray(ahead).view(np.uint8).reshape(-1, AHEAD)
+    some = b != 0
+    length = np.where(some.any(1), AHEAD - some[:, ::-1].argmax(1), 0).astype(np.uint8)
+    return length, b[np.arange(AHEAD) < length[:, None]]
+
+
+def lengthened(length: np.ndarray, data: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(length), AHEAD), np.uint8)
+    out[np.arange(AHEAD) < length[:, None]] = data
+    return out.view(np.uint64).reshape(-1, 2)
+
+
 def narrow(a: np.ndarray) -> np.ndarray:
     """In the fewest bytes that hold the values."""
     top = int(a.max(initial=0))
@@ -427,7 +459,7 @@ class Asked:
         return packed_up(
             keys(self.token, self.token_cut), narrow(self.token_count[self.token_cut[b] : self.token_cut[b + 1]]),
             keys(self.node, self.node_cut), edges, (self.edge[e] & 255).astype(np.uint8), narrow(self.edge_count[e]),
-            keys(self.pair, self.pair_cut), nexts, np.ascontiguousarray(self.next_ahead[x]).ravel(), narrow(self.next_count[x]),
+            keys(self.pair, self.pair_cut), nexts, *shortened(self.next_ahead[x]), narrow(self.next_count[x]),
         )
 
     def sum(self) -> int:
@@ -477,10 +509,10 @@ class Counts:
         none = ((np.zeros(0, U), np.zeros(0, np.int64)), (np.zeros(0, U), np.zeros(0, np.int64)), (np.zeros(0, U), np.zeros((0, 2), U), np.zeros(0, np.int64)))
         kinds: list[list[tuple[np.ndarray, ...]]] = [[n] for n in none]
         for raw in rows:
-            token, count, node, edges, byte, edge_count, pair, nexts, ahead, next_count = unpacked(raw)
+            token, count, node, edges, byte, edge_count, pair, nexts, length, ahead, next_count = unpacked(raw)
             kinds[0].append((self.keys(token), count))
             kinds[1].append((np.repeat(self.keys(node), edges) << U(8) | byte, edge_count))
-            kinds[2].append((np.repeat(self.keys(pair), nexts), ahead.reshape(-1, 2), next_count))
+            kinds[2].append((np.repeat(self.keys(pair), nexts), lengthened(length, ahead), next_count))
             for i, k in enumerate(kinds):  # sums are made when as much has come as was summed already
                 if sum(len(x[0]) for x in k[1:]) > max(1 << 20, len(k[0][0])):
                     kinds[i] = [self.reduced(i, k)]
@@ -514,7 +546,7 @@ class Counts:
     def answer(self, raw: bytes) -> bytes:
         """For the row of a block: the tokens' counts, the edges of the prefixes, and what follows the words before most
         often. That needs no bytes where the block's own most frequent stretch, the first in its row, is the one."""
-        token, _, node, _, _, _, pair, nexts, ahead, _ = unpacked(raw)
+        token, _, node, _, _, _, pair, nexts, length, ahead, _ = unpacked(raw)
         words, counts = self.token
         count = counts[np.searchsorted(words, self.keys(token))]
         key = self.keys(node)
@@ -527,13 +559,13 @@ class Counts:
             some = self.pair[i] == key
         best = self.next[1][self.best[i[some]]] if some.any() else np.zeros((0, 2), U)
         own = np.zeros((len(key), 2), U)
-        own[nexts > 0] = ahead.reshape(-1, 2)[offsets(nexts)[:-1][nexts > 0]]
+        own[nexts > 0] = lengthened(length, ahead)[offsets(nexts)[:-1][nexts > 0]]
         other = ((own[some] != best).any(1)) | (nexts[some] == 0)
         state = np.zeros(len(key), np.uint8)
         state[some] = 1 + other
         return packed_up(
             narrow(count), narrow(hi - lo), (self.edge[0][at] & U(255)).astype(np.uint8), narrow(self.edge[1][at]),
-            state, best[other].ravel(), narrow(self.next[2][self.best[i[some]]] if some.any() else i[some]), narrow(self.pair_total[i[some]] if some.any() else i[some]),
+            state, *shortened(best[other]), narrow(self.next[2][self.best[i[some]]] if some.any() else i[some]), narrow(self.pair_total[i[some]] if some.any() else i[some]),
         )
 
 
@@ -578,12 +610,12 @@ class Answers:
     """All answers to a block, in the order of its keys."""
 
     def __init__(self, rows: list[bytes], asked: Asked) -> None:
-        cols = list(zip(*(unpacked(r) for r in rows), strict=True)) or [[np.zeros(0, np.uint8)]] * 8
-        self.count, self.edges, self.byte, self.edge_count, state, ahead, best, total = (np.concatenate(c) for c in cols)
+        cols = list(zip(*(unpacked(r) for r in rows), strict=True)) or [[np.zeros(0, np.uint8)]] * 9
+        self.count, self.edges, self.byte, self.edge_count, state, length, ahead, best, total = (np.concatenate(c) for c in cols)
         self.ahead = np.zeros((len(state), 2), U)
         own = state == 1
         self.ahead[own] = asked.next_ahead[offsets(asked.nexts)[:-1][own]]
-        self.ahead[state == 2] = ahead.astype(U).reshape(-1, 2)
+        self.ahead[state == 2] = lengthened(length, ahead)
         self.best, self.total = np.zeros(len(state)), np.zeros(len(state))
         self.best[state > 0], self.total[state > 0] = best, total
 
