@@ -855,11 +855,11 @@ def score(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc_id
     buckets = blocks.buckets_of(docs)
     asked = slim.mapInArrow(_ask(buckets, block, model.value.bits), ASKED)
     tables = store.Tables(spark)
-    # written, so that the shuffle of what was asked can go before the answers are shuffled
-    answers = tables.cut(blocks.by_bucket(asked, buckets).mapInArrow(_tally(buckets), ANSWERED), "answers")
-    store.forget_shuffles(spark)
+    with store.shuffles_end_with_jobs(spark):  # what was asked goes before the answers are shuffled
+        answers = tables.cut(blocks.by_bucket(asked, buckets).mapInArrow(_tally(buckets), ANSWERED), "answers")
     bodies = slim.mapInArrow(_bodies(arrow, block), f"block long, sum long, data binary, keys array<{kind.simpleString()}>, sizes array<int>, more binary")
-    done = store.cut(blocks.meet(answers, bodies, buckets).mapInArrow(_join(buckets, model), f"key {kind.simpleString()}, {SCORED}"), "scored")
+    with store.shuffles_end_with_jobs(spark):
+        done = store.cut(blocks.meet(answers, bodies, buckets).mapInArrow(_join(buckets, model), f"key {kind.simpleString()}, {SCORED}"), "scored")
     tables.drop_all_but()
     n, v = done.where("tokens IS NOT NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (v + 1)))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +87,22 @@ def forget_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def shuffles_end_with_jobs(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside leave no shuffle files behind: these go as soon as the table stands, whatever still refers to
+    them. The session's own setting is put back. Lost executors before that are recomputed as ever."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if its counted rows are within the bound, else as it is."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
