@@ -20,6 +20,9 @@ alphabet among them, know only bytes that came before, so the probabilities of a
 A text is a sequence of stretches, each a word with the white space behind it. What depends on the stretch and the
 alphabet alone is worked out once per distinct stretch of a block. The base score is that of smoothed word
 frequencies; its word table is joined back by the same exchange.
+
+``mixing.java`` has what is done with a block, asking and scoring, as loops that run in the executors' JVM; the steps in
+numpy here give the same scores and are what tests hold both against.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks, store
-from .words import CHUNK, LOWER, SPACE, U, _powers, buffer_of, hashes, mix, pieces
+from . import blocks, jvm, store
+from .words import CHUNK, LOWER, SPACE, U, _powers, _tables, buffer_of, hashes, mix, pieces
 
 #: Bytes of a block of texts: a bound of memory, without a part in the scores.
 BLOCK = 4 << 20
@@ -799,7 +802,7 @@ def _bodies(key_type: pa.DataType, block: int):
     return run
 
 
-SCORED = "held_out boolean, n_tokens long, n_known long, logs double, score double, tokens long, distinct long"
+SCORED = "held_out boolean, n_tokens long, n_known long, logs double, score double"
 
 
 def _join(buckets: int, model):
@@ -807,11 +810,6 @@ def _join(buckets: int, model):
         m = model.value
         at, rows = None, []
         for block, bucket, total, data, keys, sizes, more in blocks.rows_of(batches):
-            if block.as_py() < 0:
-                pair = unpacked(data.as_py())[0].astype(np.int64)
-                none = [pa.nulls(1, t) for t in (keys.type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(pair[:1]), pa.array(pair[1:])], names=["key", "held_out", "n_tokens", "n_known", "logs", "score", "tokens", "distinct"])
-                continue
             if at is None or at[0] != block.as_py():
                 at, rows = (block.as_py(), total.as_py()), []
             if bucket.as_py() < 1 << 30:
@@ -829,21 +827,59 @@ def _join(buckets: int, model):
             count = got.count.astype(np.int64)
             logs = np.add.reduceat(np.log10(count + 0.5)[asked.codes], first)
             known = np.add.reduceat((count > 0)[asked.codes].astype(np.int64), first)
-            n = len(learn)
-            cols = [keys.values, pa.array(~learn), pa.array(asked.sizes.astype(np.int64)), pa.array(known), pa.array(logs), pa.array(score), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "held_out", "n_tokens", "n_known", "logs", "score", "tokens", "distinct"])
+            cols = [keys.values, pa.array(~learn), pa.array(asked.sizes.astype(np.int64)), pa.array(known), pa.array(logs), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "held_out", "n_tokens", "n_known", "logs", "score"])
 
     return run
 
 
-def score(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+def _prepared(model: Model, buckets: int):
+    """Gives the Java loops what the numpy steps have as constants, code and tables."""
+    table, word_base, _ = _tables(0)
+    drawn = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1) for seed in (21, 22)]
+    base = np.array([CONTEXT_BASE, word_base, int(END)], U)
+    c = model.code
+
+    def prepare(made) -> None:
+        t = made.tables()
+        t.sizes(buckets, model.bits, AHEAD, LEVELS)
+        t.rates(DELTA, float(CLIP), float(SCALE), RATE, REFINE, float(TOP))
+        t.words(SPACE.tobytes(), LOWER, *(a.tobytes() for a in (*drawn, table, base)))
+        t.code(*(a.tobytes() for a in (c.length.astype(np.int32), c.first.astype(np.int32), c.node, c.bit)))
+        t.model(*(a.tobytes() for a in (model.one, model.two, model.pair, model.stop.astype(np.float64), START)))
+
+    return prepare
+
+
+def _asked(bodies: DataFrame, model: Model, buckets: int) -> DataFrame:
+    """Rows as ``_ask`` gives them."""
+    ask = jvm.function(bodies.sparkSession, "mixing.java", "cytomill.Mixing$Ask", "array<struct<sum:bigint,data:binary>>", _prepared(model, buckets))
+    rows = bodies.select("block", ask("data", "sizes", "more").alias("rows")).select("block", F.posexplode("rows").alias("bucket", "row"))
+    return rows.where("row.data IS NOT NULL").select("bucket", "block", "row.sum", "row.data")
+
+
+def _scored(answers: DataFrame, bodies: DataFrame, model: Model, buckets: int) -> DataFrame:
+    """Rows as ``_join`` gives them, without those of the buckets' tokens."""
+    kinds = "held_out array<boolean>, n_tokens array<bigint>, n_known array<bigint>, logs array<double>, score array<double>"
+    score = jvm.function(bodies.sparkSession, "mixing.java", "cytomill.Mixing$Score", f"struct<{kinds.replace(' a', ':a')}>", _prepared(model, buckets))
+    of_body = ("data", "keys", "sizes", "more")
+    a = answers.where("block >= 0").select("block", F.struct("bucket", "sum", "data").alias("answer"), *(F.lit(None).cast(bodies.schema[c].dataType).alias(c) for c in of_body))
+    b = bodies.select("block", F.lit(None).cast(a.schema["answer"].dataType).alias("answer"), *of_body)
+    met = a.union(b).repartition(buckets, "block").groupBy("block").agg(F.collect_list("answer").alias("answers"), *(F.first(c, True).alias(c) for c in of_body))
+    done = met.select("keys", score("data", "sizes", "more", "answers").alias("s"))
+    names = [k.split()[0] for k in kinds.split(", ")]
+    return done.select(F.inline(F.arrays_zip("keys", *(f"s.{n}" for n in names))).alias("key", *names))
+
+
+def score(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", block: int = BLOCK, compiled: bool = True) -> DataFrame:
     """``key``, ``held_out`` (not ``learn``), ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
     ``score`` of every row, learning from the rows with ``learn``.
 
     Both scores charge the text's end. A null or empty text has one token, its end. Repeated rows count as often as they
     come. Null keys are scored like others; further columns are ignored. Without training rows all
     predictors give even odds. An empty table gives no rows. ``block`` bounds the bytes that are worked on together
-    and has no part in the results; a longer text is a block of its own.
+    and has no part in the results; a longer text is a block of its own. With ``compiled`` the loops over a block's bytes and
+    decisions are those of ``mixing.java``, else the steps in numpy of this module, which take several times as long.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -853,15 +889,18 @@ def score(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc_id
     model = spark.sparkContext.broadcast(train(slim.where("learn").select("text")))
     kind, arrow = slim.schema["key"].dataType, to_arrow_type(slim.schema["key"].dataType)
     buckets = blocks.buckets_of(docs)
-    asked = slim.mapInArrow(_ask(buckets, block, model.value.bits), ASKED)
+    bodies = slim.mapInArrow(_bodies(arrow, block), f"block long, sum long, data binary, keys array<{kind.simpleString()}>, sizes array<int>, more binary")
+    asked = _asked(bodies, model.value, buckets) if compiled else slim.mapInArrow(_ask(buckets, block, model.value.bits), ASKED)
     tables = store.Tables(spark)
     with store.shuffles_end_with_jobs(spark):  # what was asked goes before the answers are shuffled
         answers = tables.cut(blocks.by_bucket(asked, buckets).mapInArrow(_tally(buckets), ANSWERED), "answers")
-    bodies = slim.mapInArrow(_bodies(arrow, block), f"block long, sum long, data binary, keys array<{kind.simpleString()}>, sizes array<int>, more binary")
+    n, v = np.sum([(0, 0), *(unpacked(r[0])[0].tolist() for r in answers.where("block < 0").select("data").collect())], axis=0).tolist()  # a row for each bucket
     with store.shuffles_end_with_jobs(spark):
-        done = store.cut(blocks.meet(answers, bodies, buckets).mapInArrow(_join(buckets, model), f"key {kind.simpleString()}, {SCORED}"), "scored")
+        if compiled:
+            found = _scored(answers, bodies, model.value, buckets)
+        else:
+            found = blocks.meet(answers.where("block >= 0"), bodies, buckets).mapInArrow(_join(buckets, model), f"key {kind.simpleString()}, {SCORED}")
+        done = store.cut(found, "scored")
     tables.drop_all_but()
-    n, v = done.where("tokens IS NOT NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (v + 1)))
-    out = done.where("tokens IS NULL").select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
-    return out
+    return done.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

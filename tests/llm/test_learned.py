@@ -472,3 +472,24 @@ def test_mixing_score_charges_the_end(spark):
     rows = [(i, prose(i % 5, 20)) for i in range(20)] + [(20, ""), (21, None)]
     got = {r["doc_id"]: r["score"] for r in mixing.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect()}
     assert got[20] == got[21] == pytest.approx(math.log10(2.5 / 23))
+
+
+@pytest.mark.parametrize("block", [8 << 20, 2000])
+def test_mixing_compiled_loops_equal_the_numpy_steps(spark, block):
+    """The query's loops run in the executors' JVM; every column equals that of the steps in numpy, which a plain version holds."""
+    rows = [r[:2] for r in hard_rows()] + [(100 + i, prose(i % 7, 50) + " é à ж 日本\0\n" * (i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    df.count()
+    got, want = (sorted((tuple(r) for r in mixing.score(df, queries.fold(5) != 1, block=block, compiled=c).collect()), key=str) for c in (True, False))
+    assert [g[:5] for g in got] == [w[:5] for w in want] and len(got) == len(rows)
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-5, atol=1e-5)
+
+
+def test_mixing_query_scores_in_compiled_loops(spark):
+    """Python workers pass blocks on and sum counts; asking and scoring stay out of them."""
+    from unittest import mock
+
+    df = spark.createDataFrame([(i, prose(i % 5, 20)) for i in range(20)], "doc_id long, text string")
+    with mock.patch.object(mixing, "_ask") as ask, mock.patch.object(mixing, "_join") as join:
+        assert mixing.score(df, F.lit(True)).count() == 20
+    assert not ask.called and not join.called
