@@ -12,7 +12,7 @@ import uuid
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -37,12 +37,26 @@ def loader(spark: SparkSession, source: str):
     return found
 
 
+def instance(spark: SparkSession, source: str, name: str, prepare: Callable[[object], None]):
+    """An object of the class ``name``; ``prepare`` gets it before it goes to the executors."""
+    sc = spark.sparkContext
+    made = loader(spark, source).loadClass(name).getDeclaredConstructor(sc._gateway.new_array(sc._jvm.java.lang.Class, 0)).newInstance(sc._gateway.new_array(sc._jvm.java.lang.Object, 0))
+    prepare(made)
+    return made
+
+
+def over_partitions(df: DataFrame, source: str, name: str, schema: str, prepare: Callable[[object], None]) -> DataFrame:
+    """What the class ``name``, a Java function from a partition's rows to rows of ``schema``, makes of ``df``."""
+    spark = df.sparkSession
+    encoder = spark.sparkContext._jvm.org.apache.spark.sql.Encoders.row(spark._jsparkSession.parseDataType(StructType.fromDDL(schema).json()))
+    return DataFrame(df._jdf.mapPartitions(instance(spark, source, name, prepare), encoder), spark)
+
+
 def function(spark: SparkSession, source: str, name: str, returns: str, prepare: Callable[[object], None]) -> Callable[..., Column]:
     """The class ``name``, a Java UDF, as a function of columns; ``prepare`` gets the object that goes to the executors.
     Spark evaluates it where it stands, once for each row."""
     sc = spark.sparkContext
-    made = loader(spark, source).loadClass(name).getDeclaredConstructor(sc._gateway.new_array(sc._jvm.java.lang.Class, 0)).newInstance(sc._gateway.new_array(sc._jvm.java.lang.Object, 0))
-    prepare(made)
+    made = instance(spark, source, name, prepare)
     kind = spark._jsparkSession.parseDataType(StructType.fromDDL(f"x {returns}")["x"].dataType.json())
     udf = sc._jvm.org.apache.spark.sql.functions.udf(made, kind).asNondeterministic()
 

@@ -21,8 +21,8 @@ A text is a sequence of stretches, each a word with the white space behind it. W
 alphabet alone is worked out once per distinct stretch of a block. The base score is that of smoothed word
 frequencies; its word table is joined back by the same exchange.
 
-``mixing.java`` has what is done with a block, asking and scoring, as loops that run in the executors' JVM; the steps in
-numpy here give the same scores and are what tests hold both against.
+``mixing.java`` has what is done with a block, asking and scoring, and with a bucket, summing and answering, as loops that run in
+the executors' JVM; the steps in numpy here give the same scores and answers and are what tests hold both against.
 """
 
 from __future__ import annotations
@@ -858,6 +858,11 @@ def _asked(bodies: DataFrame, model: Model, buckets: int) -> DataFrame:
     return rows.where("row.data IS NOT NULL").select("bucket", "block", "row.sum", "row.data")
 
 
+def _answered(asked: DataFrame, buckets: int) -> DataFrame:
+    """Rows as ``_tally`` gives them, by its steps in the executors' JVM."""
+    return jvm.over_partitions(blocks.by_bucket(asked, buckets), "mixing.java", "cytomill.Mixing$Tally", ANSWERED, lambda made: made.tables().sizes(buckets, 0, AHEAD, LEVELS))
+
+
 def _scored(answers: DataFrame, bodies: DataFrame, model: Model, buckets: int) -> DataFrame:
     """Rows as ``_join`` gives them, without those of the buckets' tokens."""
     kinds = "held_out array<boolean>, n_tokens array<bigint>, n_known array<bigint>, logs array<double>, score array<double>"
@@ -879,7 +884,7 @@ def score(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc_id
     come. Null keys are scored like others; further columns are ignored. Without training rows all
     predictors give even odds. An empty table gives no rows. ``block`` bounds the bytes that are worked on together
     and has no part in the results; a longer text is a block of its own. With ``compiled`` the loops over a block's bytes and
-    decisions are those of ``mixing.java``, else the steps in numpy of this module, which take several times as long.
+    decisions and over a bucket's keys are those of ``mixing.java``, else the steps in numpy of this module, which take several times as long.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -893,7 +898,8 @@ def score(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc_id
     asked = _asked(bodies, model.value, buckets) if compiled else slim.mapInArrow(_ask(buckets, block, model.value.bits), ASKED)
     tables = store.Tables(spark)
     with store.shuffles_end_with_jobs(spark):  # what was asked goes before the answers are shuffled
-        answers = tables.cut(blocks.by_bucket(asked, buckets).mapInArrow(_tally(buckets), ANSWERED), "answers")
+        met = _answered(asked, buckets) if compiled else blocks.by_bucket(asked, buckets).mapInArrow(_tally(buckets), ANSWERED)
+        answers = tables.cut(met, "answers")
     n, v = np.sum([(0, 0), *(unpacked(r[0])[0].tolist() for r in answers.where("block < 0").select("data").collect())], axis=0).tolist()  # a row for each bucket
     with store.shuffles_end_with_jobs(spark):
         if compiled:

@@ -493,3 +493,26 @@ def test_mixing_query_scores_in_compiled_loops(spark):
     with mock.patch.object(mixing, "_ask") as ask, mock.patch.object(mixing, "_join") as join:
         assert mixing.score(df, F.lit(True)).count() == 20
     assert not ask.called and not join.called
+
+
+def test_mixing_query_sums_in_compiled_loops(spark):
+    """Blocks' counts are summed and answered in the executors' JVM, not in Python workers."""
+    from unittest import mock
+
+    df = spark.createDataFrame([(i, prose(i % 5, 20)) for i in range(20)], "doc_id long, text string")
+    with mock.patch.object(mixing, "_tally") as tally:
+        assert mixing.score(df, F.lit(True), block=200).count() == 20
+    assert not tally.called
+
+
+def test_mixing_compiled_sums_equal_the_numpy_steps(spark):
+    """Byte for byte what the buckets answer in numpy: hot prefixes, ties between stretches, words above 16 bytes, zeros, texts that none has learned."""
+    rows = [r[:2] for r in hard_rows()] + [(100 + i, prose(i % 7, 50) + " é à ж 日本\0\n" * (i % 3)) for i in range(60)] + [(200 + i, f"a b {'xy'[i % 2]}\0 averyveryverylongwordbeyond{i % 3}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    slim = df.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"), (queries.fold(5) != 1).alias("learn"), F.spark_partition_id().alias("part"))
+    for buckets in (1, 3):
+        asked = slim.mapInArrow(mixing._ask(buckets, 2000, 40), mixing.ASKED).cache()
+        got, want = mixing._answered(asked, buckets), mixing.blocks.by_bucket(asked, buckets).mapInArrow(mixing._tally(buckets), mixing.ANSWERED)
+        got, want = ({(r["block"], r["bucket"], r["sum"]): [a.tolist() for a in mixing.unpacked(bytes(r["data"]))] for r in d.collect()} for d in (got, want))
+        assert got == want and len(got) > 2 * buckets
+    assert not mixing._answered(asked.limit(0), 3).count()
