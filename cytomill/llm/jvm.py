@@ -1,7 +1,7 @@
 """Java loops for columns, compiled by the compiler that Spark has for its own plans (Janino).
 
 The source lies beside the modules; the driver compiles it once an application, and the executors get the classes as a jar
-from the driver, as they get any other. Nothing has to be installed.
+from the driver, as they get any other. Nothing has to be installed. It needs the driver's JVM beside it, so not a Spark Connect session.
 """
 
 from __future__ import annotations
@@ -54,11 +54,12 @@ def over_partitions(df: DataFrame, source: str, name: str, schema: str, prepare:
 
 def function(spark: SparkSession, source: str, name: str, returns: str, prepare: Callable[[object], None]) -> Callable[..., Column]:
     """The class ``name``, a Java UDF, as a function of columns; ``prepare`` gets the object that goes to the executors.
-    Spark evaluates it where it stands, once for each row."""
+    Spark evaluates it where it stands, once for each row. The class has ``function(DataType)``, which picks Spark's ``udf`` for its
+    own interface: called from here, ``udf(Object, DataType)`` would fit as well, and which of them py4j takes is chance."""
     sc = spark.sparkContext
     made = instance(spark, source, name, prepare)
     kind = spark._jsparkSession.parseDataType(StructType.fromDDL(f"x {returns}")["x"].dataType.json())
-    udf = sc._jvm.org.apache.spark.sql.functions.udf(made, kind).asNondeterministic()
+    udf = made.function(kind).asNondeterministic()
 
     def of(*columns: str) -> Column:
         cols = sc._gateway.new_array(sc._jvm.org.apache.spark.sql.Column, len(columns))
