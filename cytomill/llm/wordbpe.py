@@ -1,6 +1,6 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Texts are normalised and split into words where they are read. The distinct words of all blocks meet
+Texts are normalised and split into words where they are read, plain ones by a pattern, others by the library's own steps. The distinct words of all blocks meet
 by bucket, where each is encoded once; its ids go back to the blocks, and each text's ids are joined
 from its words by position. Decoding joins the ids with the vocabulary's pieces, a table whose size the
 tokenizer file fixes.
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import os
-import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,11 +27,14 @@ from .words import bounds, hashes, pieces
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+#: Texts of these letters alone are in normal form, take lower case letter by letter, and their classes are those of the library
+#: (a test holds every one of them): Latin but for U+0130, Greek, Cyrillic, general punctuation, CJK, Hangul. Other texts are left to the library.
+PLAIN = regex.compile(r"[\x00-\u012F\u0131-\u02FF\u0391-\u03A1\u03A3-\u03CE\u0400-\u0482\u048A-\u052F\u1EA0-\u1EF9\u2010-\u2027\u2030-\u205E\u3001-\u3029\u3041-\u3096\u30A1-\u30FF\u4E00-\u9FA5\uAC00-\uD7A3]*+")
 
 
 @lru_cache(maxsize=2)
 def load(path: str):
-    """The tokenizer, its pieces by id and the pattern of its special tokens."""
+    """The tokenizer, a copy that takes words as they are, the pieces by id and the pattern of the special tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -42,26 +44,31 @@ def load(path: str):
     split = pre["pretokenizers"][0] if pre["type"] == "Sequence" else {}
     if spec["normalizer"].get("normalizers") != NORMALIZERS or split.get("pattern") != {"Regex": PATTERN} or spec["decoder"] is not None or spec["post_processor"] is not None:
         raise ValueError(f"{path} is not a word BPE tokenizer of the kind that is followed here")
-    t = Tokenizer.from_file(path)
-    t.no_padding()
-    t.no_truncation()
+    t, of_words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    of_words.normalizer = None  # a second normal form of a lower-cased word can differ from the first
+    of_words.no_padding()
+    of_words.no_truncation()
     names = {i: w for w, i in t.get_vocab(with_added_tokens=True).items()}
     special = [a["content"] for a in spec["added_tokens"]]
-    return t, [names.get(i, "") for i in range(max(names) + 1)], regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+    return t, of_words, [names.get(i, "") for i in range(max(names) + 1)], regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
 
-def split(text: str, special: regex.Pattern | None) -> list[str]:
-    """The words of a text as the tokenizer's normalizer and pre-tokenizer make them; special tokens are words."""
+def split(text: str, tokenizer, special: regex.Pattern | None) -> list[str]:
+    """The words of a text as the tokenizer's normalizer and pre-tokenizer make them; special tokens are words. Plain texts are
+    split here, which is quicker, others by the library."""
     if special is not None and "<" in text and (found := list(special.finditer(text))):
         out, at = [], 0
         for m in found:
-            out += split(text[at : m.start()], None)
+            out += split(text[at : m.start()], tokenizer, None)
             out.append(m.group())
             at = m.end()
-        return out + split(text[at:], None)
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter, without the final sigma
-    return WORD.findall(text.lower())
+        return out + split(text[at:], tokenizer, None)
+    if text.isascii():
+        return WORD.findall(text.lower())
+    if PLAIN.fullmatch(text):
+        return WORD.findall(text.replace("Σ", "σ").lower())  # letter by letter, without the final sigma
+    text = tokenizer.normalizer.normalize_str(text)
+    return [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
 
 class Block:
@@ -74,13 +81,13 @@ class Block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[Block]:
-    _, _, special = load(path)
+    tokenizer, _, _, special = load(path)
     block = Block()
     for batch in pieces(batches, "text"):
         keys = batch.column(0).to_pylist()
         block.part = batch.column(2)[0].as_py()
         for key, text in zip(keys, batch.column(1).to_pylist(), strict=True):
-            words = split(text, special)
+            words = split(text, tokenizer, special)
             block.keys.append(key)
             block.codes.append(np.fromiter(map(block.table.__getitem__, words), np.uint32, len(words)))
             block.size += len(text)
@@ -114,7 +121,7 @@ def _words(path: str, buckets: int):
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each distinct word of a bucket is encoded once; rows of a bucket come together."""
-        tokenizer, _, _ = load(path)
+        _, tokenizer, _, _ = load(path)
         at, known = None, {}
         for bucket, block, total, data in blocks.rows_of(batches):
             if bucket.as_py() != at:
@@ -148,7 +155,7 @@ def _bodies(path: str, buckets: int, key_type: pa.DataType):
 
 def _join(path: str, key_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, names, _ = load(path)
+        _, _, names, _ = load(path)
         at, sizes, ids = None, [], []
         for block, bucket, total, data, keys, lengths, _more in blocks.rows_of(batches):
             if at is None or at[0] != block.as_py():
