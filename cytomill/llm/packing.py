@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -55,17 +56,33 @@ def encoder(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def token_ids(text: str | None, enc) -> np.ndarray:
-    return np.asarray(enc.encode_to_numpy(text or "", allowed_special="all"), dtype="<u4")
+@lru_cache(maxsize=2)
+def library(path: str):
+    """The tokenizer file in its own library, without truncation and padding."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_padding()
+    t.no_truncation()
+    return t
+
+
+def token_ids(text: str | None, path: str) -> np.ndarray:
+    """The library's ids of a whole text. Where the fast encoder gives up, as on a run of a million blanks, which its pattern
+    backtracks through, the library itself encodes the text."""
+    try:
+        return np.asarray(encoder(path).encode_to_numpy(text or "", allowed_special="all"), dtype="<u4")
+    except ValueError:
+        return np.array(library(path).encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def _pieces(path: str, capacity: int, end: int | None, text: int, keep: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
         for batch in pieces(batches, "_text"):
             row, piece, start, length, crc, flat = [], [], [], [], [], []
             for i, t in enumerate(batch.column(text).to_pylist()):
-                ids = token_ids(t, enc)
+                ids = token_ids(t, path)
                 if end is not None:
                     ids = np.append(ids, np.array([end], "<u4"))
                 n = len(ids)

@@ -101,8 +101,8 @@ def test_stages_equal_their_plain_versions(spark, sf_dir):
         want = plain([r.asDict() for r in docs.select(*corpus_pipeline.COLUMNS).collect()])
         docs = corpus_pipeline.store.cut(got)
         assert counted(docs.collect()) == counted(want) and 0 < len(want), name
-    enc = packing.encoder(P.path("byte_bpe_50k.json"))
-    total = sum(len(packing.token_ids(r["text"], enc)) + 1 for r in docs.collect())
+    path = P.path("byte_bpe_50k.json")
+    total = sum(len(packing.token_ids(r["text"], path)) + 1 for r in docs.collect())
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert sum(r["length"] for r in last) == total
     whole = corpus_pipeline.run(spark, sf_dir).collect()
