@@ -22,8 +22,9 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from . import store
 from .words import buffer_of, pieces
 
-#: Fixed parameters of the network. SAMPLE_DOCS bounds the labelled rows, SAMPLE_CHARS the characters of each, that the driver fits on.
-WINDOW, WIDTHS, FILTERS, SAMPLE_DOCS, SAMPLE_CHARS = 256, (2, 3, 4), 12, 3000, 4096
+#: Fixed parameters of the network. SAMPLE_DOCS bounds the labelled rows, with their whole texts, that the driver fits on, and
+#: LANGUAGES the languages that the network can name.
+WINDOW, WIDTHS, FILTERS, SAMPLE_DOCS, LANGUAGES = 256, (2, 3, 4), 12, 2000, 256
 UNDETERMINED = "und"
 
 
@@ -132,39 +133,39 @@ def quota(counts: list[int], sample: int) -> int:
     return low
 
 
-def sampled(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS) -> list[tuple[int, str, list[str]]]:
-    """Hash, language and pieces of at most ``sample`` distinct texts with a letter (one of each language at least), for
+def sampled(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> list[tuple[int, str, str]]:
+    """Hash, language and whole text of at most ``sample`` distinct texts with a letter (one of each language at least), for
     which text and language are not null. Every language gives as many as any other as far as it has them, those that are
-    first by a hash of the text, so that no order or source is preferred. The pieces are the whole text, or windows at
-    even distances from its start to its end that hold SAMPLE_CHARS characters together."""
+    first by a hash of the text, so that no order or source is preferred. Of more than ``languages`` languages those with most
+    distinct texts are learned (ties: those that sort first), so dirty labels widen neither the sample nor the network."""
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text, lang).alias("h"))
     distinct = store.cut(known.select("lang", "h").distinct(), "labelled")
-    counts = distinct.groupBy("lang").count()
-    most = quota([r["count"] for r in counts.collect()], sample)
+    counts = distinct.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    found = counts.collect()
+    if not found:
+        return []
+    most = quota([r["count"] for r in found], max(sample, len(found)))
+    counts = labelled.sparkSession.createDataFrame(found, counts.schema)
     # far more than the quota stays below the threshold, far less than a large language goes to the window's one task
     near = F.pmod("h", F.lit(1 << 30)) * F.col("count") < F.lit((most + 6 * most**0.5 + 10) * (1 << 30))
     distinct = distinct.join(F.broadcast(counts), "lang").where(near)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
     chosen = distinct.withColumn("_n", nth).where(F.col("_n") <= most).select("h", "lang")
-    n, size, count = F.length("text"), WINDOW, SAMPLE_CHARS // WINDOW
-    spread = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.substring(F.col("text"), F.floor(i * (n - size) / (count - 1)).cast("int") + 1, F.lit(size)))
-    picked = known.join(F.broadcast(chosen), ["h", "lang"]).select("h", "lang", F.when(n > SAMPLE_CHARS, spread).otherwise(F.array("text")).alias("pieces"))
-    return sorted((r["h"], r["lang"], r["pieces"]) for r in picked.dropDuplicates(["h", "lang"]).collect())
+    picked = known.join(F.broadcast(chosen), ["h", "lang"]).select("h", "lang", "text")
+    return sorted((r["h"], r["lang"], r["text"]) for r in picked.dropDuplicates(["h", "lang"]).collect())
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS) -> ByteCNN | None:
-    """Fit on the pieces of at most ``sample`` rows of ``labelled``, see ``sampled``; copies count once. None if there is
-    nothing to learn from."""
+    """Fit on all windows of the texts of ``sampled``; copies count once. None if there is nothing to learn from."""
     rows = sampled(labelled, text, lang, sample)
     if not rows:
         return None
     net = ByteCNN(sorted({r[1] for r in rows}))
-    parts = [(r[1], p) for r in rows for p in r[2]]
-    data, offs = buffer_of(pa.array([p for _, p in parts]))
+    data, offs = buffer_of(pa.array([t for _, _, t in rows], pa.large_string()))
     start, row, length = layout(offs)
     x = gather(data, start, length)
-    y = np.array([net.languages.index(name) for name, _ in parts])[row]
-    keep = (length >= WINDOW // 2) | (np.bincount(row, minlength=len(parts))[row] == 1)
+    y = np.array([net.languages.index(name) for _, name, _ in rows])[row]
+    keep = (length >= WINDOW // 2) | (np.bincount(row, minlength=len(rows))[row] == 1)
     return net.fit(x[keep], y[keep])
 
 

@@ -23,9 +23,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from . import store
 from .words import bounds, buffer_of, hashes, mix, pieces
 
-#: SAMPLE_DOCS bounds the labelled rows that the driver fits on. Of a text above SAMPLE_CHARS characters it gets SPREAD
-#: windows at even distances from its start to its end, SAMPLE_CHARS characters together.
-SAMPLE_DOCS, SAMPLE_CHARS, SPREAD, EPOCHS, RATE, L2 = 6000, 20_000, 10, 12, 0.02, 1e-4
+#: SAMPLE_DOCS bounds the labelled rows, with their whole texts, that the driver fits on.
+SAMPLE_DOCS, EPOCHS, RATE, L2 = 3000, 12, 0.02, 1e-4
 #: Byte classes: white space, lower case, upper case, digit, sentence punctuation, exclamation mark, other ASCII, above ASCII.
 CLASSES = np.full(256, 7, np.uint8)
 CLASSES[:128] = 6
@@ -181,15 +180,12 @@ def fit(texts: list[str], good: np.ndarray, seed: int = 5) -> LineCRF:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE_DOCS) -> list[tuple[int, int, str]]:
-    """Hash of the id, label and text, or windows of it, of at most ``sample`` labelled documents with ``usable``, first by a hash of
+    """Hash of the id, label and whole text of at most ``sample`` labelled documents with ``usable``, first by a hash of
     their ids. Only their ids are broadcast, whose number ``sample`` bounds. Null ids, labels and texts are left out;
     of an id's labels the smallest counts, and of its texts the one that is first by a hash."""
     rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).where(usable).groupBy(key).agg(F.min(label).alias("_y"))
     chosen = store.bounded_sample(rows.withColumn("_h", F.xxhash64(F.lit(17), key)), "_h", sample).drop("_h")
-    n, size = F.length(text), SAMPLE_CHARS // SPREAD
-    windows = F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda i: F.substring(F.col(text), F.floor(i * (n - size) / (SPREAD - 1)).cast("int") + 1, F.lit(size)))
-    part = F.when(n > SAMPLE_CHARS, F.array_join(windows, "\n")).otherwise(F.col(text))
-    picked = docs.where(F.col(text).isNotNull()).select(key, F.xxhash64(text).alias("_h"), part.alias("_t")).join(F.broadcast(chosen), key)
+    picked = docs.where(F.col(text).isNotNull()).select(key, F.xxhash64(text).alias("_h"), F.col(text).alias("_t")).join(F.broadcast(chosen), key)
     one = picked.groupBy(key).agg(F.min("_y").alias("_y"), F.min(F.struct("_h", "_t")).alias("_t"))
     return sorted((r["_h"], r["_y"], r["_t"]) for r in one.select(F.xxhash64(F.lit(17), key).alias("_h"), "_y", F.col("_t")["_t"].alias("_t")).collect())
 
