@@ -7,12 +7,18 @@ the clean documents that any of its rules would reject: with that confidence the
 reject less than FALSE_REJECTION of the stratum's clean documents (the one-sided Clopper-Pearson bound).
 Settings are tested in their order and the first failure ends the sequence (fixed-sequence testing, so the
 last one certified needs no correction within a stratum); over strata the level is divided by their number
-(Bonferroni). A stratum with fewer than ln(level) / ln(1 - FALSE_REJECTION) clean documents, 408 here, cannot
-certify anything, and the base rules alone decide there.
+(Bonferroni). A stratum with fewer than ln(level) / ln(1 - FALSE_REJECTION) clean documents cannot certify anything,
+so neighbouring strata are merged until each has as many: of all ways to cut the strata's row into stretches (GROUPINGS)
+the first counts in which every stretch has them, at the level of that number of stretches (408 clean documents for each of three,
+368 of two, 299 for all together). Which one depends on the numbers of clean documents alone, never on what a rule rejects,
+so it needs no correction. With fewer than 299 clean documents the base rules alone decide.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +34,8 @@ CUTOFFS: dict[str, tuple[float, ...]] = {
 #: Strata by number of words: the lower ends.
 STRATA: tuple[int, ...] = (0, 150, 600)
 FALSE_REJECTION, LEVEL = 0.01, 0.05
+#: The stretch of each stratum in every way to merge neighbours, those with most stretches first.
+GROUPINGS: tuple[tuple[int, ...], ...] = tuple(sorted((tuple(sum(cuts[:i]) for i in range(len(STRATA))) for cuts in product((0, 1), repeat=len(STRATA) - 1)), key=lambda g: (-g[-1], g)))
 SETTINGS = 8
 WHITE, SYMBOLS = r"[\x20\x09-\x0D]+", r"[#*$%&|<>]+"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -87,8 +95,6 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def lower_tail(n: Column, k: Column, alpha: float) -> Column:
     """P(Bin(n, alpha) <= k), exactly summed term by term; 1 where k is not below n * alpha."""
-    import math
-
     odds, start = math.log(alpha) - math.log1p(-alpha), n.cast("double") * math.log1p(-alpha)
     first = F.struct(start.alias("t"), F.exp(start).alias("s"))
 
@@ -100,19 +106,39 @@ def lower_tail(n: Column, k: Column, alpha: float) -> Column:
     return F.when(k < n * alpha, F.aggregate(terms, first, step, lambda acc: acc["s"])).otherwise(1.0)
 
 
+def least_clean(parts: int, false_rejection: float = FALSE_REJECTION, level: float = LEVEL) -> int:
+    """The fewest clean documents with which a stretch, one of ``parts``, can certify a setting: none of them rejected."""
+    return math.ceil(math.log(level / parts) / math.log1p(-false_rejection))
+
+
 def cutoffs(clean: DataFrame, false_rejection: float = FALSE_REJECTION, level: float = LEVEL) -> DataFrame:
     """The certified setting of each stratum from the statistics of labelled clean documents: ``stratum``, ``n``
-    (clean documents), ``setting`` and ``max_`` with each rule's name; no row where no setting is certified.
+    (clean documents of its stretch), ``setting`` and ``max_`` with each rule's name; no row where no setting is certified.
     One aggregation of conditional counts, combined before its shuffle; at most a row per stratum after it."""
     over = [F.coalesce(_any([F.col(r) > cs[i] for r, cs in CUTOFFS.items()]), F.lit(False)) for i in range(SETTINGS)]
     counts = clean.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum(o.cast("long")).alias(f"k{i}") for i, o in enumerate(over)])
-    ok = F.array(*[lower_tail(F.col("n"), F.col(f"k{i}"), false_rejection) <= level / len(STRATA) for i in range(SETTINGS)])
+    has = [F.coalesce(F.sum(F.when(F.col("stratum") == s, F.col("n"))), F.lit(0)) for s in range(len(STRATA))]
+    chosen = F.array(*[F.lit(g) for g in GROUPINGS[-1]])
+    for grouping in reversed(GROUPINGS[:-1]):
+        parts = grouping[-1] + 1
+        enough = [sum(has[s] for s in range(len(STRATA)) if grouping[s] == p) >= least_clean(parts, false_rejection, level) for p in range(parts)]
+        chosen = F.when(_all(enough), F.array(*[F.lit(g) for g in grouping])).otherwise(chosen)
+    strata = counts.agg(chosen.alias("g")).select((F.array_max("g") + 1).alias("parts"), F.posexplode("g").alias("stratum", "part"))  # a row per stratum
+    merged = counts.join(F.broadcast(strata), "stratum").groupBy("part", "parts").agg(F.sum("n").alias("n"), *[F.sum(f"k{i}").alias(f"k{i}") for i in range(SETTINGS)])
+    ok = F.array(*[lower_tail(F.col("n"), F.col(f"k{i}"), false_rejection) <= level / F.col("parts") for i in range(SETTINGS)])
     first = F.array_position(ok, False)  # of the first failure, from 1 on; 0 if there is none
     passed = F.when(first == 0, SETTINGS).otherwise(first - 1).cast("int")  # how many come before it
-    best = counts.select("stratum", "n", (passed - 1).alias("setting")).where("setting >= 0")
+    best = strata.drop("parts").join(F.broadcast(merged.select("part", "n", (passed - 1).alias("setting"))), "part").where("setting >= 0").select("stratum", "n", "setting")
     return best.select("*", *[F.element_at(F.array(*map(F.lit, cs)), F.col("setting") + 1).alias(f"max_{r}") for r, cs in CUTOFFS.items()])
 
 
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
 def _any(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:
@@ -137,7 +163,7 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """The verdicts on all ``docs``: their columns, without the text unless ``keep_text``, the statistics, ``base_failed``, ``kept``.
 
     ``labels`` has ``key`` and ``quality``; a document is clean when all its labels are 1, rows with
-    null are ignored. Without enough clean documents in a stratum no setting can be certified there and
+    null are ignored. Strata with too few clean documents are merged with their neighbours; without enough in all of them
     the base rules alone decide. Rows without a key are judged but teach nothing. Repeated rows are judged alike
     and count as often as they come; a value equal to its cutoff passes; an empty table stays empty.
     """
@@ -149,12 +175,15 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def oracle() -> str:
     """DuckDB SQL for the query on ``documents`` and ``labels``."""
-    alpha, own = FALSE_REJECTION, LEVEL / len(STRATA)
+    alpha = FALSE_REJECTION
+    sums = [[" + ".join(f"s{s}" for s in range(len(STRATA)) if g[s] == p) for p in range(g[-1] + 1)] for g in GROUPINGS]
+    chosen = " ".join(f"WHEN {' AND '.join(f'{x} >= {least_clean(len(xs))}' for x in xs)} THEN {list(g)}" for g, xs in zip(GROUPINGS[:-1], sums[:-1], strict=True))
+    has = ", ".join(f"count(*) FILTER (WHERE stratum = {s}) AS s{s}" for s in range(len(STRATA)))
 
     def over(i: int) -> str:
         return " OR ".join(f"{r} > {cs[i]!r}::DOUBLE" for r, cs in CUTOFFS.items())
 
-    tests = " UNION ALL ".join(f"SELECT stratum, {i} AS i, count(*) AS n, count(*) FILTER (WHERE {over(i)}) AS k FROM clean GROUP BY stratum" for i in range(SETTINGS))
+    tests = " UNION ALL ".join(f"SELECT part, parts, {i} AS i, count(*) AS n, count(*) FILTER (WHERE {over(i)}) AS k FROM clean JOIN strata USING (stratum) GROUP BY part, parts" for i in range(SETTINGS))
     verdict = " ".join(f"WHEN {i} THEN NOT ({over(i)})" for i in range(SETTINGS))
     return rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
@@ -171,11 +200,13 @@ stats AS (SELECT *, CASE WHEN n_words = 0 THEN 0 ELSE n_symbols::DOUBLE / n_word
   CASE WHEN n_words = 0 THEN 0 ELSE n_repeat_words::DOUBLE / n_words END AS repeat_share, CASE WHEN word_chars = 0 THEN 0 ELSE caps::DOUBLE / word_chars END AS capital_share,
   {" + ".join(f"(n_words >= {lo})::INT" for lo in STRATA[1:])} AS stratum FROM s),
 clean AS (SELECT * FROM stats SEMI JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) c USING (doc_id)),
+strata AS (SELECT unnest(range({len(STRATA)})) AS stratum, unnest(g) AS part, list_max(g) + 1 AS parts FROM (SELECT CASE {chosen} ELSE {list(GROUPINGS[-1])} END AS g FROM (SELECT {has} FROM clean))),
 tests AS ({tests}),
-term AS (SELECT stratum, i, j, n * ln(1 - {alpha!r}) + sum(CASE WHEN j = 0 THEN 0 ELSE ln((n - j + 1)::DOUBLE / j) + ln({alpha!r}) - ln(1 - {alpha!r}) END) OVER (PARTITION BY stratum, i ORDER BY j) AS t
+term AS (SELECT part, parts, i, j, n * ln(1 - {alpha!r}) + sum(CASE WHEN j = 0 THEN 0 ELSE ln((n - j + 1)::DOUBLE / j) + ln({alpha!r}) - ln(1 - {alpha!r}) END) OVER (PARTITION BY part, i ORDER BY j) AS t
   FROM (SELECT *, unnest(generate_series(0, k)) AS j FROM tests WHERE k < n * {alpha!r})),
-ok AS (SELECT stratum, i FROM term GROUP BY ALL HAVING sum(exp(t)) <= {own!r}),
-ended AS (SELECT stratum, coalesce(min(t.i) FILTER (WHERE ok.i IS NULL), {SETTINGS}) - 1 AS setting FROM tests t LEFT JOIN ok USING (stratum, i) GROUP BY stratum),
+ok AS (SELECT part, i FROM term GROUP BY part, parts, i HAVING sum(exp(t)) <= {LEVEL!r}::DOUBLE / parts),
+done AS (SELECT part, coalesce(min(t.i) FILTER (WHERE ok.i IS NULL), {SETTINGS}) - 1 AS setting FROM tests t LEFT JOIN ok USING (part, i) GROUP BY part),
+ended AS (SELECT stratum, setting FROM strata JOIN done USING (part)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stats LEFT JOIN ended USING (stratum))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND CASE setting {verdict} ELSE true END AS kept FROM judged
 """
