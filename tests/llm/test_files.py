@@ -194,6 +194,40 @@ def test_word_table_equals_the_library(spark, block, monkeypatch):
     assert wordbpe.encode(empty(spark), path).count() == 0
 
 
+def test_plain_letters_are_split_as_the_library_does():
+    """Every code point that split() takes itself, alone and beside letters and signs."""
+    t, _, _, _ = wordbpe.load(P.path("word_bpe_49k.json"))
+    for c in range(1, 0xD800):
+        ch = chr(c)
+        if wordbpe.PLAIN.fullmatch(ch):
+            for x in (ch, "a" + ch + "1", "'" + ch + "."):
+                n = t.normalizer.normalize_str(x)
+                assert [n[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(n)] == wordbpe.WORD.findall(x.replace("Σ", "σ").lower()), hex(c)
+
+
+def test_words_of_odd_letters_equal_the_library():
+    """Random strings of marks that change places, letters newer than the tables at hand, jamo, special tokens, separators."""
+    path, rng = P.path("word_bpe_49k.json"), random.Random(3)
+    t, words, names, special = wordbpe.load(path)
+    pool = [chr(c) for c in (0x130, 0x337, 0x323, 0x307, 0x345, 0x301, 0x3A3, 0x3C2, 0x1E9E, 0x2028, 0x85, 0xA0, 0x1C, 0x1F, 0xB, 0x200D, 0x1F44D, 0xAC00, 0x1100, 0x1161, 0x11A8, 0x3099, 0x304B, *range(0x898, 0x8CD), *range(0x300, 0x370))]
+    pool += [*"abz' <|>19.\n\tsS", "<|endoftext|>", "<|startoftext|>", "'s"]
+    for _ in range(20_000):
+        x = "".join(rng.choice(pool) if rng.random() < 0.8 else chr(rng.choice((rng.randrange(32, 0xD800), rng.randrange(0xE000, 0x20000)))) for _ in range(rng.randrange(1, 14)))
+        want = t.encode(x, add_special_tokens=False).ids
+        got = [i for w in wordbpe.split(x, t, special) for i in words.encode(w, add_special_tokens=False).ids]
+        assert got == want and " ".join(names[i] for i in got) == t.decode(want, skip_special_tokens=False), ascii(x)
+
+
+def test_packing_long_runs_of_blanks(spark):
+    """Texts that the fast encoder's pattern gives up on are encoded by the library."""
+    path, texts = P.path("byte_bpe_50k.json"), [" " * 1_000_000, "\n" * 1_500_000 + "x", "y <|endoftext|>" + "\t" * 1_000_000]
+    t = Tokenizer.from_file(path)
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, with_ids=True).collect()
+    for k, x in enumerate(texts):
+        ids = b"".join(bytes(r["ids"]) for r in sorted((r for r in got if r["doc_id"] == k), key=lambda r: r["piece"]))
+        assert np.frombuffer(ids, "<u4").tolist() == [*t.encode(x, add_special_tokens=False).ids, 2]
+
+
 def test_registered_queries():
     assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)

@@ -92,12 +92,28 @@ def test_rules_sequence_ends_at_the_first_failure(spark):
         return [(0, value, 0.0, 0.0, 0.0)] * n
 
     some = spark.createDataFrame(rows(600, 0.0) + rows(30, 1.5), "stratum int, symbols_per_word double, dup_line_share double, repeat_share double, capital_share double")
-    (r,) = risk.cutoffs(some).collect()
-    assert (r["n"], r["setting"], r["max_symbols_per_word"], r["max_capital_share"]) == (630, 0, 2.0, 0.9)
-    assert risk.cutoffs(some.limit(400)).count() == 0 and risk.cutoffs(some.where("symbols_per_word = 0")).first()["setting"] == risk.SETTINGS - 1
+    found = risk.cutoffs(some).collect()  # the other strata have no clean documents and are merged with this one
+    assert sorted(r["stratum"] for r in found) == [0, 1, 2]
+    assert {(r["n"], r["setting"], r["max_symbols_per_word"], r["max_capital_share"]) for r in found} == {(630, 0, 2.0, 0.9)}
+    assert risk.cutoffs(some.limit(298)).count() == 0 and risk.cutoffs(some.where("symbols_per_word = 0")).first()["setting"] == risk.SETTINGS - 1
     assert all(len(c) == risk.SETTINGS for c in risk.CUTOFFS.values())
 
 
+@pytest.mark.parametrize("sizes, groups", [((408, 408, 408), [0, 1, 2]), ((407, 408, 408), [0, 0, 1]), ((368, 360, 8), [0, 1, 1]), ((300, 10, 10), [0, 0, 0]), ((100, 100, 98), None)])
+def test_rules_merge_strata_until_each_has_enough(spark, sizes, groups):
+    rows = [(s, 0.0, 0.0, 0.0, 0.0) for s, n in enumerate(sizes) for _ in range(n)]
+    found = risk.cutoffs(spark.createDataFrame(rows, "stratum int, symbols_per_word double, dup_line_share double, repeat_share double, capital_share double")).collect()
+    if groups is None:
+        assert not found
+    else:
+        assert {r["stratum"]: r["n"] for r in found} == {s: sum(n for n, g in zip(sizes, groups, strict=True) if g == groups[s]) for s in range(3)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_rules_use_their_cutoffs_on_few_labels(spark):
+    assert queries.op7_risk_controlled_rules(spark, "/root/testdata/sf0.01").where("NOT kept AND NOT base_failed").count() > 0
+
+
 def test_rules_clashing_names(spark):
     names = ["_t", "_w", "_l", "_own", "_found", "_stratum", "max_repeat_share", "kept", "stratum", "a.b"]
     df = hard(spark).select("doc_id", "text", *[F.lit(f"x{c}").alias(c) for c in names])
@@ -197,16 +213,29 @@ def test_crf_hard_rows(spark):
     assert crf.score(empty(spark), model).count() == 0 and crf.score(hard(spark), None).where("score = 0.5").count() == len(hard_rows())
 
 
-def test_crf_sample_is_bounded_and_spans_long_texts(spark):
-    """An id with many rows and a very long text count as one document; its windows reach from start to end."""
+def test_crf_sample_is_bounded_and_has_whole_texts(spark):
+    """An id with many rows and a very long text count as one document; the long text reaches the fit whole."""
     long = "".join(f"line {i} of it\n" for i in range(40_000))
     rows = [(1, long)] + [(2, f"text {i}") for i in range(500)] + [(i, f"word {i}") for i in range(3, 40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] + [(None, 1), (4, None)], "doc_id long, quality int")
     got = crf.sampled(df, labels, F.lit(True))
     assert len(got) == 39 and len(crf.sampled(df, labels, F.lit(True), sample=10)) <= 10
-    (part,) = [t for _, _, t in got if len(t) > 1000]
-    assert len(part) == crf.SAMPLE_CHARS + crf.SPREAD - 1 and part.startswith(long[:500]) and part.endswith(long[-500:])
+    assert [t for _, _, t in got if len(t) > 1000] == [long]
+
+
+def test_crf_fit_sees_every_line():
+    """Good and bad texts that differ in one line only, wherever it stands in long texts, are told apart."""
+    plain = [f"a line of some words, number {i % 7}.\n" for i in range(2000)]
+    texts, good = [], []
+    for i in range(24):
+        at = i * 80
+        texts.append("".join([*plain[:at], "$$$ ### !!! &&&\n" * 60, *plain[at:]]) if i % 2 else "".join(plain))
+        good.append(1 - i % 2)
+    model = crf.fit(texts, np.array(good))
+    x, row, weight = crf.lines(*crf.buffer_of(pa.array(texts, pa.large_string())))
+    score = model.score(*model.documents(x, row, weight, len(texts)))
+    assert max(score[1::2]) < min(score[::2])
 
 
 def plain_crf_score(model, text):
@@ -415,16 +444,18 @@ def test_language_sample_counts_copies_once_and_holds_every_language(spark):
     df = spark.createDataFrame([*rows, (None, "en"), ("no language", None), ("12 34", "en")], "text string, lang string").repartition(3)
     got = bytecnn.sampled(df, sample=20)
     assert Counter(lang for _, lang, _ in got) == {"en": 17, "fr": 3}
-    assert len({h for h, _, _ in got}) == 20 and {p for _, lang, part in got if lang == "fr" for p in part} == {t for t, lang in rows if lang == "fr"}
+    assert len({h for h, _, _ in got}) == 20 and {t for _, lang, t in got if lang == "fr"} == {t for t, lang in rows if lang == "fr"}
     assert bytecnn.train(df, sample=20).languages == ["en", "fr"]
     assert bytecnn.quota([5, 100, 100], 25) == 10 and bytecnn.quota([1] * 9, 4) == 1
 
 
-def test_language_sample_spans_long_texts(spark):
+def test_language_sample_has_whole_texts_and_bounded_languages(spark):
     long = "a" * 30_000 + "é" * 30_000 + "z" * 300
-    (_, _, part), = bytecnn.sampled(spark.createDataFrame([(long, "en")], "text string, lang string"))
-    assert len(part) == bytecnn.SAMPLE_CHARS // bytecnn.WINDOW and {len(p) for p in part} == {bytecnn.WINDOW}
-    assert part[0] == long[: bytecnn.WINDOW] and part[-1] == long[-bytecnn.WINDOW :] and "é" * bytecnn.WINDOW in part
+    assert [t for _, _, t in bytecnn.sampled(spark.createDataFrame([(long, "en")], "text string, lang string"))] == [long]
+    rows = [(f"text {i}", f"l{i}") for i in range(30)] + [(f"words {i}", "l3") for i in range(5)] + [("other", "l20")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    assert Counter(lang for _, lang, _ in bytecnn.sampled(df, sample=6, languages=3)) == {"l3": 3, "l20": 2, "l0": 1}
+    assert len(bytecnn.sampled(df, sample=2)) == 30  # one of each language at least
 
 
 def test_mixing_continuations_and_end_sum_to_one():
@@ -516,3 +547,28 @@ def test_mixing_compiled_sums_equal_the_numpy_steps(spark):
         got, want = ({(r["block"], r["bucket"], r["sum"]): [a.tolist() for a in mixing.unpacked(bytes(r["data"]))] for r in d.collect()} for d in (got, want))
         assert got == want and len(got) > 2 * buckets
     assert not mixing._answered(asked.limit(0), 3).count()
+
+
+@pytest.mark.parametrize("options", ["-Xshare:off", "-XX:+UseSerialGC"])
+def test_mixing_in_a_fresh_jvm(options, tmp_path):
+    """The compiled functions do not depend on the order in which a JVM lists overloads."""
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.driver.extraJavaOptions", "{options}").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from cytomill.llm import mixing
+print("rows", mixing.score(spark.createDataFrame([(1, "a b"), (2, "b a")], "doc_id long, text string"), F.lit(True)).count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), env={k: v for k, v in os.environ.items() if not k.startswith("PYSPARK_GATEWAY")})
+    assert "rows 2" in done.stdout, done.stderr[-2000:]
+
+
+def test_mixing_functions_are_chosen_by_the_compiler():
+    """No call from Python reaches an overload of udf that takes any object."""
+    import inspect
+
+    from cytomill.llm import jvm
+
+    assert "functions.udf" not in inspect.getsource(jvm.function)
