@@ -50,12 +50,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts and their offsets; a null text is empty."""
+    """Bytes of all texts, or of binary values, and their offsets; a null is empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = col.cast(pa.large_string())
+    if not pa.types.is_large_binary(col.type):
+        col = col.cast(pa.large_string())
     if col.null_count:
-        col = col.fill_null("")
+        col = col.fill_null(b"" if pa.types.is_large_binary(col.type) else "")
     if not len(col):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
