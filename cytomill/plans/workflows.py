@@ -25,6 +25,16 @@ def make_index(spark: SparkSession, genome: str, out: str, motifs: Sequence[str]
     return df
 
 
+#: Contigs of an index that are named to the reader of alignments at most.
+NAMED_CONTIGS = 1000
+
+
+def reads_of(spark: SparkSession, alignments: str, idx: DataFrame) -> DataFrame:
+    """The alignments on the contigs of an index: where these are few, an indexed BAM file is opened at their chunks only."""
+    found = [r[0] for r in idx.select("chrom").distinct().limit(NAMED_CONTIGS + 1).collect()]
+    return sam.read(spark, alignments, found if len(found) <= NAMED_CONTIGS else None)
+
+
 def resolve_sites(spark: SparkSession, trimming: tuple[str, object] | None, max_read_length: int) -> tuple[DataFrame | None, int]:
     """Dense cutting sites and their largest fragment length from a trimming choice (``config.trimming``)."""
     if trimming is None:
@@ -43,7 +53,7 @@ def call(spark: SparkSession, alignments: str, index_path: str, out: str, format
     formats = writers.check_formats(formats)
     idx = bed.read_index(spark, index_path).drop("watson_base")
     s, top = resolve_sites(spark, trimming, max_read_length)
-    reads = filters.filtered(pileup.pileup_reads(sam.read(spark, alignments), idx), s, top, min_mapq, min_phred)
+    reads = filters.filtered(pileup.pileup_reads(reads_of(spark, alignments, idx), idx), s, top, min_mapq, min_phred)
     if len(formats) > 1:
         reads = reads.persist(StorageLevel.MEMORY_AND_DISK)
     done: dict[str, DataFrame] = {}
@@ -64,7 +74,8 @@ def run_pileup(spark: SparkSession, alignments: str, index_path: str, steps: Seq
     """The place for a user's own operators: ``steps`` take and return rows of ``pileup.pileup_reads`` one after the other
     (filters, marks, further columns), ``counters`` make a table each from the last step's rows. All of them are plans
     over one scan; a counter that is never read costs nothing."""
-    reads = pileup.pileup_reads(sam.read(spark, alignments), bed.read_index(spark, index_path).drop("watson_base"))
+    idx = bed.read_index(spark, index_path).drop("watson_base")
+    reads = pileup.pileup_reads(reads_of(spark, alignments, idx), idx)
     for step in steps:
         reads = reads.transform(step)
     return {name: reads.transform(f) for name, f in counters.items()}
@@ -74,7 +85,7 @@ def collect_stats(spark: SparkSession, alignments: str, index_path: str, out: st
     """The count cube of reads at index positions with a sequence context, as Parquet, and with ``tsv`` as tab-separated
     text with a header in ``out``_tsv too."""
     idx = bed.read_index(spark, index_path).drop("watson_base")
-    cube = mbias.count_cube(pileup.pileup_reads(sam.read(spark, alignments), idx), binning)
+    cube = mbias.count_cube(pileup.pileup_reads(reads_of(spark, alignments, idx), idx), binning)
     cube.write.mode("overwrite").parquet(out)
     if tsv:
         spark.read.parquet(out).write.mode("overwrite").csv(f"{out}_tsv", sep="\t", header=True, compression="gzip")

@@ -25,6 +25,11 @@ def modified(path: str) -> int | None:
     return at.get_file_info(name).mtime_ns
 
 
+def size(path: str) -> int:
+    at, name = located(path)
+    return at.get_file_info(name).size
+
+
 def open_binary(path: str) -> IO[bytes]:
     """For reading, with seeks."""
     at, name = located(path)

@@ -1,22 +1,14 @@
-"""SAM text and BAM readers giving the same columns: qname, flag, rname, pos (0-based), mapq, cigar, tlen,
+"""SAM text, and BAM by ``bam``, with the same columns: qname, flag, rname, pos (0-based), mapq, cigar, tlen,
 seq, qual (text with offset 33) and ``file_ord``, which sorts reads as in the file."""
 
 from __future__ import annotations
 
-import gzip
-import struct
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .files import exists, open_binary
-
-SCHEMA = "qname string, flag int, rname string, pos bigint, mapq int, cigar string, tlen bigint, seq string, qual string, file_ord bigint"
-#: Fixed values of the BAM format: letters of packed bases and CIGAR operations.
-BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
-LINE = 1 << 20
+from . import bam
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -31,156 +23,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def bgzf_block(f) -> bytes | None:
-    """The next block's bytes, None at the end of the file."""
-    head = f.read(18)
-    if len(head) < 18:
-        return None
-    if head[:4] != b"\x1f\x8b\x08\x04":
-        raise ValueError("not a BGZF file")
-    extra = struct.unpack_from("<H", head, 10)[0]
-    fields = head[12:18] + f.read(extra - 6)
-    at, size = 0, None
-    while at < extra:
-        tag, length = fields[at : at + 2], struct.unpack_from("<H", fields, at + 2)[0]
-        if tag == b"BC":
-            size = struct.unpack_from("<H", fields, at + 4)[0] + 1
-        at += 4 + length
-    if size is None:
-        raise ValueError("a BGZF block without its size")
-    return gzip.decompress(head[:12] + fields + f.read(size - 12 - extra))
-
-
-class Stream:
-    """Bytes of a BGZF file from a virtual offset on, aware of where they are."""
-
-    def __init__(self, path: str, offset: int = 0) -> None:
-        self.f = open_binary(path)
-        self.f.seek(offset >> 16)
-        self.block, self.at, self.data = offset >> 16, 0, b""
-        self.load()
-        self.at = offset & 0xFFFF
-
-    def load(self) -> bool:
-        while True:
-            self.block = self.f.tell()
-            data = bgzf_block(self.f)
-            if data is None:
-                self.data, self.at = b"", 0
-                return False
-            if data:
-                self.data, self.at = data, 0
-                return True
-
-    def tell(self) -> int:
-        if self.at >= len(self.data):
-            self.load()
-        return (self.block << 16) | self.at
-
-    def read(self, n: int) -> bytes:
-        out = b""
-        while len(out) < n:
-            if self.at >= len(self.data) and not self.load():
-                break
-            part = self.data[self.at : self.at + n - len(out)]
-            self.at += len(part)
-            out += part
-        return out
-
-
-def header(stream: Stream) -> list[str]:
-    if stream.read(4) != b"BAM\x01":
-        raise ValueError("not a BAM file")
-    stream.read(struct.unpack("<i", stream.read(4))[0])
-    names = []
-    for _ in range(struct.unpack("<i", stream.read(4))[0]):
-        names.append(stream.read(struct.unpack("<i", stream.read(4))[0])[:-1].decode())
-        stream.read(4)
-    return names
-
-
-def record(raw: bytes, names: list[str], order: int) -> tuple:
-    ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, _, _, tlen = struct.unpack_from("<iiBBHHHiiii", raw)
-    at = 32 + l_name
-    ops = struct.unpack_from(f"<{n_cigar}I", raw, at)
-    at += 4 * n_cigar
-    packed = raw[at : at + (l_seq + 1) // 2]
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq]
-    at += (l_seq + 1) // 2
-    q = raw[at : at + l_seq]
-    qual = "*" if not q or q[0] == 0xFF else bytes(x + 33 for x in q).decode("latin-1")
-    cigar = "".join(f"{o >> 4}{OPS[o & 15]}" for o in ops) or "*"
-    return raw[32 : 32 + l_name - 1].decode(), flag, names[ref] if ref >= 0 else "*", pos, mapq, cigar, tlen, seq or "*", qual, order
-
-
-def split_points(bai: str) -> list[int]:
-    """Virtual offsets of record starts from the linear index of a ``.bai`` file."""
-    with open_binary(bai) as f:
-        data = f.read()
-    if data[:4] != b"BAI\x01":
-        raise ValueError("not a BAI file")
-    at, found = 8, set()
-    for _ in range(struct.unpack_from("<i", data, 4)[0]):
-        bins = struct.unpack_from("<i", data, at)[0]
-        at += 4
-        for _ in range(bins):
-            at += 8 + 16 * struct.unpack_from("<i", data, at + 4)[0]
-        n = struct.unpack_from("<i", data, at)[0]
-        found |= set(struct.unpack_from(f"<{n}Q", data, at + 4))
-        at += 4 + 8 * n
-    return sorted(found - {0})
-
-
-class Span(InputPartition):
-    def __init__(self, path: str, start: int, end: int | None) -> None:
-        self.path, self.start, self.end = path, start, end
-
-
-class BamReader(DataSourceReader):
-    """With a ``.bai`` index a task per about ``split`` compressed bytes, else one per file."""
-
-    def __init__(self, options: dict) -> None:
-        self.path, self.split = options["path"], int(options.get("split", 64 << 20))
-
-    def partitions(self) -> list[InputPartition]:
-        s = Stream(self.path)
-        header(s)
-        cuts = [s.tell()]
-        if exists(f"{self.path}.bai"):
-            for v in split_points(f"{self.path}.bai"):
-                if (v >> 16) - (cuts[-1] >> 16) >= self.split:
-                    cuts.append(v)
-        return [Span(self.path, a, b) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
-
-    def read(self, partition: Span) -> Iterator[tuple]:
-        names = header(Stream(partition.path))
-        s = Stream(partition.path, partition.start)
-        while True:
-            order = s.tell()
-            if partition.end is not None and order >= partition.end:
-                return
-            head = s.read(4)
-            if len(head) < 4:
-                return
-            yield record(s.read(struct.unpack("<i", head)[0]), names, order)
-
-
-class BamSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "cytomill_bam"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return BamReader(dict(self.options))
-
-
-def read_bam(spark: SparkSession, path: str, **options: int) -> DataFrame:
-    spark.dataSource.register(BamSource)
-    return spark.read.format("cytomill_bam").options(**{k: str(v) for k, v in options.items()}).load(path)
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return read_bam(spark, path) if path.endswith(".bam") else read_sam(spark, path)
+def read(spark: SparkSession, path: str, contigs: Sequence[str] | None = None) -> DataFrame:
+    """Reads of a SAM or BAM file, of ``contigs`` only if given: of a BAM file with an index, only their chunks are opened."""
+    df = bam.read(spark, path) if path.endswith(".bam") else read_sam(spark, path)
+    return df if contigs is None else df.where(F.col("rname").isin(*contigs))

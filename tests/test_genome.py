@@ -7,7 +7,7 @@ import zlib
 import pytest
 
 from cytomill.operators import index
-from cytomill.sources import bed, fasta, files, sam, writers
+from cytomill.sources import bam, bed, fasta, files, sam, writers
 
 CONTIG = "GCNNNACGTAAGCCAGCGNTCCGAATACNCG"
 GOLDEN = [
@@ -91,9 +91,9 @@ def bam_bytes(reads, names):
     import re
 
     for q, flag, ref, pos, mapq, cigar, tlen, seq, qual in reads:
-        ops = [(int(n), sam.OPS.index(o)) for n, o in re.findall(r"(\d+)(.)", cigar)] if cigar != "*" else []
+        ops = [(int(n), bam.OPS.index(o)) for n, o in re.findall(r"(\d+)(.)", cigar)] if cigar != "*" else []
         s = "" if seq == "*" else seq
-        codes = [sam.BASES.index(c) for c in s] + [0] * (len(s) % 2)
+        codes = [bam.BASES.index(c) for c in s] + [0] * (len(s) % 2)
         packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2))
         quals = bytes([0xFF] * len(s)) if qual == "*" else bytes(ord(c) - 33 for c in qual)
         r = struct.pack("<iiBBHHHiiii", names.index(ref) if ref in names else -1, pos, len(q) + 1, mapq, 0, len(ops), flag, len(s), -1, -1, tlen) + q.encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | o) for n, o in ops) + packed + quals
