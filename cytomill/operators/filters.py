@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .pileup import CELL
 
 #: Full order of reads at a position; inputs without a file order name columns that tell rows apart.
 FILE_ORDER = ("file_ord",)
@@ -38,8 +39,10 @@ def trim(reads: DataFrame, sites: DataFrame, max_flen: int) -> DataFrame:
 def overlap(reads: DataFrame, position: Sequence[str] = ("chrom", "start"), order: Sequence[str | Column] = FILE_ORDER, name: str = "read_name") -> DataFrame:
     """Mates at one position: pairs that disagree are dropped; of pairs that agree, the one of lower
     quality (of equals, the later) gets ``overlap`` = true. Only groups of exactly two count. Rows of
-    status NA take no part and are dropped."""
-    w = Window.partitionBy(*position, name)
+    status NA take no part and are dropped. Rows of ``pileup_reads`` bring their cells, by which the join has dealt them
+    already, so their bases are not shuffled again."""
+    cell = [c for c in CELL if c in reads.columns]  # they follow from position and name: rows of the pileup's join stay where they are
+    w = Window.partitionBy(*cell, *position, name)
     ranked = w.orderBy(F.col("phred").desc(), *order)
     r = reads.where(F.col("status") != C.NA).withColumns({"_n": F.count("*").over(w), "_lo": F.min("status").over(w), "_hi": F.max("status").over(w), "_k": F.row_number().over(ranked)})
     pair = F.col("_n") == 2

@@ -1,8 +1,11 @@
 """Alignments joined to index positions.
 
-Reads are cut into CIGAR blocks, never into bases. Blocks and positions meet by bins of BIN letters and
-the residual range condition. Rows that no output can see (bad flags, missing data, no strand, unknown
-bases, gaps) are dropped before the join.
+Reads are cut into CIGAR blocks, never into bases. Blocks and positions meet by bins, about as wide as blocks are long, and
+the residual range condition. Bins that hold very many blocks, as amplicons make them, are dealt to tiles by the reads'
+names. Rows that no output can see (bad flags, missing data, no strand, unknown bases, gaps) are dropped before the join.
+
+Rows of the join keep their bin and tile (CELL). Both follow from position and name, so mates at a position are in one cell, and later
+steps that group by position and name take the cell along and need no shuffle of their own.
 """
 
 from __future__ import annotations
@@ -13,6 +16,13 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 BIN = 1000
+#: Columns of a cell: bin, tile of the spans, tile of the points.
+CELL = ("cell_bin", "cell_span", "cell_point")
+#: From so many rows on a bin is dealt to tiles. At most HOT_BINS bins are, those with most rows, so their list is broadcast whatever
+#: the input; of all rows beyond it no bin has more than one in HOT_BINS.
+TILE_ROWS, HOT_BINS = 20_000, 100_000
+#: Blocks from which the bins' width is told, and its bounds.
+WIDTH_SAMPLE, LEAST_BIN, MOST_BIN = 10_000, 64, 10_000
 #: CIGAR operations that advance in the read, in the reference, and that align bases.
 IN_READ, IN_REFERENCE, ALIGNED = "MIS=X", "MDN=X", "M=X"
 
@@ -60,12 +70,44 @@ def read_level(alignments: DataFrame) -> DataFrame:
     }).drop("ops")
 
 
-def interval_join(spans: DataFrame, points: DataFrame, start: str = "start", length: str = "len", point: str = "pos", by: str = "chrom", width: int = BIN) -> DataFrame:
+def hot_bins(rows: DataFrame, by: str, most: int) -> DataFrame | None:
+    """The bins with more than ``most`` rows and the tiles that each is dealt to; None if there are none. One aggregate of two columns."""
+    counted = rows.groupBy(by, CELL[0]).agg(F.count("*").alias("_c")).where(F.col("_c") > most)
+    found = counted.orderBy(F.desc("_c")).limit(HOT_BINS).select(by, CELL[0], F.ceil(F.col("_c") / most).cast("int").alias("_tiles"))
+    held = found.collect()
+    return rows.sparkSession.createDataFrame(held, found.schema) if held else None
+
+
+def interval_join(spans: DataFrame, points: DataFrame, start: str = "start", length: str = "len", point: str = "pos", by: str = "chrom", width: int = BIN, deal: str | None = None, most: int | None = TILE_ROWS, keep_cell: bool = False) -> DataFrame:
     """Pairs of a span and a point within [start, start + length) of the same ``by``. Bins are best about as wide as
-    the spans are long: wider ones make pairs that do not meet, narrower ones copies of the spans (``span_width``)."""
-    s = spans.where(F.col(length) > 0).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(start) + F.col(length) - 1) / width))))
-    p = points.withColumn("_bin", F.floor(F.col(point) / width))
-    return s.join(p, [by, "_bin"]).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(start) + F.col(length))).drop("_bin")
+    the spans are long: wider ones make pairs that do not meet, narrower ones copies of the spans (``span_width``).
+
+    Bins with more than ``most`` spans or points are counted out and dealt: their spans go to one of several tiles by the hash of ``deal``
+    (else of the whole span) and meet copies of the points there, and the points likewise, by their place (without ``deal`` by the whole row,
+    as many rows may stand at one place). ``most`` = None leaves that out. With ``keep_cell``
+    the rows have the columns of CELL."""
+    s = spans.where(F.col(length) > 0)
+    key = F.xxhash64(deal) if deal else F.xxhash64(*[F.col(f"`{c}`") for c in s.columns])
+    s = s.withColumn(CELL[0], F.explode(F.sequence(F.floor(F.col(start) / width).cast("long"), F.floor((F.col(start) + F.col(length) - 1) / width).cast("long"))))
+    p = points.withColumn(CELL[0], F.floor(F.col(point) / width).cast("long"))
+    at = [by, CELL[0]]
+    hot = {} if most is None else {c: h for c, rows in ((CELL[1], s), (CELL[2], p)) if (h := hot_bins(rows, by, most)) is not None}
+
+    def dealt(rows: DataFrame, own: str, value: Column) -> DataFrame:
+        for c in (CELL[1], CELL[2]):
+            if c not in hot:
+                rows = rows.withColumn(c, F.lit(0))
+                continue
+            tiles = F.coalesce(F.col("_tiles"), F.lit(1))
+            rows = rows.join(F.broadcast(hot[c]), at, "left")
+            rows = rows.withColumn(c, F.pmod(value, tiles.cast("long")).cast("int") if c == own else F.explode(F.sequence(F.lit(0), tiles - 1))).drop("_tiles")
+        return rows
+
+    pairs = dealt(s, CELL[1], key).join(dealt(p, CELL[2], F.xxhash64(F.col(point)) if deal else F.xxhash64(*[F.col(f"`{c}`") for c in points.columns])), [by, *CELL] if hot else at)
+    if not hot:
+        pairs = pairs.select(by, *[F.col(c) for c in pairs.columns if c not in (by, *CELL)], CELL[0], F.lit(0).alias(CELL[1]), F.lit(0).alias(CELL[2]))
+    pairs = pairs.where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(start) + F.col(length)))
+    return pairs if keep_cell else pairs.drop(*CELL)
 
 
 def span_width(spans: DataFrame, length: str = "len") -> int:
@@ -73,13 +115,18 @@ def span_width(spans: DataFrame, length: str = "len") -> int:
     return max(1, round(spans.where(F.col(length) > 0).agg(F.coalesce(F.avg(length), F.lit(1))).first()[0]))
 
 
-def pileup_reads(alignments: DataFrame, index: DataFrame) -> DataFrame:
-    """One row per index position and read aligned there with a usable base. Positions without reads are
-    not among them: aggregates join the index back (``calls``), which is far smaller than outer-joined reads."""
+def pileup_reads(alignments: DataFrame, index: DataFrame, width: int | None = None, most: int | None = TILE_ROWS) -> DataFrame:
+    """One row per index position and read aligned there with a usable base, with the cell it was found in. Positions without reads are
+    not among them: aggregates join the index back (``calls``), which is far smaller than outer-joined reads.
+
+    The bins' ``width`` is told from the first blocks, unless given; it has no part in the result. Deep bins are counted in a pass of
+    their own over the reads' places (``most`` = None leaves it out)."""
     r = read_level(alignments).select("*", F.explode("blocks").alias("b")).withColumns({"_b": F.col("pos") + F.col("b.ref"), "_n": F.col("b.len"), "_q": F.col("b.query")})
     r = r.withColumnRenamed("rname", "chrom").drop("blocks", "b", "pos", "cigar")
+    if width is None:
+        width = min(MOST_BIN, max(LEAST_BIN, span_width(r.select("_n").limit(WIDTH_SAMPLE), "_n")))
     w = F.when(F.col("strand") == "+", "C").otherwise("G")
-    p = interval_join(r, index.withColumn("watson_base", w).withColumnRenamed("start", "_p"), "_b", "_n", "_p")
+    p = interval_join(r, index.withColumn("watson_base", w).withColumnRenamed("start", "_p"), "_b", "_n", "_p", width=width, deal="qname", most=most, keep_cell=True)
     q = F.col("_q") + (F.col("_p") - F.col("_b")).cast("int")
     p = p.withColumn("qpos", q).withColumns({
         "start": F.col("_p"), "base": F.upper(F.substring("seq", F.col("qpos") + 1, F.lit(1))), "phred": F.ascii(F.substring("qual", F.col("qpos") + 1, F.lit(1))) - 33,
@@ -88,4 +135,4 @@ def pileup_reads(alignments: DataFrame, index: DataFrame) -> DataFrame:
     p = p.withColumn("status", C.meth_status(F.col("base"), F.col("watson_base"), F.col("bs_strand")))
     p = p.where((F.col("status") != C.NA) & C.within_fragment(F.col("pos_in_read"), F.col("tlen")))
     extra = [c for c in ("seq_context", "triplet_seq") if c in index.columns]
-    return p.select("chrom", "start", "end", "motif", "strand", *extra, F.col("qname").alias("read_name"), "file_ord", "bs_strand", "is_read1", "mapq", F.col("tlen").cast("long").alias("tlen"), "base", "phred", "pos_in_read", "status")
+    return p.select("chrom", "start", "end", "motif", "strand", *extra, F.col("qname").alias("read_name"), "file_ord", "bs_strand", "is_read1", "mapq", F.col("tlen").cast("long").alias("tlen"), "base", "phred", "pos_in_read", "status", *CELL)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bam
+from .bam import SCHEMA  # noqa: F401
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:

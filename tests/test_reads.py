@@ -169,3 +169,56 @@ def test_interval_join(spark):
     points = [(rng.randint(0, 3), rng.randint(0, 8000)) for _ in range(200)]
     got = pileup.interval_join(spark.createDataFrame(spans, "id int, chrom int, start int, len int"), spark.createDataFrame(points, "chrom int, pos int"))
     assert got.count() == sum(c == d and s <= p < s + n for (_, c, s, n), (d, p) in itertools.product(spans, points))
+
+
+def test_deep_bins_are_dealt_to_tiles(spark):
+    """An amplicon: most spans begin at one place, most points are one. No cell holds many more rows than it may."""
+    rng = random.Random(3)
+    spans = [(i, f"n{i // 2}", 0, 500, 120) for i in range(3000)] + [(i, f"n{i // 2}", rng.randint(0, 1), rng.randint(0, 3000), rng.randint(0, 200)) for i in range(3000, 3300)]
+    points = [(0, 510, i) for i in range(400)] + [(rng.randint(0, 1), rng.randint(0, 3200), 1000 + i) for i in range(200)]
+    s = spark.createDataFrame(spans, "id int, name string, chrom int, start int, len int")
+    p = spark.createDataFrame(points, "chrom int, pos int, point int")
+    want = sum(c == d and a <= x < a + n for (_, _, c, a, n), (d, x, _) in itertools.product(spans, points))
+    for deal, at_a_place in (("name", 401), (None, 300)):
+        got = pileup.interval_join(s, p, width=100, deal=deal, most=150, keep_cell=True).cache()
+        assert got.count() == want == got.select("id", "point").distinct().count()
+        cells = got.groupBy("chrom", *pileup.CELL).agg(F.countDistinct("id").alias("spans"), F.countDistinct("point").alias("points"))
+        top = cells.agg(F.max("spans"), F.max("points"), F.count("*")).first()
+        assert top[0] < 300 and top[1] <= at_a_place and top[2] > 20
+        # rows of one name and place are in one cell
+        assert deal is None or got.groupBy("name", "chrom", "pos").agg(F.countDistinct(*pileup.CELL).alias("n")).where("n > 1").count() == 0
+    assert pileup.interval_join(s, p, width=100, most=None).count() == want
+
+
+def amplicon(n, seed=5):
+    rng = random.Random(seed)
+    genome = "".join(rng.choice("ACGT") for _ in range(600))
+    rows = []
+    for i in range(n):
+        first = 200 if i % 3 else rng.randint(0, 400)
+        for flag, at in ((99, first), (147, first + rng.randint(0, 60))):
+            rows.append((f"r{i}", flag, "c", at, 60, "100M", 150, "".join(rng.choice([genome[k], "T"]) for k in range(at, at + 100)), "".join(chr(33 + rng.randint(2, 40)) for _ in range(100)), len(rows)))
+    idx = [("c", i, i + 1, "CG", ".", "+" if b == "C" else "-") for i, b in enumerate(genome) if b in "CG"]
+    return rows, idx
+
+
+def test_mates_of_a_pileup_are_not_shuffled_again(spark):
+    """The overlap window works on the partitions of the join: two exchanges, those of reads and positions, and no other."""
+    rows, idx = amplicon(150)
+    a = spark.createDataFrame(rows, sam.SCHEMA)
+    i = spark.createDataFrame(idx, "chrom string, start long, end long, motif string, score string, strand string")
+    columns = ["start", "read_name", "file_ord", "phred", "status", "overlap"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (None, 40):
+            p = pileup.pileup_reads(a, i, width=100, most=most)
+            marked = filters.overlap(p)
+            marked.collect()
+            plan = marked._jdf.queryExecution().executedPlan().toString()
+            final = plan.split("== Initial Plan ==")[0]
+            assert final.count("Window ") == 0 or final.count("Exchange hashpartitioning") == 2, final
+            assert sum("Window" in line for line in final.splitlines()) >= 1
+            plain = filters.overlap(p.drop(*pileup.CELL))
+            assert sorted(map(tuple, marked.select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
