@@ -45,8 +45,8 @@ def cells(docs: DataFrame, labels: DataFrame, part: str = "source", text: str =
     slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), body.alias("t"))
     narrow = slim.select("key", "part", *[c.alias(f) for f, c in flags.items()], F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(12), "t").alias("h2"))
     marks = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    marks = tables.cut(marks.where("good = 1 OR toxic = 1"), "marks")
-    named = narrow.where("key IS NOT NULL").join(store.small(marks, marks.count()), "key", "left")
+    marks = marks.where("good = 1 OR toxic = 1")
+    named = narrow.where("key IS NOT NULL").join(marks, "key", "left")
     nameless = narrow.where("key IS NULL").withColumns({"good": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
     rows = tables.cut(named.unionByName(nameless).fillna(0, ["good", "toxic"]), "rows")
     same = rows.where("key IS NOT NULL").groupBy("h1", "h2").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("many"))
@@ -54,9 +54,10 @@ def cells(docs: DataFrame, labels: DataFrame, part: str = "source", text: str =
     own = list(FILTERS[:-1])
     sums = [F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic")]
     copies = store.with_value(rows.where("key IS NOT NULL"), same, ["h1", "h2"], "many", rows.count(), whole=False).where("key > least")
-    every, later = rows.groupBy("part", *own).agg(*sums), store.cut(copies.groupBy("part", *own).agg(*sums), "copies")
-    moved = later.select("part", *own, *[(-F.col(c)).alias(c) for c in SUMS])
-    both = every.union(moved).withColumn("E", F.lit(False)).unionByName(later.withColumn("E", F.lit(True)))
+    first = rows.select("part", *own, F.lit(False).alias("E"), F.lit(1).alias("n"), "good", "toxic")
+    turned = F.explode(F.array(F.struct(F.lit(False).alias("E"), F.lit(-1).alias("x")), F.struct(F.lit(True).alias("E"), F.lit(1).alias("x"))))
+    later = copies.groupBy("part", *own).agg(*sums).withColumn("to", turned).select("part", *own, "to.E", *[(F.col(c) * F.col("to.x")).alias(c) for c in SUMS])
+    both = first.groupBy("part", *FILTERS).agg(*[F.sum(c).alias(c) for c in SUMS]).union(later)
     out = store.cut(both.groupBy("part", *FILTERS).agg(*[F.sum(c).alias(c) for c in SUMS]).where("n > 0"), "cells")
     tables.drop_all_but()
     return out
@@ -98,7 +99,7 @@ def interactions(docs: DataFrame, labels: DataFrame, part: str = "source", text:
     for nothing. Repeated rows count as often as they come. An empty table gives no rows. Further columns are ignored.
     """
     spark = docs.sparkSession
-    found = store.cut(survivors(cells(docs, labels, part, text, key)), "survivors")
+    found = survivors(cells(docs, labels, part, text, key))
     listed = steps(spark)
     pairs = listed.select("name", "before", "after").distinct()
     last = len(FILTERS) - 1
@@ -108,7 +109,6 @@ def interactions(docs: DataFrame, labels: DataFrame, part: str = "source", text:
     pair = was.join(F.broadcast(pairs), "before").alias("w").join(now.alias("n"), F.expr("w.part <=> n.part AND w.g = n.g AND w.after = n.after"))
     lost = {c: F.col(f"{c}_before") - F.col(f"{c}_after") for c in SUMS}
     pair = pair.select("w.part", "w.g", "name", "before", F.col("n_after").alias("kept"), lost["n"].alias("removed"), lost["good"].alias("good_lost"), lost["toxic"].alias("toxic_lost"))
-    pair = store.cut(pair, "pairs")
     full = F.lit((1 << len(FILTERS)) - 1)
     own = F.element_at(F.create_map(*[x for i, f in enumerate(FILTERS) for x in (F.lit(f), F.lit(1 << i))]), F.col("name"))
     alone = pair.groupBy("part", "g", "name").agg(
