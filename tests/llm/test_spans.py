@@ -46,7 +46,7 @@ def plain_earlier(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
+@pytest.mark.parametrize("hot", [512, 2])
 def test_earlier_strings_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT_KINDS", hot)
     rows = copied_rows() + [r[:2] for r in hard_rows() if r[0] != 9] + [(5, prose(1, 120)), (None, prose(8, 80) + "."), (None, prose(1, 200))]
