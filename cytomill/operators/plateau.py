@@ -1,7 +1,9 @@
 """Cutting sites from bias curves: a plateau is fitted to the long fragments' curve, and each stratum keeps
 the positions whose counts agree with it.
 
-The curve has one row per position, so it is fitted in one task; strata are tested in parallel.
+A position admits an interval of heights. For each slope these become intervals of intercepts, and a sweep over
+their sorted ends finds the intercept that most positions admit: tables of positions times slopes, not of models. Strata are
+tested in parallel.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from math import lgamma
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -128,17 +130,42 @@ def _log10(p: np.ndarray) -> np.ndarray:
         return np.log10(p)
 
 
-def flat_plateau(meth: np.ndarray, seen: np.ndarray) -> float:
-    """Height of a plateau without slope: of 1000 heights, that with the best sum of log p-values. Heights that
+HEIGHTS = 1000
+
+
+def numbered(line: DataFrame) -> DataFrame:
+    """The curve with ``x``, the position's number from 0, and ``beta``, null where nothing was counted. A row per position in a
+    read, so they are numbered in one task."""
+    x = F.row_number().over(Window.orderBy("pos")) - 1
+    return line.withColumns({"x": x.cast("long"), "beta": F.when(F.col("n_total") > 0, F.col("n_meth") / F.col("n_total"))})
+
+
+def height_sums(line: DataFrame) -> DataFrame:
+    """For each of HEIGHTS heights from 0 to 1 (``h``): ``total``, the sum of the positions' log p-values without hopeless ones, and
+    ``bad``, the positions that reject it. Heights are tried where the positions are, in Arrow batches, and summed per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heights = np.linspace(0, 1, HEIGHTS)
+        for batch in batches:
+            k, n = (batch.column(c).to_numpy().astype(float) for c in ("n_meth", "n_total"))
+            total, bad = np.zeros(HEIGHTS), np.zeros(HEIGHTS, np.int64)
+            for i in range(0, len(k), 256):
+                logs = np.log10(p_values(k[None, i : i + 256], n[None, i : i + 256], heights[:, None]) + 1e-30)
+                total += np.where(logs < REJECTED, 0, logs).sum(1)
+                bad += (logs < HOPELESS).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(HEIGHTS)), pa.array(total), pa.array(bad)], names=["h", "total", "bad"])
+
+    sums = line.select("n_meth", "n_total").mapInArrow(run, "h long, total double, bad long")
+    return sums.groupBy("h").agg(F.sum("total").alias("total"), F.sum("bad").alias("bad"))
+
+
+def flat_plateau(line: DataFrame) -> float:
+    """Height of a plateau without slope: that with the best sum of log p-values, the first of equals. Heights that
     half of the positions reject are out, single hopeless positions do not count against one."""
-    heights = np.linspace(0, 1, 1000)
-    logs = np.log10(p_values(meth[None], seen[None], heights[:, None]) + 1e-30)
-    out = (logs < HOPELESS).sum(1) >= len(meth) / 2
-    if out.all():
+    best = height_sums(line).crossJoin(line.agg(F.count("*").alias("n"))).where(F.col("bad") < F.col("n") / 2).orderBy(F.desc("total"), "h").first()
+    if best is None:
         raise ValueError("no plateau found; allowing a slope may help")
-    total = np.where(logs < REJECTED, 0, logs).sum(1)
-    total[out] = -np.inf
-    return int(np.argmax(total)) / 1000
+    return best["h"] / 1000
 
 
 def accepted_range(meth: np.ndarray, seen: np.ndarray, strip: float) -> tuple[np.ndarray, np.ndarray]:
@@ -165,28 +192,58 @@ def accepted_range(meth: np.ndarray, seen: np.ndarray, strip: float) -> tuple[np
     return np.where(np.isnan(beta), lo, np.minimum(lo, beta - strip)), np.where(np.isnan(beta), hi, np.maximum(hi, beta + strip))
 
 
-def sloped_plateau(meth: np.ndarray, seen: np.ndarray, cfg: PlateauConfig) -> tuple[float, float]:
-    """Intercept and slope that most positions agree with, the first of equals; at least half have to. The
+def admitted(line: DataFrame, strip: float) -> DataFrame:
+    """The numbered curve with ``low`` and ``high``, the proportions that a position does not reject (``accepted_range``); positions that
+    reject all are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, n = (batch.column(c).to_numpy().astype(float) for c in ("n_meth", "n_total"))
+            if len(k):
+                low, high = accepted_range(k, n, strip)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low), pa.array(high)], names=[*batch.schema.names, "low", "high"])
+
+    t = numbered(line)
+    return t.mapInArrow(run, StructType([*t.schema.fields, StructField("low", DoubleType()), StructField("high", DoubleType())])).where("low <= high")
+
+
+def stabbed(t: DataFrame, middle: float, cfg: PlateauConfig) -> DataFrame:
+    """For each slope, the intercepts at which the number of agreeing positions changes, and that number: ``slope``, ``intercept`` (numbers on
+    their grids of ``cfg.steps``) and ``n``. A model's value is cut to 0 to 1, so a range that reaches an end has none there."""
+    last = max(cfg.steps - 1, 1)
+    step, base, rise = 0.2 / last, middle - 0.1, cfg.max_slope / last
+    each = t.where("low <= 1 AND high >= 0").withColumn("slope", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cfg.steps - 1).cast("long"))))
+    shift = F.col("slope") * F.lit(rise) * F.col("x") + F.lit(base)
+    first = F.when(F.col("low") <= 0, 0).otherwise(F.ceil((F.col("low") - shift) / F.lit(step)))
+    after = F.when(F.col("high") >= 1, cfg.steps).otherwise(F.floor((F.col("high") - shift) / F.lit(step)) + 1)
+    each = each.select("slope", F.greatest(first, F.lit(0)).alias("a"), F.least(after, F.lit(cfg.steps)).alias("b")).where("a < b")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("intercept"), F.lit(1).alias("d")), F.struct(F.col("b").alias("intercept"), F.lit(-1).alias("d")))).alias("e")
+    moves = each.select("slope", ends).groupBy("slope", "e.intercept").agg(F.sum("e.d").alias("d"))
+    n = F.sum("d").over(Window.partitionBy("slope").orderBy("intercept").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return moves.select("slope", "intercept", n.alias("n"))
+
+
+def best_line(line: DataFrame, cfg: PlateauConfig) -> tuple[float, int, int, int, int]:
+    """The middle of the intercepts' grid, the numbers of intercept and slope that most positions agree with, the first of equals, how
+    many do, and all positions."""
+    t = numbered(line)
+    middle, size = t.agg(F.median("beta"), F.count("*")).first()
+    if middle is None:
+        raise ValueError("no plateau found")
+    best = stabbed(admitted(line, cfg.always_accept), middle, cfg).orderBy(F.desc("n"), "intercept", "slope").first()
+    return (middle, best["intercept"], best["slope"], best["n"], size) if best else (middle, 0, 0, 0, size)
+
+
+def sloped_plateau(line: DataFrame, cfg: PlateauConfig) -> tuple[float, float]:
+    """Intercept and slope that most positions agree with; at least half have to. The
     intercept is then the median of the betas within the accepted strip."""
-    x = np.arange(len(meth))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        beta = meth / seen
-    middle = float(np.nanmedian(beta))
-    intercepts, slopes = np.linspace(middle - 0.1, middle + 0.1, cfg.steps), np.linspace(0, cfg.max_slope, cfg.steps)
-    lo, hi = accepted_range(meth, seen, cfg.always_accept)
-    best, at = -1, (0, 0)
-    for i, a in enumerate(intercepts):
-        model = np.clip(a + slopes[:, None] * x[None], 0, 1)
-        n = ((model >= lo) & (model <= hi)).sum(1)
-        j = int(np.argmax(n))
-        if n[j] > best:
-            best, at = int(n[j]), (i, j)
-    if best < len(meth) / 2:
+    middle, i, j, n, size = best_line(line, cfg)
+    if n < size / 2:
         raise ValueError("no plateau found")
-    a, b = intercepts[at[0]], slopes[at[1]]
-    with np.errstate(invalid="ignore"):
-        near = np.abs(beta - (a + b * x)) < cfg.always_accept
-    return float(np.median(beta[near])) if near.any() else float(a), float(b)
+    last = max(cfg.steps - 1, 1)
+    a, b = middle - 0.1 + i * (0.2 / last), j * (cfg.max_slope / last)
+    near = numbered(line).where(F.abs(F.col("beta") - (F.lit(a) + F.lit(b) * F.col("x"))) < cfg.always_accept).agg(F.median("beta")).first()[0]
+    return (a if near is None else near), b
 
 
 def integrated(beta: np.ndarray, low: np.ndarray, high: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -266,11 +323,12 @@ def detect(classic: DataFrame, cfg: PlateauConfig = PlateauConfig()) -> DataFram
     """Cutting sites from CG rows of the classic table: ``bs_strand``, ``flen``, ``pos``, ``n_meth``, ``n_unmeth``."""
     spark = classic.sparkSession
     rows = cg_counts(classic)
-    line = curve(rows, cfg).orderBy("pos").toPandas()  # a row per position in a read
-    if not len(line):
+    line = curve(rows, cfg)
+    held = line.toPandas()  # a row per position in a read: made once from the counts, then small
+    if not len(held):
         raise ValueError("no fragments are long enough to estimate the plateau")
-    meth, seen = line["n_meth"].to_numpy(float), line["n_total"].to_numpy(float)
-    intercept, slope = sloped_plateau(meth, seen, cfg) if cfg.allow_slope else (flat_plateau(meth, seen), 0.0)
+    line = spark.createDataFrame(held, line.schema)
+    intercept, slope = sloped_plateau(line, cfg) if cfg.allow_slope else (flat_plateau(line), 0.0)
     if slope > cfg.max_slope:
         raise ValueError("the plateau is too steep")
     first, last = rows.agg(F.min("pos"), F.max("pos")).first()

@@ -137,9 +137,11 @@ def mapq_phred_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # cutting sites and filters
-@query(SITES)
+@query(f"""WITH {EV}, s AS ({SITES}) SELECT s.bs_strand, s.flen, s.start, s."end", count(*) AS n FROM s JOIN ev ON ev.bs_strand = s.bs_strand AND least(abs(tlen), {MAX_FLEN}) = s.flen GROUP BY ALL""")
 def cutting_sites_frag_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sites(spark)
+    """The sites of fixed ends that the reads fall under, and how many."""
+    r = views.reads(spark, sf_dir).select("bs_strand", F.least(F.abs("tlen"), F.lit(MAX_FLEN)).alias("flen"))
+    return r.join(F.broadcast(_sites(spark)), ["bs_strand", "flen"]).groupBy("bs_strand", "flen", "start", "end").agg(F.count("*").alias("n"))
 
 
 _SPARSE = "SELECT DISTINCT bs_strand, (tlen // 25) * 25 AS flen FROM ev WHERE tlen < 400"
@@ -162,21 +164,33 @@ def cutting_sites_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MODE = "(SELECT CASE WHEN count(*) FILTER (WHERE n = top) = 1 AND max(top) >= 3 THEN max(v) FILTER (WHERE n = top) END FROM (SELECT v, n, max(n) OVER () AS top FROM (SELECT v, count(*) AS n FROM unnest({}) u(v) GROUP BY v)))"
 
 
-@query(f"""WITH {EV}, base AS (SELECT bs_strand, flen, (flen // 40 % 3 + CASE WHEN flen % 11 = 0 THEN 5 ELSE 0 END)::BIGINT AS start, (least(flen, 101) - CASE WHEN flen % 13 = 0 THEN 4 ELSE 0 END)::BIGINT AS "end" FROM sites),
- win AS (SELECT *, list(start) OVER l AS ls, list(start) OVER r AS rs, list("end") OVER l AS le, list("end") OVER r AS re FROM base WINDOW l AS (PARTITION BY bs_strand ORDER BY flen ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), r AS (PARTITION BY bs_strand ORDER BY flen ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)),
+#: From ``base`` to ``smooth``.
+_SMOOTHING = f"""win AS (SELECT *, list(start) OVER l AS ls, list(start) OVER r AS rs, list("end") OVER l AS le, list("end") OVER r AS re FROM base WINDOW l AS (PARTITION BY bs_strand ORDER BY flen ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), r AS (PARTITION BY bs_strand ORDER BY flen ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)),
  modes AS (SELECT *, {_MODE.format("ls")} AS a, {_MODE.format("rs")} AS b, {_MODE.format("le")} AS c, {_MODE.format("re")} AS d FROM win),
- smooth AS (SELECT bs_strand, flen, CASE WHEN a = b THEN a ELSE start END AS start, CASE WHEN c = d THEN c ELSE "end" END AS "end" FROM modes)
- SELECT bs_strand, flen, CASE WHEN "end" - start < 30 THEN 0 ELSE start END AS start, CASE WHEN "end" - start < 30 THEN 0 ELSE "end" END AS "end" FROM smooth""")
+ smooth AS (SELECT bs_strand, flen, CASE WHEN a = b THEN a ELSE start END AS start, CASE WHEN c = d THEN c ELSE "end" END AS "end" FROM modes)"""
+#: Sites by strand and length as the reads' positions have them: most lengths alike, some apart.
+_OBSERVED = "SELECT bs_strand, tlen AS flen, min(pos_in_read) // 12 AS start, max(pos_in_read) // 12 * 12 + 5 - CASE WHEN count(*) % 5 = 0 THEN 70 ELSE 0 END AS \"end\" FROM ev GROUP BY ALL"
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low, high = F.floor(F.min("pos_in_read") / 12), F.floor(F.max("pos_in_read") / 12) * 12 + 5
+    found = views.reads(spark, sf_dir).groupBy("bs_strand", F.col("tlen").alias("flen")).agg(low.alias("start"), (high - F.when(F.count("*") % 5 == 0, 70).otherwise(0)).alias("end"))
+    return found.select("bs_strand", "flen", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query(f"WITH {EV}, base AS ({_OBSERVED}), {_SMOOTHING} SELECT bs_strand, flen, start::BIGINT AS start, \"end\"::BIGINT AS \"end\" FROM smooth")
 def smooth_cutting_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _sites(spark).selectExpr(
-        "bs_strand", "flen", "cast(flen div 40 % 3 + case when flen % 11 = 0 then 5 else 0 end as bigint) as start", "cast(least(flen, 101) - case when flen % 13 = 0 then 4 else 0 end as bigint) as end"
-    )
-    return sites.least_length(sites.smoothed(base), 30)
+    return sites.smoothed(_observed(spark, sf_dir))
+
+
+@query(f"""WITH {EV}, base AS ({_OBSERVED}) SELECT bs_strand, flen, (CASE WHEN "end" - start < 30 THEN 0 ELSE start END)::BIGINT AS start, (CASE WHEN "end" - start < 30 THEN 0 ELSE "end" END)::BIGINT AS "end" FROM base""")
+def least_length_cutting_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites.least_length(_observed(spark, sf_dir), 30)
 
 
-@query(f"""WITH {EV}, s AS ({SITES}) SELECT bs_strand, flen, cut_end, cut_pos FROM s UNPIVOT (cut_pos FOR cut_end IN (start, "end"))""")
+@query(f"""WITH {EV}, base AS ({_OBSERVED}) SELECT bs_strand, flen, cut_end, cut_pos::BIGINT AS cut_pos FROM base UNPIVOT (cut_pos FOR cut_end IN (start, "end"))""")
 def cutting_sites_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sites.plot_table(_sites(spark))
+    return sites.plot_table(_observed(spark, sf_dir))
 
 
 @query(f"WITH {TRIMMED} SELECT chrom, start, bs_strand, count(*) AS n, sum(pos_in_read)::BIGINT AS positions FROM trimmed GROUP BY ALL")
@@ -416,8 +430,82 @@ def plateau_cut_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plateau.cut_ends(_p_values(spark, sf_dir), 1, READ_LENGTH)
 
 
-@query()
+# the plateau's search: every position's range of heights by bisection, intervals of intercepts for each slope, a sweep over their ends
+_CURVE = f"""{CLASSIC}, line AS (SELECT pos, sum(n_meth)::BIGINT AS k, sum(n_meth + n_unmeth)::BIGINT AS n FROM classic WHERE motif = 'CG' AND bs_strand IN ('c_bc', 'w_bc') AND flen >= 210 GROUP BY pos),
+ curve AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pos) - 1 AS x, k, n, CASE WHEN n > 0 THEN k / n END AS beta FROM line)"""
+#: The strip of these queries: the synthetic reads agree with no plateau more closely than within a fifth.
+_WIDE, _TOP, _GRID = 0.2, 0.0006, 999
+
+
+def _fine(k: str, n: str, p: str) -> str:
+    """Whether a height is not rejected."""
+    return f"coalesce(log10(nullif(greatest(CASE WHEN {p} <= 0 OR {p} >= 1 THEN 0 ELSE {_tail(k, n, p)} END, 0), 0)) > -8, false)"
+
+
+def _ranges(strip: float, depth: int = 1) -> str:
+    return f"""{_CURVE}, side AS (SELECT x, k * {depth} AS k, n * {depth} AS n, beta, e, least(greatest((k * {depth} + 0.5) / (n * {depth} + 1), 1e-9), 1 - 1e-9) AS peak FROM curve, (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) v(e)),
+ halved AS (SELECT x, k, n, e, peak AS good, e AS bad, 0 AS i FROM side UNION ALL
+  SELECT x, k, n, e, CASE WHEN f THEN mid ELSE good END, CASE WHEN f THEN bad ELSE mid END, i + 1 FROM (SELECT *, {_fine("k", "n", "mid")} AS f FROM (SELECT *, (good + bad) / 2 AS mid FROM halved WHERE i < 45))),
+ whole AS (SELECT x, max(good) FILTER (WHERE e = 0) AS lo, max(good) FILTER (WHERE e = 1) AS hi FROM halved WHERE i = 45 GROUP BY x),
+ ranges AS MATERIALIZED (SELECT x, CASE WHEN fits THEN least(lo, coalesce(beta - {strip}, lo)) ELSE beta - {strip} END AS low, CASE WHEN fits THEN greatest(hi, coalesce(beta + {strip}, hi)) ELSE beta + {strip} END AS high
+  FROM (SELECT x, lo, hi, beta, {_fine("k", "n", "peak")} AS fits FROM whole JOIN side USING (x) WHERE e = 0))"""
+
+
+def _best(strip: float, depth: int = 1) -> str:
+    return f"""{_ranges(strip, depth)}, middle AS (SELECT median(beta) AS m, count(*) AS size FROM curve),
+ each AS (SELECT j, greatest(CASE WHEN low <= 0 THEN 0 ELSE ceil((low - (j * ({_TOP}::DOUBLE / {_GRID}) * x + (m - 0.1))) / (0.2::DOUBLE / {_GRID})) END, 0)::BIGINT AS a,
+  least(CASE WHEN high >= 1 THEN {_GRID + 1} ELSE floor((high - (j * ({_TOP}::DOUBLE / {_GRID}) * x + (m - 0.1))) / (0.2::DOUBLE / {_GRID})) + 1 END, {_GRID + 1})::BIGINT AS b
+  FROM ranges, middle, (SELECT unnest(range({_GRID + 1})) AS j) WHERE low <= high AND low <= 1 AND high >= 0),
+ moves AS (SELECT j, i, sum(d) AS d FROM (SELECT j, a AS i, 1 AS d FROM each WHERE a < b UNION ALL SELECT j, b, -1 FROM each WHERE a < b) GROUP BY j, i),
+ sweep AS (SELECT j, i, sum(d) OVER (PARTITION BY j ORDER BY i) AS n FROM moves), best AS (SELECT * FROM sweep ORDER BY n DESC, i, j LIMIT 1)"""
+
+
+_MODEL = f"""{_best(_WIDE)}, plain AS (SELECT m - 0.1 + i * (0.2::DOUBLE / {_GRID}) AS a, j * ({_TOP}::DOUBLE / {_GRID}) AS b FROM best, middle),
+ model AS MATERIALIZED (SELECT coalesce((SELECT median(beta) FROM curve, plain WHERE abs(beta - (a + b * x)) < {_WIDE}), a) AS a, b FROM plain)"""
+
+
+def _line(spark: SparkSession, sf_dir: str, depth: int = 1) -> DataFrame:
+    line = plateau.curve(plateau.cg_counts(mbias.classic(_stats(spark, sf_dir))), plateau.PlateauConfig())
+    return line.select("pos", *[(F.col(c) * depth).alias(c) for c in ("n_meth", "n_total")])
+
+
+_CONFIG = plateau.PlateauConfig(always_accept=_WIDE)
+_NARROW = plateau.PlateauConfig().always_accept
+#: Every read of the curve counts so many times where its positions would otherwise admit any height.
+_DEPTH = 20
+
+
+@query(f"WITH RECURSIVE {_ranges(_NARROW, _DEPTH)} SELECT x, floor(low * 1000 + {_OFF})::BIGINT AS low, floor(high * 1000 + {_OFF})::BIGINT AS high FROM ranges WHERE low <= high")
+def plateau_admitted_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heights that each position of the curve does not reject, in thousandths: tails near one are rounded, so heights agree to about seven digits."""
+    found = plateau.admitted(_line(spark, sf_dir, _DEPTH), _NARROW)
+    return found.select("x", *[F.floor(F.col(c) * 1000 + _OFF).alias(c) for c in ("low", "high")])
+
+
+@query(f"WITH RECURSIVE {_best(_NARROW, _DEPTH)} SELECT i AS intercept, j AS slope, n::BIGINT AS agreeing, size AS positions FROM best, middle")
+def plateau_sloped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the intercept and slope on their grids that most positions of the curve agree with."""
+    _, i, j, n, size = plateau.best_line(_line(spark, sf_dir, _DEPTH), plateau.PlateauConfig())
+    return spark.createDataFrame([(i, j, n, size)], "intercept long, slope long, agreeing long, positions long")
+
+
+@query(f"""WITH {_CURVE}, h AS (SELECT unnest(range({plateau.HEIGHTS})) AS h), l AS (SELECT h, log10(greatest(CASE WHEN h IN (0, {plateau.HEIGHTS - 1}) THEN 0 ELSE {_tail("k", "n", f"(h / {plateau.HEIGHTS - 1}.0::DOUBLE)")} END, 0) + 1e-30) AS l FROM h, curve)
+ SELECT h, count(*) FILTER (WHERE l < -4) AS bad, floor(sum(CASE WHEN l < -8 THEN 0 ELSE l END) + {_OFF})::BIGINT AS log_p FROM l GROUP BY h""")
+def plateau_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every height of a plateau without slope: the positions that reject it, and the sum of the others' log p-values, without its fraction."""
+    return plateau.height_sums(_line(spark, sf_dir)).select("h", "bad", F.floor(F.col("total") + _OFF).alias("log_p"))
+
+
+@query(f"""WITH RECURSIVE {_MODEL}, cg AS MATERIALIZED (SELECT bs_strand, flen, pos, n_meth AS k, n_meth + n_unmeth AS n, a + b * (pos - lo) AS m FROM classic, model, (SELECT min(pos) AS lo FROM classic WHERE motif = 'CG') WHERE motif = 'CG'),
+ tails AS (SELECT *, {_tail("k", "n", f"m - {_WIDE}")} AS a, {_tail("k", "n", f"m + {_WIDE}")} AS b FROM cg),
+ pv AS MATERIALIZED (SELECT bs_strand, flen, pos, CASE WHEN k / n BETWEEN m - {_WIDE} AND m + {_WIDE} THEN 1 ELSE greatest(a, b) END AS p FROM tails), ends AS (SELECT min(pos) AS lo, max(pos) AS hi FROM pv),
+ d AS (SELECT s.bs_strand, s.flen, i, hi - lo + 1 AS size, coalesce(p, 0) AS p, CASE WHEN s.flen > 0 AND s.flen < hi - lo + 1 THEN s.flen - 1 ELSE hi - lo END AS e
+  FROM (SELECT DISTINCT bs_strand, flen FROM pv) s CROSS JOIN (SELECT lo, hi, unnest(range(0, hi - lo + 1)) AS i FROM ends) LEFT JOIN pv ON pv.bs_strand = s.bs_strand AND pv.flen = s.flen AND pos = i + lo),
+ r AS (SELECT *, min((p > 0.1)::INT) OVER (PARTITION BY bs_strand, flen ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) = 1 AND i <= size - 6 AS run FROM d),
+ t AS (SELECT bs_strand, flen, max(size) AS size, max(p) FILTER (WHERE i = 0) < 1e-6 AS low, max(p) FILTER (WHERE i = e) < 1e-6 AS high, min(i) FILTER (WHERE run) AS first, max(i) FILTER (WHERE run AND i + 6 <= e + 1) AS last FROM r GROUP BY bs_strand, flen),
+ base AS (SELECT bs_strand, flen, CASE WHEN (low AND first IS NULL) OR (high AND last IS NULL) OR NOT low THEN 0 ELSE first END::BIGINT AS start,
+  CASE WHEN (low AND first IS NULL) OR (high AND last IS NULL) THEN 0 WHEN high THEN last + 6 ELSE size END::BIGINT AS "end" FROM t), {_SMOOTHING}
+ SELECT bs_strand, flen, CASE WHEN "end" - start < 30 THEN 0 ELSE start END AS start, CASE WHEN "end" - start < 30 THEN 0 ELSE "end" END AS "end" FROM smooth""")
 def plateau_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cutting sites detected in the classic table; the search for the plateau is numeric, so without SQL. Its grid is the
-    operator's own; the synthetic reads agree with no plateau more closely than within a fifth, so the strip is that wide here."""
-    return plateau.detect(mbias.classic(_stats(spark, sf_dir)), plateau.PlateauConfig(always_accept=0.2))
+    """Cutting sites detected in the classic table, from the curve to the smoothed sites."""
+    return plateau.detect(mbias.classic(_stats(spark, sf_dir)), _CONFIG)

@@ -32,15 +32,54 @@ def curve(shape, seen, n=101, seed=0):
     return np.random.default_rng(seed).binomial(seen, p).astype(float)
 
 
+def line_of(spark, meth, seen):
+    return spark.createDataFrame([(i + 1, int(k), int(n)) for i, (k, n) in enumerate(zip(meth, seen, strict=True))], "pos long, n_meth long, n_total long")
+
+
+def grid(meth, seen, cfg):
+    """Every model of the grid tried at every position: the first with most positions within their ranges."""
+    x = np.arange(len(meth))
+    beta = np.where(seen > 0, meth / np.maximum(seen, 1), np.nan)
+    middle = float(np.nanmedian(beta))
+    low, high = plateau.accepted_range(meth, seen, cfg.always_accept)
+    model = np.clip(np.linspace(middle - 0.1, middle + 0.1, cfg.steps)[:, None, None] + np.linspace(0, cfg.max_slope, cfg.steps)[None, :, None] * x, 0, 1)
+    n = ((model >= low) & (model <= high)).sum(2)
+    return (*np.unravel_index(int(n.argmax()), n.shape), int(n.max()))
+
+
 @pytest.mark.parametrize("seen", [500, 2000])
 @pytest.mark.parametrize("shape", ["flat", "ends", "slope"])
-def test_plateau_height(shape, seen):
+def test_plateau_height(spark, shape, seen):
     meth, n = curve(shape, seen), np.full(101, float(seen))
-    a, b = plateau.sloped_plateau(meth, n, plateau.PlateauConfig(steps=60))
+    cfg = plateau.PlateauConfig(steps=60)
+    line = line_of(spark, meth, n)
+    a, b = plateau.sloped_plateau(line, cfg)
+    assert plateau.best_line(line, cfg)[1:] == (*grid(meth, n, cfg), 101)
     middle = 0.675 if shape == "slope" else 0.7
     assert abs(a - middle) < (0.02 if seen == 2000 else 0.06) and 0 <= b <= 0.0006  # with few reads many lines fit all positions; the first of them counts
     if shape != "slope":
-        assert abs(plateau.flat_plateau(meth, n) - 0.7) < 0.02
+        assert abs(plateau.flat_plateau(line) - 0.7) < 0.02
+
+
+@pytest.mark.parametrize("height", [0.01, 0.5, 0.97])
+def test_sweep_equals_every_model_of_the_grid(spark, height):
+    """Steep lines, positions without counts or with few, models beyond 0 and 1."""
+    rng = np.random.default_rng(3)
+    for cfg in (plateau.PlateauConfig(steps=37, max_slope=0.01), plateau.PlateauConfig(steps=1), plateau.PlateauConfig(steps=20, max_slope=0.0, always_accept=0.001)):
+        seen = rng.choice([0.0, 3.0, 40.0, 4000.0], 30)
+        meth = rng.binomial(seen.astype(int), np.clip(height + 0.004 * np.arange(30), 0, 1)).astype(float)
+        _, i, j, n, size = plateau.best_line(line_of(spark, meth, seen), cfg)
+        assert (i, j, n) == grid(meth, seen, cfg) and size == 30
+
+
+def test_no_plateau(spark):
+    meth = np.where(np.arange(40) % 2, 900.0, 100.0)
+    line = line_of(spark, meth, np.full(40, 1000.0))
+    for search in (lambda: plateau.sloped_plateau(line, plateau.PlateauConfig(steps=20)), lambda: plateau.flat_plateau(line)):
+        with pytest.raises(ValueError):
+            search()
+    with pytest.raises(ValueError):
+        plateau.sloped_plateau(line.where("pos < 0"), plateau.PlateauConfig())
 
 
 def test_accepted_range_equals_grid():
