@@ -1,5 +1,5 @@
 """Declarative aggregations for bias plots: specifications are expanded, deduplicated and computed from one
-cached scan per dataset."""
+scan per dataset, whatever their number."""
 
 from __future__ import annotations
 
@@ -125,12 +125,44 @@ def aggregate_table(df: DataFrame, variables: Iterable[str], filters: Mapping[st
     return mbias.roll_up(df, [c for c in levels if c in variables])
 
 
+def rolled(df: DataFrame, tasks: Sequence[Task]) -> DataFrame:
+    """The aggregates of all ``tasks`` in one table: ``task`` (its place among them), the variables of all (null in rows of tasks without
+    them), and sums. One scan: the table is rolled up to the variables that any task groups or filters by, and each task's rows come from
+    these few."""
+    levels = [c for c in df.columns if c not in VALUES]
+    for t in tasks:
+        check_levels({*t.variables, *dict(t.filters)}, levels)
+    wanted = [c for c in levels if any(c in t.variables or c in dict(t.filters) for t in tasks)]
+    kept = [c for c in wanted if any(c in t.variables for t in tasks)]
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n_meth", "n_unmeth")]
+    base = df.groupBy(*wanted).agg(*sums)
+
+    def entry(i: int, t: Task) -> Column:
+        one = F.struct(F.lit(i).alias("task"), *[(F.col(c) if c in t.variables else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in kept])
+        return F.when(selection(**{k: list(v) for k, v in t.filters}), one) if t.filters else one
+
+    each = F.explode(F.array_compact(F.array(*[entry(i, t) for i, t in enumerate(tasks)]))).alias("e")
+    return mbias.roll_up(base.select(each, "n_meth", "n_unmeth").select("e.*", "n_meth", "n_unmeth"), ["task", *kept])
+
+
+def of_task(done: DataFrame, tasks: Sequence[Task], task: Task, levels: Sequence[str]) -> DataFrame:
+    """One task's table from what ``rolled`` gave, as ``aggregate_table`` gives it."""
+    return done.where(F.col("task") == list(tasks).index(task)).select(*[c for c in levels if c in task.variables], *VALUES)
+
+
 def aggregates(configs: Iterable[PlotConfig], tables: Mapping[str, DataFrame]) -> dict[Task, DataFrame]:
-    """Each distinct task once; the table of a dataset with several tasks is cached for them."""
+    """Each distinct task once. Several of one dataset are parts of one table, which frames read in one job compute once; to read
+    them in jobs of their own, write the table first (``workflows.mbias_plots``)."""
     tasks = list(dict.fromkeys(t for c in configs for t in c.tasks()))
-    many = {d for d in tables if sum(t.dataset == d for t in tasks) > 1}
-    held = {d: t.cache() if d in many else t for d, t in tables.items()}
-    return {t: aggregate_table(held[t.dataset], t.variables, dict(t.filters)) for t in tasks}
+    out = {}
+    for name, table in tables.items():
+        mine = [t for t in tasks if t.dataset == name]
+        if len(mine) == 1:
+            out[mine[0]] = aggregate_table(table, mine[0].variables, dict(mine[0].filters))
+        elif mine:
+            every = rolled(table, mine)
+            out |= {t: of_task(every, mine, t, table.columns) for t in mine}
+    return {t: out[t] for t in tasks}
 
 
 def post_filter(df: DataFrame, filters: Mapping[str, Sequence]) -> DataFrame:

@@ -50,6 +50,24 @@ def overlap(reads: DataFrame, position: Sequence[str] = ("chrom", "start"), orde
     return r.withColumn("overlap", pair & (F.col("_k") == 2)).drop("_n", "_lo", "_hi", "_k")
 
 
+def marked(reads: DataFrame, sites: DataFrame | None = None, max_flen: int = 0, min_mapq: int = 0, min_phred: int = 0, position: Sequence[str] = ("chrom", "start"), order: Sequence[str | Column] = FILE_ORDER, name: str = "read_name") -> DataFrame:
+    """All rows, with ``called``, whether ``filtered`` would keep the row, and ``overlap`` as it marks it: for counters that want other rows
+    as well. Rows that mapping quality or trimming leave out take no part in their mates' comparison, as there."""
+    used = (F.col("mapq") >= min_mapq) & (F.col("status") != C.NA)
+    own = reads.columns
+    if sites is not None:
+        s = sites.where(F.col("flen").between(0, max_flen) & F.col("bs_strand").isin(*C.STRANDS)).dropDuplicates(["bs_strand", "flen"])
+        s = s.select("bs_strand", F.col("flen").cast("long").alias("_flen"), F.col("start").alias("_from"), F.col("end").alias("_to"))
+        reads = reads.withColumn("_flen", F.least(F.abs("tlen"), F.lit(max_flen)).cast("long")).join(F.broadcast(s), ["bs_strand", "_flen"], "left")
+        used &= F.coalesce((F.col("_from") <= F.col("pos_in_read")) & (F.col("pos_in_read") < F.col("_to")), F.lit(False))
+    r = reads.withColumn("_used", used)
+    w = Window.partitionBy(*[c for c in CELL if c in own], *position, name, "_used")
+    r = r.withColumns({"_n": F.count("*").over(w), "_lo": F.min("status").over(w), "_hi": F.max("status").over(w), "_k": F.row_number().over(w.orderBy(F.col("phred").desc(), *order))})
+    pair = F.col("_used") & (F.col("_n") == 2)
+    called = F.col("_used") & ~(pair & (F.col("_lo") != F.col("_hi"))) & (F.col("phred") >= min_phred)
+    return r.select(*own, called.alias("called"), (pair & (F.col("_k") == 2)).alias("overlap"))
+
+
 def filtered(reads: DataFrame, sites: DataFrame | None = None, max_flen: int = 0, min_mapq: int = 0, min_phred: int = 0, **kw) -> DataFrame:
     """All four steps."""
     reads = mapq_filter(reads, min_mapq)

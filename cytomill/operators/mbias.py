@@ -30,15 +30,22 @@ class Binning:
     max_phred: int = 40
 
 
+def cell(b: Binning = Binning(), context: str = "seq_context") -> tuple[dict[str, Column], Column]:
+    """The cell of a row, by name, and whether the row is counted: METH or UNMETH, on a strand, in a defined context."""
+    binned = C.context_bin(F.col(context), b.context_size)
+    keys = {
+        "seq_context": binned, "bs_strand": F.col("bs_strand"),
+        "flen": C.flen_bin(F.col("tlen"), b.max_single_flen, b.flen_width, b.max_flen), "phred": C.phred_bin(F.col("phred"), b.phred_width, b.max_phred),
+        "pos": (F.col("pos_in_read") + 1).cast("long"), "meth_status": F.when(F.col("status") == C.METH, "n_meth").otherwise("n_unmeth"),
+    }
+    return keys, F.col("status").isin(C.METH, C.UNMETH) & F.col("bs_strand").isNotNull() & binned.isNotNull()
+
+
 def count_cube(reads: DataFrame, b: Binning = Binning(), context: str = "seq_context") -> DataFrame:
     """Counts by context, strand, fragment length, quality, position (from 1) and status. Quality,
     trimming and overlap filters do not apply here; only METH and UNMETH of defined contexts count."""
-    r = reads.where(F.col("status").isin(C.METH, C.UNMETH) & F.col("bs_strand").isNotNull())
-    r = r.select(
-        C.context_bin(F.col(context), b.context_size).alias("seq_context"), "bs_strand",
-        C.flen_bin(F.col("tlen"), b.max_single_flen, b.flen_width, b.max_flen).alias("flen"), C.phred_bin(F.col("phred"), b.phred_width, b.max_phred).alias("phred"),
-        (F.col("pos_in_read") + 1).cast("long").alias("pos"), F.when(F.col("status") == C.METH, "n_meth").otherwise("n_unmeth").alias("meth_status"),
-    ).where(F.col("seq_context").isNotNull())
+    keys, counted = cell(b, context)
+    r = reads.where(counted).select(*[v.alias(k) for k, v in keys.items()])
     return r.groupBy(*CUBE, "meth_status").agg(F.count("*").alias("counts"))
 
 

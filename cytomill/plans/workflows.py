@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from pathlib import Path
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import aggspec, calls, filters, index, mbias, pileup, plateau, sites
+from ..operators import aggspec, calls, counters, filters, index, mbias, pileup, plateau, sites
 from ..sources import bed, fasta, files, sam, writers
 
 POSITION = ("chrom", "start", "motif")
@@ -72,8 +73,8 @@ def call(spark: SparkSession, alignments: str, index_path: str, out: str, format
 
 def run_pileup(spark: SparkSession, alignments: str, index_path: str, steps: Sequence[Callable[[DataFrame], DataFrame]], counters: Mapping[str, Callable[[DataFrame], DataFrame]]) -> dict[str, DataFrame]:
     """The place for a user's own operators: ``steps`` take and return rows of ``pileup.pileup_reads`` one after the other
-    (filters, marks, further columns), ``counters`` make a table each from the last step's rows. All of them are plans
-    over one scan; a counter that is never read costs nothing."""
+    (filters, marks, further columns), ``counters`` make a table each from the last step's rows, any table at all. Each that is read
+    scans the reads; a counter that is never read costs nothing. Counters that sum by keys can share one scan: ``count_reads``."""
     idx = bed.read_index(spark, index_path).drop("watson_base")
     reads = pileup.pileup_reads(reads_of(spark, alignments, idx), idx)
     for step in steps:
@@ -81,6 +82,18 @@ def run_pileup(spark: SparkSession, alignments: str, index_path: str, steps: Seq
     return {name: reads.transform(f) for name, f in counters.items()}
 
 
+def count_reads(spark: SparkSession, alignments: str, index_path: str, out: str, own: Mapping[str, counters.Counter] | None = None, trimming: tuple[str, object] | None = None, max_read_length: int = 101, min_mapq: int = 25, min_phred: int = 25, binning: mbias.Binning = mbias.Binning()) -> dict[str, DataFrame]:
+    """Calls, the count cube (where the index has sequence contexts) and a user's ``own`` counters from one scan of the reads, one join and one
+    aggregate, written to ``out`` in a folder for each. Own counters see all rows of the pileup with ``called`` and ``overlap`` (``filters.marked``)."""
+    idx = bed.read_index(spark, index_path).drop("watson_base")
+    s, top = resolve_sites(spark, trimming, max_read_length)
+    reads = filters.marked(pileup.pileup_reads(reads_of(spark, alignments, idx), idx, most=None), s, top, min_mapq, min_phred)
+    every = {"calls": counters.calls(), **({"stats": counters.cube(binning)} if "seq_context" in idx.columns else {}), **(own or {})}
+    counted = counters.count_once(reads, every)
+    counted.write.mode("overwrite").partitionBy("counter").parquet(out)
+    return counters.told_apart(spark.read.schema(counted.schema).parquet(out), every)
+
+
 def collect_stats(spark: SparkSession, alignments: str, index_path: str, out: str, binning: mbias.Binning = mbias.Binning(), tsv: bool = False) -> DataFrame:
     """The count cube of reads at index positions with a sequence context, as Parquet, and with ``tsv`` as tab-separated
     text with a header in ``out``_tsv too."""
@@ -113,23 +126,31 @@ def evaluate_mbias(spark: SparkSession, counts: str, out: str, context_size: int
 
 
 def mbias_plots(spark: SparkSession, spec: Mapping[str, dict], datasets: Mapping[str, str], out: str) -> list[str]:
-    """Charts of a specification as Vega-Lite files, and a report that links them. Aggregates are kept as
-    Parquet under their digest and used again while they are newer than their dataset."""
+    """Charts of a specification as Vega-Lite files, and a report that links them; ``out`` and the datasets are paths or URIs. Aggregates
+    are kept as Parquet under their digest and the fingerprint of their dataset, so they are used again as long as that holds the same,
+    and the missing ones of a dataset come from one scan of it."""
     configs = aggspec.plot_configs(spec, datasets)
-    fresh = aggspec.aggregates(configs, {k: spark.read.parquet(p) for k, p in datasets.items()})
+    tasks = list(dict.fromkeys(t for c in configs for t in c.tasks()))
     done = {}
-    for task, df in fresh.items():
-        path = Path(out) / "aggregates" / task.digest()
-        source = Path(datasets[task.dataset])
-        if not (path / "_SUCCESS").exists() or (source.exists() and (path / "_SUCCESS").stat().st_mtime < source.stat().st_mtime):
-            df.write.mode("overwrite").parquet(str(path))
-        done[task] = spark.read.parquet(str(path))
+    for name, source in datasets.items():
+        mark = files.fingerprint(source)
+        path = {t: f"{out}/aggregates/{t.digest()}-{mark}" for t in tasks if t.dataset == name}
+        missing = [t for t in path if not files.exists(f"{path[t]}/_SUCCESS")]
+        if missing:
+            table = spark.read.parquet(source)
+            held = f"{out}/aggregates/rolled-{uuid.uuid4().hex}"
+            aggspec.rolled(table, missing).write.partitionBy("task").parquet(held)
+            every = spark.read.schema(aggspec.rolled(table, missing).schema).parquet(held)
+            for t in missing:
+                aggspec.of_task(every, missing, t, table.columns).write.mode("overwrite").parquet(path[t])
+            files.remove(held)
+        done |= {t: spark.read.parquet(p) for t, p in path.items()}
     groups: dict[str, list[str]] = {}
     for n, c in enumerate(configs):
         name = f"{c.group}_{n}.json"
-        (Path(out) / name).write_text(json.dumps(aggspec.chart(c, aggspec.plot_data(c, done)), default=str))
+        files.write_text(f"{out}/{name}", json.dumps(aggspec.chart(c, aggspec.plot_data(c, done)), default=str))
         groups.setdefault(c.group, []).append(name)
-    (Path(out) / "report.html").write_text(aggspec.report(groups))
+    files.write_text(f"{out}/report.html", aggspec.report(groups))
     return [p for ps in groups.values() for p in ps]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 from typing import IO
 
@@ -30,6 +31,36 @@ def size(path: str) -> int:
     return at.get_file_info(name).size
 
 
+def fingerprint(path: str) -> str:
+    """What a file or a folder of files holds, by the names, sizes and last bytes of its files: a Parquet file's footer has its rows' numbers, bounds
+    and checksums. It changes when data are written anew and stays when a file is only touched; names that begin with _ or a dot do not count."""
+    at, name = located(path)
+    info = at.get_file_info(name)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(f"{path} not found")
+    found = [info] if info.type == fs.FileType.File else at.get_file_info(fs.FileSelector(name, recursive=True))
+    out = hashlib.sha256()
+    for f in sorted((f for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))), key=lambda f: f.path):
+        with at.open_input_file(f.path) as source:
+            source.seek(max(0, f.size - (64 << 10)))
+            out.update(f"{f.path[len(name):]}:{f.size}:".encode() + source.read())
+    return out.hexdigest()[:16]
+
+
+def write_text(path: str, text: str) -> None:
+    at, name = located(path)
+    if (folder := name.rpartition("/")[0]):
+        at.create_dir(folder, recursive=True)
+    with at.open_output_stream(name) as f:
+        f.write(text.encode())
+
+
+def remove(path: str) -> None:
+    """A folder and all in it."""
+    at, name = located(path)
+    at.delete_dir(name)
+
+
 def open_binary(path: str) -> IO[bytes]:
     """For reading, with seeks."""
     at, name = located(path)

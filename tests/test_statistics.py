@@ -295,3 +295,22 @@ def test_configuration(tmp_path):
     assert config.named_paths("a=1,b=x=y") == {"a": "1", "b": "x=y"} and config.subset("a", {"a": 1, "b": 2}) == {"a": 1}
     with pytest.raises(ValueError):
         cli.plateau_config("{}")
+
+
+def test_any_number_of_aggregates_takes_one_scan(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["CG", "CHH"]), rng.choice(C.STRANDS), rng.choice([50, 60, 70]), rng.randint(1, 5), rng.choice([None, rng.randint(0, 9)]), rng.randint(0, 9), None) for _ in range(400)]
+    df = spark.createDataFrame(rows, "motif string, bs_strand string, flen long, pos long, n_meth long, n_unmeth long, beta_value double")
+    df.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    tasks = [aggspec.Task("d", frozenset(v), f) for v, f in ((("pos",), ()), (("pos", "bs_strand"), (("motif", ("CG",)),)), (("motif", "flen"), (("flen", (50, 70)), ("pos", (1, 2)))), ((), ()), (("motif", "pos", "flen", "bs_strand"), ()))]
+    done = aggspec.rolled(df, tasks)
+    for t in tasks:
+        got, want = aggspec.of_task(done, tasks, t, df.columns), aggspec.aggregate_table(df, t.variables, dict(t.filters))
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    done.collect()
+    assert done._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan") == 1
+    with pytest.raises(ValueError):
+        aggspec.rolled(df, [aggspec.Task("d", frozenset(["nothing"]))])

@@ -11,8 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cytomill.operators import mbias, plateau
+from cytomill.functions import columns as C
+from cytomill.operators import calls, counters, filters, mbias, pileup, plateau
 from cytomill.plans import queries, workflows
+from cytomill.sources import bed, sam
 from cytomill.streaming import running
 
 DATA = "/root/testdata/sf0.001"
@@ -88,6 +90,48 @@ def test_bias_from_files(spark, files):
     assert json.loads((tmp / names[0]).read_text())["data"]["values"] and names[0] in (tmp / "report.html").read_text()
 
 
+def test_aggregates_are_kept_by_content(spark, tmp_path):
+    """On URIs; a dataset that is touched is not read again, one that is written anew is."""
+    uri = f"file://{tmp_path}"
+    rows = [("CG", "w_bc", f, p, f + p, 3, 0.5) for f in (50, 60) for p in range(1, 9)]
+    df = spark.createDataFrame(rows, "motif string, bs_strand string, flen long, pos long, n_meth long, n_unmeth long, beta_value double")
+    df.coalesce(1).write.parquet(f"{uri}/stats")
+    spec = {"g": {"datasets": ["full"], "plot_params": {}, "aes_mappings": [{"x": "pos", "y": "beta_value"}, {"x": "flen", "y": "beta_value"}, {"x": "pos", "y": "n_meth", "color": "flen"}]}}
+    names = workflows.mbias_plots(spark, spec, {"full": f"{uri}/stats"}, f"{uri}/out/deep")
+    assert len(names) == 3 and all((tmp_path / "out" / "deep" / n).exists() for n in names) and (tmp_path / "out" / "deep" / "report.html").exists()
+    kept = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "out" / "deep" / "aggregates").iterdir()}
+    assert len(kept) == 3  # nothing else is left
+    for p in (tmp_path / "stats").glob("part-*"):
+        os.utime(p, (1, 1))
+    workflows.mbias_plots(spark, spec, {"full": f"{uri}/stats"}, f"{uri}/out/deep")
+    assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "out" / "deep" / "aggregates").iterdir()} == kept
+    df.withColumn("n_meth", F.col("n_meth") + 1).coalesce(1).write.mode("overwrite").parquet(f"{uri}/stats")
+    workflows.mbias_plots(spark, spec, {"full": f"{uri}/stats"}, f"{uri}/out/deep")
+    assert len(list((tmp_path / "out" / "deep" / "aggregates").iterdir())) == 6
+    data = json.loads((tmp_path / "out" / "deep" / names[2]).read_text())["data"]["values"]
+    assert {(r["flen"], r["pos"], r["n_meth"]) for r in data} == {(f, p, f + p + 1) for _, _, f, p, *_ in rows}
+
+
+def test_counters_share_one_scan(spark, files, tmp_path):
+    """Calls, statistics and an own counter equal those computed alone; the plan has the reads once."""
+    tmp, index = files
+    own = counters.Counter({"half": F.col("start") % 2, "motif": F.col("motif")}, {"seen": F.lit(1), "good": F.col("called").cast("long")}, F.col("phred") >= 20)
+    binning = mbias.Binning(5, 150, 10, 500, 5, 40)
+    trimming = ("frag_end", {s: (1, 2) for s in C.STRANDS})
+    got = workflows.count_reads(spark, str(tmp / "a.sam"), index, str(tmp_path / "counted"), {"own": own}, trimming, 101, 10, 15, binning)
+    idx = bed.read_index(spark, index).drop("watson_base")
+    reads = pileup.pileup_reads(sam.read(spark, str(tmp / "a.sam")), idx)
+    s, top = workflows.resolve_sites(spark, trimming, 101)
+    assert sorted(map(repr, got["calls"].collect())) == sorted(map(repr, calls.call(filters.filtered(reads, s, top, 10, 15)).collect()))
+    assert got["calls"].count() > 10 and got["stats"].columns == mbias.count_cube(reads, binning).columns
+    assert sorted(map(repr, got["stats"].collect())) == sorted(map(repr, mbias.count_cube(reads, binning).collect()))
+    assert sum(r["seen"] for r in got["own"].collect()) == reads.where("phred >= 20").count()
+    once = counters.count_once(filters.marked(reads, s, top, 10, 15), {"calls": counters.calls(), "stats": counters.cube(binning), "own": own})
+    once.collect()
+    plan = once._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan text") == 1 and plan.count("Window") >= 1
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, name):
