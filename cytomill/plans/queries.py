@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import aggspec, calls, filters, index, mbias, pileup, plateau, sites
+from ..operators import aggspec, calls, counters, filters, index, mbias, pileup, plateau, sites
 from ..sources import writers
 from . import views
 
@@ -389,6 +389,44 @@ def interval_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pileup.interval_join(s, p, "a", "len", "pos", width=pileup.span_width(s)).groupBy("chrom", "pos").agg(F.count("*").alias("n_spans"), F.sum(F.col("pos") - F.col("a")).alias("offsets"))
 
 
+# alignments to bases, by CIGAR blocks
+PILEUP = f"""a AS ({views.ALIGNMENTS_SQL}), idx AS ({views.POSITIONS_SQL}), kinds(cigar, r, q, n, clip) AS (VALUES ('60M', 0, 0, 60, 0), ('5S40M10D15M', 0, 5, 40, 5), ('5S40M10D15M', 50, 45, 15, 5), ('30M2I28M', 0, 0, 30, 0), ('30M2I28M', 30, 32, 28, 0)),
+ met AS (SELECT i.chrom, i.start, i.strand, qname, file_ord, mapq, tlen, k.q + (i.start - pos - k.r) AS q, clip, seq, qual, CASE flag WHEN 99 THEN 'w_bc' WHEN 147 THEN 'w_bc_rv' WHEN 83 THEN 'c_bc' ELSE 'c_bc_rv' END AS bs_strand
+  FROM a JOIN kinds k ON k.cigar = a.cigar JOIN idx i ON i.chrom = a.rname AND i.start >= pos + k.r AND i.start < pos + k.r + k.n),
+ base AS (SELECT *, substr(seq, (q + 1)::INT, 1) AS base, ascii(substr(qual, (q + 1)::INT, 1)) - 33 AS phred, CASE WHEN strand = '+' THEN 'C' ELSE 'G' END AS wb, CASE WHEN bs_strand IN ('c_bc', 'w_bc_rv') THEN 60 - (q + 1) ELSE q - clip END AS pos_in_read FROM met),
+ piled AS (SELECT *, CASE WHEN bs_strand IN ('w_bc', 'w_bc_rv') THEN CASE WHEN wb = 'C' THEN CASE base WHEN 'C' THEN 8 WHEN 'T' THEN 4 ELSE 2 END WHEN base = 'G' THEN 1 ELSE 2 END
+  ELSE CASE WHEN wb = 'G' THEN CASE base WHEN 'G' THEN 8 WHEN 'A' THEN 4 ELSE 2 END WHEN base = 'C' THEN 1 ELSE 2 END END AS status FROM base WHERE base <> 'N' AND pos_in_read + 1 <= abs(tlen))"""
+
+
+def _piled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.pileup_reads(views.alignments(spark, sf_dir), views.positions(spark, sf_dir))
+
+
+@query(f"WITH {PILEUP} SELECT chrom, start, bs_strand, status, count(*) AS n, sum(phred)::BIGINT AS phreds, sum(pos_in_read)::BIGINT AS positions FROM piled GROUP BY ALL")
+def pileup_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bases of alignments at the index positions."""
+    sums = [F.count("*").alias("n"), F.sum("phred").alias("phreds"), F.sum("pos_in_read").cast("long").alias("positions")]
+    return _piled(spark, sf_dir).groupBy("chrom", "start", "bs_strand", "status").agg(*sums)
+
+
+@query(f"""WITH {PILEUP}, w AS (SELECT *, count(*) OVER g AS n, min(status) OVER g AS lo, max(status) OVER g AS hi, row_number() OVER (PARTITION BY chrom, start, qname ORDER BY phred DESC, file_ord) AS k FROM piled WINDOW g AS (PARTITION BY chrom, start, qname))
+ SELECT chrom, start, count(*) AS n, count(*) FILTER (WHERE n = 2 AND k = 2) AS overlapping, count(*) FILTER (WHERE NOT (n = 2 AND k = 2) AND status = 8) AS n_meth FROM w WHERE NOT (n = 2 AND lo <> hi) GROUP BY ALL""")
+def pileup_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mates that overlap at a position, told in the cells of the pileup's join."""
+    meth = (~F.col("overlap") & (F.col("status") == C.METH)).cast("long")
+    return filters.overlap(_piled(spark, sf_dir)).groupBy("chrom", "start").agg(F.count("*").alias("n"), F.sum(F.col("overlap").cast("long")).alias("overlapping"), F.sum(meth).alias("n_meth"))
+
+
+@query(f"WITH {PILEUP} SELECT chrom, start, status, count(*) AS n, count(*) FILTER (WHERE mapq >= {MIN_MAPQ} AND phred >= {MIN_PHRED}) AS fine FROM piled GROUP BY ALL")
+def counters_of_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two counters from one pass over the pileup, joined by their keys."""
+    keys = {c: F.col(c) for c in ("chrom", "start", "status")}
+    fine = (F.col("mapq") >= MIN_MAPQ) & (F.col("phred") >= MIN_PHRED)
+    every = {"all": counters.Counter(keys, {"n": F.lit(1)}), "fine": counters.Counter(keys, {"fine": F.lit(1)}, fine)}
+    found = counters.told_apart(counters.count_once(_piled(spark, sf_dir), every), every)
+    return found["all"].join(found["fine"], list(keys), "left").fillna(0, ["fine"])
+
+
 @query(f"WITH {CLASSIC} SELECT pos, sum(n_meth)::BIGINT AS n_meth, sum(n_meth + n_unmeth)::BIGINT AS n_total FROM classic WHERE motif = 'CG' AND bs_strand IN ('c_bc', 'w_bc') AND flen >= 210 GROUP BY pos")
 def plateau_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plateau.curve(plateau.cg_counts(mbias.classic(_stats(spark, sf_dir))), plateau.PlateauConfig())

@@ -30,6 +30,27 @@ READS = (
 READS_SQL = f"SELECT {', '.join(READS)} FROM lineitem"
 
 
+#: Alignments with three kinds of CIGAR, up to seven of a name, and the index positions they are piled up at.
+ALIGNMENTS = (
+    "concat('q', cast(l_orderkey as string)) as qname",
+    "cast(case l_suppkey % 4 when 0 then 99 when 1 then 147 when 2 then 83 else 163 end as int) as flag",
+    "concat('c', cast(l_orderkey % 3 as string)) as rname",
+    "cast((l_partkey * 37 + l_linenumber * 11) % 3000 as bigint) as pos",
+    "cast(round(l_tax * 100) as int) * 7 as mapq",
+    "case l_linenumber % 3 when 0 then '60M' when 1 then '5S40M10D15M' else '30M2I28M' end as cigar",
+    "cast(50 + l_partkey % 100 as bigint) as tlen",
+    "substr(repeat('ACGTCGATTGCCGAN', 6), cast(l_partkey % 15 + 1 as int), 60) as seq",
+    "substr(repeat('!5?IAB+', 12), cast(l_suppkey % 7 + 1 as int), 60) as qual",
+    "cast(l_orderkey * 8 + l_linenumber as bigint) as file_ord",
+)
+ALIGNMENTS_SQL = f"SELECT {', '.join(ALIGNMENTS)} FROM lineitem"
+POSITIONS = (
+    "concat('c', cast(p_partkey % 3 as string)) as chrom", "cast((p_partkey * 53) % 3000 as bigint) as start", "cast((p_partkey * 53) % 3000 + 1 as bigint) as \"end\"", "'CG' as motif", "'.' as score",
+    "case when p_partkey * 53 % 3000 % 2 = 0 then '+' else '-' end as strand",
+)
+POSITIONS_SQL = f"SELECT DISTINCT {', '.join(POSITIONS)} FROM part"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,6 +59,14 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*READS)
 
 
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*ALIGNMENTS)
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(*[e.replace('"', "`") for e in POSITIONS]).distinct()
+
+
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return index.whole_contigs(d.select(F.col("doc_id").alias("chrom"), F.upper(F.regexp_replace("text", "[^acgtnACGTN]", "")).alias("seq")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from pathlib import Path
 
 from pyspark import StorageLevel
@@ -105,8 +107,28 @@ def collect_stats(spark: SparkSession, alignments: str, index_path: str, out: st
     return spark.read.parquet(out)
 
 
-def evaluate_mbias(spark: SparkSession, counts: str, out: str, context_size: int = 5, cfg: plateau.PlateauConfig | None = None, reuse: bool = False) -> dict[str, DataFrame]:
-    """All bias tables: statistics, classic roll-up, cutting sites, masked statistics, quality thresholds (both)."""
+def collect_many(spark: SparkSession, alignments: Sequence[str], index_path: str, out: str, binning: mbias.Binning = mbias.Binning()) -> DataFrame:
+    """The count cube of many inputs, as ``collect_stats`` has it for one. Each input's own cube is kept under ``out``/parts by the input's and the
+    index's fingerprints as soon as it is counted, so a run that ended early, or that has new inputs, reads only what is not there yet.
+    The parts of these inputs, and no others, are summed to ``out``/counts; an input that is listed twice counts twice."""
+    idx = bed.read_index(spark, index_path).drop("watson_base")
+    mark = f"{files.fingerprint(index_path)}-{hashlib.sha256(repr(binning).encode()).hexdigest()[:8]}"
+    parts = {a: f"{out}/parts/{files.fingerprint(a)}-{mark}" for a in dict.fromkeys(alignments)}
+    for source, path in parts.items():
+        if not files.exists(f"{path}/_SUCCESS"):
+            mbias.count_cube(pileup.pileup_reads(reads_of(spark, source, idx), idx), binning).write.mode("overwrite").parquet(path)
+    cubes = [spark.read.parquet(parts[a]) for a in alignments]
+    summed = reduce(DataFrame.unionByName, cubes).groupBy(*mbias.CUBE, "meth_status").agg(F.sum("counts").alias("counts"))
+    summed.write.mode("overwrite").parquet(f"{out}/counts")
+    return spark.read.parquet(f"{out}/counts")
+
+
+def evaluate_mbias(spark: SparkSession, counts: str, out: str, context_size: int = 5, cfg: plateau.PlateauConfig | None = None, reuse: bool = False, normal: Mapping[str, float] | None = None, text: bool = False) -> dict[str, DataFrame]:
+    """All bias tables: statistics, classic roll-up, cutting sites, masked statistics, quality thresholds (both).
+
+    With ``normal`` (the ``trimming`` settings of a configuration: ``min_plateau_perc``, ``max_std_within_plateau``, ``min_flen_considered_for_trimming``)
+    the cutting sites come from each stratum's longest even stretch instead of a fitted plateau. With ``text`` the tables that people read are
+    written as tab-separated text too, in order."""
 
     def stored(name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{out}/{name}")
@@ -117,12 +139,24 @@ def evaluate_mbias(spark: SparkSession, counts: str, out: str, context_size: int
     else:
         stats = stored("stats", mbias.used_phred(mbias.stats(spark.read.parquet(counts), context_size)))
     classic = stored("classic", mbias.classic(stats))
-    found = stored("cutting_sites", plateau.detect(classic, cfg or plateau.PlateauConfig()))
+    if normal is None:
+        fitted = plateau.detect(classic, cfg or plateau.PlateauConfig())
+    else:
+        least = int(normal["min_flen_considered_for_trimming"])
+        cg = classic.where("motif = 'CG'")
+        even = plateau.normal_plateaus(cg.where(F.col("flen") >= least), min_share=normal["min_plateau_perc"], max_std=normal["max_std_within_plateau"], min_flen=1)
+        short = cg.where(F.col("flen") < least).select("bs_strand", F.col("flen").cast("long").alias("flen"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).distinct()
+        fitted = even.union(short)
+    found = stored("cutting_sites", fitted)
     kept = stored("masked", mbias.masked(stats, sites.dense(found)))
-    return {
+    done = {
         "stats": stats, "classic": classic, "cutting_sites": found, "masked": kept,
         "phred_thresholds": stored("phred_thresholds", mbias.phred_thresholds(stats)), "masked_phred_thresholds": stored("masked_phred_thresholds", mbias.phred_thresholds(kept)),
     }
+    if text:
+        for name in ("classic", "phred_thresholds", "masked_phred_thresholds"):
+            mbias.ordered(done[name]).write.mode("overwrite").csv(f"{out}/{name}_tsv", sep="\t", header=True, compression="gzip")
+    return done
 
 
 def mbias_plots(spark: SparkSession, spec: Mapping[str, dict], datasets: Mapping[str, str], out: str) -> list[str]:

@@ -5,14 +5,21 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import uuid
 from typing import IO
 
 from pyarrow import fs
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI and the path in it; a path without a scheme is local."""
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    """The file system of a path or URI and the path in it; a path without a scheme is local. As with Hadoop's paths, a per cent
+    sign in a path is itself, so the folders that Spark writes are found by their names."""
+    if "://" not in path:
+        return fs.LocalFileSystem(), path
+    scheme, _, rest = path.partition("://")
+    authority, _, name = rest.partition("/")
+    at, root = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return at, f"{root.rstrip('/')}/{name}"
 
 
 def exists(path: str) -> bool:
@@ -55,6 +62,29 @@ def write_text(path: str, text: str) -> None:
         f.write(text.encode())
 
 
+def listed(path: str) -> list[str]:
+    """All files in a folder and those below it, relative to it."""
+    at, name = located(path)
+    found = at.get_file_info(fs.FileSelector(name, recursive=True))
+    return sorted(f.path[len(name.rstrip("/")) + 1 :] for f in found if f.type == fs.FileType.File)
+
+
+def write_joined(path: str, head: bytes, parts: list[str], piece: int = 4 << 20) -> None:
+    """``head`` and the bytes of ``parts`` as one file, copied piece by piece under another name and renamed at the end."""
+    at, name = located(path)
+    if (folder := name.rpartition("/")[0]):
+        at.create_dir(folder, recursive=True)
+    passing = f"{name}.{uuid.uuid4().hex}.passing"
+    with at.open_output_stream(passing) as to:
+        to.write(head)
+        for part in parts:
+            source, inner = located(part)
+            with source.open_input_file(inner) as f:
+                while data := f.read(piece):
+                    to.write(data)
+    at.move(passing, name)
+
+
 def remove(path: str) -> None:
     """A folder and all in it."""
     at, name = located(path)

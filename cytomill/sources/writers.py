@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import gzip
-import shutil
-from collections.abc import Iterable
-from pathlib import Path
+from collections.abc import Iterable, Iterator
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import files
 
 #: The columns of the formats.
 BED6 = ("chrom", "start", "end", "motif", "score", "strand")
@@ -54,8 +54,8 @@ def bismark_lines(reads: DataFrame) -> DataFrame:
 
 def write(lines: DataFrame, out: str, columns: Iterable[str] | None = None, single_file: bool = False, template: str = TEMPLATE) -> None:
     """Sorted gzip text under ``out``/motif=…/chrom=…, a file per task and group; a large contig's rows are
-    range-partitioned over tasks in file name order. With ``single_file`` (local folders) the parts of a group are
-    joined behind a header line to the file under ``out`` that ``template`` names by ``[motif]`` and ``[chrom]``."""
+    range-partitioned over tasks in file name order. With ``single_file`` the parts of a group are
+    joined by tasks, on whatever store, behind a header line to the file under ``out`` that ``template`` names by ``[motif]`` and ``[chrom]``."""
     if not all(f in template for f in ("[motif]", "[chrom]")):
         raise ValueError(f"{template} needs the fields [motif] and [chrom]")
     order = ["motif", "chrom", "start", *[c for c in ("file_ord",) if c in lines.columns]]
@@ -63,18 +63,30 @@ def write(lines: DataFrame, out: str, columns: Iterable[str] | None = None, sing
     dealt = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("motif", "chrom", "line")
     dealt.write.mode("overwrite").partitionBy("motif", "chrom").option("compression", "gzip").text(out)
     if single_file:
-        for group in sorted(Path(out).glob("motif=*/chrom=*")):
-            motif, chrom = (unquote(p.split("=", 1)[1]) for p in group.parts[-2:])
-            name = Path(out) / template.replace("[motif]", motif).replace("[chrom]", chrom)
-            name.parent.mkdir(parents=True, exist_ok=True)
-            with open(name, "wb") as to:
-                if columns:
-                    to.write(gzip.compress((header(columns) + "\n").encode(), mtime=0))
-                for part in sorted(group.glob("part-*")):
-                    with open(part, "rb") as f:
-                        shutil.copyfileobj(f, to)
-        for group in Path(out).glob("motif=*"):
-            shutil.rmtree(group)
+        _join_groups(lines.sparkSession, out, columns, template)
+
+
+def _join_groups(spark: SparkSession, out: str, columns: Iterable[str] | None, template: str) -> None:
+    """The parts of each group as one file: gzip members behind each other, copied by a task per group from store to store. The file gets its
+    name when it is whole, so a task that is tried again leaves nothing half written."""
+    groups: dict[tuple[str, str], list[str]] = {}
+    for path in files.listed(out):
+        folders = path.split("/")
+        if len(folders) == 3 and folders[2].startswith("part-") and folders[0].startswith("motif="):
+            groups.setdefault(tuple(unquote(f.split("=", 1)[1]) for f in folders[:2]), []).append(f"{out}/{path}")
+    if groups:
+        rows = [(f"{out}/{template.replace('[motif]', m).replace('[chrom]', c)}", sorted(parts)) for (m, c), parts in groups.items()]
+        head = gzip.compress((header(columns) + "\n").encode(), mtime=0) if columns else b""
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    files.write_joined(name, head, parts)
+                yield batch.select([0])
+
+        spark.createDataFrame(rows, "name string, parts array<string>").repartition(len(rows)).mapInArrow(join, "name string").write.format("noop").mode("overwrite").save()
+    for folder in {p.removeprefix(f"{out}/").split("/")[0] for parts in groups.values() for p in parts}:
+        files.remove(f"{out}/{folder}")
 
 
 def check_formats(formats: Iterable[str]) -> tuple[str, ...]:

@@ -14,7 +14,7 @@ import __spark_entry__ as entry
 from cytomill.functions import columns as C
 from cytomill.operators import calls, counters, filters, mbias, pileup, plateau
 from cytomill.plans import queries, workflows
-from cytomill.sources import bed, sam
+from cytomill.sources import bed, sam, writers
 from cytomill.streaming import running
 
 DATA = "/root/testdata/sf0.001"
@@ -132,11 +132,59 @@ def test_counters_share_one_scan(spark, files, tmp_path):
     assert plan.count("FileScan text") == 1 and plan.count("Window") >= 1
 
 
+def test_counts_of_many_inputs_go_on_where_they_ended(spark, files, tmp_path):
+    tmp, index = files
+    inputs = [f"file://{tmp}/{n}.sam" for n in "abc"]
+    whole = (tmp / "a.sam").read_text().splitlines(keepends=True)
+    (tmp / "b.sam").write_text("".join(whole[:30]))
+    binning = mbias.Binning(5, 150, 10, 500, 5, 40)
+    with pytest.raises(FileNotFoundError):  # the third is not there yet
+        workflows.collect_many(spark, inputs, index, f"file://{tmp_path}/many", binning)
+    (tmp / "c.sam").write_text("".join([whole[0], *whole[40:]]))
+    with pytest.raises(Exception):  # noqa: B017
+        workflows.collect_many(spark, [*inputs[:2], f"file://{tmp}/none.bam"], index, f"file://{tmp_path}/many", binning)
+    first = workflows.collect_many(spark, inputs[:2], index, f"file://{tmp_path}/many", binning)
+    kept = {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "many" / "parts").glob("*/_SUCCESS")}
+    assert len(kept) == 2
+    got = workflows.collect_many(spark, inputs, index, f"file://{tmp_path}/many", binning)
+    now = {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "many" / "parts").glob("*/_SUCCESS")}
+    assert len(now) == 3 and kept.items() <= now.items()
+    want: dict = {}
+    for name in "abc":
+        for r in workflows.collect_stats(spark, str(tmp / f"{name}.sam"), index, str(tmp_path / name), binning).collect():
+            want[r[:-1]] = want.get(r[:-1], 0) + r[-1]
+    assert {r[:-1]: r[-1] for r in got.collect()} == want and first.columns == got.columns
+
+
+def test_single_files_on_a_store(spark, tmp_path):
+    """Several parts of a group become one file behind one header, by URI; names with odd letters come back."""
+    rows = [("CG", c, i, f"{c}\t{i}") for c in ("c1", "HLA*01:02", "c 2") for i in range(50)]
+    lines = spark.createDataFrame(rows, "motif string, chrom string, start long, line string").repartition(5)
+    writers.write(lines, f"file://{tmp_path}/out", ("chrom", "start"), True, "x/[motif]_[chrom].bed.gz")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith((".", "_"))) == ["x"]
+    for c in ("c1", "HLA*01:02", "c 2"):
+        text = gzip.open(tmp_path / "out" / "x" / f"CG_{c}.bed.gz", "rt").read().splitlines()
+        assert text == ["#chrom\tstart", *(f"{c}\t{i}" for i in range(50))]
+    assert not list((tmp_path / "out").rglob("*.passing"))
+
+
+def test_normal_plateaus_and_text_tables(spark, tmp_path):
+    rows = [("CG" if k else "CHH", "WCGWW"[:5], "w_bc", f, 30, p, m, 40 if (p < 5) == (m == "n_unmeth") else 60) for k in (0, 1) for f in (40, 80) for p in range(1, 60) for m in ("n_meth", "n_unmeth")]
+    cube = spark.createDataFrame([("WWCGW" if r[0] == "CG" else "WWCWW", *r[2:]) for r in rows], "seq_context string, bs_strand string, flen long, phred long, pos long, meth_status string, counts long")
+    cube.write.parquet(str(tmp_path / "counts"))
+    settings = {"min_plateau_perc": 0.5, "max_std_within_plateau": 0.2, "min_flen_considered_for_trimming": 50}
+    done = workflows.evaluate_mbias(spark, str(tmp_path / "counts"), str(tmp_path / "bias"), normal=settings, text=True)
+    found = {(r["bs_strand"], r["flen"]): (r["start"], r["end"]) for r in done["cutting_sites"].collect()}
+    assert found["w_bc", 40] == (0, 0) and found["w_bc", 80][1] - found["w_bc", 80][0] >= 29
+    text = spark.read.csv(str(tmp_path / "bias" / "classic_tsv"), sep="\t", header=True)
+    assert text.count() == done["classic"].count() and [(r["motif"], int(r["flen"]), int(r["pos"])) for r in text.collect()] == sorted((r["motif"], r["flen"], r["pos"]) for r in done["classic"].collect())
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "documents"):
+    for t in ("lineitem", "orders", "documents", "part"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = queries.QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
