@@ -35,7 +35,7 @@ ALIGNMENTS = (
     "concat('q', cast(l_orderkey as string)) as qname",
     "cast(case l_suppkey % 4 when 0 then 99 when 1 then 147 when 2 then 83 else 163 end as int) as flag",
     "concat('c', cast(l_orderkey % 3 as string)) as rname",
-    "cast((l_partkey * 37 + l_linenumber * 11) % 3000 as bigint) as pos",
+    "cast((l_partkey * 37 + l_linenumber * 11) % 30000 as bigint) as pos",
     "cast(round(l_tax * 100) as int) * 7 as mapq",
     "case l_linenumber % 3 when 0 then '60M' when 1 then '5S40M10D15M' else '30M2I28M' end as cigar",
     "cast(50 + l_partkey % 100 as bigint) as tlen",
@@ -45,8 +45,8 @@ ALIGNMENTS = (
 )
 ALIGNMENTS_SQL = f"SELECT {', '.join(ALIGNMENTS)} FROM lineitem"
 POSITIONS = (
-    "concat('c', cast(p_partkey % 3 as string)) as chrom", "cast((p_partkey * 53) % 3000 as bigint) as start", "cast((p_partkey * 53) % 3000 + 1 as bigint) as \"end\"", "'CG' as motif", "'.' as score",
-    "case when p_partkey * 53 % 3000 % 2 = 0 then '+' else '-' end as strand",
+    "concat('c', cast(p_partkey % 3 as string)) as chrom", "cast((p_partkey * 53) % 30000 as bigint) as start", "cast((p_partkey * 53) % 30000 + 1 as bigint) as \"end\"", "'CG' as motif", "'.' as score",
+    "case when p_partkey * 53 % 30000 % 2 = 0 then '+' else '-' end as strand",
 )
 POSITIONS_SQL = f"SELECT DISTINCT {', '.join(POSITIONS)} FROM part"
 
