@@ -32,7 +32,7 @@ from .words import U, _powers, _tables, buffer_of, mix, pieces, spans
 
 LENGTH, ANCHOR = 100, 32
 #: First blocks of an anchor that one task sorts at most.
-HOT_KINDS = 512
+HOT_KINDS = 4096
 #: Windows of a text that are worked on together, and suffixes that are sorted together.
 STRETCH, SORTED = 1 << 21, 1 << 20
 LOW = U((1 << 32) - 1)  # of an anchor's hash, the low bits give way to its place
