@@ -399,7 +399,9 @@ PILEUP = f"""a AS ({views.ALIGNMENTS_SQL}), idx AS ({views.POSITIONS_SQL}), kind
 
 
 def _piled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pileup.pileup_reads(views.alignments(spark, sf_dir), views.positions(spark, sf_dir))
+    # the given table may be one file of one row group, whose reads a single task would cut into blocks
+    reads = views.alignments(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    return pileup.pileup_reads(reads, views.positions(spark, sf_dir))
 
 
 @query(f"WITH {PILEUP} SELECT chrom, start, bs_strand, status, count(*) AS n, sum(phred)::BIGINT AS phreds, sum(pos_in_read)::BIGINT AS positions FROM piled GROUP BY ALL")
