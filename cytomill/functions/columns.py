@@ -75,21 +75,35 @@ def classify_motif(triplet: Column) -> Column:
     )
 
 
-def context_bin(context: Column, size: int) -> Column:
-    """A sequence context with A and T pooled as W; null unless it has ``size`` letters of ACGT around a C."""
+def context_ok(context: Column, size: int) -> Column:
+    """Whether a sequence context has ``size`` letters of ACGT around a C."""
     if size % 2 == 0:
         raise ValueError("the context size has to be odd")
     half = size // 2
-    return F.when(context.rlike(f"^[ACGT]{{{half}}}C[ACGT]{{{half}}}$"), F.translate(context, "AT", "WW"))
+    return F.coalesce(context.rlike(f"^[ACGT]{{{half}}}C[ACGT]{{{half}}}$"), F.lit(False))
+
+
+def pooled(context: Column) -> Column:
+    """A sequence context with A and T pooled as W."""
+    return F.translate(context, "AT", "WW")
+
+
+def context_bin(context: Column, size: int) -> Column:
+    """A sequence context with A and T pooled as W; null unless it is one (``context_ok``)."""
+    return F.when(context_ok(context, size), pooled(context))
 
 
 def motif_of_context(context: Column, size: int, classical: bool = True) -> Column:
-    """The motif of a binned context: CG, CHG or CHH (size 3: CG or CH); not classical: C and two letters of C, G, W."""
+    """The motif of a binned context: CG, CHG or CHH (size 3: CG or CH); not classical: C and two letters of C, G, W.
+
+    A table of the letters after the C, rather than cases: filters by motif are pushed to the reads, and each case would make the
+    context anew there."""
     tail = F.substring(context, size // 2 + 2, 2)
     if not classical:
         return F.concat(F.lit("C"), F.translate(tail, "AT", "WW"))
-    h = F.concat(F.lit("C"), F.translate(tail, "ACTW", "HHHH"))
-    return F.when(F.substring(context, size // 2 + 1, 2) == "CG", "CG").otherwise(h)
+    pool = {"A": "H", "C": "H", "G": "G", "T": "H", "W": "H"}
+    known = {a + b: "CG" if a == "G" else f"C{x}{y}" for a, x in pool.items() for b, y in [("", ""), *pool.items()]}
+    return F.try_element_at(F.create_map(*[F.lit(v) for pair in known.items() for v in pair]), tail)
 
 
 def flen_bin(tlen: Column, max_single: int, width: int, top: int) -> Column:

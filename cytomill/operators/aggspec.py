@@ -167,16 +167,18 @@ def aggregates(configs: Iterable[PlotConfig], tables: Mapping[str, DataFrame]) -
 
 def post_filter(df: DataFrame, filters: Mapping[str, Sequence]) -> DataFrame:
     """Keep some elements of levels that the table has; an element that it lacks is an error when the rows are
-    read. What is there comes as one row from an aggregate over the same table, in the same job."""
+    read. What is there comes as one row from an aggregate over the same table, in the same job and from the same exchange: it reads
+    the same counts, and the filter is asked for only where nothing is lacking, so neither is pushed below."""
     known = [(k, list(v)) for k, v in _filters(filters) if k in df.columns]
     if not known:
         return df
     kept = reduce(Column.__and__, [F.col(k).isin(v) for k, v in known])
     lacks = [F.array_except(F.lit(v).cast(f"array<{df.schema[k].dataType.simpleString()}>"), F.col(f"_{i}")) for i, (k, v) in enumerate(known)]
-    there = df.agg(*[F.collect_set(F.when(F.col(k).isin(v), F.col(k))).alias(f"_{i}") for i, (k, v) in enumerate(known)])
+    total = F.sum(reduce(Column.__add__, [F.coalesce(F.col(c), F.lit(0)) for c in ("n_meth", "n_unmeth") if c in df.columns], F.lit(0))).alias("_total")
+    there = df.agg(*[F.collect_set(F.when(F.col(k).isin(v), F.col(k))).alias(f"_{i}") for i, (k, v) in enumerate(known)], total)
     says = [F.when(F.size(m) > 0, F.raise_error(F.concat(F.lit(f"{k} has no "), F.array_join(m.cast("array<string>"), ", ")))) for m, (k, _) in zip(lacks, known, strict=True)]
-    guard = there.select(F.coalesce(*[s.cast("boolean") for s in says], F.lit(True)).alias("_there"))
-    return df.where(kept).join(F.broadcast(guard)).where("_there").drop("_there")
+    guard = there.select(F.coalesce(*[s.cast("boolean") for s in says], F.col("_total") >= 0, F.lit(True)).alias("_there"))
+    return df.join(F.broadcast(guard)).where(F.when(F.col("_there"), kept)).drop("_there")
 
 
 def plot_data(config: PlotConfig, done: Mapping[Task, DataFrame]) -> DataFrame:

@@ -32,21 +32,26 @@ class Binning:
 
 def cell(b: Binning = Binning(), context: str = "seq_context") -> tuple[dict[str, Column], Column]:
     """The cell of a row, by name, and whether the row is counted: METH or UNMETH, on a strand, in a defined context."""
-    binned = C.context_bin(F.col(context), b.context_size)
     keys = {
-        "seq_context": binned, "bs_strand": F.col("bs_strand"),
+        "seq_context": C.pooled(F.col(context)), "bs_strand": F.col("bs_strand"),
         "flen": C.flen_bin(F.col("tlen"), b.max_single_flen, b.flen_width, b.max_flen), "phred": C.phred_bin(F.col("phred"), b.phred_width, b.max_phred),
         "pos": (F.col("pos_in_read") + 1).cast("long"), "meth_status": F.when(F.col("status") == C.METH, "n_meth").otherwise("n_unmeth"),
     }
-    return keys, F.col("status").isin(C.METH, C.UNMETH) & F.col("bs_strand").isNotNull() & binned.isNotNull()
+    return keys, F.col("status").isin(C.METH, C.UNMETH) & F.col("bs_strand").isNotNull() & C.context_ok(F.col(context), b.context_size)
 
 
 def count_cube(reads: DataFrame, b: Binning = Binning(), context: str = "seq_context") -> DataFrame:
     """Counts by context, strand, fragment length, quality, position (from 1) and status. Quality,
-    trimming and overlap filters do not apply here; only METH and UNMETH of defined contexts count."""
+    trimming and overlap filters do not apply here; only METH and UNMETH of defined contexts count.
+
+    Both statuses of a cell are counted in one row and told apart afterwards, so the rows stay dealt by cell and ``stats``
+    needs no further shuffle."""
     keys, counted = cell(b, context)
     r = reads.where(counted).select(*[v.alias(k) for k, v in keys.items()])
-    return r.groupBy(*CUBE, "meth_status").agg(F.count("*").alias("counts"))
+    kinds = ("n_meth", "n_unmeth")
+    both = r.groupBy(*CUBE).agg(*[F.count_if(F.col("meth_status") == k).alias(k) for k in kinds])
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("meth_status"), F.col(k).alias("counts")) for k in kinds]))
+    return both.select(*CUBE, each).where("counts > 0")
 
 
 def densify(df: DataFrame, levels: dict[str, DataFrame], value: Sequence[str] = ("counts",)) -> DataFrame:
@@ -110,7 +115,8 @@ def phred_thresholds(df: DataFrame, motif: str = "CG") -> DataFrame:
     own = [c for c in INDEX if c in df.columns and c not in ("flen", "phred")]
     flat = df.where(F.col("motif") == motif).groupBy(*own, "phred").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n_meth", "n_unmeth")])
     groups = flat.groupBy(*own).agg(F.collect_list(F.struct("phred", "n_meth", "n_unmeth")).alias("_had"))
-    levels = flat.agg(F.sort_array(F.collect_set("phred"), asc=False).alias("_levels"))
+    # from the groups themselves, so that both sides read one exchange
+    levels = groups.select(F.explode("_had.phred").alias("phred")).agg(F.sort_array(F.collect_set("phred"), asc=False).alias("_levels"))
 
     def better(c: str, level: Column) -> Column:
         return F.aggregate("_had", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["phred"] > level, x[c]).otherwise(0))
