@@ -47,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     c = command("evaluate-mbias", "counts", "out")
     c.add_argument("--plateau-detection", default='{"algorithm": "binomial"}')
     c.add_argument("--use-cached", action="store_true")
+    c.add_argument("--text", action="store_true", help="tables that people read as tab-separated text too")
     c.add_argument("--config")
     c = command("mbias-plots", "spec", "datasets", "out")
     c = command("evaluate-calls", "calls", "out")
@@ -58,10 +59,16 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def plateau_config(text: str) -> plateau.PlateauConfig:
+def plateau_config(text: str) -> plateau.PlateauConfig | None:
+    """The settings of a fitted plateau (``binomial``), or None for even stretches by the ``trimming`` settings (``normal``)."""
     found = json.loads(text)
-    if not isinstance(found.pop("algorithm", None), str):
-        raise ValueError("plateau detection needs an algorithm")
+    algorithm = found.pop("algorithm", None)
+    if algorithm not in ("binomial", "normal"):
+        raise ValueError("plateau detection needs an algorithm, binomial or normal")
+    if algorithm == "normal":
+        if found:
+            raise ValueError("even stretches are set in the configuration's trimming section")
+        return None
     return plateau.PlateauConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in found.items()})
 
 
@@ -81,7 +88,8 @@ def main(args: list[str] | None = None) -> None:
         s = cfg["stats"]
         workflows.collect_stats(spark, a.alignments, a.index, a.out, mbias.Binning(s["seq_context_size"], s["max_flen_with_single_flen_resolution"], s["flen_bin_size"], s["max_flen"], s["phred_bin_size"], s["max_phred"]), a.tsv)
     elif a.command == "evaluate-mbias":
-        workflows.evaluate_mbias(spark, a.counts, a.out, cfg["stats"]["seq_context_size"], plateau_config(a.plateau_detection), a.use_cached)
+        fitted = plateau_config(a.plateau_detection)
+        workflows.evaluate_mbias(spark, a.counts, a.out, cfg["stats"]["seq_context_size"], fitted, a.use_cached, cfg["trimming"] if fitted is None else None, a.text)
     elif a.command == "mbias-plots":
         if not a.spec.endswith(".json"):
             raise SystemExit("a plot specification is a JSON file; Python modules are not executed")

@@ -1,6 +1,7 @@
 """Genome, index and file readers."""
 
 import gzip
+import random
 import struct
 import zlib
 
@@ -46,6 +47,42 @@ def test_chunks_do_not_change_the_index(spark, genome_file, chunk):
     assert [r[1:] for r in got] == [r[1:] for r in whole if r[0] == "chr1"]
 
 
+def plain_index(chrom, seq, motifs, n):
+    """Letter by letter."""
+    pair = {"C": "G", "G": "C", "A": "T", "T": "A"}
+    back = lambda x: "".join(pair.get(c, c) for c in reversed(x))
+    for i, c in enumerate(seq):
+        if c not in "CG":
+            continue
+        triplet = seq[i : i + 3] if c == "C" else back(seq[max(0, i - 2) : i + 1])
+        if len(triplet) < 2:
+            motif = "."
+        elif triplet[1] in "GN":
+            motif = "C" + triplet[1]
+        elif len(triplet) < 3:
+            motif = "."
+        else:
+            motif = "CHG" if triplet[2] == "G" else "CHH"
+        if motif in motifs:
+            context = seq[i - n : i + n + 1] if n <= i < len(seq) - n else "."
+            yield chrom, i, i + 1, motif, ".", "+" if c == "C" else "-", triplet.ljust(3, "$"), context if c == "C" or context == "." else back(context)
+
+
+@pytest.mark.parametrize("hits", [3, 1 << 16])
+def test_index_equals_a_plain_version(spark, monkeypatch, hits):
+    """Contigs of any length, letters outside ASCII, empty and null ones; batches that end within a contig."""
+    monkeypatch.setattr(index, "HITS", hits)
+    rng = random.Random(4)
+    contigs = {f"k{i}": "".join(rng.choices("ACGTNRÉ\U00010400", k=i)) for i in [*range(8), 40, 300]}
+    genome = index.whole_contigs(spark.createDataFrame([*contigs.items(), ("none", None)], "chrom string, seq string"))
+    for motifs, n in ((("CG",), 1), (("CG", "CHG", "CHH"), 3)):
+        want = sorted(r for k, seq in contigs.items() for r in plain_index(k, seq.upper(), motifs, n))
+        assert rows(index.motif_index(genome, motifs, ("triplet_seq", "seq_context"), n)) == want
+    assert index.motif_index(genome.limit(0)).count() == 0
+    with pytest.raises(KeyError):
+        index.motif_index(genome, ("CG",), ("other",))
+
+
 def test_fasta_errors(spark, genome_file, tmp_path):
     zipped = tmp_path / "g.fa.gz"
     zipped.write_bytes(gzip.compress(genome_file.read_bytes()))

@@ -5,6 +5,7 @@ from math import comb
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cytomill import cli, config
 from cytomill.functions import columns as C
@@ -267,6 +268,39 @@ def test_phred_thresholds_equal_a_plain_version(spark):
     assert {(r["pos"], r["phred"]): (r["n_meth"], r["n_unmeth"]) for r in mbias.phred_thresholds(df).collect()} == want
 
 
+def executed(df):
+    """The plan as it ran, without the one it began as."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+
+
+def test_bias_tables_share_exchanges(spark, tmp_path):
+    """Statistics shuffle reads once; thresholds and post filters read what is already shuffled."""
+    rows = [("CG", "ATCGA", "w_bc" if i % 2 else "c_bc", 120, i % 40, i % 50, 8 if i % 3 else 4) for i in range(500)]
+    spark.createDataFrame(rows, "motif string, seq_context string, bs_strand string, tlen int, phred int, pos_in_read int, status int").write.parquet(str(tmp_path / "r"))
+    stats = mbias.stats(mbias.count_cube(spark.read.parquet(str(tmp_path / "r"))))
+    assert executed(stats).count("Exchange hashpartitioning") == 1
+    assert "ReusedExchange" in executed(mbias.phred_thresholds(stats))
+    kept = aggspec.post_filter(aggspec.aggregate_table(stats, {"bs_strand", "pos"}), {"bs_strand": ["w_bc"]})
+    assert "ReusedExchange" in executed(kept) and {r["bs_strand"] for r in kept.collect()} == {"w_bc"}
+    with pytest.raises(Exception, match="bs_strand has no c_bc_rv"):
+        aggspec.post_filter(aggspec.aggregate_table(stats, {"bs_strand"}), {"bs_strand": ["w_bc", "c_bc_rv"]}).collect()
+
+
+def test_motifs_of_every_context(spark):
+    letters = "ACGTW"
+    df = spark.createDataFrame([(f"W{a}C{b}{c}",) for a in "A" for b in letters for c in letters], "context string")
+    want = {r["context"]: "CG" if r["context"][3] == "G" else "CH" + ("G" if r["context"][4] == "G" else "H") for r in df.collect()}
+    assert {r["context"]: r["motif"] for r in df.select("context", C.motif_of_context(F.col("context"), 5).alias("motif")).collect()} == want
+
+
+def test_choice_of_plateau_detection():
+    assert cli.plateau_config('{"algorithm": "normal"}') is None and cli.plateau_config('{"algorithm": "binomial"}') == plateau.PlateauConfig()
+    for bad in ('{"algorithm": "other"}', '{"algorithm": "normal", "max_slope": 1}', '{"algorithm": 1}'):
+        with pytest.raises(ValueError):
+            cli.plateau_config(bad)
+
+
 def test_default_parameters():
     d = config.DEFAULTS
     assert d["stats"] == {"seq_context_size": 5, "max_flen_with_single_flen_resolution": 150, "flen_bin_size": 20, "max_flen": 500, "phred_bin_size": 5, "max_phred": 40}
