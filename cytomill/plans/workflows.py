@@ -100,7 +100,7 @@ def collect_stats(spark: SparkSession, alignments: str, index_path: str, out: st
     """The count cube of reads at index positions with a sequence context, as Parquet, and with ``tsv`` as tab-separated
     text with a header in ``out``_tsv too."""
     idx = bed.read_index(spark, index_path).drop("watson_base")
-    cube = mbias.count_cube(pileup.pileup_reads(reads_of(spark, alignments, idx), idx), binning)
+    cube = mbias.count_cube(pileup.pileup_reads(reads_of(spark, alignments, idx), idx, mates=False), binning)
     cube.write.mode("overwrite").parquet(out)
     if tsv:
         spark.read.parquet(out).write.mode("overwrite").csv(f"{out}_tsv", sep="\t", header=True, compression="gzip")
@@ -116,7 +116,7 @@ def collect_many(spark: SparkSession, alignments: Sequence[str], index_path: str
     parts = {a: f"{out}/parts/{files.fingerprint(a)}-{mark}" for a in dict.fromkeys(alignments)}
     for source, path in parts.items():
         if not files.exists(f"{path}/_SUCCESS"):
-            mbias.count_cube(pileup.pileup_reads(reads_of(spark, source, idx), idx), binning).write.mode("overwrite").parquet(path)
+            mbias.count_cube(pileup.pileup_reads(reads_of(spark, source, idx), idx, mates=False), binning).write.mode("overwrite").parquet(path)
     cubes = [spark.read.parquet(parts[a]) for a in alignments]
     summed = reduce(DataFrame.unionByName, cubes).groupBy(*mbias.CUBE, "meth_status").agg(F.sum("counts").alias("counts"))
     summed.write.mode("overwrite").parquet(f"{out}/counts")
