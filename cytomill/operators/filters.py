@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .pileup import CELL
+from .pileup import ALONE, CELL
 
 #: Full order of reads at a position; inputs without a file order name columns that tell rows apart.
 FILE_ORDER = ("file_ord",)
@@ -36,11 +36,19 @@ def trim(reads: DataFrame, sites: DataFrame, max_flen: int) -> DataFrame:
     return joined.where((F.col("_from") <= F.col("pos_in_read")) & (F.col("pos_in_read") < F.col("_to"))).drop("_flen", "_from", "_to")
 
 
+def lone(reads: DataFrame, position: Sequence[str], name: str) -> bool:
+    """Whether rows say if they are ALONE, and of groups no wider than that was told for."""
+    return ALONE in reads.columns and name == "read_name" and {"chrom", "start"} <= set(position)
+
+
 def overlap(reads: DataFrame, position: Sequence[str] = ("chrom", "start"), order: Sequence[str | Column] = FILE_ORDER, name: str = "read_name") -> DataFrame:
     """Mates at one position: pairs that disagree are dropped; of pairs that agree, the one of lower
     quality (of equals, the later) gets ``overlap`` = true. Only groups of exactly two count. Rows of
     status NA take no part and are dropped. Rows of ``pileup_reads`` bring their cells, by which the join has dealt them
-    already, so their bases are not shuffled again."""
+    already, so their bases are not shuffled again; those that are ALONE need no window."""
+    if lone(reads, position, name):
+        rest = overlap(reads.where(~F.col(ALONE)).drop(ALONE), position, order, name)
+        return reads.where(F.col(ALONE) & (F.col("status") != C.NA)).drop(ALONE).withColumn("overlap", F.lit(False)).unionByName(rest)
     cell = [c for c in CELL if c in reads.columns]  # they follow from position and name: rows of the pileup's join stay where they are
     w = Window.partitionBy(*cell, *position, name)
     ranked = w.orderBy(F.col("phred").desc(), *order)
@@ -54,6 +62,7 @@ def marked(reads: DataFrame, sites: DataFrame | None = None, max_flen: int = 0,
     """All rows, with ``called``, whether ``filtered`` would keep the row, and ``overlap`` as it marks it: for counters that want other rows
     as well. Rows that mapping quality or trimming leave out take no part in their mates' comparison, as there."""
     used = (F.col("mapq") >= min_mapq) & (F.col("status") != C.NA)
+    reads = reads.drop(ALONE)  # lone bases apart would be a second scan of the reads
     own = reads.columns
     if sites is not None:
         s = sites.where(F.col("flen").between(0, max_flen) & F.col("bs_strand").isin(*C.STRANDS)).dropDuplicates(["bs_strand", "flen"])

@@ -222,3 +222,30 @@ def test_mates_of_a_pileup_are_not_shuffled_again(spark):
             assert sorted(map(tuple, marked.select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_small_index_goes_to_the_reads(spark):
+    """Reads are not shuffled without mates; with them they are dealt whole, and only bases that a read of their name may share are sorted."""
+    rows, idx = amplicon(60)
+    rows += [("r0", 99, "c", 9_990 + i, 60, "5S40M10D15M40S", 150, "a" * 100, "I" * 100, 900 + i) for i in range(2)]  # over the edge of a wide bin
+    idx += [("c", i, i + 1, "CG", ".", "-") for i in range(9_980, 10_060)]
+    a = spark.createDataFrame(rows, sam.SCHEMA)
+    i = spark.createDataFrame(idx, "chrom string, start long, end long, motif string, score string, strand string")
+    columns = ["start", "read_name", "file_ord", "phred", "status", "pos_in_read", "overlap"]
+    near, cells = pileup.pileup_reads(a, i), pileup.pileup_reads(a, i, width=100)
+    want = sorted(map(tuple, filters.overlap(cells).select(columns).collect()))
+    assert want == sorted(map(tuple, filters.overlap(near).select(columns).collect())) and {r[-1] for r in want} == {True, False}
+    called = [sorted(map(tuple, filters.marked(p, min_phred=10).select(*columns, "called").collect())) for p in (near, cells)]
+    assert called[0] == called[1]
+    plain = pileup.pileup_reads(a, i, mates=False)
+    assert plain.count() == cells.count() and near.where("NOT alone").count() < near.count()
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan, plan
+
+
+@pytest.mark.parametrize("cigar", ["60M", "5S40M10D15M", "2H3S4M1I5M2N6=1X3S2H", "7S", "3H", "4P5M", "0M3M"])
+def test_layout_of_a_cigar(spark, cigar):
+    ops = pileup.cigar_ops(F.lit(cigar))
+    want = spark.range(1).select(pileup.clip(ops, False), pileup.clip(ops, True), pileup.advance(ops, pileup.IN_REFERENCE), pileup.blocks(ops)).first()
+    got = spark.range(1).select(pileup.layout(F.lit(cigar)).alias("x")).select("x.*").first()
+    assert tuple(got) == tuple(want)
