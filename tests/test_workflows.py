@@ -235,3 +235,25 @@ def test_windowed_counts(spark, tmp_path):
         q.stop()
         assert spark.table(name).columns == ["begin", "finish", "k", "n"]
     assert {r["n"] for r in spark.table("tumbling").collect()} <= {5}
+
+
+def test_counters_with_the_same_keys(spark):
+    """They are counted in one row, and as one by one; the query reads its sums once."""
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, None), (None, 3, 7), ("b", 4, 1), ("b", None, 2)], "k string, n int, v int")
+    keys = {"k": F.col("k")}
+    every = {
+        "all": counters.Counter(keys, {"n": F.lit(1), "v": F.col("v")}), "some": counters.Counter(keys, {"v": F.col("v")}, F.col("n") >= 2),
+        "other": counters.Counter({"n": F.col("n")}, {"v": F.col("v")}, F.col("v") > 1),
+    }
+    assert counters.alike(every) == [["all", "some"], ["other"]]
+    got = {n: sorted(map(repr, t.collect())) for n, t in counters.told_apart(counters.count_once(df, every), every).items()}
+    for name, c in every.items():
+        alone = counters.told_apart(counters.count_once(df, {name: c}), {name: c})[name]
+        rows = df if c.where is None else df.where(c.where)
+        plain = rows.groupBy(*[v.alias(k) for k, v in c.keys.items()]).agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in c.sums.items()])
+        assert got[name] == sorted(map(repr, alone.collect())) == sorted(map(repr, plain.collect()))
+    from cytomill.plans import queries
+
+    query = queries.counters_of_one_pass(spark, "/root/testdata/sf0.001")
+    assert query._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation") == 2
+    spark.catalog.clearCache()
